@@ -57,5 +57,14 @@ def row_key(doc_id: str, text: str) -> Column:
     return F.concat_ws(":", F.coalesce(F.col(doc_id).cast("string"), F.lit("-")), content)
 
 
+#: Rows up to which a look-up table is sent to every executor; beyond it its joins shuffle.
+LOOKUP_ROWS = 100_000
+
+
+def sided(small: DataFrame) -> DataFrame:
+    """small, broadcast if a count proves it small; else left for a shuffled join."""
+    return F.broadcast(small) if small.count() <= LOOKUP_ROWS else small
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

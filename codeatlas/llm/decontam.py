@@ -16,13 +16,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, materialise, row_key
+from .common import ascii_lower, materialise, row_key, sided
 
 #: Fixed by the contract: what separates words, after A-Z are lowered.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Rows of the look-up table up to which it is sent to every executor; beyond it the join shuffles.
-LOOKUP_ROWS = 100_000
-
 
 def words(text: Column | str) -> Column:
     text = F.col(text) if isinstance(text, str) else text
@@ -37,16 +34,11 @@ def windows(items: DataFrame, item_id: str, text: str, length: int) -> DataFrame
     return each.groupBy(F.concat_ws(" ", "w").alias("phrase")).agg(F.first("w").alias("w"), F.collect_set("item").alias("items"))
 
 
-def _sided(small: DataFrame) -> DataFrame:
-    """small, broadcast if a count proves it small; else left for a shuffled join."""
-    return F.broadcast(small) if small.count() <= LOOKUP_ROWS else small
-
-
 def lookups(docs: DataFrame, phrases: DataFrame, rarest: int) -> DataFrame:
     """phrase, term, off, rank: the rarest terms of each phrase whose terms all occur in docs (key, text)."""
     terms = phrases.select(F.explode(F.array_distinct("w")).alias("term")).distinct()
     seen = docs.select(F.explode(F.array_distinct(words("text"))).alias("term"))
-    df = materialise(seen.join(_sided(terms), "term").groupBy("term").count(), "terms")
+    df = materialise(seen.join(sided(terms), "term").groupBy("term").count(), "terms")
     placed = phrases.select("phrase", F.posexplode("w").alias("off", "term")).join(df, "term", "left")
     whole = Window.partitionBy("phrase")
     ranked = placed.withColumn("absent", F.max(F.col("count").isNull()).over(whole)).where(~F.col("absent"))
@@ -57,7 +49,7 @@ def lookups(docs: DataFrame, phrases: DataFrame, rarest: int) -> DataFrame:
 def postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """The stored index (term, key, pos) of the terms looked up, from docs (key, text)."""
     placed = docs.select("key", F.posexplode(words("text")).alias("pos", "term"))
-    return materialise(placed.join(_sided(terms), "term").select("term", "key", "pos"), "postings")
+    return materialise(placed.join(sided(terms), "term").select("term", "key", "pos"), "postings")
 
 
 def _distinct_ranks(rarest: int) -> Column:
@@ -69,10 +61,10 @@ def phrase_matches(docs: DataFrame, phrases: DataFrame, rarest: int = 3) -> Data
     """key, start, phrase, n: every exact occurrence of a phrase in docs (key, text); a repeated row repeats its own."""
     wanted = materialise(lookups(docs, phrases, rarest), "lookups")
     index = postings(docs, wanted.select("term").distinct())
-    lists = index.join(_sided(wanted), "term").select("key", "phrase", "rank", (F.col("pos") - F.col("off")).alias("start"))
+    lists = index.join(sided(wanted), "term").select("key", "phrase", "rank", (F.col("pos") - F.col("off")).alias("start"))
     needed = wanted.groupBy("phrase").agg(F.count("*").alias("needed"))
     met = lists.where("start >= 0").groupBy("key", "phrase", "start").agg(_distinct_ranks(rarest).alias("lists"))
-    met = met.join(_sided(needed), "phrase").where("lists = needed").join(_sided(phrases.select("phrase", "w")), "phrase")
+    met = met.join(sided(needed), "phrase").where("lists = needed").join(sided(phrases.select("phrase", "w")), "phrase")
     near = materialise(met.groupBy("key").agg(F.collect_list(F.struct("start", "phrase", "w")).alias("found")), "near")
     exact = F.filter("found", lambda x: F.slice(F.col("words"), x["start"] + 1, F.size(x["w"])) == x["w"])
     # The texts are shuffled as they are and split after the join: arrays of words take several times the room.
@@ -87,14 +79,14 @@ def proximity_matches(docs: DataFrame, phrases: DataFrame, slop: int = 3, rarest
     """
     wanted = materialise(lookups(docs, phrases, rarest), "lookups")
     index = postings(docs, wanted.select("term").distinct())
-    placed = index.join(_sided(wanted), "term").select("key", "phrase", "rank", (F.col("pos") - F.col("off")).alias("start"))
+    placed = index.join(sided(wanted), "term").select("key", "phrase", "rank", (F.col("pos") - F.col("off")).alias("start"))
     anchors = placed.where("rank = 1").select("key", "phrase", F.col("start").alias("at"))
     reach = F.explode(F.sequence(F.col("start") - slop, F.col("start") + slop))
     spread = placed.where("rank > 1").select("key", "phrase", "rank", reach.alias("at")).distinct()
     needed = wanted.groupBy("phrase").agg(F.count("*").alias("needed"))
     # Bounded: a window of 2 * slop + 1 places per posting.
     met = anchors.join(spread, ["key", "phrase", "at"], "left").groupBy("key", "phrase", "at").agg((F.countDistinct("rank") + 1).alias("lists"))
-    return met.join(_sided(needed), "phrase").where("lists = needed").select("key", "phrase", F.col("at").alias("start"))
+    return met.join(sided(needed), "phrase").where("lists = needed").select("key", "phrase", F.col("at").alias("start"))
 
 
 def _digest(ids: Column) -> Column:
@@ -111,7 +103,7 @@ def contamination(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id",
     upto = Window.partitionBy("key").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
     fresh = F.greatest(F.lit(0), F.col("start") + F.col("n") - F.greatest(F.col("start"), F.coalesce(F.max(F.col("start") + F.col("n")).over(upto), F.lit(0))))
     hits = spans.withColumn("fresh", fresh).groupBy("key").agg(F.sum("fresh").alias("n_hit"))
-    named = places.select("key", "phrase").distinct().join(_sided(phrases.select("phrase", "items")), "phrase")
+    named = places.select("key", "phrase").distinct().join(sided(phrases.select("phrase", "items")), "phrase")
     named = named.select("key", F.explode("items").alias("item")).groupBy("key").agg(F.collect_set("item").alias("items"))
     marked = materialise(hits.join(named, "key"), "marked")
     counts = rows.select("doc_id", "key", F.size(words("text")).cast("long").alias("n_words"))

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE_WORD, materialise
+from .common import SPACE_WORD, materialise, sided
 
 LEVELS, BITS = 4, 12
 
@@ -90,7 +90,7 @@ def mix(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source:
     cuts = thresholds(rows.select("skey", "size", "h"), plan.where("remain > 0"))
     chosen = plan.join(cuts, "skey", "left").select("skey", "source_size", "target", "whole", F.coalesce("cut", F.lit(0)).alias("cut"))
     repeats = F.col("whole") + F.when(F.col("h") < F.col("cut"), 1).otherwise(0)
-    return rows.join(chosen, "skey").select("doc_id", "size", "source_size", "target", (F.col("size") * repeats).cast("long").alias("taken"), repeats.cast("int").alias("repeats"))
+    return rows.join(sided(materialise(chosen, "mixcut")), "skey").select("doc_id", "size", "source_size", "target", (F.col("size") * repeats).cast("long").alias("taken"), repeats.cast("int").alias("repeats"))
 
 
 #: The same result by sorting: what the thresholds find, from running sums over each source's hash order.
