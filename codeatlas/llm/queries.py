@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, mixing, pii
+from . import decontam, forest, mixing, pii
 from .common import table
 
 
@@ -14,6 +14,11 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.extract(table(spark, sf_dir, "documents")))
 
 
+def op6_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = forest.near_duplicates(table(spark, sf_dir, "documents"), k=3, num=85, den=100)
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.drop("items", "row_key")
@@ -26,6 +31,7 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_pii": op3_pii,
+        "op6_minhash_forest": op6_minhash_forest,
         "op7_decontamination": op7_decontamination,
         "op8_mixing": op8_mixing,
     }
