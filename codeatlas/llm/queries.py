@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, forest, mixing, pii
+from . import ctw, decontam, forest, langid, mixing, pii
 from .common import table
 
 
+def op2_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ctw.score(table(spark, sf_dir, "documents"))
+
+
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.extract(table(spark, sf_dir, "documents")))
 
@@ -28,12 +32,18 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_context_tree": op2_context_tree,
         "op3_pii": op3_pii,
         "op6_minhash_forest": op6_minhash_forest,
         "op7_decontamination": op7_decontamination,
         "op8_mixing": op8_mixing,
+        "op10_language": op10_language,
     }
 
 
