@@ -26,7 +26,8 @@ from pyspark.sql import functions as F
 from .common import drop_table, fold, materialise
 from .words import LOWER, SPACE, text_slices, word_hashes
 
-DEPTH = 4
+#: Bytes of the longest context; a context and its byte must fit 56 bits.
+DEPTH = 5
 END = np.uint64(0x5BF03635F0A31B27)
 
 
@@ -62,25 +63,25 @@ def one_space(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return low[kept], np.concatenate([[0], np.cumsum(kept)])[offsets]
 
 
-def keys_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def keys_of(data: np.ndarray, offsets: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """(context, byte) keys of every position of every text with its end byte, and where each text begins."""
     data, offsets = one_space(data, offsets)
-    lengths = np.diff(offsets) + 1 + DEPTH
+    lengths = np.diff(offsets) + 1 + depth
     begin = np.zeros(len(lengths) + 1, dtype=np.int64)
     np.cumsum(lengths, out=begin[1:])
     padded = np.zeros(begin[-1], dtype=np.uint8)
     place = np.ones(begin[-1], dtype=bool)
-    for d in range(DEPTH):
+    for d in range(depth):
         place[begin[:-1] + d] = False
     place[begin[1:] - 1] = False
     padded[place] = data
     keys = np.zeros(len(padded), dtype=np.int64)
-    for d in range(DEPTH + 1):
+    for d in range(depth + 1):
         keys[d:] |= padded[: len(padded) - d].astype(np.int64) << (8 * d)
     real = np.ones(len(padded), dtype=bool)
-    for d in range(DEPTH):
+    for d in range(depth):
         real[begin[:-1] + d] = False
-    first = begin - DEPTH * np.arange(len(begin))
+    first = begin - depth * np.arange(len(begin))
     return keys[real], first
 
 
@@ -90,8 +91,8 @@ def blocks(docs: DataFrame, doc_id: str, text: str, folds: int, held: int) -> Da
     return docs.select(where.alias("block"), F.col(doc_id).alias("doc_id"), (fold(doc_id, folds) != held).alias("train"), F.col(text).alias("text"))
 
 
-def count(rows: DataFrame) -> DataFrame:
-    """kind ('g' n-grams, 'w' words), block, key, n: counts in training texts; 0 where only other texts have a key."""
+def count(rows: DataFrame, depth: int) -> DataFrame:
+    """part (0 n-grams, 1 words), block, key, n: counts in training texts; 0 where only other texts have a key."""
 
     def merge(parts: list[tuple]) -> tuple:
         keys, n = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
@@ -99,11 +100,11 @@ def count(rows: DataFrame) -> DataFrame:
         return out, np.bincount(where, weights=n, minlength=len(out)).astype(np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[str, int], list[tuple]] = {}
+        held: dict[tuple[int, int], list[tuple]] = {}
 
-        def flush(which: tuple[str, int]) -> pa.RecordBatch:
+        def flush(which: tuple[int, int]) -> pa.RecordBatch:
             keys, n = merge(held.pop(which))
-            return pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(which[0]), len(keys)), pa.array(np.full(len(keys), which[1])), pa.array(keys), pa.array(n)], names=["kind", "block", "key", "n"])
+            return pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(which[0], pa.int8()), len(keys)), pa.array(np.full(len(keys), which[1])), pa.array(keys), pa.array(n)], names=["part", "block", "key", "n"])
 
         for batch in batches:
             block = batch.column(0).to_numpy()
@@ -116,21 +117,21 @@ def count(rows: DataFrame) -> DataFrame:
                     yield flush(which)
                 for a, b, data, offsets in text_slices(batch.column(2).slice(cut[0], len(cut))):
                     learn = train[cut[0] + a : cut[0] + b].astype(np.float64)
-                    keys, first = keys_of(data, offsets)
+                    keys, first = keys_of(data, offsets, depth)
                     words, at = word_hashes(data, offsets)
-                    for kind, values, sizes in (("g", keys, np.diff(first)), ("w", words.view(np.int64), np.diff(at))):
+                    for part, values, sizes in ((0, keys, np.diff(first)), (1, words.view(np.int64), np.diff(at))):
                         values, weight = values, np.repeat(learn, sizes)
-                        if kind == "w":  # one end a text
+                        if part:  # one end a text
                             values, weight = np.append(values, np.full(b - a, END.view(np.int64))), np.append(weight, learn)
                         uniq, where = np.unique(values, return_inverse=True)
-                        parts = held.setdefault((kind, name), [])
+                        parts = held.setdefault((part, name), [])
                         parts.append((uniq, np.bincount(where, weights=weight, minlength=len(uniq)).astype(np.int64)))
                         if len(parts) >= 8:
-                            held[kind, name] = [merge(parts)]
+                            held[part, name] = [merge(parts)]
         for which in list(held):
             yield flush(which)
 
-    return rows.select("block", "train", "text").mapInArrow(run, "kind string, block long, key long, n long")
+    return rows.select("block", "train", "text").mapInArrow(run, "part tinyint, block long, key long, n long")
 
 
 def decisions(grams: DataFrame) -> DataFrame:
@@ -144,11 +145,11 @@ def decisions(grams: DataFrame) -> DataFrame:
     return rows.groupBy("ctx", F.col("d.node").alias("node")).agg(F.sum(zero).alias("n0"), F.sum(one).alias("n1"))
 
 
-def weights(full: DataFrame) -> list[DataFrame]:
-    """Tables of ctx, node, n0, n1, kt (ln), below (ln of the children's product) from depth DEPTH down to 0."""
+def weights(full: DataFrame, depth: int) -> list[DataFrame]:
+    """Tables of ctx, node, n0, n1, kt (ln), below (ln of the children's product) from full depth down to 0."""
     tables = [materialise(full.withColumn("kt", log_kt(F.col("n0"), F.col("n1"))).withColumn("below", F.col("kt")), "ctw")]
-    for d in range(DEPTH - 1, -1, -1):
-        mine = F.when(F.lit(d + 1 == DEPTH), F.col("kt")).otherwise(
+    for d in range(depth - 1, -1, -1):
+        mine = F.when(F.lit(d + 1 == depth), F.col("kt")).otherwise(
             F.greatest("kt", "below") + F.log1p(F.exp(-F.abs(F.col("kt") - F.col("below")))) - F.lit(float(np.log(2)))
         )
         suffix = F.col("ctx").bitwiseAND((1 << (8 * d)) - 1)
@@ -165,10 +166,11 @@ def mixture(tables: list[DataFrame]) -> DataFrame:
     """
     estimate = (F.col("n1") + 0.5) / (F.col("n0") + F.col("n1") + 1.0)
     share = F.lit(1.0) / (1.0 + F.exp(F.col("below") - F.col("kt")))
+    depth = len(tables) - 1
     state = tables[-1].select("ctx", "node", F.lit(0.0).alias("sure"), F.lit(1.0).alias("open"), estimate.alias("here"), share.alias("share"))
-    for d in range(1, DEPTH + 1):
+    for d in range(1, depth + 1):
         parent = state.select(F.col("ctx").alias("up"), "node", "sure", "open", "here", "share")
-        child = tables[DEPTH - d].withColumn("up", F.col("ctx").bitwiseAND((1 << (8 * (d - 1))) - 1)).withColumn("new", estimate).withColumn("new_share", share)
+        child = tables[depth - d].withColumn("up", F.col("ctx").bitwiseAND((1 << (8 * (d - 1))) - 1)).withColumn("new", estimate).withColumn("new_share", share)
         seen = (F.col("n0") + F.col("n1")) > 0
         state = child.join(parent, ["up", "node"]).select(
             "ctx",
@@ -190,11 +192,11 @@ def byte_costs(grams: DataFrame, mixed: DataFrame) -> DataFrame:
     return rows.join(mixed, ["ctx", "node"]).groupBy("key").agg(F.sum(F.log10(p)).alias("value"))
 
 
-def score_blocks(rows: DataFrame, answers: DataFrame, parts: int) -> DataFrame:
+def score_blocks(rows: DataFrame, answers: DataFrame, parts: int, depth: int) -> DataFrame:
     """Texts meet the answers of their block: sorted, so a task holds one block's answers and one batch of texts."""
     doc_type = rows.schema["doc_id"].dataType.simpleString()
-    a = answers.select("block", F.when(F.col("kind") == "g", 0).otherwise(1).alias("part"), "key", "value", "n", F.lit(None).cast(doc_type).alias("doc_id"), F.lit(None).cast("boolean").alias("train"), F.lit(None).cast("string").alias("text"))
-    t = rows.select("block", F.lit(2).alias("part"), F.lit(None).cast("long").alias("key"), F.lit(None).cast("double").alias("value"), F.lit(None).cast("long").alias("n"), "doc_id", "train", "text")
+    a = answers.select("block", "part", "key", "value", "known", F.lit(None).cast(doc_type).alias("doc_id"), F.lit(None).cast("boolean").alias("train"), F.lit(None).cast("string").alias("text"))
+    t = rows.select("block", F.lit(2).cast("tinyint").alias("part"), F.lit(None).cast("long").alias("key"), F.lit(None).cast("double").alias("value"), F.lit(None).cast("boolean").alias("known"), "doc_id", "train", "text")
     met = a.unionByName(t).repartition(parts, "block").sortWithinPartitions("block", "part")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,7 +211,7 @@ def score_blocks(rows: DataFrame, answers: DataFrame, parts: int) -> DataFrame:
                     now, tables, found = block[cut[0]], {}, {0: [], 1: []}
                 piece, kind = batch.slice(int(cut[0]), len(cut)), int(part[cut[0]])
                 if kind < 2:
-                    found[kind].append((piece.column(2).to_numpy(), piece.column(3).to_numpy(), piece.column(4).to_numpy()))
+                    found[kind].append((piece.column(2).to_numpy(), piece.column(3).to_numpy(), piece.column(4).to_numpy(zero_copy_only=False)))
                     continue
                 for k in (0, 1):
                     if k not in tables:
@@ -218,7 +220,7 @@ def score_blocks(rows: DataFrame, answers: DataFrame, parts: int) -> DataFrame:
                         tables[k] = [c[order] for c in cols]
                         found[k] = []
                 for i, j, data, offsets in text_slices(piece.column(7)):
-                    keys, first = keys_of(data, offsets)
+                    keys, first = keys_of(data, offsets, depth)
                     table = tables[0]
                     at = np.searchsorted(table[0], keys)
                     if at.max(initial=-1) >= len(table[0]) or (table[0][at] != keys).any():
@@ -228,11 +230,11 @@ def score_blocks(rows: DataFrame, answers: DataFrame, parts: int) -> DataFrame:
                     words, begin = word_hashes(data, offsets)
                     table = tables[1]
                     sums = np.concatenate([[0.0], np.cumsum(table[1][np.searchsorted(table[0], words.view(np.int64))])])
-                    seen = np.concatenate([[0], np.cumsum(table[2][np.searchsorted(table[0], words.view(np.int64))] > 0)])
+                    seen = np.concatenate([[0], np.cumsum(table[2][np.searchsorted(table[0], words.view(np.int64))])])
                     end = np.searchsorted(table[0], END.view(np.int64))
                     size = np.diff(begin) + 1
                     base = sums[begin[1:]] - sums[begin[:-1]] + table[1][end]
-                    known = seen[begin[1:]] - seen[begin[:-1]] + int(table[2][end] > 0)
+                    known = seen[begin[1:]] - seen[begin[:-1]] + int(table[2][end])
                     yield pa.RecordBatch.from_arrays(
                         [piece.column(5).slice(i, j - i), piece.column(6).slice(i, j - i), pa.array(size.astype(np.int64)), pa.array(known.astype(np.int64)), pa.array(base), pa.array(score), pa.array(np.diff(first).astype(np.int64))],
                         names=["doc_id", "train", "n_tokens", "n_known", "base_score", "score", "n_bytes"],
@@ -241,7 +243,7 @@ def score_blocks(rows: DataFrame, answers: DataFrame, parts: int) -> DataFrame:
     return met.mapInArrow(run, f"doc_id {doc_type}, train boolean, n_tokens long, n_known long, base_score double, score double, n_bytes long")
 
 
-def score(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", folds: int = 7, held: int = 2) -> DataFrame:
+def score(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", folds: int = 7, held: int = 2, depth: int = DEPTH) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte for every row.
 
     Learns from the rows outside fold `held` alone. docs must come from files; other frames are written first.
@@ -249,21 +251,21 @@ def score(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", folds:
     if not docs.inputFiles():
         docs = materialise(docs.select(doc_id, text), "ctwdocs")
     rows = blocks(docs, doc_id, text, folds, held)
-    counted = materialise(count(rows), "grams")
-    wanted = counted.select("kind", "block", "key")
-    grams = materialise(counted.where("kind = 'g'").groupBy("key").agg(F.sum("n").alias("n")), "ngrams")
-    words = materialise(counted.where("kind = 'w'").groupBy("key").agg(F.sum("n").alias("n")), "vocabulary")
+    counted = materialise(count(rows, depth), "grams")
+    wanted = counted.select("part", "block", "key")
+    grams = materialise(counted.where("part = 0").groupBy("key").agg(F.sum("n").alias("n")), "ngrams")
+    words = materialise(counted.where("part = 1").groupBy("key").agg(F.sum("n").alias("n")), "vocabulary")
     total = words.agg(F.sum("n").alias("N"), F.sum((F.col("n") > 0).cast("long")).alias("V")).first()
     n, v = total.N or 0, total.V or 0
-    tables = weights(decisions(grams))
+    tables = weights(decisions(grams), depth)
     costs = materialise(byte_costs(grams.select("key"), mixture(tables)), "costs")
     for t in [*tables, grams]:
         drop_table(t)
     token = F.log10((F.col("n") + 1.0) / F.lit(float(n + v + 1)))
-    model = costs.select(F.lit("g").alias("kind"), "key", "value", F.lit(0).cast("long").alias("n")).unionByName(words.select(F.lit("w").alias("kind"), "key", token.alias("value"), "n"))
-    answers = wanted.join(model, ["kind", "key"])
+    model = costs.select(F.lit(0).cast("tinyint").alias("part"), "key", "value", F.lit(True).alias("known")).unionByName(words.select(F.lit(1).cast("tinyint").alias("part"), "key", token.alias("value"), (F.col("n") > 0).alias("known")))
+    answers = wanted.join(model, ["part", "key"])
     parts = max(2 * counted.select("block").distinct().count(), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    out = score_blocks(rows, answers, parts)
+    out = score_blocks(rows, answers, parts, depth)
     return out.select(
         "doc_id",
         (~F.col("train")).alias("held_out"),
