@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ctw, decontam, forest, langid, mixing, pii
+from . import collisions, ctw, decontam, forest, langid, mixing, pii
 from .common import table
 
 
@@ -18,6 +18,10 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.extract(table(spark, sf_dir, "documents")))
 
 
+def op5_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collisions.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op6_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = forest.near_duplicates(table(spark, sf_dir, "documents"), k=3, num=85, den=100)
     return found.select("doc_id", "n_shingles", "component_id", "kept")
@@ -40,6 +44,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_context_tree": op2_context_tree,
         "op3_pii": op3_pii,
+        "op5_collisions": op5_collisions,
         "op6_minhash_forest": op6_minhash_forest,
         "op7_decontamination": op7_decontamination,
         "op8_mixing": op8_mixing,
