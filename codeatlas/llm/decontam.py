@@ -120,6 +120,13 @@ def contamination(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id",
     )
 
 
+def keep_clean(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """docs without the contaminated rows."""
+    bad = contamination(docs, items, doc_id=doc_id, text=text, **options).where("contaminated").select(F.col("row_key").alias("_key")).distinct()
+    keyed = docs.withColumn("_key", row_key(doc_id, text))
+    return keyed.join(sided(materialise(bad, "bad")), "_key", "left_anti").select(*docs.columns)
+
+
 ORACLE_SQL = r"""
 WITH d AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w

@@ -7,7 +7,7 @@ alone by the next 12 bits. Rows are never sorted; every shuffle carries partial
 
 Null sources form a source of their own, ordered last. Null or empty texts have size 0 and take 0. Rows with
 one id share a hash, so they are taken or left together. An empty table gives an empty result; a corpus of
-size 0 has targets of 0. Extra columns of the input pass through `mix` untouched.
+size 0 has targets of 0. `take` keeps all columns of its input.
 """
 
 from __future__ import annotations
@@ -72,25 +72,43 @@ def thresholds(rows: DataFrame, budgets: DataFrame) -> DataFrame:
     return edge.select("skey", (F.col("e.bucket") + F.when(nearer, 1).otherwise(0)).alias("cut"))
 
 
-def mix(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source", max_repeats: int = 3, cycle: int = 3) -> DataFrame:
-    """doc_id, size, source_size, target, taken and repeats for every row."""
-    rows = materialise(
-        docs.select(
-            F.col(doc_id).alias("doc_id"),
-            F.col(source).alias("source"),
-            F.coalesce(F.concat(F.lit("s"), F.col(source)), F.lit("n")).alias("skey"),
-            word_count(F.col(text)).alias("size"),
-            id_hash(F.col(doc_id)).alias("h"),
-        ),
-        "mix",
-    )
+def _keyed(docs: DataFrame, doc_id: str, text: str, source: str) -> list[Column]:
+    return [
+        F.coalesce(F.concat(F.lit("s"), F.col(source)), F.lit("n")).alias("_skey"),
+        word_count(F.col(text)).alias("_size"),
+        id_hash(F.col(doc_id)).alias("_h"),
+    ]
+
+
+def budget(rows: DataFrame, max_repeats: int, cycle: int) -> DataFrame:
+    """rows (_skey, source, _size, _h) -> _skey, source_size, target, whole, cut: one row a source."""
+    rows = rows.select(F.col("_skey").alias("skey"), "source", F.col("_size").alias("size"), F.col("_h").alias("h"))
     sizes = rows.groupBy("skey", "source").agg(F.sum("size").alias("source_size"))
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size") + 1e-12)).otherwise(0)
     plan = materialise(targets(sizes, max_repeats, cycle).withColumn("whole", whole).withColumn("remain", F.col("target") - F.col("whole") * F.col("source_size")), "mixplan")
     cuts = thresholds(rows.select("skey", "size", "h"), plan.where("remain > 0"))
-    chosen = plan.join(cuts, "skey", "left").select("skey", "source_size", "target", "whole", F.coalesce("cut", F.lit(0)).alias("cut"))
-    repeats = F.col("whole") + F.when(F.col("h") < F.col("cut"), 1).otherwise(0)
-    return rows.join(sided(materialise(chosen, "mixcut")), "skey").select("doc_id", "size", "source_size", "target", (F.col("size") * repeats).cast("long").alias("taken"), repeats.cast("int").alias("repeats"))
+    chosen = plan.join(cuts, "skey", "left").select(F.col("skey").alias("_skey"), "source_size", "target", "whole", F.coalesce("cut", F.lit(0)).alias("cut"))
+    return sided(materialise(chosen, "mixcut"))
+
+
+def _repeats() -> Column:
+    return F.col("whole") + F.when(F.col("_h") < F.col("cut"), 1).otherwise(0)
+
+
+def mix(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source", max_repeats: int = 3, cycle: int = 3) -> DataFrame:
+    """doc_id, size, source_size, target, taken and repeats for every row."""
+    rows = materialise(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), *_keyed(docs, doc_id, text, source)), "mix")
+    joined = rows.join(budget(rows, max_repeats, cycle), "_skey")
+    return joined.select("doc_id", F.col("_size").alias("size"), "source_size", "target", (F.col("_size") * _repeats()).cast("long").alias("taken"), _repeats().cast("int").alias("repeats"))
+
+
+def take(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source", max_repeats: int = 3, cycle: int = 3) -> DataFrame:
+    """docs with every row as often as the mix takes it; copy_no counts a row's copies from 1."""
+    keys = _keyed(docs, doc_id, text, source)
+    rows = materialise(docs.select(F.col(source).alias("source"), *keys), "mix")
+    joined = docs.select("*", *keys).join(budget(rows, max_repeats, cycle).drop("source_size", "target").withColumnsRenamed({"whole": "_whole", "cut": "_cut"}), "_skey")
+    repeats = (F.col("_whole") + F.when(F.col("_h") < F.col("_cut"), 1).otherwise(0)).cast("int")
+    return joined.where(repeats > 0).select(*docs.columns, F.explode(F.sequence(F.lit(1), repeats)).alias("copy_no"))
 
 
 #: The same result by sorting: what the thresholds find, from running sums over each source's hash order.

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, row_key
+from .common import materialise, row_key, sided
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -176,6 +176,7 @@ def redact(docs: DataFrame, found: DataFrame, *, doc_id: str = "doc_id", text: s
     slim = F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))
     more = F.transform("added", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))
     spans = found.select(F.col("row_key").alias("_key"), F.array_sort(F.concat(slim, more)).alias("_spans")).where(F.size("_spans") > 0).dropDuplicates(["_key"])
+    spans = sided(materialise(spans, "redact"))
     body = F.col(text)
     begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 

@@ -58,13 +58,14 @@ def text_slices(column: pa.Array, most: int = SLICE) -> Iterator[tuple[int, int,
         row = end
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the lower-cased words `[^\\x20\\x09-\\x0D]+` of each text, and where each text's words begin."""
+def tokens(data: np.ndarray, offsets: np.ndarray, between: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Begins and ends of runs of bytes outside `between`, each text's first run, and sums for hash_of."""
     n = len(data)
     if not n:
-        return np.zeros(0, dtype=np.uint64), np.zeros(len(offsets), dtype=np.int64)
+        none = np.zeros(0, dtype=np.int64)
+        return none, none, np.zeros(len(offsets), dtype=np.int64), np.zeros(1, dtype=np.uint64)
     low = LOWER[data]
-    inside = ~SPACE[low]
+    inside = ~between[low]
     edge = np.zeros(n + 1, dtype=bool)
     edge[offsets] = True
     begins = inside.copy()
@@ -72,11 +73,22 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     ends = inside.copy()
     ends[:-1] &= ~inside[1:] | edge[1:n]
     begin, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-    p, q = powers(n + 1)
+    p, _ = powers(n + 1)
     sums = np.zeros(n + 1, dtype=np.uint64)
     np.cumsum(BYTE_VALUE[low] * p[:n], out=sums[1:])
-    hashes = mix((sums[end] - sums[begin]) * q[begin] + (end - begin).astype(np.uint64))
-    return hashes, np.searchsorted(begin, offsets)
+    return begin, end, np.searchsorted(begin, offsets), sums
+
+
+def hash_of(begin: np.ndarray, end: np.ndarray, sums: np.ndarray) -> np.ndarray:
+    """Hashes of the lower-cased bytes from begin to end, equal wherever the bytes are."""
+    _, q = powers(len(sums))
+    return mix((sums[end] - sums[begin]) * q[begin] + (end - begin).astype(np.uint64))
+
+
+def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the lower-cased words `[^\\x20\\x09-\\x0D]+` of each text, and where each text's words begin."""
+    begin, end, first, sums = tokens(data, offsets)
+    return hash_of(begin, end, sums), first
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> list[np.ndarray]:
