@@ -128,7 +128,7 @@ def route_depth_first(edges: DataFrame, start, max_depth: int = 6, max_steps: in
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
         kids_of: dict = {}
         for a, b in pdf.sort_values(["node", "r"])[["node", "next"]].itertuples(index=False):
-            if b is not None:
+            if a != b:  # also the seed row
                 kids_of.setdefault(a, []).append(b)
         stack, seen, out = [(start, 0, 0)], set(), []
         while stack and len(out) < max_steps:
@@ -142,8 +142,8 @@ def route_depth_first(edges: DataFrame, start, max_depth: int = 6, max_steps: in
                 stack += [(k, mine, depth + 1) for k in reversed(kids_of.get(node, []))]
         return pd.DataFrame(out, columns=["step", "parent", "depth", "node"])
 
-    seed = edges.sparkSession.createDataFrame([(start, None, 0)], f"node {kind}, next {kind}, r int")
-    return kids.select("node", "next", "r").unionByName(seed).groupBy(F.lit(1)).applyInPandas(walk, f"step long, parent long, depth int, node {kind}")
+    seed = edges.sparkSession.createDataFrame([(start, start, 0)], f"node {kind}, next {kind}, r int")
+    return kids.select("node", "next", "r").unionByName(seed).groupBy().applyInPandas(walk, f"step long, parent long, depth int, node {kind}")
 
 
 def fold(steps: DataFrame, dropped: DataFrame, keep_names: bool = True) -> DataFrame:

@@ -288,7 +288,7 @@ def route_frontier(spark, d):
     return traverse.frontier(steps, edges, ends.withColumn("file", F.col("node") % 12))
 
 
-_FOLD = """, k AS (SELECT *, NOT ({drop}) AS keep FROM steps), a(step, at) AS (SELECT step, parent FROM k UNION ALL SELECT a.step, k.parent FROM a JOIN k ON a.at = k.step WHERE NOT k.keep), n AS (SELECT step, at AS anchor FROM a WHERE at = 0 OR at IN (SELECT step FROM k WHERE keep)),
+_FOLD = """, k AS (SELECT *, NOT ({drop}) AS keep FROM steps), a(step, top) AS (SELECT step, parent FROM k UNION ALL SELECT a.step, k.parent FROM a JOIN k ON a.top = k.step WHERE NOT k.keep), n AS (SELECT step, top AS anchor FROM a WHERE top = 0 OR top IN (SELECT step FROM k WHERE keep)),
 o AS (SELECT step, row_number() OVER (ORDER BY step) AS new FROM k WHERE keep)"""
 
 
@@ -322,7 +322,7 @@ def route_dfs(spark, d):
 @query()
 def spanning_tree(spark, d):
     e = settle(g.errors(spark, d, 200), "edges")
-    both = e.select("src", "dst", "line").unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.col("line") + (1 << 40)))
+    both = e.select("src", "dst", "line", "ord").unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"), (F.col("line") + (1 << 40)).alias("line"), "ord"))
     return traverse.route_depth_first(both, g.busiest(e), 3, 100_000)
 
 
@@ -441,10 +441,10 @@ def token_scan(spark, d):
     return t.groupBy("token").agg(F.count("*").alias("n"))
 
 
-@query("SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '\\b[A-Z][A-Z0-9_]+\\b')) AS name FROM documents")
+@query("SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '(?:^|[^A-Za-z0-9_\\x{80}-\\x{10FFFF}])([A-Z][A-Z0-9_]+)', 1)) AS name FROM documents")
 def allcaps_refs(spark, d):
     t = table(spark, d, "documents")
-    return t.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"\b[A-Z][A-Z0-9_]+\b"), F.lit(0)))).alias("name")).distinct()
+    return t.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"(?:^|[^A-Za-z0-9_\x{80}-\x{10FFFF}])([A-Z][A-Z0-9_]+)"), F.lit(1)))).alias("name")).distinct()
 
 
 @query("SELECT page_id, unnest(list_distinct(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1))) AS target FROM pages")
@@ -467,7 +467,7 @@ def alive_diff(spark, d):
 
 
 @query("""WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER w < INTERVAL 600 SECONDS THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS burst FROM g)
-SELECT user_id AS id, burst::BIGINT AS burst, count(*) AS n_changes, max(event_id) FILTER (TRUE) AS last_id FROM (SELECT user_id, burst, arg_max(event_id, struct_pack(t := ts, e := event_id)) OVER (PARTITION BY user_id, burst) AS event_id FROM s) GROUP BY ALL""")
+SELECT user_id AS id, burst::BIGINT AS burst, count(*) AS n_changes, arg_max(event_id, struct_pack(t := ts, e := event_id)) AS last_id FROM s GROUP BY ALL""")
 def debounce_sessions(spark, d):
     from codeatlas.streaming.incremental import bursts
 

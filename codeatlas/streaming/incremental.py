@@ -25,8 +25,9 @@ def reusable(cached: DataFrame, current: DataFrame, fingerprint: str) -> DataFra
 def bursts(events: DataFrame, quiet_seconds: float) -> DataFrame:
     """id, burst, n_changes, last_id: changes of one id closer together than the quiet time are one burst."""
     order = Window.partitionBy("id").orderBy("ts", "event_id")
-    gap = F.col("ts").cast("double") - F.lag("ts").over(order).cast("double")
-    marked = events.withColumn("burst", F.sum(F.when(gap < quiet_seconds, 0).otherwise(1)).over(order))
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    near = micros - F.lag(micros).over(order) < quiet_seconds * 1e6
+    marked = events.withColumn("burst", F.sum(F.when(near, 0).otherwise(1)).over(order))
     return marked.groupBy("id", "burst").agg(F.count("*").alias("n_changes"), F.max_by("event_id", F.struct("ts", "event_id")).alias("last_id"))
 
 
