@@ -3,7 +3,8 @@
 A byte is coded as eight binary decisions. Every decision sees the contexts of the last 0 to DEPTH bytes; each
 context of each binary node keeps a Krichevsky-Trofimov estimate, and the weights of context-tree weighting mix
 the estimates of all depths. Counting, the bottom-up weights and the top-down mixture are joins and sums over
-(context, node) rows, whose keys never hold more than 256 children, so nothing is gathered or broadcast.
+(context, node) rows, whose keys never hold more than 256 children, so nothing is gathered or broadcast; the
+deepest level is worked in arrays, one shorter context at a time.
 
 Texts are scored by blocks of the scan: a block asks for the n-grams it holds, the model answers that block
 alone, and its texts meet the answers in a sorted partition. Nothing grows with the vocabulary in one task but
@@ -28,6 +29,8 @@ from .words import LOWER, SPACE, text_slices, word_hashes
 
 #: Bytes of the longest context; a context and its byte must fit 56 bits.
 DEPTH = 5
+#: Bytes of text worked on at once.
+PIECE = 1 << 20
 END = np.uint64(0x5BF03635F0A31B27)
 
 
@@ -115,18 +118,19 @@ def count(rows: DataFrame, depth: int) -> DataFrame:
                 name = int(block[cut[0]])
                 for which in [w for w in held if w[1] != name]:
                     yield flush(which)
-                for a, b, data, offsets in text_slices(batch.column(2).slice(cut[0], len(cut))):
-                    learn = train[cut[0] + a : cut[0] + b].astype(np.float64)
+                for a, b, data, offsets in text_slices(batch.column(2).slice(cut[0], len(cut)), PIECE):
+                    learn = train[cut[0] + a : cut[0] + b]
                     keys, first = keys_of(data, offsets, depth)
                     words, at = word_hashes(data, offsets)
                     for part, values, sizes in ((0, keys, np.diff(first)), (1, words.view(np.int64), np.diff(at))):
                         values, weight = values, np.repeat(learn, sizes)
                         if part:  # one end a text
                             values, weight = np.append(values, np.full(b - a, END.view(np.int64))), np.append(weight, learn)
-                        uniq, where = np.unique(values, return_inverse=True)
+                        seen, n = np.unique(values[weight], return_counts=True)
+                        other = np.setdiff1d(values[~weight], seen)
                         parts = held.setdefault((part, name), [])
-                        parts.append((uniq, np.bincount(where, weights=weight, minlength=len(uniq)).astype(np.int64)))
-                        if len(parts) >= 8:
+                        parts.append((np.concatenate([seen, other]), np.concatenate([n, np.zeros(len(other), dtype=np.int64)])))
+                        if len(parts) >= 12:
                             held[part, name] = [merge(parts)]
         for which in list(held):
             yield flush(which)
@@ -134,62 +138,143 @@ def count(rows: DataFrame, depth: int) -> DataFrame:
     return rows.select("block", "train", "text").mapInArrow(run, "part tinyint, block long, key long, n long")
 
 
-def decisions(grams: DataFrame) -> DataFrame:
-    """ctx, node, n0, n1 at full depth, from key, n: a byte's eight binary nodes, numbered as in a heap."""
-    byte = F.col("key").bitwiseAND(255).cast("int")
-    node = lambda k: F.lit(1 << k) + F.shiftright(byte, 8 - k)
-    bit = lambda k: F.shiftright(byte, 7 - k).bitwiseAND(1)
-    each = F.array(*[F.struct(node(k).alias("node"), bit(k).alias("bit")) for k in range(8)])
-    rows = grams.select(F.shiftright("key", 8).alias("ctx"), "n", F.explode(each).alias("d"))
-    zero, one = F.when(F.col("d.bit") == 0, F.col("n")).otherwise(0), F.when(F.col("d.bit") == 1, F.col("n")).otherwise(0)
-    return rows.groupBy("ctx", F.col("d.node").alias("node")).agg(F.sum(zero).alias("n0"), F.sum(one).alias("n1"))
-
+def kt_array(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
+    """log_kt on arrays."""
+
+    def ln_gamma(x: np.ndarray) -> np.ndarray:
+        y, product = x + 8, x.copy()
+        for i in range(1, 8):
+            product = product * (x + i)
+        return (y - 0.5) * np.log(y) - y + 0.9189385332046727 + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - np.log(product)
+
+    return ln_gamma(n0 + 0.5) + ln_gamma(n1 + 0.5) - 2 * 0.5723649429247001 - ln_gamma(n0 + n1 + 1.0)
+
+
+def nodes_of(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The eight binary nodes of each key's byte, numbered as in a heap, and the bits taken there."""
+    byte = key & 255
+    node = np.stack([(1 << k) | (byte >> (8 - k)) for k in range(8)], axis=1)
+    return node, np.stack([(byte >> (7 - k)) & 1 for k in range(8)], axis=1)
+
+
+def tallied(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(context, node) ids at full depth, zeros and ones there, and each key's place among them and its bits."""
+    node, bit = nodes_of(key)
+    ids, where = np.unique((key >> 8 << 8)[:, None] | node, return_inverse=True)
+    where = where.reshape(node.shape)
+    count = np.repeat(n, 8).astype(np.float64)
+    zeros = np.bincount(where.ravel(), count * (bit.ravel() == 0), len(ids))
+    ones = np.bincount(where.ravel(), count * (bit.ravel() == 1), len(ids))
+    return ids, zeros, ones, where, bit
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Tables cut between values of the first column, by which the batches are sorted."""
+    held: list[pa.RecordBatch] = []
+    rows = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        first = batch.column(0).to_numpy()
+        cut = int(np.searchsorted(first, first[-1]))
+        if cut or (held and held[-1].column(0)[-1].as_py() != first[0]):
+            head = [*held, batch.slice(0, cut)]
+            rows += cut
+            if rows >= 1 << 15:
+                yield pa.Table.from_batches(head)
+                held, rows = [batch.slice(cut)], batch.num_rows - cut
+                continue
+            held, rows = [*head, batch.slice(cut)], rows + batch.num_rows - cut
+        else:
+            held, rows = [*held, batch], rows + batch.num_rows
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def leaves(grams: DataFrame, depth: int) -> DataFrame:
+    """ctx, node, n0, n1, below one level above full depth, from key, n.
+
+    The deepest level holds most contexts, and each only a few bytes; so it is worked in arrays, n-grams as they
+    are, in tasks that hold all contexts of one shorter context at once (65,536 n-grams at most).
+    """
+    up = F.shiftright("key", 8).bitwiseAND((1 << (8 * (depth - 1))) - 1)
+    rows = grams.select(up.alias("up"), "key", "n").repartition("up").sortWithinPartitions("up", "key")
 
-def weights(full: DataFrame, depth: int) -> list[DataFrame]:
-    """Tables of ctx, node, n0, n1, kt (ln), below (ln of the children's product) from full depth down to 0."""
-    tables = [materialise(full.withColumn("kt", log_kt(F.col("n0"), F.col("n1"))).withColumn("below", F.col("kt")), "ctw")]
-    for d in range(depth - 1, -1, -1):
-        mine = F.when(F.lit(d + 1 == depth), F.col("kt")).otherwise(
-            F.greatest("kt", "below") + F.log1p(F.exp(-F.abs(F.col("kt") - F.col("below")))) - F.lit(float(np.log(2)))
-        )
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches):
+            key, n = table.column(1).to_numpy(), table.column(2).to_numpy()
+            ids, zeros, ones, _, _ = tallied(key, n)
+            shorter = ids & ((1 << (8 * depth)) - 1)  # the context one byte shorter, and the node
+            out, where = np.unique(shorter, return_inverse=True)
+            total = lambda x: np.bincount(where, x, len(out))  # noqa: E731, B023
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(out >> 8), pa.array((out & 255).astype(np.int16)), pa.array(total(zeros).astype(np.int64)), pa.array(total(ones).astype(np.int64)), pa.array(total(kt_array(zeros, ones)))],
+                names=["ctx", "node", "n0", "n1", "below"],
+            )
+
+    return rows.mapInArrow(run, "ctx long, node smallint, n0 long, n1 long, below double")
+
+
+def weights(grams: DataFrame, depth: int) -> list[DataFrame]:
+    """Tables of ctx, node, n0, n1, kt (ln), below (ln of the children's product) from one level up to the root."""
+    kt = log_kt(F.col("n0"), F.col("n1"))
+    tables = [materialise(leaves(grams, depth).withColumn("kt", kt), "ctw")]
+    mine = F.greatest("kt", "below") + F.log1p(F.exp(-F.abs(F.col("kt") - F.col("below")))) - F.lit(float(np.log(2)))
+    for d in range(depth - 2, -1, -1):
         suffix = F.col("ctx").bitwiseAND((1 << (8 * d)) - 1)
         up = tables[-1].select(suffix.alias("ctx"), "node", "n0", "n1", mine.alias("w")).groupBy("ctx", "node").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("w").alias("below"))
-        tables.append(materialise(up.withColumn("kt", log_kt(F.col("n0"), F.col("n1"))), "ctw"))
+        tables.append(materialise(up.withColumn("kt", kt), "ctw"))
     return tables
 
 
 def mixture(tables: list[DataFrame]) -> DataFrame:
-    """ctx, node, p1: the mixed probability of a one at every full context.
+    """ctx, node, sure, open, p1 one level above full depth.
 
-    Going down, `sure` is what shallower contexts contribute and `open` the weight they leave; a context without
-    training data changes nothing.
+    Going down, `sure` is what the contexts so far contribute to the probability of a one, `open` the weight they
+    leave to deeper ones, and p1 the probability if none is deeper. Without training data nothing changes.
     """
     estimate = (F.col("n1") + 0.5) / (F.col("n0") + F.col("n1") + 1.0)
     share = F.lit(1.0) / (1.0 + F.exp(F.col("below") - F.col("kt")))
-    depth = len(tables) - 1
-    state = tables[-1].select("ctx", "node", F.lit(0.0).alias("sure"), F.lit(1.0).alias("open"), estimate.alias("here"), share.alias("share"))
-    for d in range(1, depth + 1):
-        parent = state.select(F.col("ctx").alias("up"), "node", "sure", "open", "here", "share")
-        child = tables[depth - d].withColumn("up", F.col("ctx").bitwiseAND((1 << (8 * (d - 1))) - 1)).withColumn("new", estimate).withColumn("new_share", share)
-        seen = (F.col("n0") + F.col("n1")) > 0
+    root = tables[-1].select("ctx", "node", estimate.alias("p1"), share.alias("share"))
+    state = root.select("ctx", "node", (F.col("share") * F.col("p1")).alias("sure"), (1 - F.col("share")).alias("open"), "p1")
+    for d in range(1, len(tables)):
+        parent = state.select(F.col("ctx").alias("up"), "node", "sure", "open", "p1")
+        child = tables[len(tables) - 1 - d].select("ctx", "node", F.col("ctx").bitwiseAND((1 << (8 * (d - 1))) - 1).alias("up"), F.when((F.col("n0") + F.col("n1")) > 0, F.struct(estimate.alias("e"), share.alias("s"))).alias("x"))
+        seen, e, s = F.col("x").isNotNull(), F.col("x.e"), F.col("x.s")
         state = child.join(parent, ["up", "node"]).select(
             "ctx",
             "node",
-            F.when(seen, F.col("sure") + F.col("open") * F.col("share") * F.col("here")).otherwise(F.col("sure")).alias("sure"),
-            F.when(seen, F.col("open") * (1 - F.col("share"))).otherwise(F.col("open")).alias("open"),
-            F.when(seen, F.col("new")).otherwise(F.col("here")).alias("here"),
-            F.when(seen, F.col("new_share")).otherwise(F.col("share")).alias("share"),
+            F.when(seen, F.col("sure") + F.col("open") * s * e).otherwise(F.col("sure")).alias("sure"),
+            F.when(seen, F.col("open") * (1 - s)).otherwise(F.col("open")).alias("open"),
+            F.when(seen, F.col("sure") + F.col("open") * e).otherwise(F.col("p1")).alias("p1"),
         )
-    return state.select("ctx", "node", (F.col("sure") + F.col("open") * F.col("here")).alias("p1"))
+    return state
+
 
+def byte_costs(grams: DataFrame, mixed: DataFrame, depth: int) -> DataFrame:
+    """key, value: log10 probability of the byte after its context, at full depth where training texts have it."""
+    up = F.shiftright("key", 8).bitwiseAND((1 << (8 * (depth - 1))) - 1)
+    none = F.lit(None).cast("double")
+    g = grams.select(up.alias("up"), F.lit(1).cast("tinyint").alias("side"), "key", "n", none.alias("sure"), none.alias("open"), none.alias("p1"))
+    m = mixed.select(F.col("ctx").alias("up"), F.lit(0).cast("tinyint").alias("side"), F.shiftleft("ctx", 8).bitwiseOR(F.col("node").cast("long")).alias("key"), F.lit(0).cast("long").alias("n"), "sure", "open", "p1")
+    met = g.unionByName(m).repartition("up").sortWithinPartitions("up", "side", "key")
 
-def byte_costs(grams: DataFrame, mixed: DataFrame) -> DataFrame:
-    """key, value: log10 probability of the byte after its context."""
-    byte = F.col("key").bitwiseAND(255).cast("int")
-    each = F.array(*[F.struct((F.lit(1 << k) + F.shiftright(byte, 8 - k)).alias("node"), F.shiftright(byte, 7 - k).bitwiseAND(1).alias("bit")) for k in range(8)])
-    rows = grams.select("key", F.shiftright("key", 8).alias("ctx"), F.explode(each).alias("d")).select("key", "ctx", "d.node", "d.bit")
-    p = F.when(F.col("bit") == 1, F.col("p1")).otherwise(1 - F.col("p1"))
-    return rows.join(mixed, ["ctx", "node"]).groupBy("key").agg(F.sum(F.log10(p)).alias("value"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches):
+            side, key, n = (table.column(k).to_numpy() for k in (1, 2, 3))
+            above, gram = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+            if not len(gram):
+                continue
+            key, n, parent = key[gram], n[gram], key[above]
+            order = np.argsort(parent)
+            sure, open_, p1 = (table.column(k).to_numpy()[above][order] for k in (4, 5, 6))
+            ids, zeros, ones, where, bit = tallied(key, n)
+            at = np.searchsorted(parent[order], ids & ((1 << (8 * depth)) - 1))
+            p = np.where(zeros + ones > 0, sure[at] + open_[at] * (ones + 0.5) / (zeros + ones + 1), p1[at])
+            taken = np.where(bit == 1, p[where], 1 - p[where])
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.log10(taken).sum(axis=1))], names=["key", "value"])
+
+    return met.mapInArrow(run, "key long, value double")
 
 
 def score_blocks(rows: DataFrame, answers: DataFrame, parts: int, depth: int) -> DataFrame:
@@ -219,7 +304,7 @@ def score_blocks(rows: DataFrame, answers: DataFrame, parts: int, depth: int) ->
                         order = np.argsort(cols[0])
                         tables[k] = [c[order] for c in cols]
                         found[k] = []
-                for i, j, data, offsets in text_slices(piece.column(7)):
+                for i, j, data, offsets in text_slices(piece.column(7), PIECE):
                     keys, first = keys_of(data, offsets, depth)
                     table = tables[0]
                     at = np.searchsorted(table[0], keys)
@@ -257,10 +342,10 @@ def score(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", folds:
     words = materialise(counted.where("part = 1").groupBy("key").agg(F.sum("n").alias("n")), "vocabulary")
     total = words.agg(F.sum("n").alias("N"), F.sum((F.col("n") > 0).cast("long")).alias("V")).first()
     n, v = total.N or 0, total.V or 0
-    tables = weights(decisions(grams), depth)
-    costs = materialise(byte_costs(grams.select("key"), mixture(tables)), "costs")
-    for t in [*tables, grams]:
-        drop_table(t)
+    tables = weights(grams, depth)
+    costs = materialise(byte_costs(grams, mixture(tables), depth), "costs")
+    for done in [*tables, grams]:
+        drop_table(done)
     token = F.log10((F.col("n") + 1.0) / F.lit(float(n + v + 1)))
     model = costs.select(F.lit(0).cast("tinyint").alias("part"), "key", "value", F.lit(True).alias("known")).unionByName(words.select(F.lit(1).cast("tinyint").alias("part"), "key", token.alias("value"), (F.col("n") > 0).alias("known")))
     answers = wanted.join(model, ["part", "key"])

@@ -165,7 +165,7 @@ def container_scores(found: list[tuple]) -> dict[str, float]:
         for up, k in enumerate(range(len(steps), 0, -1)):
             path = " ".join(steps[:k])
             name = steps[k - 1]
-            prior = 1.5 if name.split(".")[0].split("#")[0] in ("article", "main") else 1.2 if CONTENT.search(name.replace(".", " ").replace("#", " ")) else 0.9 if name in ("body", "html") else 1.0
+            prior = 0.9 if name in ("body", "html") else 1.5 if name.split(".")[0].split("#")[0] in ("article", "main") else 1.2 if CONTENT.search(name.replace(".", " ").replace("#", " ")) else 1.0
             scores[path] = scores.get(path, 0.0) + worth * prior * 0.8**up
     return scores
 
