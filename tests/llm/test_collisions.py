@@ -18,16 +18,16 @@ def brute(rows, cosine=0.98):
         x = np.array([u for _, u in members])
         for a, b in zip(*np.nonzero(np.triu(x @ x.T >= cosine - 1e-15, 1)), strict=True):
             links[ids[a]].add(ids[b]), links[ids[b]].add(ids[a])
-    least, out = {}, []
+    least = {}
     for n in links:
+        if n in least:
+            continue
         seen, stack = {n}, [n]
         while stack:
-            for m in links[stack.pop()]:
-                if m not in seen:
-                    seen.add(m), stack.append(m)
-        least[n] = min(rows[m][0] for m in seen)
-        out.append((rows[n][0], len(links[n]), least[n], rows[n][0] == least[n]))
-    return sorted(out)
+            for m in links[stack.pop()] - seen:
+                seen.add(m), stack.append(m)
+        least |= dict.fromkeys(seen, min(rows[m][0] for m in seen))
+    return sorted((rows[n][0], len(links[n]), least[n], rows[n][0] == least[n]) for n in links)
 
 
 def check(df):
