@@ -27,7 +27,7 @@ arcs AS (SELECT m1 AS src, m2 AS dst, count(*) AS n, arg_min(struct_pack(file :=
 REACH = ", reach(a, b) AS (SELECT src, dst FROM arcs UNION SELECT reach.a, arcs.dst FROM reach JOIN arcs ON reach.b = arcs.src), scc AS (SELECT r.a AS node, least(min(r.b), r.a) AS component FROM reach r JOIN reach q ON r.a = q.b AND r.b = q.a WHERE r.a <> r.b GROUP BY r.a)"
 SUPPLY = """fnodes AS (SELECT 'customer:' || c_custkey AS id, 'customer' AS kind FROM customer UNION ALL SELECT 'nation:' || n_nationkey, 'nation' FROM nation UNION ALL SELECT 'region:' || r_regionkey, 'region' FROM region UNION ALL SELECT 'supplier:' || s_suppkey, 'supplier' FROM supplier),
 fedges AS (SELECT 'customer:' || c_custkey AS src, 'nation:' || c_nationkey AS dst, 'lives' AS kind FROM customer UNION ALL SELECT 'supplier:' || s_suppkey, 'nation:' || s_nationkey, 'lives' FROM supplier
-UNION ALL SELECT 'nation:' || n_nationkey, 'region:' || n_regionkey, 'within' FROM nation UNION ALL SELECT 'order:' || o_orderkey, 'customer:' || o_custkey, 'placed' FROM orders WHERE o_orderkey % 50 = 0)"""
+UNION ALL SELECT 'nation:' || n_nationkey, 'region:' || n_regionkey, 'within' FROM nation UNION ALL SELECT 'order:' || o_orderkey, 'customer:' || o_custkey, 'placed' FROM orders)"""
 REFS = """s AS (SELECT p_partkey AS occ_id, p_brand || '::' || p_name AS qualified, p_name AS simple FROM part WHERE p_size <= 4),
 r AS (SELECT DISTINCT l_suppkey AS ref_id, CASE WHEN l_orderkey % 7 = 0 THEN 'zz::nope' WHEN l_orderkey % 5 = 0 THEN 'bogus::' || p_name ELSE p_brand || '::' || p_name END AS name FROM lineitem JOIN part ON l_partkey = p_partkey),
 m AS (SELECT n.name, occ_id, 0 AS tier FROM (SELECT DISTINCT name FROM r) n JOIN s ON s.qualified = n.name UNION ALL SELECT n.name, occ_id, 1 FROM (SELECT DISTINCT name FROM r) n JOIN s ON s.simple = split_part(n.name, '::', -1)),
@@ -452,18 +452,19 @@ def include_scan(spark, d):
     return table(spark, d, "pages").select("page_id", F.explode(F.array_distinct(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1)))).alias("target"))
 
 
-@query("WITH o AS (SELECT doc_id, n_chars FROM documents WHERE doc_id % 5 <> 0), n AS (SELECT doc_id, n_chars + CASE WHEN doc_id % 7 = 0 THEN 1 ELSE 0 END AS n_chars FROM documents WHERE doc_id % 3 <> 0) SELECT coalesce(o.doc_id, n.doc_id) AS id, CASE WHEN o.doc_id IS NULL THEN 'added' WHEN n.doc_id IS NULL THEN 'removed' ELSE 'changed' END AS change FROM o FULL JOIN n ON o.doc_id = n.doc_id WHERE o.doc_id IS NULL OR n.doc_id IS NULL OR o.n_chars <> n.n_chars")
+@query("WITH o AS (SELECT o_custkey AS id, count(*) AS size FROM orders GROUP BY o_custkey), n AS (SELECT user_id AS id, count(*) AS size FROM events GROUP BY user_id) SELECT coalesce(o.id, n.id) AS id, CASE WHEN o.id IS NULL THEN 'added' WHEN n.id IS NULL THEN 'removed' ELSE 'changed' END AS change FROM o FULL JOIN n ON o.id = n.id WHERE o.id IS NULL OR n.id IS NULL OR o.size <> n.size")
 def changed_files(spark, d):
+    """The customers of `orders` as the snapshot before, the users of `events` as the one after."""
     from codeatlas.streaming.incremental import changes
 
-    t = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("n_chars").alias("size"))
-    return changes(t.where("id % 5 <> 0"), t.where("id % 3 <> 0").withColumn("size", F.col("size") + F.when(F.col("id") % 7 == 0, 1).otherwise(0)), ["size"])
+    sizes = lambda name, key: table(spark, d, name).groupBy(F.col(key).alias("id")).agg(F.count("*").alias("size"))
+    return changes(sizes("orders", "o_custkey"), sizes("events", "user_id"), ["size"])
 
 
-@query("SELECT doc_id AS id FROM documents WHERE doc_id % 5 <> 0 AND doc_id % 3 = 0")
+@query("SELECT doc_id AS id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)")
 def alive_diff(spark, d):
-    t = table(spark, d, "documents").select(F.col("doc_id").alias("id"))
-    return t.where("id % 5 <> 0").join(t.where("id % 3 <> 0"), "id", "left_anti")
+    """Ids of the snapshot before (`documents`) that the one after (`labels`) no longer has."""
+    return table(spark, d, "documents").select(F.col("doc_id").alias("id")).join(table(spark, d, "labels").select(F.col("doc_id").alias("id")), "id", "left_anti")
 
 
 @query("""WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER w < INTERVAL 600 SECONDS THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS burst FROM g)
