@@ -277,6 +277,14 @@ def byte_costs(grams: DataFrame, mixed: DataFrame, depth: int) -> DataFrame:
     return met.mapInArrow(run, "key long, value double")
 
 
+def places(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """np.searchsorted, with the keys taken in their order, so that neighbouring look-ups touch the same memory."""
+    order = np.argsort(keys)
+    at = np.empty(len(keys), dtype=np.int64)
+    at[order] = np.searchsorted(table, keys[order])
+    return at
+
+
 def score_blocks(rows: DataFrame, answers: DataFrame, parts: int, depth: int) -> DataFrame:
     """Texts meet the answers of their block: sorted, so a task holds one block's answers and one batch of texts."""
     doc_type = rows.schema["doc_id"].dataType.simpleString()
@@ -307,15 +315,16 @@ def score_blocks(rows: DataFrame, answers: DataFrame, parts: int, depth: int) ->
                 for i, j, data, offsets in text_slices(piece.column(7), PIECE):
                     keys, first = keys_of(data, offsets, depth)
                     table = tables[0]
-                    at = np.searchsorted(table[0], keys)
+                    at = places(table[0], keys)
                     if at.max(initial=-1) >= len(table[0]) or (table[0][at] != keys).any():
                         raise RuntimeError("a block has n-grams that were not counted: the scan was cut differently")
                     sums = np.concatenate([[0.0], np.cumsum(table[1][at])])
                     score = sums[first[1:]] - sums[first[:-1]]
                     words, begin = word_hashes(data, offsets)
                     table = tables[1]
-                    sums = np.concatenate([[0.0], np.cumsum(table[1][np.searchsorted(table[0], words.view(np.int64))])])
-                    seen = np.concatenate([[0], np.cumsum(table[2][np.searchsorted(table[0], words.view(np.int64))])])
+                    at = places(table[0], words.view(np.int64))
+                    sums = np.concatenate([[0.0], np.cumsum(table[1][at])])
+                    seen = np.concatenate([[0], np.cumsum(table[2][at])])
                     end = np.searchsorted(table[0], END.view(np.int64))
                     size = np.diff(begin) + 1
                     base = sums[begin[1:]] - sums[begin[:-1]] + table[1][end]
