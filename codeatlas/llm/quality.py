@@ -128,7 +128,7 @@ def fit(x: np.ndarray, y: np.ndarray) -> Forest:
     trees: list[tuple] = []
     start = float(np.log(share / (1 - share))) if 0 < share < 1 else (0.0 if not len(y) else 30.0 * (2 * share - 1))
     inner = (1 << LEAVES_DEPTH) - 1
-    if 0 < share < 1:
+    if len(y) and 0 < share < 1:
         cuts = [np.unique(np.quantile(x[:, k], np.linspace(0, 1, BINS + 1)[1:-1], method="lower")) for k in range(x.shape[1])]
         binned = np.column_stack([np.searchsorted(c, x[:, k]) for k, c in enumerate(cuts)])
         flat = binned + np.arange(x.shape[1]) * BINS
