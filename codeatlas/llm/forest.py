@@ -6,7 +6,9 @@ share the first values form a region, and within it the nearest neighbours in th
 longest common prefix, so dense regions are read at greater depth than sparse ones. Neighbours whose signatures
 agree become candidates; each is confirmed on the full shingle sets. Rounds repeat on what is still apart:
 classes already joined collapse into runs, which brings other components side by side, until a round joins
-nothing. A region is never gathered: tasks read ranges of the sorted order.
+nothing. These rounds only make components large early. A last pass then compares every two classes of a region
+that are still in different components, all members of each, in pairs of blocks, so nothing hangs on the order.
+A region is never gathered: tasks read ranges of the sorted order, or two blocks.
 
 Null, empty and blank texts have no shingles and link with nothing. Exact copies and repeated rows share a
 class. A null id never becomes a component id while the component has another; extra columns are ignored.
@@ -30,6 +32,8 @@ TREES, STRIDE, DEPTH = 12, 5, 10
 VALUES = (TREES - 1) * STRIDE + DEPTH
 #: Neighbours read on each side of the sorted order in a round.
 REACH = 6
+#: Classes in a block of the last pass, about.
+BLOCK = 256
 #: A pair at the similarity threshold is missed by all trees, or by the signature test, this rarely at most.
 MISS = 3e-4
 _rng = np.random.default_rng(7)
@@ -123,7 +127,7 @@ def neighbours(rows: DataFrame, depth: int, agreement: int, best_only: bool) ->
             cid = np.array(batch.column(2).to_pylist(), dtype=object)
             low = np.frombuffer(b"".join(batch.column(3).to_pylist()), dtype=np.uint8).reshape(n, VALUES)
             root = np.array(batch.column(4).to_pylist(), dtype=object)
-            # inside a run of one component only its first and last rows can have other neighbours
+            # a run of one component shows its first and last rows alone; `finish` compares the inner ones
             same = (root[1:] == root[:-1]) & (tree[1:] == tree[:-1])
             inner = np.zeros(n, dtype=bool)
             inner[1:-1] = same[1:].astype(bool) & same[:-1].astype(bool)
@@ -191,26 +195,176 @@ def picked(pairs: DataFrame, labels: DataFrame | None, first: bool) -> DataFrame
     return chosen.select(F.explode(F.array(*[F.struct(F.col(f"{c}.a").alias("a"), F.col(f"{c}.b").alias("b")) for c in "xyz"])).alias("p")).select("p.*").distinct()
 
 
+def region_blocks(marked: DataFrame, depth: int) -> DataFrame:
+    """tree, region, lo, hi, mine, cid, root: each class once for every two blocks of its region that it is part of.
+
+    Blocks of a component with more than BLOCK classes in a region hold it alone and don't meet each other; all
+    other classes of the region share blocks. Regions of one component are left out.
+    """
+    region = F.xxhash64("tree", F.substring("key", 1, depth * 4))
+    rows = marked.select("tree", region.alias("region"), "cid", "root")
+    sizes = rows.groupBy("region", "root").agg(F.count("*").alias("n"))
+    parts = lambda n: F.ceil(n / F.lit(BLOCK)).cast("int")
+    big = F.col("n") > BLOCK
+    plan = sizes.groupBy("region").agg(
+        F.min("root").alias("x"), F.max("root").alias("y"), parts(F.coalesce(F.sum(F.when(~big, F.col("n"))), F.lit(0))).alias("small"),
+        F.collect_list(F.when(big, F.struct("root", parts(F.col("n")).alias("n")))).alias("big"),
+    ).where("x <> y").drop("x", "y")
+    plan = sided(materialise(plan, "blocks"))
+    block = lambda root, i: F.xxhash64(root, i)
+    count = lambda n: F.sequence(F.lit(0), n - 1)
+    shared = F.when(F.col("small") > 0, F.transform(count(F.col("small")), lambda i: i.cast("long"))).otherwise(F.array().cast("array<long>"))
+    others = F.filter("big", lambda b: b["root"] != F.col("root"))
+    alone = F.flatten(F.transform(others, lambda b: F.transform(count(b["n"]), lambda i: block(b["root"], i))))
+    own = F.get(F.filter("big", lambda b: b["root"] == F.col("root")), F.lit(0))["n"]
+    salt = F.xxhash64(F.lit("block"), "cid")
+    mine = F.when(own.isNotNull(), block(F.col("root"), F.pmod(salt, own).cast("int"))).otherwise(F.pmod(salt, F.col("small")))
+    met = rows.join(plan, "region").select("tree", "region", "cid", "root", mine.alias("mine"), F.explode(F.concat(shared, alone)).alias("other"))
+    return met.select("tree", "region", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), "mine", "cid", "root")
+
+
+def agreeing(tree: int, depth: int, agreement: int, sig: np.ndarray, root: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the pairs of x and y in different components whose signatures agree and which no earlier tree compares."""
+    left, right = [], []
+    whole = x is y
+    for at, i in enumerate(x):
+        js = y[at + 1 :] if whole else y
+        js = js[root[js] != root[i]]
+        same = sig[js] == sig[i]
+        enough = same.sum(axis=1) >= agreement
+        if not enough.any():
+            continue
+        js, same = js[enough], same[enough]
+        # a region is a hash of the prefix
+        ok = same[:, STRIDE * tree : STRIDE * tree + depth].all(axis=1)
+        for t in range(tree):
+            ok &= ~same[:, STRIDE * t : STRIDE * t + depth].all(axis=1)
+        js = js[ok]
+        left.append(np.full(len(js), i)), right.append(js)
+    none = np.zeros(0, dtype=np.int64)
+    return np.concatenate([none, *left]), np.concatenate([none, *right])
+
+
+def overlaps(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of sets i and j: pair by pair, or where pairs are many by products of incidences."""
+    rows, cols = np.unique(i), np.unique(j)
+    if len(i) <= 4 * (len(rows) + len(cols)):
+        return np.array([len(np.intersect1d(sets[a], sets[b], assume_unique=True)) for a, b in zip(i, j, strict=True)], dtype=np.int64)
+    flat = [(np.repeat(np.arange(len(g)), [len(sets[k]) for k in g]), np.concatenate([sets[k] for k in g])) for g in (rows, cols)]
+    common = np.intersect1d(flat[0][1], flat[1][1])
+    out = np.zeros((len(rows), len(cols)), dtype=np.int64)
+    for at in range(0, len(common), 4096):
+        part = common[at : at + 4096]
+        sides = []
+        for g, (row, value) in zip((rows, cols), flat, strict=True):
+            place = np.minimum(np.searchsorted(part, value), len(part) - 1)
+            hit = part[place] == value
+            side = np.zeros((len(g), len(part)), dtype=np.float32)
+            side[row[hit], place[hit]] = 1
+            sides.append(side)
+        out += (sides[0] @ sides[1].T).astype(np.int64)
+    return out[np.searchsorted(rows, i), np.searchsorted(cols, j)]
+
+
+def groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
+    """The runs of rows with equal first columns of sorted batches."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key = np.stack([batch.column(c).to_numpy() for c in range(keys)])
+        cuts = [0, *(np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            now = tuple(key[:, a])
+            if held and now != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+            last = now
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def finish(marked: DataFrame, texts: DataFrame, depth: int, agreement: int, k: int, num: int, den: int) -> DataFrame:
+    """u, v: links that join all components with a pair of classes that share a region, agree and are similar.
+
+    Signatures alone tell first which classes have a pair; only these bring their texts.
+    """
+    keys = ["region", "lo", "hi"]
+    kind = "region long, lo long, hi long, tree int, mine long, cid binary, root binary"
+
+    def pairs_of(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        sig = np.frombuffer(b"".join(group["sig"].to_pylist()), dtype=np.uint32).reshape(-1, VALUES)
+        root = np.unique(np.array(group["root"].to_pylist(), dtype=object), return_inverse=True)[1]
+        mine = group["mine"].to_numpy()
+        lo, hi = group["lo"][0].as_py(), group["hi"][0].as_py()
+        x = np.flatnonzero(mine == lo)
+        return agreeing(group["tree"][0].as_py(), depth, agreement, sig, root, x, x if lo == hi else np.flatnonzero(mine == hi))
+
+    def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in groups(batches, len(keys)):
+            i, j = pairs_of(group)
+            if len(i):
+                yield from group.drop_columns(["sig"]).take(pa.array(np.union1d(i, j))).combine_chunks().to_batches()
+
+    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in groups(batches, len(keys)):
+            i, j = pairs_of(group)
+            sets = [s for chunk in group["text"].chunks for _, _, data, offsets in text_slices(chunk) for s in shingle_sets(data, offsets, k)]
+            size = np.array([len(s) for s in sets])
+            # sets of too different sizes can't be similar
+            fits = den * np.minimum(size[i], size[j]) >= num * np.maximum(size[i], size[j])
+            i, j = i[fits], j[fits]
+            both = overlaps(sets, i, j)
+            good = den * both >= num * (size[i] + size[j] - both)
+            cid = group["cid"].to_pylist()
+            up = {}
+            u, v = [], []
+            # links that close a circle tell nothing new
+            for a, b in zip(i[good].tolist(), j[good].tolist(), strict=True):
+                p, q = a, b
+                while p in up:
+                    p = up[p]
+                while q in up:
+                    q = up[q]
+                if p != q:
+                    up[p] = q
+                    u.append(cid[a]), v.append(cid[b])
+            if u:
+                yield pa.RecordBatch.from_arrays([pa.array(u, pa.binary()), pa.array(v, pa.binary())], names=["u", "v"])
+
+    named = [c.split()[0] for c in kind.split(", ")]
+    dealt = lambda df, extra: df.select(*named, extra).repartition(*keys).sortWithinPartitions(*keys)
+    met = region_blocks(marked, depth)
+    near = materialise(dealt(met.join(texts.select("cid", "sig"), "cid"), "sig").mapInArrow(some, kind), "near")
+    full = near.join(texts, "cid").select(*named, "sig", "text").repartition(*keys).sortWithinPartitions(*keys)
+    return full.mapInArrow(links, "u binary, v binary")
+
+
 def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k: int = 5, num: int = 80, den: int = 100, most_rounds: int = 12) -> DataFrame:
     """doc_id, md5, n_shingles, component (class id or null), component_id, kept for every row of docs.
 
-    Texts link when den * |A and B| >= num * |A or B| over their distinct k-word shingles.
+    Texts link when den * |A and B| >= num * |A or B| over their distinct k-word shingles. most_rounds bounds the
+    quick rounds alone; the last pass compares whatever they leave.
     """
     depth, agreement = least_depth(num / den), least_agreement(num / den)
     rows = materialise(signatures(docs, doc_id, text, k), "signatures")
     worded = rows.where(F.col("cid").isNotNull())
     classes = worded.groupBy("cid").agg(F.min("doc_id").alias("first_id"), F.min("md5").alias("md5"), F.min("sig").alias("sig"))
     trees = materialise(forest(classes.select("cid", "sig"), depth), "forest")
-    needed = trees.select("cid").distinct().join(classes.select("cid", "md5"), "cid")
+    needed = trees.select("cid").distinct().join(classes.select("cid", "md5", "sig"), "cid")
     keyed = docs.select(F.unhex(F.md5(F.col(text).cast("binary"))).alias("md5"), F.col(text).alias("text"))
-    texts = materialise(keyed.join(sided(materialise(needed, "needed")), "md5").dropDuplicates(["cid"]).select("cid", "text"), "texts")
+    texts = materialise(keyed.join(sided(materialise(needed, "needed")), "md5").dropDuplicates(["cid"]).select("cid", "sig", "text"), "texts")
     tried, labels = None, None
-    for turn in range(most_rounds):
+
+    def marked() -> DataFrame:
         if labels is None:
-            marked = trees.withColumn("root", F.col("cid"))
-        else:
-            marked = trees.join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
-        pairs = picked(neighbours(marked, depth, agreement, turn == 0), labels, turn == 0)
+            return trees.withColumn("root", F.col("cid"))
+        return trees.join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
+
+    for turn in range(most_rounds):
+        pairs = picked(neighbours(marked(), depth, agreement, turn == 0), labels, turn == 0)
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = materialise(pairs, "pairs")
@@ -221,6 +375,9 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
             labels = extended(labels, good.select("u", "v"))
         elif turn:
             break
+    rest = materialise(finish(marked(), texts, depth, agreement, k, num, den), "rest")
+    if rest.count():
+        labels = extended(labels, rest)
     drop_table(texts)
     if labels is None:
         named = classes.select("cid", F.col("cid").alias("component"), F.col("first_id").alias("component_id"))

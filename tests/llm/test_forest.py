@@ -60,3 +60,17 @@ def test_a_dense_region_is_joined_whole(spark):
     rows = [(n, " ".join(base[: n % 150 + 10] + [f"x{n}"] + base[n % 150 + 11 :])) for n in range(400)]
     docs = spark.createDataFrame([*rows, (1000, "short text"), (1001, "Short  text"), (1002, "short texts")], "doc_id long, text string")
     check(docs, 3, 85, 100)
+
+
+def with_own_words(n, places):
+    """A text of 120 words that all share, but at some places its own."""
+    return [f"own{n}x{i}" if i in places else f"w{i}" for i in range(120)]
+
+
+def test_copies_among_many_texts_of_one_template_are_found(spark):
+    # any two texts have similarity 112 / 126, under the threshold; text and copy 113 / 125, above it
+    rows = [(n, with_own_words(n, range(30, 36))) for n in range(1500)]
+    copies = [(10_000 + n, [f"copy{n}" if i in (10, 60, 100) else w for i, w in enumerate(words)]) for n, words in rows[::50]]
+    docs = spark.createDataFrame([(n, " ".join(words)) for n, words in rows + copies], "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.component_id for r in forest.near_duplicates(docs, k=2, num=90, den=100).collect()}
+    assert got == {n: n % 10_000 for n, _ in rows + copies}
