@@ -74,3 +74,12 @@ def test_copies_among_many_texts_of_one_template_are_found(spark):
     docs = spark.createDataFrame([(n, " ".join(words)) for n, words in rows + copies], "doc_id long, text string").repartition(4)
     got = {r.doc_id: r.component_id for r in forest.near_duplicates(docs, k=2, num=90, den=100).collect()}
     assert got == {n: n % 10_000 for n, _ in rows + copies}
+
+
+def test_texts_near_only_an_inner_member_of_a_group_are_joined(spark):
+    # the texts of the group have similarity 115 / 123; each other text 113 / 125 with one of them, 109 / 129 with the rest
+    group = [(n, with_own_words(n, range(30, 33))) for n in range(700)]
+    others = [(10_000 + n, [f"other{n}" if i in (10, 60, 100) else w for i, w in enumerate(words)]) for n, words in group[::20]]
+    docs = spark.createDataFrame([(n, " ".join(words)) for n, words in group + others], "doc_id long, text string").repartition(4)
+    got = forest.near_duplicates(docs, k=2, num=90, den=100).collect()
+    assert len(got) == 735 and {r.component_id for r in got} == {0}
