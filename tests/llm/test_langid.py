@@ -28,3 +28,23 @@ def test_labels_of_held_out_rows_are_never_read(spark, odd_docs):
 
     hidden = odd_docs.withColumn("lang", F.when(fold("doc_id", 4) == 2, F.lit("xx")).otherwise(F.col("lang")))
     assert [tuple(r) for r in langid.identify(hidden).collect()] == [tuple(r) for r in langid.identify(odd_docs).collect()]
+
+
+def test_a_rare_language_with_one_short_row_leaves_the_others_alone(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from codeatlas.llm.common import fold
+
+    docs = table(spark, sf_dir.replace("0.001", "0.01"), "documents").select("doc_id", "text", "lang")
+    free = [n for n in range(-1, -40, -1) if spark.range(1).select(fold(F.lit(n), 4)).first()[0] != 2][:2]
+    rare = spark.createDataFrame([(free[0], "12 34 !", "aa"), (free[1], "kurz mal", "ab")], docs.schema)
+    alone = {r.doc_id: tuple(r) for r in langid.identify(docs).collect()}
+    got = {r.doc_id: tuple(r) for r in langid.identify(docs.union(rare)).collect()}
+    assert {n: r for n, r in got.items() if n in alone} == alone
+
+
+def test_long_training_texts_are_sampled_to_their_end(spark):
+    text = "a" * 5000 + "b" * 5000 + "c" * 5000
+    docs = spark.createDataFrame([(n, text, "en") for n in range(8)], "doc_id long, text string, lang string")
+    rows = langid.sample(docs, "doc_id", "text", "lang", 4, 2)["en"]
+    assert rows and all({*"abc"} <= {*r.decode()} and r.endswith(b"c") and len(r) <= langid.SAMPLE_CHARS + langid.PIECES for r in rows)
