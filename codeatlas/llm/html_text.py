@@ -4,7 +4,8 @@ Every page is cut into blocks of text, each with the generalised tag-class paths
 scores its containers by the text outside links that they hold directly or in paragraphs, and votes for the
 best; Spark sums the votes by host and path. Pages are then cut again, and the winning path of the host that a
 page contains is taken whole, with boilerplate inside it left out. A page without any winning path takes its
-own best container.
+own best container. Text that stands directly in a container around the chosen one goes with it. A page of links
+takes the winning path of its host, else all its blocks but boilerplate.
 
 Null and empty pages, and pages without blocks, give an empty text. The host of a null url is the empty string.
 Repeated rows vote as often as they occur. Nothing is capped: a page of any length is read to its end.
@@ -176,8 +177,11 @@ def best_of(scores: dict[str, float]) -> str | None:
 
 
 def text_under(found: list[tuple], path: str) -> str:
+    """The blocks in a container, and those of worth that stand directly in the containers around it."""
     steps = tuple(path.split(" "))
-    return " ".join(text for s, text, _, chrome in found if s[: len(steps)] == steps and not chrome)
+    around = lambda s, text, linked: len(s) < len(steps) and s == steps[: len(s)] and len(text) > 2 * linked
+    return " ".join(text for s, text, linked, chrome in found if not chrome and (s[: len(steps)] == steps or around(s, text, linked)))
+
 
 
 def host_of(url: str) -> Column:
@@ -225,8 +229,8 @@ def extract(pages: DataFrame, *, page_id: str = "page_id", url: str = "url", htm
             for page, paths in zip(batch.column(2), batch.column(3).to_pylist(), strict=True):
                 found = blocks(page.as_py() or "")
                 scores = container_scores(found)
-                path = next((p for p in paths or [] if scores.get(p, 0) > 0), None) or best_of(scores)
-                texts.append(text_under(found, path) if path else " ".join(t for s, t, _, chrome in found if not chrome and not s))
+                path = next((p for p in paths or [] if scores.get(p, 0) > 0), None) or best_of(scores) or next((p for p in paths or [] if p in scores), None)
+                texts.append(text_under(found, path) if path else " ".join(t for _, t, _, chrome in found if not chrome))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     kinds = {c: named.schema[c].dataType.simpleString() for c in ("page_id", "url")}

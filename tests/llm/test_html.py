@@ -44,3 +44,14 @@ def test_odd_rows(spark):
     assert got[1, None] == got[2, ""] == got[6, "http://d"] == ""
     assert got[3, "x"] == "plain text only" and got[4, "http://a"] == "one two" and got[None, "http://b"] == "deep"
     assert html_text.extract(df.limit(0)).count() == 0
+
+
+def test_pages_of_links_and_leads_beside_the_container_keep_their_text(spark):
+    item = lambda n: f"<p><a href=/{n}>link number {n}</a></p>"
+    rows = [
+        (1, "http://l", f"<html><body><div>{item(1)}{item(2)}</div><nav><a href=/>home</a></nav></body></html>"),
+        (2, "http://m", f"<html><body><p>The lead.</p><div><p>{'long text ' * 50}</p></div></body></html>"),
+    ]
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[1] == "link number 1 link number 2"
+    assert got[2] == "The lead. " + ("long text " * 50).strip()
