@@ -1,35 +1,93 @@
-"""Tables in the shared folder, which cut the lineage of iterative plans."""
+"""Tables in the shared folder, which cut the lineage of iterative plans, and joins with small or hot sides."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows up to which a look-up table is sent to every executor; beyond it its joins shuffle.
-LOOKUP_ROWS = 100_000
+#: Rows and bytes up to which a look-up table is sent to every executor; beyond either its joins shuffle.
+LOOKUP_ROWS, LOOKUP_BYTES = 100_000, 32 << 20
+#: Parts into which a hot key is dealt where both sides of a look-up shuffle.
+SALTS = 32
+PREFIX = "codeatlas-"
 
 
 def shared_dir(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, which every executor sees; one of our own only in local mode."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="codeatlas-"))
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix=PREFIX))
         path = spark.sparkContext.getCheckpointDir()
     return path.rstrip("/")
 
 
 def settle(df: DataFrame, tag: str = "level") -> DataFrame:
-    """df, written to the shared folder and read back."""
-    path = f"{shared_dir(df.sparkSession)}/graph-{tag}-{uuid.uuid4().hex}"
+    """df, written to the shared folder and read back: cuts lineage and survives lost executors."""
+    path = f"{shared_dir(df.sparkSession)}/{PREFIX}{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop_table(df: DataFrame) -> None:
+    """Deletes the files of a settled table that nothing will read again."""
+    spark = df.sparkSession
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for parent in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if f"/{PREFIX}" in parent:
+            path = jvm.org.apache.hadoop.fs.Path(parent)
+            path.getFileSystem(conf).delete(path, True)
+
+
+def _width(df: DataFrame) -> Column:
+    """About the bytes of a row."""
+    fixed, parts = 0, []
+    for field in df.schema:
+        kind = field.dataType.typeName()
+        name = f"`{field.name}`"
+        if kind in ("string", "binary"):
+            parts.append(F.coalesce(F.octet_length(name), F.lit(0)))
+        elif kind in ("array", "map", "struct"):
+            parts.append(F.coalesce(F.octet_length(F.to_json(F.struct(name))), F.lit(0)))
+        fixed += 8
+    return sum(parts, F.lit(fixed)).cast("long")
+
+
+def is_small(df: DataFrame) -> bool:
+    """Whether a count of its rows and bytes proves df small enough for every executor."""
+    rows, size = df.agg(F.count("*"), F.coalesce(F.sum(_width(df)), F.lit(0))).first()
+    return rows <= LOOKUP_ROWS and size <= LOOKUP_BYTES
+
+
 def sided(small: DataFrame) -> DataFrame:
-    """small, broadcast if a count proves it small; else left for a shuffled join."""
-    return F.broadcast(small) if small.count() <= LOOKUP_ROWS else small
+    """small, broadcast if it is proven small; else left for a shuffled join."""
+    return F.broadcast(small) if is_small(small) else small
+
+
+def looked_up(rows: DataFrame, small: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """rows joined with a look-up table of about one row a key; how: inner, left, left_semi or left_anti.
+
+    A proven small table is broadcast. A larger one is repeated SALTS times and each key of rows dealt over as many
+    parts, so that a key with a third of all rows is no single task's.
+    """
+    if is_small(small):
+        return rows.join(F.broadcast(small), on, how)
+    salt = free_name("salt", rows.columns, small.columns)
+    dealt = rows.withColumn(salt, F.floor(F.rand(0) * SALTS).cast("int"))
+    copies = small.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return dealt.join(copies, [*on, salt], how).drop(salt)
+
+
+def free_name(name: str, *taken: list[str]) -> str:
+    """A column name that none of the lists holds, whatever its case."""
+    used = {c.lower() for columns in taken for c in columns}
+    while name.lower() in used:
+        name = f"_{name}"
+    return name
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
