@@ -77,7 +77,9 @@ def looked_up(rows: DataFrame, small: DataFrame, on: list[str], how: str = "inne
     if is_small(small):
         return rows.join(F.broadcast(small), on, how)
     salt = free_name("salt", rows.columns, small.columns)
-    dealt = rows.withColumn(salt, F.floor(F.rand(0) * SALTS).cast("int"))
+    # a hash of the row, not a random number, so that a task that runs again deals its rows alike
+    rest = [F.col(f"`{f.name}`") for f in rows.schema if f.name not in on and f.dataType.typeName() not in ("map", "variant")]
+    dealt = rows.withColumn(salt, F.pmod(F.xxhash64(*rest) if rest else F.lit(0), F.lit(SALTS)).cast("int"))
     copies = small.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return dealt.join(copies, [*on, salt], how).drop(salt)
 
