@@ -365,4 +365,4 @@ def extract(files: DataFrame, kinds: Kinds = Kinds()) -> tuple[DataFrame, DataFr
     for more in refs:
         pending = pending.unionByName(more)
     found = include_rows(lines).select(F.col("path").alias("file"), "target", "line", "ord")
-    return symbols, pending, found if kinds.includes else found.limit(0)
+    return settle(symbols, "symbols"), settle(pending, "refs"), settle(found if kinds.includes else found.limit(0), "includes")
