@@ -2,41 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-SPACE_WORD = r"[^\x20\x09-\x0D]+"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which every executor sees; one of our own only where it is unset."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not path:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="codeatlas-"))
-        path = spark.sparkContext.getCheckpointDir()
-    return path.rstrip("/")
+from codeatlas.functions.exprs import UPPER
+from codeatlas.functions.tables import drop_table, free_name, is_small, looked_up, settle, sided, table
 
+__all__ = ["ascii_lower", "drop_table", "fold", "free_name", "is_small", "looked_up", "materialise", "row_key", "sided", "table"]
 
-def materialise(df: DataFrame, tag: str) -> DataFrame:
-    """Writes df as a table in the shared folder and reads it back: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/codeatlas-{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_table(df: DataFrame) -> None:
-    """Deletes the files of a materialised table that nothing will read again."""
-    spark = df.sparkSession
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    for parent in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if "/codeatlas-" in parent:
-            path = jvm.org.apache.hadoop.fs.Path(parent)
-            path.getFileSystem(conf).delete(path, True)
+SPACE_WORD = r"[^\x20\x09-\x0D]+"
+materialise = settle
 
 
 def ascii_lower(text: Column | str) -> Column:
@@ -52,19 +27,7 @@ def fold(key: Column | str, parts: int) -> Column:
 
 
 def row_key(doc_id: str, text: str) -> Column:
-    """A key equal only for rows with the same id and the same text, whose results are equal too."""
+    """16 bytes equal only for rows with the same id and the same text, whose results are equal too."""
+    name = F.coalesce(F.concat(F.lit("i"), F.col(doc_id).cast("string")), F.lit("-"))
     content = F.coalesce(F.md5(F.col(text).cast("binary")), F.lit("-"))
-    return F.concat_ws(":", F.coalesce(F.col(doc_id).cast("string"), F.lit("-")), content)
-
-
-#: Rows up to which a look-up table is sent to every executor; beyond it its joins shuffle.
-LOOKUP_ROWS = 100_000
-
-
-def sided(small: DataFrame) -> DataFrame:
-    """small, broadcast if a count proves it small; else left for a shuffled join."""
-    return F.broadcast(small) if small.count() <= LOOKUP_ROWS else small
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return F.unhex(F.md5(F.concat_ws(":", name, content).cast("binary")))

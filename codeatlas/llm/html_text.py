@@ -8,7 +8,10 @@ own best container. Text that stands directly in a container around the chosen o
 takes the winning path of its host, else all its blocks but boilerplate.
 
 Null and empty pages, and pages without blocks, give an empty text. The host of a null url is the empty string.
-Repeated rows vote as often as they occur. Nothing is capped: a page of any length is read to its end.
+Repeated rows vote as often as they occur. Nothing is capped: a page of any length is read to its end, in time that
+grows with the length alone, however deep its elements nest and however broken its tags are. Of containers with
+equal scores the one opened last is taken; of paths with equal votes and scores the first. An empty table
+gives an empty result, and extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -18,10 +21,10 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, sided
+from .common import looked_up, materialise
 
 BLOCK_TAGS = set(
     "address article aside blockquote body br button caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
@@ -39,11 +42,20 @@ CHROME = regex.compile(
     r"related|recommend\w*|share|sharing|social|cookies?|consent|gdpr|notice|notices|alert|popup|modal|overlay|newsletter|subscri\w*|signup|login|search\w*|pagination|pager|toolbar|tags?|toc|skip|hidden|copyright|legal|disclaimer)(?:$|[\s_-])"
 )
 CONTENT = regex.compile(r"(?:^|[\s_-])(?:article\w*|content|main|post|entry|story|text|body|page)(?:$|[\s_-])")
-TOKEN = regex.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>", regex.S)
-ATTR = regex.compile(r"([A-Za-z_:][-\w:.]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", regex.S)
+COMMENT = r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
+#: A tag, its attributes, or where a quote in them is never closed (or no end of the tag follows), all up to the next >.
+TOKEN = regex.compile(COMMENT + r"|<(/?)([A-Za-z][^\s/>]*+)(?:((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|([^>]*+(?:>|\Z)))", regex.S)
+#: What is read after the first such tag: quotes mean nothing from there on, so that no page is read twice.
+PLAIN = regex.compile(COMMENT + r"|<(/?)([A-Za-z][^\s/>]*+)(?:(?!)()|([^>]*+(?:>|\Z)))", regex.S)
+ATTR = regex.compile(r"([A-Za-z_:][-\w:.]*+)(?:\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]++)))?", regex.S)
 DIGITS = regex.compile(r"\d+")
 WHITE = regex.compile(r"\s+")
 CLOSES_P = BLOCK_TAGS - {"br", "button", "label", "select", "option"}
+#: Start tags that end an open element of the listed tags, unless one of BOUNDS stands between.
+ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
+BOUNDS = ("ul", "ol", "dl", "table", "tr", "menu", "select", "div", "article", "section")
+#: Blocks that are no containers.
+PLAIN_BLOCKS = set("p h1 h2 h3 h4 h5 h6 li pre blockquote td th tr dt dd figcaption caption label tbody thead tfoot".split())
 
 
 def attributes(raw: str) -> dict[str, str]:
@@ -53,14 +65,14 @@ def attributes(raw: str) -> dict[str, str]:
 def step_of(tag: str, attrs: dict[str, str]) -> str:
     """A container's part of a path: its tag and classes, digits made one."""
     classes = ".".join(sorted(set(DIGITS.sub("0", attrs.get("class", "")).split())))
-    mark = DIGITS.sub("0", attrs.get("id", ""))
+    mark = WHITE.sub("_", DIGITS.sub("0", attrs.get("id", "")))
     return tag + ("." + classes if classes else "") + ("#" + mark if mark else "")
 
 
-def is_chrome(tag: str, attrs: dict[str, str], inside: list[str]) -> bool:
+def is_chrome(tag: str, attrs: dict[str, str], in_article: bool) -> bool:
     if tag in CHROME_TAGS:
-        # the header of an article is part of it unless it holds navigation of its own
-        return not (tag == "header" and any(s.split(".")[0].split("#")[0] in ("article", "main") for s in inside))
+        # the header of an article is part of it
+        return not (tag == "header" and in_article)
     if attrs.get("role", "").lower() in CHROME_ROLES or "hidden" in attrs or attrs.get("aria-hidden") == "true":
         return True
     if regex.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attrs.get("style", "").lower()):
@@ -69,21 +81,56 @@ def is_chrome(tag: str, attrs: dict[str, str], inside: list[str]) -> bool:
     return bool(named) and tag not in ("html", "body", "article", "main") and bool(CHROME.search(named)) and not (CONTENT.search(named) and not regex.search(r"comment|\bads?\b|advert|sidebar|footer|nav", named))
 
 
-def blocks(page: str) -> list[tuple[tuple[str, ...], str, int, bool]]:
-    """(path of container steps, text, characters in links, boilerplate) of every block in page order."""
-    out: list[tuple] = []
-    stack: list[tuple[str, str, bool]] = []  # tag, step, boilerplate
+class Tree:
+    """The containers of a page as a tree whose node 0 stands for none; equal paths are one node."""
+
+    def __init__(self) -> None:
+        self.parent, self.step, self.children = [0], [""], [{}]
+
+    def child(self, node: int, step: str) -> int:
+        found = self.children[node].get(step)
+        if found is None:
+            found = self.children[node][step] = len(self.parent)
+            self.parent.append(node), self.step.append(step), self.children.append({})
+        return found
+
+    def find(self, path: str) -> int | None:
+        node = 0
+        for step in path.split(" "):
+            node = self.children[node].get(step)
+            if node is None:
+                return None
+        return node
+
+    def path(self, node: int) -> str:
+        steps = []
+        while node:
+            steps.append(self.step[node])
+            node = self.parent[node]
+        return " ".join(reversed(steps))
+
+
+def blocks(page: str) -> tuple[Tree, list[tuple[int, str, int, bool]]]:
+    """The container tree and (container, text, characters in links, boilerplate) of every block in page order.
+
+    Where each open tag stands is kept by tag, so that no part of the stack is searched and the time is linear.
+    """
+    tree, out = Tree(), []
+    stack: list[tuple[str, int, bool]] = []  # tag, container, whether it or one around it is boilerplate
+    at_tag: dict[str, list[int]] = {}  # places of the open elements of each tag
+    block_places: list[int] = []
     parts: list[str] = []
-    linked, links = 0, 0
-    at = 0
+    linked, links, at = 0, 0, 0
+    token = TOKEN
+    last = lambda tag: at_tag[tag][-1] if at_tag.get(tag) else -1
 
     def close() -> None:
         nonlocal linked
         # decoding comes before white space is turned, so that a non-breaking space counts as white space
         text = WHITE.sub(" ", "".join(parts)).strip()
         if text:
-            steps = tuple(s[1] for s in stack if s[1])
-            out.append((steps, text, min(linked, len(text)), any(s[2] for s in stack)))
+            _, node, chrome = stack[-1] if stack else ("", 0, False)
+            out.append((node, text, min(linked, len(text)), chrome))
         parts.clear()
         linked = 0
 
@@ -95,8 +142,15 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int, bool]]:
             if links:
                 linked += len(text)
 
+    def pop_to(k: int) -> None:
+        for tag, _, _ in stack[k:]:
+            at_tag[tag].pop()
+        del stack[k:]
+        while block_places and block_places[-1] >= k:
+            block_places.pop()
+
     while True:
-        m = TOKEN.search(page, at)
+        m = token.search(page, at)
         take(page[at : m.start() if m else len(page)])
         if not m:
             break
@@ -104,84 +158,98 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int, bool]]:
         tag = (m[2] or "").lower()
         if not tag:
             continue
+        raw = m[3]
+        if raw is None:
+            token, raw = PLAIN, m[4]
+            if not raw.endswith(">"):  # no tag ends any more: the rest is text
+                take(page[m.start() :])
+                break
+            raw = raw[:-1]
         if m[1]:  # an end tag
             if tag == "a":
                 links = max(0, links - 1)
             if tag == "br" or tag in BLOCK_TAGS:
                 close()
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    if tag not in BLOCK_TAGS and any(s[0] in BLOCK_TAGS for s in stack[k + 1 :]):
-                        break  # an inline end tag doesn't close the blocks around it
-                    if any(s[2] for s in stack[k:]) or tag in BLOCK_TAGS:
-                        close()
-                    del stack[k:]
-                    break
+            k = last(tag)
+            if k >= 0 and (tag in BLOCK_TAGS or not block_places or block_places[-1] < k):  # an inline end tag doesn't close the blocks around it
+                if stack[-1][2] or tag in BLOCK_TAGS:
+                    close()
+                pop_to(k)
             continue
-        if tag in RAW_TAGS and not m[3].endswith("/"):
-            end = regex.compile(rf"</{regex.escape(tag)}\s*>", regex.I).search(page, at)
+        if tag in RAW_TAGS and not raw.endswith("/"):
+            end = regex.compile(rf"</{regex.escape(tag)}\s*+>", regex.I).search(page, at)
             at = end.end() if end else len(page)
             if tag in BLOCK_TAGS:
                 close()
             continue
         if tag in BLOCK_TAGS:
             close()
-            links = 0 if tag not in ("br",) and not any(s[0] == "a" for s in stack) else links
-            if tag in CLOSES_P:
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == "p":
-                        del stack[k:]
-                        break
-                    if stack[k][0] in BLOCK_TAGS:
-                        break
-            if tag in ("li", "dt", "dd", "tr", "td", "th", "option"):
-                group = {"dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ("td", "th"), "th": ("td", "th")}.get(tag, (tag,))
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] in group:
-                        del stack[k:]
-                        break
-                    if stack[k][0] in ("ul", "ol", "dl", "table", "tr", "menu", "select", "div", "article", "section"):
-                        break
-        if tag in VOID_TAGS or m[3].endswith("/"):
+            if tag != "br" and not at_tag.get("a"):
+                links = 0
+            if tag in CLOSES_P and block_places and stack[block_places[-1]][0] == "p":
+                pop_to(block_places[-1])
+            if tag in ENDS:
+                k = max(last(t) for t in ENDS[tag])
+                if k >= 0 and k >= max(last(t) for t in BOUNDS):
+                    pop_to(k)
+        if tag in VOID_TAGS or raw.endswith("/"):
             continue
         if tag == "a":
             links += 1
-        attrs = attributes(m[3])
-        container = tag in BLOCK_TAGS and tag not in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "pre", "blockquote", "td", "th", "tr", "dt", "dd", "figcaption", "caption", "label", "tbody", "thead", "tfoot")
-        chrome = is_chrome(tag, attrs, [s[1] for s in stack if s[1]])
+        attrs = attributes(raw)
+        _, node, inside = stack[-1] if stack else ("", 0, False)
+        chrome = is_chrome(tag, attrs, bool(at_tag.get("article") or at_tag.get("main")))
         if chrome and tag not in BLOCK_TAGS:
             close()
-        stack.append((tag, step_of(tag, attrs) if container else "", chrome))
+        if tag in BLOCK_TAGS and tag not in PLAIN_BLOCKS:
+            node = tree.child(node, step_of(tag, attrs))
+        at_tag.setdefault(tag, []).append(len(stack))
+        if tag in BLOCK_TAGS:
+            block_places.append(len(stack))
+        stack.append((tag, node, inside or chrome))
     close()
-    return out
+    return tree, out
 
 
-def container_scores(found: list[tuple]) -> dict[str, float]:
-    """Score of each container path: text outside links of its own blocks, shared with outer ones by halves."""
-    scores: dict[str, float] = {}
-    for steps, text, linked, chrome in found:
-        if chrome:
-            continue
-        worth = len(text) - 2 * linked
-        for up, k in enumerate(range(len(steps), 0, -1)):
-            path = " ".join(steps[:k])
-            name = steps[k - 1]
-            prior = 0.9 if name in ("body", "html") else 1.5 if name.split(".")[0].split("#")[0] in ("article", "main") else 1.2 if CONTENT.search(name.replace(".", " ").replace("#", " ")) else 1.0
-            scores[path] = scores.get(path, 0.0) + worth * prior * 0.8**up
-    return scores
+def container_scores(tree: Tree, found: list[tuple]) -> list[float | None]:
+    """Score of each container: text outside links of its own blocks, and of those inside it by 0.8 a level.
 
+    None where only boilerplate, or nothing, stands.
+    """
+    worth: list[float | None] = [None] * len(tree.parent)
+    for node, text, linked, chrome in found:
+        if not chrome and node:
+            worth[node] = (worth[node] or 0.0) + len(text) - 2 * linked
+    for node in range(len(worth) - 1, 0, -1):  # children come after their parents
+        up = tree.parent[node]
+        if worth[node] is not None and up:
+            worth[up] = (worth[up] or 0.0) + 0.8 * worth[node]
+    return [None if w is None else w * prior(name) for w, name in zip(worth, tree.step, strict=True)]
 
-def best_of(scores: dict[str, float]) -> str | None:
-    top = max(scores.items(), key=lambda kv: (kv[1], kv[0]), default=(None, 0.0))
-    return top[0] if top[1] > 0 else None
 
+def prior(step: str) -> float:
+    tag = step.split(".")[0].split("#")[0]
+    if tag in ("body", "html"):
+        return 0.9
+    return 1.5 if tag in ("article", "main") else 1.2 if CONTENT.search(step.replace(".", " ").replace("#", " ")) else 1.0
 
-def text_under(found: list[tuple], path: str) -> str:
-    """The blocks in a container, and those of worth that stand directly in the containers around it."""
-    steps = tuple(path.split(" "))
-    around = lambda s, text, linked: len(s) < len(steps) and s == steps[: len(s)] and len(text) > 2 * linked
-    return " ".join(text for s, text, linked, chrome in found if not chrome and (s[: len(steps)] == steps or around(s, text, linked)))
 
+def best_of(tree: Tree, scores: list[float | None]) -> int | None:
+    """The container of the greatest score above 0; of equals the one opened last."""
+    top = max((s for s in scores if s is not None), default=0.0)
+    return len(scores) - 1 - scores[::-1].index(top) if top > 0 else None
+
+
+def text_under(tree: Tree, found: list[tuple], chosen: int) -> str:
+    """The blocks in a container, and those of worth that stand directly in the containers around it."""
+    inside = [False] * len(tree.parent)
+    for node in range(1, len(inside)):
+        inside[node] = node == chosen or inside[tree.parent[node]]
+    around, node = {0}, chosen
+    while node:
+        node = tree.parent[node]
+        around.add(node)
+    return " ".join(text for node, text, linked, chrome in found if not chrome and (inside[node] or (node in around and len(text) > 2 * linked)))
 
 
 def host_of(url: str) -> Column:
@@ -195,42 +263,46 @@ def votes(pages: DataFrame, html: str, host: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hosts, paths, scores = [], [], []
+            hosts, paths, marks = [], [], []
             for name, page in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                table = container_scores(blocks(page.as_py() or ""))
-                path = best_of(table)
-                if path is not None:
-                    hosts.append(name), paths.append(path), scores.append(table[path])
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(paths, pa.string()), pa.array(scores, pa.float64())], names=["host", "path", "score"])
+                tree, found = blocks(page.as_py() or "")
+                scores = container_scores(tree, found)
+                best = best_of(tree, scores)
+                if best is not None:
+                    hosts.append(name), paths.append(tree.path(best)), marks.append(scores[best])
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(paths, pa.string()), pa.array(marks, pa.float64())], names=["host", "path", "score"])
 
     return pages.select(host, html).mapInArrow(run, "host string, path string, score double")
 
 
-def consensus(cast: DataFrame, share: float = 0.1, most: int = 5) -> DataFrame:
-    """host, paths: those with a share of the host's votes, best first. Sums combine before they are shuffled."""
-    by_path = cast.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("score").alias("score"))
+def consensus(cast: DataFrame, share: float = 0.1) -> DataFrame:
+    """host, paths: those with a share of the host's votes, best first. Sums combine before they are shuffled.
+
+    A share of a tenth leaves ten paths a host at most; a page that none of them fits takes its own best container.
+    """
+    # read twice below, so the pages are not parsed again
+    by_path = materialise(cast.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("score").alias("score")), "votes")
     total = by_path.groupBy("host").agg(F.sum("n").alias("all"))
     ranked = by_path.join(total, "host").where(F.col("n") >= share * F.col("all"))
-    order = Window.partitionBy("host").orderBy(F.desc("n"), F.desc("score"), "path")
-    # the reported few: a page that none of them fits takes its own best container
-    top = ranked.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
-    return top.groupBy("host").agg(F.array_sort(F.collect_list(F.struct("rank", "path"))).alias("ranked")).select("host", F.transform("ranked", lambda r: r["path"]).alias("paths"))
+    order = F.struct((-F.col("n")).alias("n"), (-F.col("score")).alias("score"), "path")
+    return ranked.groupBy("host").agg(F.array_sort(F.collect_list(order)).alias("ranked")).select("host", F.transform("ranked", lambda r: r["path"]).alias("paths"))
 
 
 def extract(pages: DataFrame, *, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """page_id, url, text, n_chars for every row of pages."""
     named = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html"), host_of(url).alias("host"))
-    winners = sided(materialise(consensus(votes(named, "html", "host")), "paths"))
-    joined = named.join(winners, "host", "left").select("page_id", "url", "html", "paths")
+    winners = materialise(consensus(votes(named, "html", "host")), "paths")
+    joined = looked_up(named, winners, ["host"], "left").select("page_id", "url", "html", "paths")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = []
             for page, paths in zip(batch.column(2), batch.column(3).to_pylist(), strict=True):
-                found = blocks(page.as_py() or "")
-                scores = container_scores(found)
-                path = next((p for p in paths or [] if scores.get(p, 0) > 0), None) or best_of(scores) or next((p for p in paths or [] if p in scores), None)
-                texts.append(text_under(found, path) if path else " ".join(t for _, t, _, chrome in found if not chrome))
+                tree, found = blocks(page.as_py() or "")
+                scores = container_scores(tree, found)
+                known = [k for k in map(tree.find, paths or []) if k is not None and scores[k] is not None]
+                chosen = next((k for k in known if scores[k] > 0), None) or best_of(tree, scores) or next(iter(known), None)
+                texts.append(text_under(tree, found, chosen) if chosen else " ".join(t for _, t, _, chrome in found if not chrome))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     kinds = {c: named.schema[c].dataType.simpleString() for c in ("page_id", "url")}

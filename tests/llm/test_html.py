@@ -1,4 +1,5 @@
 import re
+import time
 
 from codeatlas.llm import html_text
 from codeatlas.llm.common import table
@@ -10,10 +11,10 @@ PAGE = """<!DOCTYPE html><html><body><header><a href=/>Home</a> Site</header><di
 
 
 def test_boilerplate_goes_and_blocks_stay_in_order():
-    found = html_text.blocks(PAGE)
-    path = html_text.best_of(html_text.container_scores(found))
-    assert path == "html body div.post-0#content-0"
-    assert html_text.text_under(found, path) == "Title é& A long paragraph of bold text which goes on and on and on. Second one x y"
+    tree, found = html_text.blocks(PAGE)
+    best = html_text.best_of(tree, html_text.container_scores(tree, found))
+    assert tree.path(best) == "html body div.post-0#content-0"
+    assert html_text.text_under(tree, found, best) == "Title é& A long paragraph of bold text which goes on and on and on. Second one x y"
 
 
 def test_table_equals_the_article_elements(spark, sf_dir):
@@ -55,3 +56,30 @@ def test_pages_of_links_and_leads_beside_the_container_keep_their_text(spark):
     got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got[1] == "link number 1 link number 2"
     assert got[2] == "The lead. " + ("long text " * 50).strip()
+
+
+def test_broken_and_deeply_nested_pages_take_linear_time():
+    pages = ["<a " * 30_000, "<a '" * 30_001, "<div class='a'>" * 20_000 + "x</span></div>" * 20_000, "<b>" * 20_000 + "<li>q</li>" * 20_000, "<span>" + "<div>" * 20_000 + "</span>" * 20_000 + "end", "<!--" * 30_000]
+    began = time.time()
+    for page in pages:
+        tree, found = html_text.blocks(page)
+        best = html_text.best_of(tree, html_text.container_scores(tree, found))
+        if best:
+            html_text.text_under(tree, found, best)
+    assert time.time() - began < 30
+
+
+def test_equal_containers_and_text_at_every_depth(spark):
+    two = "<body><div class=a><p>same words here</p></div><div class=b><p>same words here</p></div></body>"
+    tree, found = html_text.blocks(two)
+    assert tree.path(html_text.best_of(tree, html_text.container_scores(tree, found))) == "body div.b"
+    levels = "<body>top text<main>lead text<div>inner text that is the longest of all the texts here by far</div>end text</main>last text</body>"
+    rows = [(1, "http://t", levels), (2, "http://v", None)]
+    got = {r.page_id: r for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[1].text == "top text lead text inner text that is the longest of all the texts here by far end text last text"
+    assert got[2].text == "" and got[2].n_chars == 0
+
+
+def test_a_quote_that_never_closes_costs_no_text():
+    tree, found = html_text.blocks('<div><p title="oops>first</p><p>second</p></div> <b>x')
+    assert [t for _, t, _, _ in found] == ["first", "second", "x"]
