@@ -1,14 +1,16 @@
 """Benchmark decontamination by a distributed positional inverted index, with native functions alone.
 
 Training tokens become postings (term, document, position). Every benchmark window looks its terms up from the
-rarest on: the offset-adjusted lists of its rarest terms are intersected, and the few (document, start) pairs
-left are compared with the document's own words. Only postings of terms that some window looks up are stored;
-joins after that carry the document in their key, so a term or passage that fills a third of the corpus spreads
-over all tasks.
+rarest on: the postings of its rarest term place it, and each place must then find the next rarer terms at their
+offsets, one list after the other, so that only the shortest lists are ever joined to windows. The places left are
+cut from the documents' own words and compared in full. Only postings of terms that some window looks up are
+stored; joins after that carry document and position in their key, so a term or passage that fills a third of the
+corpus spreads over all tasks.
 
 Null or empty texts have no words, no hits and are clean. An item of fewer than `length` words is one window;
 items without words have none. Equal windows of several items are searched once. Rows that repeat an id and a
-text are indexed once and each get the result; extra columns of either table are ignored.
+text are searched once and each get the result. Long texts are compared in parts of CHUNK places. Without items or
+without documents nothing is contaminated; extra columns of either table are ignored, and keep_clean returns them.
 """
 
 from __future__ import annotations
@@ -16,10 +18,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, materialise, row_key, sided
+from .common import ascii_lower, drop_table, free_name, looked_up, materialise, row_key, sided
 
 #: Fixed by the contract: what separates words, after A-Z are lowered.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: The same words before A-Z are lowered.
+WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: Places of a text that are compared together.
+CHUNK = 4096
+
 
 def words(text: Column | str) -> Column:
     text = F.col(text) if isinstance(text, str) else text
@@ -27,66 +34,97 @@ def words(text: Column | str) -> Column:
 
 
 def windows(items: DataFrame, item_id: str, text: str, length: int) -> DataFrame:
-    """phrase, w (its words), items (ids as strings): one row per distinct window."""
+    """pid, phrase, w (its words), items (ids as strings): one row per distinct window, to be stored once."""
     split = items.select(F.col(item_id).cast("string").alias("item"), words(text).alias("words")).where(F.size("words") > 0)
     starts = F.sequence(F.lit(1), F.greatest(F.size("words") - length + 1, F.lit(1)))
     each = split.select("item", F.explode(F.transform(starts, lambda i: F.slice("words", i, length))).alias("w"))
-    return each.groupBy(F.concat_ws(" ", "w").alias("phrase")).agg(F.first("w").alias("w"), F.collect_set("item").alias("items"))
+    named = each.groupBy(F.concat_ws(" ", "w").alias("phrase")).agg(F.first("w").alias("w"), F.collect_set("item").alias("items"))
+    return named.withColumn("pid", F.monotonically_increasing_id())
+
 
+def lookups(docs: DataFrame, phrases: DataFrame, rarest: int, partial: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(pid, n, list) and (term, tid): each phrase's rarest terms that occur in docs (key, text), rarest first.
 
-def lookups(docs: DataFrame, phrases: DataFrame, rarest: int) -> DataFrame:
-    """phrase, term, off, rank: the rarest terms of each phrase whose terms all occur in docs (key, text)."""
+    list: tid and off of each. Phrases with a term that no document has are left out, unless partial.
+    """
     terms = phrases.select(F.explode(F.array_distinct("w")).alias("term")).distinct()
     seen = docs.select(F.explode(F.array_distinct(words("text"))).alias("term"))
-    df = materialise(seen.join(sided(terms), "term").groupBy("term").count(), "terms")
-    placed = phrases.select("phrase", F.posexplode("w").alias("off", "term")).join(df, "term", "left")
-    whole = Window.partitionBy("phrase")
-    ranked = placed.withColumn("absent", F.max(F.col("count").isNull()).over(whole)).where(~F.col("absent"))
-    order = Window.partitionBy("phrase").orderBy("count", "off")
-    return ranked.select("phrase", "term", "off", F.row_number().over(order).alias("rank")).where(F.col("rank") <= rarest)
+    counts = seen.join(sided(materialise(terms, "vocabulary")), "term").groupBy("term").count()
+    df = materialise(counts.withColumn("tid", F.monotonically_increasing_id()), "terms")
+    placed = phrases.select("pid", F.size("w").alias("n"), F.posexplode("w").alias("off", "term"))
+    met = looked_up(placed, df, ["term"], "left")
+    known = F.filter(F.collect_list(F.struct("count", "off", "tid")), lambda x: x["tid"].isNotNull())
+    lists = met.groupBy("pid", "n").agg(known.alias("all"))  # `length` rows a phrase
+    lists = lists.where(F.size("all") > 0 if partial else F.size("all") == F.col("n"))
+    # a phrase of fewer terms asks for its rarest one again
+    some = lists.select("pid", "n", F.transform(F.slice(F.array_sort("all"), 1, rarest), lambda x: F.struct(x["tid"].alias("tid"), x["off"].alias("off"))).alias("list"))
+    wanted = materialise(some.withColumn("list", F.array(*[F.coalesce(F.get("list", F.lit(k)), F.get("list", F.lit(0))) for k in range(rarest)])), "lookups")
+    used = wanted.select(F.explode("list.tid").alias("tid")).distinct()
+    return wanted, df.join(used, "tid", "left_semi").select("term", "tid")
 
 
 def postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """The stored index (term, key, pos) of the terms looked up, from docs (key, text)."""
+    """The stored index (tid, key, pos) of the terms looked up, from docs (key, text)."""
     placed = docs.select("key", F.posexplode(words("text")).alias("pos", "term"))
-    return materialise(placed.join(sided(terms), "term").select("term", "key", "pos"), "postings")
+    return materialise(looked_up(placed, materialise(terms, "wanted"), ["term"]).select("tid", "key", "pos"), "postings")
+
+
+def numbered(phrases: DataFrame) -> DataFrame:
+    return phrases if "pid" in phrases.columns else materialise(phrases.withColumn("pid", F.monotonically_increasing_id()), "windows")
 
 
-def _distinct_ranks(rarest: int) -> Column:
-    """How many different ranks a group holds; sums of flags, so rows combine before the shuffle."""
-    return sum((F.max((F.col("rank") == r).cast("int")) for r in range(1, rarest + 1)), F.lit(0))
+def places(index: DataFrame, wanted: DataFrame, rarest: int) -> DataFrame:
+    """key, start, n: where all the rarest terms of some phrase stand at their offsets."""
+    term = lambda k, part: F.get("list", F.lit(k))[part].alias(f"{part}{k}")
+    # phrases that ask for the same terms at the same offsets are one
+    asked = materialise(wanted.select(term(0, "tid"), term(0, "off"), "n", *[term(k, part) for k in range(1, rarest) for part in ("tid", "off")]).distinct(), "asked")
+    at = looked_up(index.withColumnRenamed("tid", "tid0"), asked, ["tid0"]).withColumn("start", F.col("pos") - F.col("off0")).where("start >= 0").drop("tid0", "off0", "pos")
+    for k in range(1, rarest):
+        there = index.select("key", F.col("tid").alias(f"tid{k}"), F.col("pos").alias(f"pos{k}"))
+        at = at.withColumn(f"pos{k}", F.col("start") + F.col(f"off{k}")).join(there, ["key", f"tid{k}", f"pos{k}"], "left_semi").drop(f"tid{k}", f"off{k}", f"pos{k}")
+    return at.distinct()
 
 
 def phrase_matches(docs: DataFrame, phrases: DataFrame, rarest: int = 3) -> DataFrame:
-    """key, start, phrase, n: every exact occurrence of a phrase in docs (key, text); a repeated row repeats its own."""
-    wanted = materialise(lookups(docs, phrases, rarest), "lookups")
-    index = postings(docs, wanted.select("term").distinct())
-    lists = index.join(sided(wanted), "term").select("key", "phrase", "rank", (F.col("pos") - F.col("off")).alias("start"))
-    needed = wanted.groupBy("phrase").agg(F.count("*").alias("needed"))
-    met = lists.where("start >= 0").groupBy("key", "phrase", "start").agg(_distinct_ranks(rarest).alias("lists"))
-    met = met.join(sided(needed), "phrase").where("lists = needed").join(sided(phrases.select("phrase", "w")), "phrase")
-    near = materialise(met.groupBy("key").agg(F.collect_list(F.struct("start", "phrase", "w")).alias("found")), "near")
-    exact = F.filter("found", lambda x: F.slice(F.col("words"), x["start"] + 1, F.size(x["w"])) == x["w"])
-    # The texts are shuffled as they are and split after the join: arrays of words take several times the room.
-    checked = docs.join(near, "key").withColumn("words", words("text")).select("key", F.explode(exact).alias("m"))
-    return checked.select("key", "m.start", "m.phrase", F.size("m.w").alias("n"))
+    """key, start, pid, n: every exact occurrence of a phrase in docs (key, text), once for rows of one key."""
+    phrases = numbered(phrases)
+    wanted, terms = lookups(docs, phrases, rarest)
+    index = postings(docs, terms)
+    found = materialise(places(index, wanted, rarest), "places")
+    drop_table(index)
+    longest = phrases.agg(F.max(F.size("w"))).first()[0] or 1
+    # each part of a text brings its own places: CHUNK starts of `length` lengths at most
+    part = F.floor(F.col("start") / CHUNK).cast("int").alias("part")
+    asked = found.select("key", part, F.struct((F.col("start") % CHUNK).alias("at"), "n").alias("s")).groupBy("key", "part").agg(F.collect_list("s").alias("asked"))
+    held = docs.join(sided(materialise(found.select("key").distinct(), "held")), "key", "left_semi")
+    count = F.ceil(F.size("w") / F.lit(CHUNK)).cast("int")
+    cut = F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.struct(i.alias("part"), F.slice("w", i * CHUNK + 1, CHUNK + longest - 1).alias("w")))
+    parts = held.select("key", words("text").alias("w")).where(F.size("w") > 0).select("key", F.explode(cut).alias("c")).select("key", "c.part", "c.w")
+    met = parts.join(asked, ["key", "part"]).select("key", "part", F.explode(F.transform("asked", lambda s: F.struct(s["at"].alias("at"), s["n"].alias("n"), F.concat_ws(" ", F.slice("w", s["at"] + 1, s["n"])).alias("phrase")))).alias("m"))
+    texts = met.select("key", (F.col("part") * CHUNK + F.col("m.at")).alias("start"), F.col("m.n").alias("n"), F.col("m.phrase").alias("phrase")).distinct()
+    return looked_up(texts, phrases.select("phrase", "pid"), ["phrase"]).select("key", "start", "pid", "n")
 
 
 def proximity_matches(docs: DataFrame, phrases: DataFrame, slop: int = 3, rarest: int = 3) -> DataFrame:
-    """key, phrase, start: places where the rarest terms of a phrase stand within slop words of where they should.
+    """key, pid, start: places where the rarest terms that occur at all stand within slop words of where they should.
 
-    The rarest term anchors the place; each further list must hold a posting near it.
+    The rarest term places the phrase; each further list must hold a posting near it. A word that no document has
+    doesn't keep the phrase from being found.
     """
-    wanted = materialise(lookups(docs, phrases, rarest), "lookups")
-    index = postings(docs, wanted.select("term").distinct())
-    placed = index.join(sided(wanted), "term").select("key", "phrase", "rank", (F.col("pos") - F.col("off")).alias("start"))
-    anchors = placed.where("rank = 1").select("key", "phrase", F.col("start").alias("at"))
-    reach = F.explode(F.sequence(F.col("start") - slop, F.col("start") + slop))
-    spread = placed.where("rank > 1").select("key", "phrase", "rank", reach.alias("at")).distinct()
-    needed = wanted.groupBy("phrase").agg(F.count("*").alias("needed"))
-    # Bounded: a window of 2 * slop + 1 places per posting.
-    met = anchors.join(spread, ["key", "phrase", "at"], "left").groupBy("key", "phrase", "at").agg((F.countDistinct("rank") + 1).alias("lists"))
-    return met.join(sided(needed), "phrase").where("lists = needed").select("key", "phrase", F.col("at").alias("start"))
+    wanted, terms = lookups(docs, numbered(phrases), rarest, partial=True)
+    index = postings(docs, terms)
+    reach = 2 * slop + 1
+    bucketed = index.select("key", "tid", F.floor(F.col("pos") / reach).alias("bucket"), F.col("pos").alias("there")).distinct()
+    first = F.get("list", F.lit(0))
+    at = looked_up(index.distinct(), materialise(wanted.select("pid", "list", first["tid"].alias("tid"), first["off"].alias("off")), "first"), ["tid"])
+    at = at.select("key", "pid", (F.col("pos") - F.col("off")).alias("start"), "list")
+    for k in range(1, rarest):
+        more = F.get("list", F.lit(k))
+        asked = at.withColumn("tid", more["tid"]).withColumn("pos", F.col("start") + more["off"])
+        buckets = F.array_distinct(F.array(F.floor((F.col("pos") - slop) / reach), F.floor((F.col("pos") + slop) / reach)))
+        near = asked.withColumn("bucket", F.explode(buckets)).join(bucketed, ["key", "tid", "bucket"]).where(F.abs(F.col("there") - F.col("pos")) <= slop)
+        at = near.select("key", "pid", "start", "list").distinct()
+    return at.select("key", "pid", "start").distinct()
 
 
 def _digest(ids: Column) -> Column:
@@ -97,18 +135,17 @@ def contamination(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id",
     """doc_id, n_words, n_hit, n_items, items (ids), items_sha256, contaminated, row_key for every row of docs."""
     phrases = materialise(windows(items, item_id, item_text, length), "windows")
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), row_key(doc_id, text).alias("key"))
-    found = phrase_matches(rows.select("key", "text"), phrases, rarest)
-    places = found.distinct()  # repeated rows index the same places twice
-    spans = places.groupBy("key", "start").agg(F.max("n").alias("n"))
+    places_ = materialise(phrase_matches(rows.select("key", "text"), phrases, rarest), "matches")
+    spans = places_.groupBy("key", "start").agg(F.max("n").alias("n"))
     upto = Window.partitionBy("key").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
     fresh = F.greatest(F.lit(0), F.col("start") + F.col("n") - F.greatest(F.col("start"), F.coalesce(F.max(F.col("start") + F.col("n")).over(upto), F.lit(0))))
     hits = spans.withColumn("fresh", fresh).groupBy("key").agg(F.sum("fresh").alias("n_hit"))
-    named = places.select("key", "phrase").distinct().join(sided(phrases.select("phrase", "items")), "phrase")
-    named = named.select("key", F.explode("items").alias("item")).groupBy("key").agg(F.collect_set("item").alias("items"))
+    met = looked_up(places_.select("key", "pid").distinct(), phrases.select("pid", "items"), ["pid"])
+    named = met.select("key", F.explode("items").alias("item")).groupBy("key").agg(F.collect_set("item").alias("items"))
     marked = materialise(hits.join(named, "key"), "marked")
-    counts = rows.select("doc_id", "key", F.size(words("text")).cast("long").alias("n_words"))
+    counts = rows.select("doc_id", "key", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("n_words"))
     n_hit, ids = F.coalesce("n_hit", F.lit(0)).cast("long"), F.coalesce("items", F.array().cast("array<string>"))
-    return counts.join(marked, "key", "left").select(
+    return counts.join(sided(marked), "key", "left").select(
         "doc_id",
         "n_words",
         n_hit.alias("n_hit"),
@@ -122,9 +159,10 @@ def contamination(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id",
 
 def keep_clean(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """docs without the contaminated rows."""
-    bad = contamination(docs, items, doc_id=doc_id, text=text, **options).where("contaminated").select(F.col("row_key").alias("_key")).distinct()
-    keyed = docs.withColumn("_key", row_key(doc_id, text))
-    return keyed.join(sided(materialise(bad, "bad")), "_key", "left_anti").select(*docs.columns)
+    key = free_name("key", docs.columns)
+    bad = contamination(docs, items, doc_id=doc_id, text=text, **options).where("contaminated").select(F.col("row_key").alias(key)).distinct()
+    keyed = docs.withColumn(key, row_key(doc_id, text))
+    return keyed.join(sided(materialise(bad, "bad")), key, "left_anti").select(*[f"`{c}`" for c in docs.columns])
 
 
 ORACLE_SQL = r"""

@@ -11,7 +11,8 @@ that are still in different components, all members of each, in pairs of blocks,
 A region is never gathered: tasks read ranges of the sorted order, or two blocks.
 
 Null, empty and blank texts have no shingles and link with nothing. Exact copies and repeated rows share a
-class. A null id never becomes a component id while the component has another; extra columns are ignored.
+class. A null id never becomes a component id while the component has another. Long texts are shingled in parts, all
+of them. An empty table gives an empty result; near_duplicates ignores extra columns, keep_one returns them.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_table, materialise, sided
+from .common import drop_table, free_name, looked_up, materialise, sided
 from .components import extended
 from .words import mix, shingle_sets, text_slices
 
@@ -384,7 +385,7 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     else:
         joined = classes.select("cid", "first_id").join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("root", "cid"))
         least = joined.groupBy("component").agg(F.min("first_id").alias("component_id"))
-        named = joined.select("cid", "component").join(least, "component")
+        named = looked_up(joined.select("cid", "component"), materialise(least, "least"), ["component"])
     out = rows.select("doc_id", "md5", "n_shingles", "cid").join(named, "cid", "left")
     mine: Column = F.when(F.col("cid").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "md5", "n_shingles", "component", mine.alias("component_id"), F.coalesce(F.col("doc_id") == mine, F.lit(False)).alias("kept"))
@@ -402,10 +403,12 @@ def keep_one(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **o
     best = linked.groupBy("component").agg(F.min(order).alias("w"), F.count("*").alias("n")).where("n > 1")
     lost = linked.join(best, "component").where(order != F.col("w")).select(F.col("doc_id").alias("_i"), F.col("md5").alias("_m")).distinct()
     again = linked.groupBy("doc_id", "md5").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("_i"), F.col("md5").alias("_m"))
-    keyed = docs.withColumn("_h", F.unhex(F.md5(F.col(text).cast("binary"))))
-    same = F.col(doc_id).eqNullSafe(F.col("_i")) & (F.col("_h") == F.col("_m"))
-    left = keyed.join(sided(materialise(lost, "lost")), same, "left_anti")
-    again = sided(materialise(again, "again"))
+    mark, name, same_text = (free_name(c, docs.columns) for c in ("mark", "name", "same_text"))
+    keyed = docs.withColumn(mark, F.unhex(F.md5(F.col(text).cast("binary"))))
+    ids = lambda df: sided(materialise(df.select(F.col("_i").alias(name), F.col("_m").alias(same_text)), "marks"))
+    same = F.col(doc_id).eqNullSafe(F.col(name)) & (F.col(mark) == F.col(same_text))
+    left = keyed.join(ids(lost), same, "left_anti")
+    again = ids(again)
     single = left.join(again, same, "left_anti")
-    repeated = left.join(again, same, "left_semi").dropDuplicates([doc_id, "_h"])
-    return single.unionByName(repeated).select(*docs.columns)
+    repeated = left.join(again, same, "left_semi").dropDuplicates([doc_id, mark])
+    return single.unionByName(repeated).select(*[f"`{c}`" for c in docs.columns])

@@ -7,7 +7,8 @@ alone by the next 12 bits. Rows are never sorted; every shuffle carries partial
 
 Null sources form a source of their own, ordered last. Null or empty texts have size 0 and take 0. Rows with
 one id share a hash, so they are taken or left together. An empty table gives an empty result; a corpus of
-size 0 has targets of 0. `take` keeps all columns of its input.
+size 0 has targets of 0. `take` keeps all columns of its input. Only the table of sources, one row each, is ordered
+in a single task, and of histogram rows one source and prefix at a time (4096 at most).
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE_WORD, materialise, sided
+from .common import SPACE_WORD, free_name, materialise, sided
 
 LEVELS, BITS = 4, 12
 
@@ -103,12 +104,17 @@ def mix(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source:
 
 
 def take(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source", max_repeats: int = 3, cycle: int = 3) -> DataFrame:
-    """docs with every row as often as the mix takes it; copy_no counts a row's copies from 1."""
+    """docs with every row as often as the mix takes it; copy_no counts a row's copies from 1.
+
+    If docs has a column copy_no, the new one is called _copy_no.
+    """
     keys = _keyed(docs, doc_id, text, source)
     rows = materialise(docs.select(F.col(source).alias("source"), *keys), "mix")
-    joined = docs.select("*", *keys).join(budget(rows, max_repeats, cycle).drop("source_size", "target").withColumnsRenamed({"whole": "_whole", "cut": "_cut"}), "_skey")
-    repeats = (F.col("_whole") + F.when(F.col("_h") < F.col("_cut"), 1).otherwise(0)).cast("int")
-    return joined.where(repeats > 0).select(*docs.columns, F.explode(F.sequence(F.lit(1), repeats)).alias("copy_no"))
+    skey, h, whole, cut, copy_no = (free_name(c, docs.columns) for c in ("skey", "h", "whole", "cut", "copy_no"))
+    plan = budget(rows, max_repeats, cycle).select(F.col("_skey").alias(skey), F.col("whole").alias(whole), F.col("cut").alias(cut))
+    joined = docs.select("*", keys[0].alias(skey), keys[2].alias(h)).join(plan, skey)
+    repeats = (F.col(whole) + F.when(F.col(h) < F.col(cut), 1).otherwise(0)).cast("int")
+    return joined.where(repeats > 0).select(*[f"`{c}`" for c in docs.columns], F.explode(F.sequence(F.lit(1), repeats)).alias(copy_no))
 
 
 #: The same result by sorting: what the thresholds find, from running sums over each source's hash order.

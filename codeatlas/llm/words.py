@@ -18,7 +18,7 @@ BASE = 0x9E3779B97F4A7C15
 BASE_INVERSE = pow(BASE, -1, 1 << 64)
 STEP = np.uint64(0xD6E8FEB86659FD93)
 _powers: dict[str, np.ndarray] = {}
-SLICE = 1 << 22
+SLICE = 1 << 19
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -87,10 +87,30 @@ def hash_of(begin: np.ndarray, end: np.ndarray, sums: np.ndarray) -> np.ndarray:
 
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the lower-cased words `[^\\x20\\x09-\\x0D]+` of each text, and where each text's words begin."""
+    if len(offsets) == 2 and len(data) > 2 * SLICE:  # one long text: worked in parts, cut between words
+        hashes = np.concatenate([word_hashes(part, np.array([0, len(part)]))[0] for part in parts_of(data, SPACE)])
+        return hashes, np.array([0, len(hashes)])
     begin, end, first, sums = tokens(data, offsets)
     return hash_of(begin, end, sums), first
 
 
+def parts_of(data: np.ndarray, between: np.ndarray) -> list[np.ndarray]:
+    """A long text in parts of about SLICE bytes, cut where a byte of `between` stands; a word without end stays whole."""
+    cuts, at = [0], 0
+    while len(data) - at > 2 * SLICE:
+        here = at + SLICE
+        while here < len(data):
+            stop = np.flatnonzero(between[data[here : here + 4096]])
+            if len(stop):
+                here += int(stop[0])
+                break
+            here += 4096
+        at = min(here, len(data))
+        cuts.append(at)
+    cuts.append(len(data))
+    return [data[a:b] for a, b in zip(cuts, cuts[1:], strict=False) if b > a]
+
+
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> list[np.ndarray]:
     """The sorted distinct hashes of each text's k-word shingles; all words as one if there are fewer."""
     hashes, first = word_hashes(data, offsets)
