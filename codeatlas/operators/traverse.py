@@ -7,7 +7,6 @@ folder. Positions are numbered by the frontier, never by sorting a level in one
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -112,38 +111,43 @@ def route(edges: DataFrame, start, max_depth: int = 6, max_steps: int = 200) ->
     return steps
 
 
+#: Nodes whose children a depth-first walk asks for at once.
+BATCH = 256
+
+
 def route_depth_first(edges: DataFrame, start, max_depth: int = 6, max_steps: int = 200) -> DataFrame:
     """The route in depth: a node is claimed when its turn comes, and not again even if it came at the limit.
 
-    The order is sequential by nature, so one task walks it; only the children of nodes within max_depth hops
-    reach it, each with its first max_steps children, which is all a walk of max_steps can use.
+    The order is sequential by nature, so the driver keeps the stack, and Spark is asked for the children of the
+    BATCH nodes next on it. A walk claims at most max_steps nodes, so of each node no more than its first max_steps
+    children are ever read; the graph itself is never gathered.
     """
     max_depth, max_steps = min(max(max_depth, 0), 64), min(max(max_steps, 1), 100_000)
-    kind = edges.schema["src"].dataType.simpleString()
-    near, _ = subgraph(edges, start, max_depth, "downstream", 1 << 62)
+    spark, kind = edges.sparkSession, edges.schema["src"].dataType.simpleString()
+    adj = settle(children_of(edges).where("node <> next"), "children")
     own = Window.partitionBy("node").orderBy("rank")
-    # a walk claims at most max_steps nodes, so later children of a node are never reached before the end
-    kids = children_of(edges).join(sided(settle(near.select("node"))), "node", "left_semi").withColumn("r", F.row_number().over(own)).where(F.col("r") <= max_steps)
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        kids_of: dict = {}
-        for a, b in pdf.sort_values(["node", "r"])[["node", "next"]].itertuples(index=False):
-            if a != b:  # also the seed row
-                kids_of.setdefault(a, []).append(b)
-        stack, seen, out = [(start, 0, 0)], set(), []
-        while stack and len(out) < max_steps:
-            node, parent, depth = stack.pop()
-            if node in seen:
-                continue
-            seen.add(node)
-            out.append((len(out) + 1, parent, depth, node))
-            if depth < max_depth:
-                mine = len(out)
-                stack += [(k, mine, depth + 1) for k in reversed(kids_of.get(node, []))]
-        return pd.DataFrame(out, columns=["step", "parent", "depth", "node"])
-
-    seed = edges.sparkSession.createDataFrame([(start, start, 0)], f"node {kind}, next {kind}, r int")
-    return kids.select("node", "next", "r").unionByName(seed).groupBy().applyInPandas(walk, f"step long, parent long, depth int, node {kind}")
+    known: dict = {}
+
+    def fetch(nodes: list) -> None:
+        asked = F.broadcast(spark.createDataFrame([(n,) for n in nodes], f"node {kind}"))  # BATCH rows
+        rows = adj.join(asked, "node", "left_semi").withColumn("r", F.row_number().over(own)).where(F.col("r") <= max_steps)
+        known.update((n, []) for n in nodes)
+        for row in rows.orderBy("node", "r").select("node", "next").toLocalIterator():
+            known[row["node"]].append(row["next"])
+
+    stack, seen, out = [(start, 0, 0)], set(), []
+    while stack and len(out) < max_steps:
+        node, parent, depth = stack.pop()
+        if node in seen:
+            continue
+        seen.add(node)
+        out.append((len(out) + 1, parent, depth, node))
+        if depth < max_depth:
+            if node not in known:
+                ahead = dict.fromkeys(n for n, _, d in reversed(stack[-4 * BATCH :]) if d < max_depth and n not in known and n not in seen)
+                fetch([node, *list(ahead)[: BATCH - 1]])
+            stack += [(k, len(out), depth + 1) for k in reversed(known[node])]
+    return spark.createDataFrame(out, f"step long, parent long, depth int, node {kind}")
 
 
 def fold(steps: DataFrame, dropped: DataFrame, keep_names: bool = True) -> DataFrame:

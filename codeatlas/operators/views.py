@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeatlas.functions.exprs import ellipsis_right, xml_escape
+from codeatlas.functions.tables import settle
+
+#: Characters that a Mermaid label can't hold.
+MERMAID_MARKS = "\"()<>[]#{}|;\\"
 
 
 def layer_page(steps: DataFrame, shown: int = 0, page: int = 15) -> DataFrame:
@@ -57,17 +61,21 @@ def swimlane(steps: DataFrame, most: int = 400, char: float = 7.2, pad: float =
 
 
 def swimlane_svg(steps: DataFrame, row: float = 56.0) -> DataFrame:
-    """One row: a self-contained SVG of the swimlane."""
+    """part, ord, line: a self-contained SVG of the swimlane's first steps, one element a row.
+
+    Arrows within a lane or to the next one are straight, farther ones curved.
+    """
     lanes, cells, arrows = swimlane(steps)
     labelled = cells.join(steps.select("step", "label"), "step")
-    boxes = labelled.select("step", F.format_string('<g><rect x="%.1f" y="%.1f" width="%.1f" height="32" rx="4"/><text x="%.1f" y="%.1f">%s</text></g>', "x", F.col("lane") * row, "width", F.col("x") + 8.0, F.col("lane") * row + 20.0, xml_escape(ellipsis_right(F.col("label"), 60))).alias("s"))
-    y = cells.select(F.col("step").alias("k"), (F.col("lane") * row + 16.0).alias("y"))
-    lines = arrows.join(y.select(F.col("k").alias("parent"), F.col("y").alias("y1")), "parent").join(y.select(F.col("k").alias("step"), F.col("y").alias("y2")), "step")
-    paths = lines.select("step", F.format_string('<path class="%s" d="M%.1f %.1f L%.1f %.1f"/>', F.when(F.col("cross_file"), "cross").otherwise("same"), "x1", "y1", "x2", "y2").alias("s"))
-    whole = lambda df, k: df.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(k, "s"))), lambda r: r["s"]), "").alias("s"))
-    names = lanes.select(F.col("lane"), F.format_string('<text class="lane" x="0" y="%.1f">%s</text>', F.col("lane") * row - 4.0, xml_escape(F.col("file").cast("string"))).alias("s"))
-    parts = whole(names, "lane").select(F.col("s").alias("a")).crossJoin(whole(paths, "step").select(F.col("s").alias("b"))).crossJoin(whole(boxes, "step").select(F.col("s").alias("c")))
-    return parts.select(F.concat(F.lit('<svg xmlns="http://www.w3.org/2000/svg">'), "a", "b", "c", F.lit("</svg>")).alias("svg"))
+    boxes = labelled.select(F.lit(3).alias("part"), F.col("step").cast("long").alias("ord"), F.format_string('<g><rect x="%.1f" y="%.1f" width="%.1f" height="32" rx="4"/><text x="%.1f" y="%.1f">%s</text></g>', "x", F.col("lane") * row, "width", F.col("x") + 8.0, F.col("lane") * row + 20.0, xml_escape(ellipsis_right(F.col("label"), 60))).alias("line"))
+    y = cells.select(F.col("step").alias("k"), F.col("lane").alias("l"), (F.col("lane") * row + 16.0).alias("y"))
+    ends = arrows.join(y.select(F.col("k").alias("parent"), F.col("l").alias("l1"), F.col("y").alias("y1")), "parent").join(y.select(F.col("k").alias("step"), F.col("l").alias("l2"), F.col("y").alias("y2")), "step")
+    style, mid = F.when(F.col("cross_file"), "cross").otherwise("same"), (F.col("x1") + F.col("x2")) / 2
+    straight = F.format_string('<path class="%s" d="M%.1f %.1f L%.1f %.1f"/>', style, "x1", "y1", "x2", "y2")
+    curved = F.format_string('<path class="%s" d="M%.1f %.1f C%.1f %.1f %.1f %.1f %.1f %.1f"/>', style, "x1", "y1", mid, "y1", mid, "y2", "x2", "y2")
+    paths = ends.select(F.lit(2).alias("part"), F.col("step").cast("long").alias("ord"), F.when(F.abs(F.col("l1") - F.col("l2")) > 1, curved).otherwise(straight).alias("line"))
+    names = lanes.select(F.lit(1).alias("part"), F.col("lane").cast("long").alias("ord"), F.format_string('<text class="lane" x="0" y="%.1f">%s</text>', F.col("lane") * row - 4.0, xml_escape(F.col("file").cast("string"))).alias("line"))
+    return _lines(steps.sparkSession, [(0, 0, '<svg xmlns="http://www.w3.org/2000/svg">'), (4, 0, "</svg>")]).unionByName(names).unionByName(paths).unionByName(boxes)
 
 
 def grid(nodes: DataFrame, width: float, height: float) -> DataFrame:
@@ -79,42 +87,90 @@ def grid(nodes: DataFrame, width: float, height: float) -> DataFrame:
 
 
 def trimmed_bounds(points: DataFrame, share: float = 0.02) -> DataFrame:
-    """x0, x1, y0, y1 without the outer share of points on each axis, when there are ten or more."""
+    """x0, x1, y0, y1 without the outer share of points on each axis, when there are ten or more.
+
+    Ranks are counted over the distinct values of an axis, so points are summed before they are ordered.
+    """
     n = points.count()
     cut = int(share * n) if n >= 10 else 0
-    at = lambda c, k: F.element_at(F.array_sort(F.collect_list(c)), k)
-    return points.agg(at("x", cut + 1).alias("x0"), at("x", -cut - 1).alias("x1"), at("y", cut + 1).alias("y0"), at("y", -cut - 1).alias("y1"))
-
-
-def _lines(df: DataFrame, by: str) -> DataFrame:
-    return df.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(by, "s"))), lambda r: r["s"]), "").alias("s"))
+    out = None
+    for c in ("x", "y"):
+        sums = points.groupBy(F.col(c).alias("v")).agg(F.count("*").alias("n"))
+        upto = sums.withColumn("below", F.sum("n").over(Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)))
+        kept = upto.where((F.col("below") > cut) & (F.col("below") - F.col("n") < n - cut))
+        ends = kept.agg(F.min("v").alias(f"{c}0"), F.max("v").alias(f"{c}1"))
+        out = ends if out is None else out.crossJoin(ends)  # one row each
+    return out
 
 
 def _quoted(c: Column) -> Column:
     return F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
 
 
+def _lines(spark, fixed: list[tuple[int, int, str]]) -> DataFrame:
+    return spark.createDataFrame(fixed, "part int, ord long, line string")
+
+
 def to_dot(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """One row: the graph as DOT; external nodes dashed, approximate edges dotted, quotes escaped.
+    """part, ord, line: the graph as DOT, one line a row; external nodes dashed, approximate edges dotted, quotes escaped.
 
-    nodes: id, name, external, node_ord; edges: src, dst, kind, precision, edge_ord.
+    nodes: id, name, external, node_ord; edges: src, dst, kind, precision, edge_ord. The text is the lines in the
+    order of (part, ord): `assembled` joins those of a bounded graph, larger ones are written sorted.
     """
-    n = nodes.select("node_ord", F.concat(F.lit('  "'), _quoted(F.col("id")), F.lit('" [label="'), _quoted(F.col("name")), F.lit('"'), F.when(F.col("external"), ", style=dashed").otherwise(""), F.lit("];\n")).alias("s"))
-    e = edges.select("edge_ord", F.concat(F.lit('  "'), _quoted(F.col("src")), F.lit('" -> "'), _quoted(F.col("dst")), F.lit('" [label="'), F.col("kind"), F.lit('"'), F.when(F.col("precision") == "approx", ", style=dotted").otherwise(""), F.lit("];\n")).alias("s"))
-    return _lines(n, "node_ord").select(F.col("s").alias("a")).crossJoin(_lines(e, "edge_ord")).select(F.concat(F.lit("digraph G {\n  rankdir=LR;\n"), "a", "s", F.lit("}\n")).alias("content"))
+    n = nodes.select(F.lit(1).alias("part"), F.col("node_ord").cast("long").alias("ord"), F.concat(F.lit('  "'), _quoted(F.col("id")), F.lit('" [label="'), _quoted(F.col("name")), F.lit('"'), F.when(F.col("external"), ", style=dashed").otherwise(""), F.lit("];")).alias("line"))
+    e = edges.select(F.lit(2).alias("part"), F.col("edge_ord").cast("long").alias("ord"), F.concat(F.lit('  "'), _quoted(F.col("src")), F.lit('" -> "'), _quoted(F.col("dst")), F.lit('" [label="'), F.col("kind"), F.lit('"'), F.when(F.col("precision") == "approx", ", style=dotted").otherwise(""), F.lit("];")).alias("line"))
+    return _lines(nodes.sparkSession, [(0, 0, "digraph G {"), (0, 1, "  rankdir=LR;"), (3, 0, "}")]).unionByName(n).unionByName(e)
+
+
+def numbered_nodes(nodes: DataFrame) -> DataFrame:
+    """nodes with place, from 0, by node_ord: numbered within ranges of the order, whose sizes are summed first."""
+    spread = nodes.repartitionByRange("node_ord").withColumn("range", F.spark_partition_id())
+    spread = settle(spread, "ranges")
+    sizes = spread.groupBy("range").agg(F.count("*").alias("n"))
+    before = sizes.select("range", F.coalesce(F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    own = Window.partitionBy("range").orderBy("node_ord")
+    return spread.join(F.broadcast(before), "range").withColumn("place", F.col("before") + F.row_number().over(own) - 1).drop("range", "before")  # one row a range
 
 
 def to_mermaid(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """One row: the graph as Mermaid, nodes aliased n0, n1, ... by node order; marks in labels become _."""
-    alias = nodes.withColumn("k", F.concat(F.lit("n"), (F.row_number().over(Window.orderBy("node_ord")) - 1).cast("string")))
-    label = F.translate("name", "[](){}<>\"|#;`", "_" * 13)
-    n = alias.select("node_ord", F.concat(F.lit("  "), "k", F.lit('["'), label, F.lit('"]\n')).alias("s"))
+    """part, ord, line: the graph as Mermaid, nodes aliased n0, n1, ... by node order; marks in labels become _."""
+    alias = settle(numbered_nodes(nodes).withColumn("k", F.concat(F.lit("n"), F.col("place").cast("string"))), "aliases")
+    label = F.translate("name", MERMAID_MARKS, "_" * len(MERMAID_MARKS))
+    n = alias.select(F.lit(1).alias("part"), F.col("node_ord").cast("long").alias("ord"), F.concat(F.lit("  "), "k", F.lit('["'), label, F.lit('"]')).alias("line"))
     e = edges.join(alias.select(F.col("id").alias("src"), F.col("k").alias("a")), "src").join(alias.select(F.col("id").alias("dst"), F.col("k").alias("b")), "dst")
-    e = e.select("edge_ord", F.concat(F.lit("  "), "a", F.when(F.col("precision") == "approx", F.lit(" -.->|")).otherwise(F.lit(" -->|")), "kind", F.lit("| "), "b", F.lit("\n")).alias("s"))
-    return _lines(n, "node_ord").select(F.col("s").alias("a")).crossJoin(_lines(e, "edge_ord")).select(F.concat(F.lit("graph LR\n"), "a", "s").alias("content"))
+    e = e.select(F.lit(2).alias("part"), F.col("edge_ord").cast("long").alias("ord"), F.concat(F.lit("  "), "a", F.lit(" -->|"), "kind", F.lit("| "), "b").alias("line"))
+    return _lines(nodes.sparkSession, [(0, 0, "graph LR")]).unionByName(n).unionByName(e)
+
+
+#: The keys of a node and of an edge in JSON, with their columns.
+NODE_KEYS = {"id": "id", "kind": "kind", "name": "name", "file": "file", "line": "line", "column": "column", "module": "module", "detail": "detail", "precision": "precision", "external": "external", "declaration": "declaration", "bodyLines": "body_lines", "apiHeader": "api_header", "apiLine": "api_line", "inDegree": "in_degree", "outDegree": "out_degree"}
+EDGE_KEYS = {"from": "src", "to": "dst", "kind": "kind", "precision": "precision", "file": "file", "line": "line"}
+
+
+def _json(df: DataFrame, keys: dict[str, str] | None, order: str) -> Column:
+    """A row as JSON; null columns are left out."""
+    keys = {k: c for k, c in keys.items() if c in df.columns} if keys else {c: c for c in df.columns if c != order}
+    return F.to_json(F.struct(*[F.col(c).alias(k) for k, c in keys.items()]))
+
+
+def to_json(nodes: DataFrame, edges: DataFrame, *, named: bool = False) -> DataFrame:
+    """part (1 nodes, 2 edges), ord, line: one JSON object a row, of all columns but the orders.
+
+    named: with the keys of NODE_KEYS and EDGE_KEYS instead, as far as there are columns for them.
+    """
+    n = nodes.select(F.lit(1).alias("part"), F.col("node_ord").cast("long").alias("ord"), _json(nodes, NODE_KEYS if named else None, "node_ord").alias("line"))
+    e = edges.select(F.lit(2).alias("part"), F.col("edge_ord").cast("long").alias("ord"), _json(edges, EDGE_KEYS if named else None, "edge_ord").alias("line"))
+    return n.unionByName(e)
+
+
+def assembled(lines: DataFrame, most: int = 20_000) -> str:
+    """The text of at most `most` lines; more raise an error: write them with write_lines instead."""
+    rows = lines.orderBy("part", "ord").limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} lines: write them with write_lines")
+    return "\n".join(r.line for r in rows) + "\n"
 
 
-def to_json(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """One row: {"nodes": [...], "edges": [...]} in node and edge order, all columns but the orders."""
-    part = lambda df, by: df.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(by, F.to_json(F.struct(*[c for c in df.columns if c != by])).alias("j")))), lambda r: r["j"]), ",").alias("s"))
-    return part(nodes, "node_ord").select(F.col("s").alias("a")).crossJoin(part(edges, "edge_ord")).select(F.concat(F.lit('{"nodes":['), "a", F.lit('],"edges":['), "s", F.lit("]}")).alias("content"))
+def write_lines(lines: DataFrame, path: str) -> None:
+    """Text files whose names and lines follow the order of the lines."""
+    lines.repartitionByRange("part", "ord").sortWithinPartitions("part", "ord").select("line").write.text(path)

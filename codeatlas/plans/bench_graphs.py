@@ -28,9 +28,9 @@ def hops(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.where(F.col("dst").isNotNull() & (F.col("dst") != F.col("src")))
 
 
-def errors(spark: SparkSession, sf_dir: str, above: int = 100) -> DataFrame:
-    """H1 (above 100) and H2 (above 200): the sparse graphs, one edge for each pair."""
-    h = hops(spark, sf_dir).where((F.col("kind") == "error") & (F.col("value") > above))
+def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """H1: one edge for each pair of users that some hop joins, whatever its kind."""
+    h = hops(spark, sf_dir)
     return h.groupBy("src", "dst").agg(F.min("line").alias("line")).select("src", "dst", F.lit("calls").alias("kind"), "line", F.col("line").alias("ord"))
 
 
@@ -49,9 +49,9 @@ def symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def references(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """R and the symbols it refers to: those of part sizes up to 4."""
+    """R and the symbols it refers to, one for each part."""
     part = table(spark, sf_dir, "part")
-    small = part.where("p_size <= 4").select(F.col("p_partkey").alias("occ_id"), F.lit("function").alias("kind"), F.concat_ws("::", "p_brand", "p_name").alias("qualified"), F.col("p_name").alias("simple"))
+    small = part.select(F.col("p_partkey").alias("occ_id"), F.lit("function").alias("kind"), F.concat_ws("::", "p_brand", "p_name").alias("qualified"), F.col("p_name").alias("simple"))
     name = F.when(F.col("l_orderkey") % 7 == 0, "zz::nope").when(F.col("l_orderkey") % 5 == 0, F.concat(F.lit("bogus::"), "p_name")).otherwise(F.concat_ws("::", "p_brand", "p_name"))
     rows = table(spark, sf_dir, "lineitem").join(part, F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_suppkey").alias("ref_id"), name.alias("name")).distinct()
     return rows, small
@@ -69,10 +69,11 @@ def supply(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 
 def includes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Include rows and files: brands are folders, part names are headers."""
+    """Include rows and files: brands are folders, part names are headers in the first of their brands."""
     p = table(spark, sf_dir, "part")
-    path = F.concat(F.translate("p_brand", "#", "_"), F.lit("/"), F.translate("p_name", " ", "_"), F.lit(".h"))
-    files = p.where("p_size <= 25").select(path.alias("path")).distinct()
+    named = lambda brand: F.concat(F.translate(brand, "#", "_"), F.lit("/"), F.translate("p_name", " ", "_"), F.lit(".h"))
+    path = named("p_brand")
+    files = p.groupBy("p_name").agg(F.min("p_brand").alias("brand")).select(named("brand").alias("path"))
     target = (
         F.when(F.col("p_partkey") % 5 == 0, F.concat(F.translate("p_name", " ", "_"), F.lit(".h")))
         .when(F.col("p_partkey") % 5 == 1, F.concat(F.lit("../"), path))
@@ -85,9 +86,23 @@ def includes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 
 def file_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Users as files of 40 modules; edges of H2 as includes; modules 0 to 9 are public."""
-    edges = errors(spark, sf_dir, 200).select("src", "dst", F.lit("includes").alias("kind"), "line", "ord")
+    """Users as files of 40 modules; edges of H1 as includes; modules 0 to 9 are public."""
+    edges = pairs(spark, sf_dir).select("src", "dst", F.lit("includes").alias("kind"), "line", "ord")
     users = table(spark, sf_dir, "events").select(F.col("user_id").alias("id")).distinct()
     module = F.when(F.col("id") % 40 < 10, F.concat(F.lit("include/m"), (F.col("id") % 40).cast("string"))).otherwise(F.concat(F.lit("src/m"), (F.col("id") % 40).cast("string")))
     nodes = users.select("id", F.lit("file").alias("kind"), F.concat(module, F.lit("/u"), F.col("id").cast("string"), F.when(F.col("id") % 2 == 0, ".h").otherwise(".cpp")).alias("file"), module.alias("module"), F.lit(False).alias("external"))
     return nodes, edges.join(nodes.select(F.col("id").alias("src"), "file"), "src")
+
+
+def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Source files made of `part`: fifty parts a file, each part a function that calls the next part's.
+
+    Every function takes five lines after the five lines at the top of its file.
+    """
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.floor(F.col("p_partkey") / 50).alias("f"), F.col("p_size").alias("z"))
+    number = lambda c: c.cast("long").cast("string")
+    callee = F.when(F.col("z") % 10 == 0, F.concat(F.lit("gone_"), number(F.col("z")))).otherwise(F.concat(F.lit("part_"), number(F.col("k") + 1)))
+    body = F.concat(F.lit("int part_"), number(F.col("k")), F.lit("(int x) {\n  /* old_call(x); */ log(\"no_call(x)\");\n  "), callee, F.lit("(x);\n  return LIMIT;\n}\n"))
+    files = p.groupBy("f").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", body.alias("b")))), lambda x: x["b"]), "").alias("body"))  # fifty rows a file
+    head = F.concat(F.lit("// generated\n#include \"f"), number(F.col("f") + 1), F.lit(".cpp\"\n#include <vector>\n#define LIMIT 9\n\n"))
+    return files.select(F.concat(F.lit("gen/f"), number(F.col("f")), F.lit(".cpp")).alias("path"), F.concat(head, "body").alias("content"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from codeatlas.functions import exprs
 from codeatlas.functions.tables import settle, table
-from codeatlas.operators import checks, graph, traverse, views
+from codeatlas.operators import build, checks, extract, graph, traverse, views
 from codeatlas.plans import bench_graphs as g
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -17,18 +17,17 @@ SQL: dict[str, str] = {}
 
 H = """hops AS (SELECT user_id AS src, lead(user_id) OVER (ORDER BY ts, event_id) AS dst, event_type AS kind, event_id AS line, value FROM events),
 h AS (SELECT * FROM hops WHERE dst IS NOT NULL AND dst <> src)"""
-H1 = H + ", h1 AS (SELECT src, dst, min(line) AS line FROM h WHERE kind = 'error' AND value > 100 GROUP BY ALL)"
-H2 = H + ", h2 AS (SELECT src, dst, min(line) AS line FROM h WHERE kind = 'error' AND value > 200 GROUP BY ALL)"
+H1 = H + ", h1 AS (SELECT src, dst, min(line) AS line FROM h GROUP BY ALL)"
 START = "(SELECT src FROM h1 GROUP BY src ORDER BY count(*) DESC, src LIMIT 1)"
 FILES = """, u AS (SELECT DISTINCT user_id AS id FROM events), f AS (SELECT id, (CASE WHEN id % 40 < 10 THEN 'include/m' ELSE 'src/m' END) || (id % 40)::VARCHAR AS module FROM u),
 fn AS (SELECT id, module, module || '/u' || id::VARCHAR || CASE WHEN id % 2 = 0 THEN '.h' ELSE '.cpp' END AS file FROM f)"""
-ARCS = H2 + FILES + """, e AS (SELECT h2.*, a.module AS m1, b.module AS m2, a.file, b.file AS to_file FROM h2 JOIN fn a ON a.id = src JOIN fn b ON b.id = dst),
+ARCS = H1 + FILES + """, e AS (SELECT h1.*, a.module AS m1, b.module AS m2, a.file, b.file AS to_file FROM h1 JOIN fn a ON a.id = src JOIN fn b ON b.id = dst),
 arcs AS (SELECT m1 AS src, m2 AS dst, count(*) AS n, arg_min(struct_pack(file := file, line := line), (CASE WHEN file LIKE '%.h' THEN 0 ELSE 1 END)::BIGINT * 1000000000000 + line) AS r FROM e WHERE m1 <> m2 GROUP BY ALL)"""
 REACH = ", reach(a, b) AS (SELECT src, dst FROM arcs UNION SELECT reach.a, arcs.dst FROM reach JOIN arcs ON reach.b = arcs.src), scc AS (SELECT r.a AS node, least(min(r.b), r.a) AS component FROM reach r JOIN reach q ON r.a = q.b AND r.b = q.a WHERE r.a <> r.b GROUP BY r.a)"
 SUPPLY = """fnodes AS (SELECT 'customer:' || c_custkey AS id, 'customer' AS kind FROM customer UNION ALL SELECT 'nation:' || n_nationkey, 'nation' FROM nation UNION ALL SELECT 'region:' || r_regionkey, 'region' FROM region UNION ALL SELECT 'supplier:' || s_suppkey, 'supplier' FROM supplier),
 fedges AS (SELECT 'customer:' || c_custkey AS src, 'nation:' || c_nationkey AS dst, 'lives' AS kind FROM customer UNION ALL SELECT 'supplier:' || s_suppkey, 'nation:' || s_nationkey, 'lives' FROM supplier
 UNION ALL SELECT 'nation:' || n_nationkey, 'region:' || n_regionkey, 'within' FROM nation UNION ALL SELECT 'order:' || o_orderkey, 'customer:' || o_custkey, 'placed' FROM orders)"""
-REFS = """s AS (SELECT p_partkey AS occ_id, p_brand || '::' || p_name AS qualified, p_name AS simple FROM part WHERE p_size <= 4),
+REFS = """s AS (SELECT p_partkey AS occ_id, p_brand || '::' || p_name AS qualified, p_name AS simple FROM part),
 r AS (SELECT DISTINCT l_suppkey AS ref_id, CASE WHEN l_orderkey % 7 = 0 THEN 'zz::nope' WHEN l_orderkey % 5 = 0 THEN 'bogus::' || p_name ELSE p_brand || '::' || p_name END AS name FROM lineitem JOIN part ON l_partkey = p_partkey),
 m AS (SELECT n.name, occ_id, 0 AS tier FROM (SELECT DISTINCT name FROM r) n JOIN s ON s.qualified = n.name UNION ALL SELECT n.name, occ_id, 1 FROM (SELECT DISTINCT name FROM r) n JOIN s ON s.simple = split_part(n.name, '::', -1)),
 b AS (SELECT name, tier, count(*) AS n_hits, CASE WHEN count(*) <= 3 THEN list(DISTINCT occ_id ORDER BY occ_id) END AS hits FROM m GROUP BY name, tier QUALIFY row_number() OVER (PARTITION BY name ORDER BY tier) = 1),
@@ -67,7 +66,7 @@ def node_degrees(spark, d):
 
 @query(f"WITH {H1}, ends AS (SELECT user_id AS id, 0 AS i, 0 AS o FROM events UNION ALL SELECT src, 0, 1 FROM h1 UNION ALL SELECT dst, 1, 0 FROM h1) SELECT id, sum(i)::BIGINT AS in_degree, sum(o)::BIGINT AS out_degree FROM ends GROUP BY id")
 def view_degrees(spark, d):
-    return graph.degrees(g.errors(spark, d), table(spark, d, "events").select(F.col("user_id").alias("id")).distinct())
+    return graph.degrees(g.pairs(spark, d), table(spark, d, "events").select(F.col("user_id").alias("id")).distinct())
 
 
 @query(f"WITH {H} SELECT kind, count(*) AS n_edges, count(DISTINCT (src, dst)) AS n_distinct FROM h GROUP BY kind")
@@ -75,7 +74,7 @@ def stats_kind_counts(spark, d):
     return graph.kind_counts(g.hops(spark, d))
 
 
-@query(f"WITH {H2}{FILES} SELECT module, count(*) AS n_files FROM fn GROUP BY module ORDER BY n_files DESC, module LIMIT 12")
+@query(f"WITH {H1}{FILES} SELECT module, count(*) AS n_files FROM fn GROUP BY module ORDER BY n_files DESC, module LIMIT 12")
 def architecture_top_dirs(spark, d):
     return graph.top_modules(g.file_graph(spark, d)[0], 12)
 
@@ -87,7 +86,7 @@ def architecture_edges(spark, d):
 
 @query(f"WITH {H1}{FILES}, k AS (SELECT id, 'dir:' || split_part(module, '/', 1) AS grp FROM fn) SELECT a.grp AS src, b.grp AS dst, min(line) AS ord FROM h1 JOIN k a ON a.id = src JOIN k b ON b.id = dst WHERE a.grp <> b.grp GROUP BY ALL")
 def cluster_by_module(spark, d):
-    return graph.cluster(g.file_graph(spark, d)[0], g.errors(spark, d))[1].select("src", "dst", "ord")
+    return graph.cluster(g.file_graph(spark, d)[0], g.pairs(spark, d))[1].select("src", "dst", "ord")
 
 
 @query("""WITH o AS (SELECT p_brand || '::' || p_name AS id, p_name AS name, p_brand AS file, p_partkey AS k, p_size AS z, CASE WHEN p_size % 3 = 0 THEN '' ELSE p_type END AS sig FROM part)
@@ -118,7 +117,7 @@ def external_nodes(spark, d):
     return graph.externals(_resolved(spark, d))
 
 
-@query("""WITH p AS (SELECT *, replace(p_brand, '#', '_') AS dir, replace(p_name, ' ', '_') AS base FROM part), f AS (SELECT DISTINCT dir || '/' || base || '.h' AS path, lower(base || '.h') AS base FROM p WHERE p_size <= 25),
+@query("""WITH p AS (SELECT *, replace(p_brand, '#', '_') AS dir, replace(p_name, ' ', '_') AS base FROM part), f AS (SELECT replace(min(p_brand), '#', '_') || '/' || base || '.h' AS path, lower(base || '.h') AS base FROM p GROUP BY p_name, base),
 i AS (SELECT p_partkey AS inc_id, CASE WHEN p_partkey % 2 = 0 THEN dir ELSE 'app' END AS home, CASE p_partkey % 5 WHEN 0 THEN base || '.h' WHEN 1 THEN '../' || dir || '/' || base || '.h' WHEN 2 THEN base || '.h' WHEN 3 THEN dir || '/' || base || '.h' ELSE 'none/' || base || '.hpp' END AS t FROM p),
 j AS (SELECT inc_id, t, CASE WHEN t LIKE '../%' THEN substr(t, 4) ELSE home || '/' || t END AS c1, 'Brand_11/' || t AS c2 FROM i),
 x AS (SELECT inc_id, t, CASE WHEN c1 IN (SELECT path FROM f) THEN c1 WHEN t LIKE '../%' AND substr(t, 4) IN (SELECT path FROM f) THEN substr(t, 4) WHEN c2 IN (SELECT path FROM f) THEN c2 END AS exact FROM j),
@@ -134,11 +133,11 @@ def referential_integrity(spark, d):
     return graph.valid_edges(edges, nodes).select("src", "dst", "kind")
 
 
-@query("SELECT p_name AS target, p_brand || '/' || p_name || '.c' AS source FROM part WHERE p_size <= 10 GROUP BY ALL")
+@query("SELECT p_name AS target, p_brand || '/' || p_name || '.c' AS source FROM part GROUP BY ALL")
 def target_sources(spark, d):
     from codeatlas.sources.build_script import target_sources as match
 
-    p = table(spark, d, "part").where("p_size <= 10")
+    p = table(spark, d, "part")
     files = p.select(F.concat(F.col("p_brand"), F.lit("/"), F.col("p_name"), F.lit(".c")).alias("path")).distinct()
     named = p.select(F.col("p_name").alias("target"), F.concat(F.col("p_name"), F.lit(".c")).alias("listed")).distinct()
     return match(named, files)
@@ -167,18 +166,70 @@ def node_at_cursor(spark, d):
     return graph.innermost_at(points.distinct(), syms.distinct())
 
 
+@query("""WITH p AS (SELECT DISTINCT conv_id, turn FROM conversations), n AS (SELECT DISTINCT conv_id, turn, role FROM conversations)
+SELECT a.conv_id || ':' || a.turn AS point_id, coalesce('func:' || a.conv_id || ':' || max(b.turn) FILTER (role = 'user'), 'class:' || a.conv_id || ':' || max(b.turn) FILTER (role <> 'user'), 'file:' || a.conv_id) AS id
+FROM p a LEFT JOIN n b ON a.conv_id = b.conv_id AND b.turn <= a.turn GROUP BY a.conv_id, a.turn""")
+def enclosing_function(spark, d):
+    points = _points(spark, d)[0].distinct()
+    c = table(spark, d, "conversations").select(F.col("conv_id").alias("file"), F.col("turn").alias("line"), F.when(F.col("role") == "user", "function").otherwise("class").alias("kind")).distinct()
+    named = F.concat_ws(":", F.when(F.col("kind") == "function", "func").otherwise("class"), F.col("file").cast("string"), F.col("line").cast("string"))
+    return build.enclosing_function(points, c.select(named.alias("id"), "kind", "file", "line", F.col("line").alias("node_ord")))
+
+
+SOURCES = """p AS (SELECT p_partkey AS k, floor(p_partkey / 50)::BIGINT AS f, p_size AS z, 'gen/f' || floor(p_partkey / 50)::BIGINT || '.cpp' AS file FROM part),
+src AS (SELECT *, row_number() OVER (PARTITION BY f ORDER BY k) - 1 AS i, CASE WHEN z % 10 = 0 THEN 'gone_' || z ELSE 'part_' || (k + 1) END AS callee FROM p)"""
+
+
+@query(f"""WITH {SOURCES} SELECT 'func:part_' || k AS id, 'function' AS kind, file, (6 + 5 * i)::INT AS line, FALSE AS declaration, 5 AS body_lines, 'int part_' || k || '(int x)' AS signature FROM src
+UNION ALL SELECT DISTINCT 'macro:LIMIT', 'macro', file, 1, FALSE, 0, '' FROM src""")
+def symbols_scan(spark, d):
+    return extract.extract(g.sources(spark, d))[0].select("id", "kind", "file", "line", "declaration", "body_lines", "signature")
+
+
+@query(f"""WITH {SOURCES} SELECT 'func:part_' || k AS from_id, callee AS name, 'calls' AS kind, file, (8 + 5 * i)::INT AS line FROM src UNION ALL SELECT 'func:part_' || k, 'log', 'calls', file, (7 + 5 * i)::INT FROM src
+UNION ALL SELECT DISTINCT 'file:' || file, 'LIMIT', 'refs', file, 9 FROM src""")
+def calls_scan(spark, d):
+    return extract.extract(g.sources(spark, d))[1].select("from_id", "name", "kind", "file", "line")
+
+
+@query(f"WITH {SOURCES} SELECT DISTINCT file, 'f' || (f + 1) || '.cpp' AS target, 2 AS line FROM src UNION ALL SELECT DISTINCT file, 'vector', 3 FROM src")
+def includes_scan(spark, d):
+    return extract.extract(g.sources(spark, d))[2].select("file", "target", "line")
+
+
+@query(f"""WITH {SOURCES}, e AS (SELECT DISTINCT 'file:' || file AS src, CASE WHEN f + 1 IN (SELECT f FROM p) THEN 'file:gen/f' || (f + 1) || '.cpp' ELSE 'ext:file:f' || (f + 1) || '.cpp' END AS dst, 'includes' AS kind, CASE WHEN f + 1 IN (SELECT f FROM p) THEN 'exact' ELSE 'approx' END AS precision, 2 AS line FROM src
+UNION ALL SELECT DISTINCT 'file:' || file, 'ext:file:vector', 'includes', 'approx', 3 FROM src UNION ALL SELECT 'func:part_' || k, CASE WHEN z % 10 <> 0 AND k + 1 IN (SELECT k FROM p) THEN 'func:' || callee ELSE 'ext:function:' || callee END, 'calls', 'approx', (8 + 5 * i)::INT FROM src
+UNION ALL SELECT 'func:part_' || k, 'ext:function:log', 'calls', 'approx', (7 + 5 * i)::INT FROM src UNION ALL SELECT DISTINCT 'file:' || file, CASE WHEN (SELECT count(DISTINCT f) FROM p) > 3 THEN 'ext:function:LIMIT' ELSE 'macro:LIMIT' END, 'refs', 'approx', 9 FROM src)
+SELECT * FROM e""")
+def graph_build(spark, d):
+    files = settle(g.sources(spark, d), "sources")
+    return build.build(files, *extract.extract(files), include_external=True)[1].select("src", "dst", "kind", "precision", "line")
+
+
+@query(f"""WITH {SOURCES}, c AS (SELECT 'file:' || file AS file, 'func:part_' || k AS sym, k AS ord FROM src), e AS (SELECT 'func:part_' || k AS src, 'func:' || callee AS dst FROM src WHERE z % 10 <> 0 AND k + 1 IN (SELECT k FROM p)),
+one AS (SELECT sym AS node FROM c WHERE file = 'file:gen/f1.cpp'), two AS (SELECT dst AS node FROM e JOIN one ON node = src UNION SELECT file FROM c JOIN one ON node = sym UNION SELECT src FROM e JOIN one ON node = dst)
+SELECT 'file:gen/f1.cpp' AS node, 0 AS depth UNION ALL SELECT node, 1 FROM one UNION ALL SELECT node, 2 FROM two WHERE node NOT IN (FROM one) AND node <> 'file:gen/f1.cpp'""")
+def containment_subgraph(spark, d):
+    """The functions of one file, and what calls join to them."""
+    files = settle(g.sources(spark, d), "sources")
+    symbols, refs, includes = extract.extract(files)
+    nodes, edges, _ = build.build(files, symbols, refs, includes)
+    calls = edges.where("kind = 'calls'").select("src", "dst", "kind", "line", F.col("edge_ord").alias("ord"))
+    held = build.containment(symbols.where("kind = 'function'")).select("file", "symbol", F.struct(F.lit(0).alias("stage"), F.col("file").alias("file"), F.col("ord").alias("n"), F.lit(0).cast("long").alias("place")).alias("ord"))
+    return traverse.subgraph(calls, "file:gen/f1.cpp", 2, "both", 1 << 40, held)[0].select("node", "depth")
+
+
 @query(f"WITH {SUPPLY} SELECT DISTINCT src AS id FROM fedges WHERE dst = 'nation:7' AND src IN (SELECT id FROM fnodes)")
 def dependents(spark, d):
     nodes, edges = g.supply(spark, d)
     return graph.dependents(edges, nodes, "nation:7")
 
 
-@query(f"WITH {H} SELECT src, dst, kind, coalesce(max(line) FILTER (value > 200), max(line)) AS line FROM h WHERE kind = 'error' AND value > 100 GROUP BY ALL")
+@query(f"WITH {H} SELECT src, dst, kind, coalesce(max(line) FILTER (value > 100), max(line)) AS line FROM h GROUP BY ALL")
 def graph_merge(spark, d):
-    h = g.hops(spark, d).where("kind = 'error'").groupBy("src", "dst", "kind")
-    low = h.agg(F.max(F.when(F.col("value") > 100, F.col("line"))).alias("line")).where("line is not null")
-    high = h.agg(F.max(F.when(F.col("value") > 200, F.col("line"))).alias("line")).where("line is not null")
-    return graph.merge_graphs(low, high, ["src", "dst", "kind"])
+    h = g.hops(spark, d)
+    last = lambda cond: h.where(cond).groupBy("src", "dst", "kind").agg(F.max("line").alias("line"))
+    return graph.merge_graphs(last("value <= 100 or value is null"), last("value > 100"), ["src", "dst", "kind"])
 
 
 def _bfs(direction: str) -> str:
@@ -187,7 +238,7 @@ def _bfs(direction: str) -> str:
 
 
 def _subgraph(spark, d, direction, most=1 << 40):
-    edges = settle(g.errors(spark, d), "edges")
+    edges = settle(g.pairs(spark, d), "edges")
     return edges, *traverse.subgraph(edges, g.busiest(edges), 3, direction, most)
 
 
@@ -212,7 +263,18 @@ def subgraph_edges(spark, d):
     return traverse.induced(edges, visited).select("src", "dst", "line")
 
 
-@query()
+def _queued(levels: int, most: int) -> str:
+    """CTEs of a queue's levels over `adj` (node, next, g, o): each new node by its first finder, while fewer than most are visited."""
+    out = f", v0 AS (SELECT {START} AS node, 0::BIGINT AS pos, 0 AS depth)"
+    for k in range(1, levels + 1):
+        before = " UNION ALL ".join(f"SELECT * FROM v{i}" for i in range(k))
+        out += f""", f{k} AS (SELECT next, arg_min({{'pos': pos, 'g': g, 'o': o}}, {{'pos': pos, 'g': g, 'o': o}}) AS fst FROM v{k - 1} JOIN adj USING (node) WHERE next NOT IN (SELECT node FROM ({before})) GROUP BY next),
+        c{k} AS (SELECT fst.pos AS pos, sum(count(*)) OVER (ORDER BY fst.pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM f{k} GROUP BY fst.pos),
+        v{k} AS (SELECT next AS node, (SELECT count(*) FROM ({before})) - 1 + row_number() OVER (ORDER BY fst.pos, fst.g, fst.o, next) AS pos, {k} AS depth FROM f{k} JOIN c{k} ON c{k}.pos = fst.pos WHERE (SELECT count(*) FROM ({before})) + coalesce(before, 0) < {most})"""
+    return out + ", visited AS (" + " UNION ALL ".join(f"SELECT * FROM v{i}" for i in range(levels + 1)) + ")"
+
+
+@query(f"WITH {H1}, adj AS (SELECT src AS node, dst AS next, 1 AS g, line AS o FROM h1 UNION ALL SELECT dst, src, 2, line FROM h1){_queued(3, 20)} SELECT node, pos, depth, (SELECT count(*) FROM visited) >= 20 AS truncated FROM visited")
 def subgraph_truncated(spark, d):
     _, visited, cut = _subgraph(spark, d, "both", 20)
     return visited.withColumn("truncated", F.lit(cut))
@@ -227,14 +289,14 @@ def filter_external(spark, d):
 
 
 def _functions(spark, d):
-    edges = graph.dedup_edges(g.hops(spark, d).where("kind <> 'view'").withColumn("kind", F.lit("calls")).drop("value"))
+    edges = graph.dedup_edges(g.hops(spark, d).withColumn("kind", F.lit("calls")).drop("value"))
     users = table(spark, d, "events").select(F.col("user_id").alias("id")).distinct()
     nodes = users.select("id", F.lit("function").alias("kind"), F.when(F.col("id") % 50 == 3, "main").otherwise(F.concat(F.lit("f"), F.col("id").cast("string"))).alias("name"), (F.col("id") % 9).cast("string").alias("file"), F.col("id").alias("line"), (F.col("id") % 11 == 0).alias("external"),
         (F.col("id") % 13 == 0).alias("declaration"), (F.col("id") % 6).alias("body_lines"), F.when(F.col("id") % 4 == 0, "include/x.h").alias("api_header"), F.col("id").alias("node_ord"))
     return nodes, edges
 
 
-_CALLS = H + """, u AS (SELECT DISTINCT user_id AS id FROM events), c AS (SELECT DISTINCT src, dst FROM h WHERE kind <> 'view' AND src % 11 <> 0 AND dst % 11 <> 0),
+_CALLS = H + """, u AS (SELECT DISTINCT user_id AS id FROM events), c AS (SELECT DISTINCT src, dst FROM h WHERE src % 11 <> 0 AND dst % 11 <> 0),
 cc AS (SELECT id, (SELECT count(*) FROM c WHERE dst = id) AS callers, (SELECT count(*) FROM c WHERE src = id) AS callees FROM u WHERE id % 11 <> 0)"""
 
 
@@ -261,8 +323,20 @@ def same_name_candidates(spark, d):
     return graph.same_name_candidates(f).withColumn("candidates", F.array_join("candidates", ","))
 
 
+def walked(kids: str, start: str, depth: int, most: int) -> str:
+    """A depth-first walk as recursion over (n, stack, seen, the claimed step). kids: node, next, r."""
+    return f"""kids AS ({kids}), lists AS (SELECT node, list({{'node': next, 'r': r}} ORDER BY r DESC) AS k FROM kids GROUP BY node),
+walk(n, stack, seen, step, parent, depth, node) AS (
+  SELECT 0::BIGINT, [{{'node': {start}, 'parent': 0::BIGINT, 'depth': 0}}], []::BIGINT[], NULL::BIGINT, NULL::BIGINT, NULL::INT, NULL::BIGINT
+  UNION ALL
+  SELECT CASE WHEN fresh THEN n + 1 ELSE n END, list_concat(rest, CASE WHEN fresh AND top.depth < {depth} AND k IS NOT NULL THEN list_transform(k, lambda x: {{'node': x.node, 'parent': n + 1, 'depth': top.depth + 1}}) ELSE [] END),
+         CASE WHEN fresh THEN list_append(seen, top.node) ELSE seen END, CASE WHEN fresh THEN n + 1 END, top.parent, top.depth, top.node
+  FROM (SELECT n, stack[len(stack)] AS top, stack[1:len(stack) - 1] AS rest, seen, NOT list_contains(seen, stack[len(stack)].node) AS fresh FROM walk WHERE len(stack) > 0 AND n < {most}) w LEFT JOIN lists ON lists.node = w.top.node)
+SELECT step, parent, depth, node FROM walk WHERE step IS NOT NULL"""
+
+
 def _route(spark, d, depth=3):
-    edges = settle(g.errors(spark, d), "edges")
+    edges = settle(g.pairs(spark, d), "edges")
     return edges, traverse.route(edges, g.busiest(edges), depth, 100_000)
 
 
@@ -292,12 +366,12 @@ _FOLD = """, k AS (SELECT *, NOT ({drop}) AS keep FROM steps), a(step, top) AS (
 o AS (SELECT step, row_number() OVER (ORDER BY step) AS new FROM k WHERE keep)"""
 
 
-@query(f"WITH RECURSIVE {H1}{routed(3)}{_FOLD.format(drop='parent <> 0 AND node % 5 BETWEEN 1 AND 3 AND (SELECT count(*) FROM h1 WHERE src = node) <= 1')}" + """
+@query(f"WITH RECURSIVE {H1}{routed(3)}{_FOLD.format(drop='parent <> 0 AND node % 5 BETWEEN 1 AND 3 AND (SELECT count(*) FROM h1 WHERE src = node) <= 60')}" + """
 SELECT o.new AS step, coalesce(p.new, 0) AS parent, depth, node, coalesce((SELECT string_agg(x.node::VARCHAR, ',' ORDER BY x.step) FROM n y JOIN k x ON x.step = y.step WHERE NOT x.keep AND y.anchor = k.step), '') AS skipped FROM k JOIN o ON o.step = k.step JOIN n ON n.step = k.step LEFT JOIN o p ON p.step = n.anchor""")
 def route_fold_trivial(spark, d):
     edges, steps = _route(spark, d)
     out = edges.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("n"))
-    trivial = steps.join(out, "node", "left").where((F.col("parent") != 0) & (F.col("node") % 5).between(1, 3) & (F.coalesce("n", F.lit(0)) <= 1))
+    trivial = steps.join(out, "node", "left").where((F.col("parent") != 0) & (F.col("node") % 5).between(1, 3) & (F.coalesce("n", F.lit(0)) <= 60))
     return traverse.fold(steps, trivial.select("step", F.col("node").cast("string").alias("name"))).withColumn("skipped", F.array_join("skipped", ","))
 
 
@@ -309,19 +383,19 @@ def route_group_by_file(spark, d):
 
 @query(f"WITH {H1}, p AS (SELECT src, dst % 4 AS name, min(dst) AS pick FROM h1 WHERE src % 2 = 0 GROUP BY ALL) SELECT h1.src, coalesce(pick, dst) AS dst, min(line) AS line FROM h1 LEFT JOIN p ON p.src = h1.src AND p.name = dst % 4 GROUP BY ALL")
 def route_override(spark, d):
-    e = g.errors(spark, d).select("src", "dst", (F.col("dst") % 4).alias("name"), "line")
+    e = g.pairs(spark, d).select("src", "dst", (F.col("dst") % 4).alias("name"), "line")
     return traverse.overridden(e, e.where("src % 2 = 0").groupBy("src", "name").agg(F.min("dst").alias("pick"))).select("src", "dst", "line")
 
 
-@query()
+@query(f"WITH RECURSIVE {H1}, " + walked("SELECT src AS node, dst AS next, row_number() OVER (PARTITION BY src ORDER BY line, dst::VARCHAR, dst) AS r FROM h1", START, 4, 200))
 def route_dfs(spark, d):
-    edges = settle(g.errors(spark, d), "edges")
+    edges = settle(g.pairs(spark, d), "edges")
     return traverse.route_depth_first(edges, g.busiest(edges), 4, 200)
 
 
-@query()
+@query(f"WITH RECURSIVE {H1}, " + walked(f"SELECT node, next, row_number() OVER (PARTITION BY node ORDER BY line, next::VARCHAR, next) AS r FROM (SELECT src AS node, dst AS next, line FROM h1 UNION ALL SELECT dst, src, line + {1 << 40} FROM h1)", START, 3, 100_000))
 def spanning_tree(spark, d):
-    e = settle(g.errors(spark, d, 200), "edges")
+    e = settle(g.pairs(spark, d), "edges")
     both = e.select("src", "dst", "line", "ord").unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"), (F.col("line") + (1 << 40)).alias("line"), "ord"))
     return traverse.route_depth_first(both, g.busiest(e), 3, 100_000)
 
@@ -365,7 +439,7 @@ def layer_page(spark, d):
 
 @query(f"WITH {H1}, x AS (SELECT id, count(*) AS degree FROM (SELECT src AS id FROM h1 UNION ALL SELECT dst FROM h1) GROUP BY id) SELECT id, degree FROM x ORDER BY degree DESC, id LIMIT 25")
 def table_view(spark, d):
-    return views.table_view(graph.degrees(g.errors(spark, d)).withColumn("node_ord", F.col("id")), 25).select("id", "degree")
+    return views.table_view(graph.degrees(g.pairs(spark, d)).withColumn("node_ord", F.col("id")), 25).select("id", "degree")
 
 
 @query("SELECT s_suppkey AS id, s_name AS name FROM supplier WHERE s_name ILIKE '%r#00%' OR s_name ILIKE '%7%'")
@@ -381,35 +455,43 @@ def swimlane_layout(spark, d):
 
 
 def _drawn(spark, d):
-    e = settle(g.errors(spark, d, 200), "edges")
+    e = settle(g.pairs(spark, d), "edges")
     edges = e.select(F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst"), "kind", F.when(F.col("line") % 2 == 0, "exact").otherwise("approx").alias("precision"), F.col("ord").alias("edge_ord"))
     ids = e.select(F.explode(F.array("src", "dst")).alias("i")).distinct()
-    nodes = ids.select(F.col("i").cast("string").alias("id"), F.concat(F.lit('u"'), F.col("i").cast("string")).alias("name"), (F.col("i") % 7 == 0).alias("external"), F.col("i").alias("node_ord"))
+    nodes = ids.select(F.col("i").cast("string").alias("id"), F.concat(F.lit('u"'), F.col("i").cast("string"), F.lit("\\;")).alias("name"), (F.col("i") % 7 == 0).alias("external"), F.col("i").alias("node_ord"))
     return nodes, edges
 
 
-_DRAWN = H2 + ", n AS (SELECT src AS i FROM h2 UNION SELECT dst FROM h2), k AS (SELECT i, 'n' || (row_number() OVER (ORDER BY i) - 1) AS a FROM n)"
+_DRAWN = H1 + ", n AS (SELECT src AS i FROM h1 UNION SELECT dst FROM h1), k AS (SELECT i, 'n' || (row_number() OVER (ORDER BY i) - 1) AS a FROM n)"
 
 
-@query(f"""WITH {_DRAWN} SELECT 'digraph G {{' || chr(10) || '  rankdir=LR;' || chr(10) || (SELECT string_agg('  "' || i || '" [label="u\\"' || i || '"' || CASE WHEN i % 7 = 0 THEN ', style=dashed' ELSE '' END || '];' || chr(10), '' ORDER BY i) FROM n)
-|| (SELECT string_agg('  "' || src || '" -> "' || dst || '" [label="calls"' || CASE WHEN line % 2 = 1 THEN ', style=dotted' ELSE '' END || '];' || chr(10), '' ORDER BY line) FROM h2) || '}}' || chr(10) AS content""")
+@query(f"""WITH {_DRAWN} SELECT 0 AS part, 0::BIGINT AS ord, 'digraph G {{' AS line UNION ALL SELECT 0, 1, '  rankdir=LR;'
+UNION ALL SELECT 1, i, '  "' || i || '" [label="u\\"' || i || '\\\\;"' || CASE WHEN i % 7 = 0 THEN ', style=dashed' ELSE '' END || '];' FROM n
+UNION ALL SELECT 2, line, '  "' || src || '" -> "' || dst || '" [label="calls"' || CASE WHEN line % 2 = 1 THEN ', style=dotted' ELSE '' END || '];' FROM h1 UNION ALL SELECT 3, 0, '}}'""")
 def export_dot(spark, d):
     return views.to_dot(*_drawn(spark, d))
 
 
-@query(f"""WITH {_DRAWN} SELECT 'graph LR' || chr(10) || (SELECT string_agg('  ' || a || '["u_' || i || '"]' || chr(10), '' ORDER BY i) FROM k)
-|| (SELECT string_agg('  ' || x.a || CASE WHEN line % 2 = 1 THEN ' -.->|' ELSE ' -->|' END || 'calls| ' || y.a || chr(10), '' ORDER BY line) FROM h2 JOIN k x ON x.i = src JOIN k y ON y.i = dst) AS content""")
+@query(f"""WITH {_DRAWN} SELECT 0 AS part, 0::BIGINT AS ord, 'graph LR' AS line UNION ALL SELECT 1, i, '  ' || a || '["u_' || i || '__"]' FROM k
+UNION ALL SELECT 2, line, '  ' || x.a || ' -->|calls| ' || y.a FROM h1 JOIN k x ON x.i = src JOIN k y ON y.i = dst""")
 def export_mermaid(spark, d):
     return views.to_mermaid(*_drawn(spark, d))
 
 
-@query(f"""WITH {_DRAWN} SELECT '{{"nodes":[' || (SELECT string_agg('{{"id":"' || i || '","name":"u\\"' || i || '","external":' || (i % 7 = 0)::VARCHAR || '}}', ',' ORDER BY i) FROM n)
-|| '],"edges":[' || (SELECT string_agg('{{"src":"' || src || '","dst":"' || dst || '","kind":"calls","precision":"' || CASE WHEN line % 2 = 0 THEN 'exact' ELSE 'approx' END || '"}}', ',' ORDER BY line) FROM h2) || ']}}' AS content""")
+@query(f"""WITH {_DRAWN} SELECT 1 AS part, i AS ord, '{{"id":"' || i || '","name":"u\\"' || i || '\\\\;","external":' || (i % 7 = 0)::VARCHAR || '}}' AS line FROM n
+UNION ALL SELECT 2, line, '{{"src":"' || src || '","dst":"' || dst || '","kind":"calls","precision":"' || CASE WHEN line % 2 = 0 THEN 'exact' ELSE 'approx' END || '"}}' FROM h1""")
 def export_json(spark, d):
     return views.to_json(*_drawn(spark, d))
 
 
-@query()
+_CELLS = """, l AS (SELECT node % 12 AS file, dense_rank() OVER (ORDER BY min(step))::INT - 1 AS lane FROM steps GROUP BY node % 12), s AS (SELECT step, parent, node % 12 AS file, 'step ' || node AS label, greatest(56.0, length('step ' || node) * 7.2 + 24.0)::DOUBLE AS w FROM steps WHERE step <= 400),
+c AS (SELECT s.*, lane, coalesce(sum(w) OVER (ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0) AS x FROM s JOIN l USING (file))"""
+
+
+@query(f"""WITH {H1}{routed(3)}{_CELLS} SELECT 0 AS part, 0::BIGINT AS ord, '<svg xmlns="http://www.w3.org/2000/svg">' AS line UNION ALL SELECT 1, lane, printf('<text class="lane" x="0" y="%.1f">', lane * 56.0 - 4.0) || file || '</text>' FROM l
+UNION ALL SELECT 2, c.step, printf('<path class="%s" d="M%.1f %.1f L%.1f %.1f"/>', CASE WHEN c.file <> p.file THEN 'cross' ELSE 'same' END, p.x + p.w, p.lane * 56.0 + 16.0, c.x, c.lane * 56.0 + 16.0) FROM c JOIN c p ON p.step = c.parent WHERE c.file = p.file OR abs(c.lane - p.lane) = 1
+UNION ALL SELECT 2, c.step, printf('<path class="cross" d="M%.1f %.1f C%.1f %.1f %.1f %.1f %.1f %.1f"/>', p.x + p.w, p.lane * 56.0 + 16.0, (p.x + p.w + c.x) / 2, p.lane * 56.0 + 16.0, (p.x + p.w + c.x) / 2, c.lane * 56.0 + 16.0, c.x, c.lane * 56.0 + 16.0) FROM c JOIN c p ON p.step = c.parent WHERE abs(c.lane - p.lane) > 1
+UNION ALL SELECT 3, step, printf('<g><rect x="%.1f" y="%.1f" width="%.1f" height="32" rx="4"/><text x="%.1f" y="%.1f">%s</text></g>', x, lane * 56.0, w, x + 8.0, lane * 56.0 + 20.0, label) FROM c UNION ALL SELECT 4, 0, '</svg>'""")
 def swimlane_svg(spark, d):
     s = _route(spark, d)[1].select("step", "parent", (F.col("node") % 12).alias("file"), F.concat(F.lit("step "), F.col("node").cast("string")).alias("label"))
     return views.swimlane_svg(s)
