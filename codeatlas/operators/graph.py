@@ -34,11 +34,19 @@ def kind_counts(edges: DataFrame) -> DataFrame:
     return edges.groupBy("kind").agg(F.count("*").alias("n_edges"), F.countDistinct("src", "dst").alias("n_distinct"))
 
 
-def stats_row(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """One row: counts, and maps of counts by kind and precision."""
+def stats_row(nodes: DataFrame, edges: DataFrame, compile_db: bool = False) -> DataFrame:
+    """One row: counts of files, symbols and edges, maps of counts by kind, exact and approximate nodes, overall precision."""
     as_map = lambda df, k, name: df.groupBy(k).count().agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(k, "count")))).alias(name))
-    totals = nodes.agg(F.count("*").alias("n_nodes"), F.count_if(F.col("kind") == "file").alias("n_files"), F.count_if("external").alias("n_external"))
-    return totals.crossJoin(edges.agg(F.count("*").alias("n_edges"))).crossJoin(as_map(nodes, "kind", "nodes_by_kind")).crossJoin(as_map(edges, "kind", "edges_by_kind"))
+    totals = nodes.agg(
+        F.count_if(F.col("kind") == "file").alias("file_count"), F.count_if(~F.col("kind").isin("file", "target")).alias("symbol_count"), F.count_if("external").alias("external_count"),
+        F.count_if(F.col("precision") == "exact").alias("exact_nodes"), F.count_if(F.col("precision") != "exact").alias("approx_nodes"),
+    )
+    return (
+        totals.crossJoin(edges.agg(F.count("*").alias("edge_count")))  # one row each
+        .crossJoin(as_map(nodes, "kind", "node_kind_counts"))
+        .crossJoin(as_map(edges, "kind", "edge_kind_counts"))
+        .withColumn("precision", F.lit("partial" if compile_db else "approx"))
+    )
 
 
 def merge_symbols(occurrences: DataFrame) -> DataFrame:
@@ -87,18 +95,31 @@ def cluster_key(module: Column) -> Column:
 
 
 def cluster(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Groups with their sizes, and the first edge between each two groups by kind; externals stay themselves.
+    """Groups (id, kind, n_members, detail, precision) and the first edge between each two of them by kind.
 
-    nodes: id, module, external; edges: src, dst, kind, ord.
+    Externals stay themselves. A group's kind is target if its first node is one, else file, and its precision the
+    first node's. nodes: id, module, external; kind, precision and node_ord if there are; edges: src, dst, kind, ord.
     """
     group = F.when(F.col("external"), F.col("id").cast("string")).otherwise(F.concat(F.lit("dir:"), cluster_key(F.col("module"))))
-    home = nodes.select("id", group.alias("g"))
-    groups = home.groupBy(F.col("g").alias("id")).agg(F.count("*").alias("n_members"))
+    given = lambda c, other: F.col(c) if c in nodes.columns else other
+    home = nodes.select("id", group.alias("g"), given("kind", F.lit("file")).alias("kind"), given("precision", F.lit("approx")).alias("precision"), given("node_ord", F.col("id")).alias("node_ord"))
+    first = F.min(F.struct("node_ord", "kind", "precision")).alias("f")
+    groups = home.groupBy(F.col("g").alias("id")).agg(F.count("*").alias("n_members"), first)
+    groups = groups.select("id", F.when(F.col("f.kind") == "target", "target").otherwise("file").alias("kind"), "n_members", F.concat(F.col("n_members").cast("string"), F.lit(" nodes")).alias("detail"), "f.precision")
     a = edges.join(home.select(F.col("id").alias("src"), F.col("g").alias("g1")), "src")
     b = a.join(home.select(F.col("id").alias("dst"), F.col("g").alias("g2")), "dst").where("g1 <> g2")
     return groups, dedup_edges(b.select(F.col("g1").alias("src"), F.col("g2").alias("dst"), "kind", "ord"))
 
 
+#: Nodes above which a view is shown in groups.
+CLUSTER_ABOVE = 400
+
+
+def level_of_detail(nodes: DataFrame, edges: DataFrame, grouped: bool = False) -> tuple[DataFrame, DataFrame]:
+    """The view as it is, or in groups if asked for or if it has more than CLUSTER_ABOVE nodes."""
+    return cluster(nodes, edges) if grouped or nodes.limit(CLUSTER_ABOVE + 1).count() > CLUSTER_ABOVE else (nodes, edges)
+
+
 def merge_graphs(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     """Rows of both; where keys meet, right wins."""
     both = left.withColumn("_r", F.lit(0)).unionByName(right.withColumn("_r", F.lit(1)))
@@ -161,7 +182,13 @@ def resolve_includes(includes: DataFrame, files: DataFrame, search: list[str]) -
     by_base = files.select(ascii_lower(base_name(F.col("path"))).alias("base"), "path")
     lone = by_base.groupBy("base").agg(F.count("*").alias("n"), F.min("path").alias("only")).where("n = 1").select("base", "only")
     targets = t.select("t").distinct().withColumn("base", ascii_lower(base_name(F.col("t"))))
-    ends = targets.join(by_base, "base").where((F.col("path") == F.col("t")) | F.endswith("path", F.concat(F.lit("/"), F.col("t")))).groupBy("t").agg(F.min("path").alias("tail"))
+    # a target of several parts meets paths by its last two, so that a common base name is no single key
+    two = lambda c: ascii_lower(F.substring_index(c, "/", -2))
+    deep = targets.where(F.col("t").contains("/")).withColumn("two", two(F.col("t"))).join(by_base.select("path", two(F.col("path")).alias("two")), "two")
+    deep = deep.where((F.col("path") == F.col("t")) | F.endswith("path", F.concat(F.lit("/"), F.col("t")))).groupBy("t").agg(F.min("path").alias("tail"))
+    # one of a single part meets the first path of its name, whose case must be its own
+    exact_base = files.groupBy(base_name(F.col("path")).alias("t")).agg(F.min("path").alias("tail"))
+    ends = deep.unionByName(targets.where(~F.col("t").contains("/")).select("t").join(exact_base, "t"))
     out = t.join(exact, "inc_id", "left").join(ends, "t", "left").withColumn("base", ascii_lower(base_name(F.col("t")))).join(lone, "base", "left")
     near = F.coalesce("tail", "only")
     return out.select("inc_id", F.coalesce("exact", near).alias("resolved"), F.when(F.col("exact").isNotNull(), "exact").when(near.isNotNull(), "approx").alias("precision"))

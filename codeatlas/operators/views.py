@@ -39,6 +39,57 @@ def search(nodes: DataFrame, text: str) -> DataFrame:
     return nodes.where(F.contains(F.lower("name"), t) | F.contains(F.lower("file"), t))
 
 
+def search_tree(tree: DataFrame, text: str, depth: int = 4) -> DataFrame:
+    """Rows of a tree (id, parent, name, file) that match, and all their ancestors, up to `depth` levels."""
+    kept = search(tree, text).select("id", "parent")
+    level = kept
+    for _ in range(depth - 1):
+        level = tree.join(level.select(F.col("parent").alias("id")).distinct(), "id", "left_semi").select("id", "parent")
+        kept = kept.union(level)
+    return tree.join(kept.select("id").distinct(), "id", "left_semi")
+
+
+def severity(line: Column) -> Column:
+    """error, warning or info of a line of diagnostics."""
+    return F.when(line.rlike(r"(?i)\b(error|fatal|exception|panic)\b"), "error").when(line.rlike(r"(?i)\bwarn(ing)?\b"), "warning").otherwise("info")
+
+
+def route_tree(steps: DataFrame, candidates: DataFrame | None = None) -> DataFrame:
+    """kind (step or candidate), step, parent, place, id, expandable, is_current: the rows of a route shown as a tree.
+
+    steps: step, parent, id, name, ambiguous. candidates: step, rank, id. A step's children follow in order; an
+    ambiguous step has its candidates below it, the current one first.
+    """
+    kids = steps.groupBy(F.col("parent").alias("step")).agg(F.count("*").alias("n"))
+    shown = steps.join(kids, "step", "left")
+    place = F.row_number().over(Window.partitionBy("parent").orderBy("step"))
+    rows = shown.select(F.lit("step").alias("kind"), "step", "parent", place.cast("long").alias("place"), "id", ((F.coalesce("n", F.lit(0)) > 0) | F.col("ambiguous")).alias("expandable"), F.lit(False).alias("is_current"))
+    if candidates is None:
+        return rows
+    current = steps.where("ambiguous").select(F.lit("candidate").alias("kind"), "step", F.col("step").alias("parent"), F.lit(0).cast("long").alias("place"), "id", F.lit(False).alias("expandable"), F.lit(True).alias("is_current"))
+    others = candidates.join(steps.where("ambiguous").select("step"), "step", "left_semi").select(F.lit("candidate").alias("kind"), "step", F.col("step").alias("parent"), F.col("rank").cast("long").alias("place"), "id", F.lit(False).alias("expandable"), F.lit(False).alias("is_current"))
+    return rows.unionByName(current).unionByName(others)
+
+
+#: The keys of a route's step in JSON, with their columns.
+STEP_KEYS = {"order": "step", "parent": "parent", "depth": "depth", "newFile": "new_file", "ambiguous": "ambiguous", "id": "id", "kind": "kind", "name": "name", "file": "file", "line": "line", "column": "column", "module": "module", "detail": "detail", "external": "external", "precision": "precision", "bodyLines": "body_lines", "candidateTotal": "candidate_total", "apiHeader": "api_header", "apiLine": "api_line", "skipped": "skipped", "candidates": "candidates"}
+
+
+def route_json(steps: DataFrame) -> DataFrame:
+    """part, ord, line: one JSON object a step, with the keys of STEP_KEYS for which there are columns."""
+    return steps.select(F.lit(1).alias("part"), F.col("step").cast("long").alias("ord"), _json(steps, STEP_KEYS, "step").alias("line"))
+
+
+def graph_svg(points: DataFrame, edges: DataFrame, radius: float = 6.0) -> DataFrame:
+    """part, ord, line: an SVG of a laid-out graph; approximate edges dashed. points: id, name, x, y, node_ord."""
+    at = points.select("id", "x", "y")
+    ends = edges.join(at.select(F.col("id").alias("src"), F.col("x").alias("x1"), F.col("y").alias("y1")), "src").join(at.select(F.col("id").alias("dst"), F.col("x").alias("x2"), F.col("y").alias("y2")), "dst")
+    dash = F.when(F.col("precision") == "approx", ' stroke-dasharray="4 3"').otherwise("")
+    lines = ends.select(F.lit(1).alias("part"), F.col("edge_ord").cast("long").alias("ord"), F.format_string('<line x1="%.1f" y1="%.1f" x2="%.1f" y2="%.1f"%s/>', "x1", "y1", "x2", "y2", dash).alias("line"))
+    dots = points.select(F.lit(2).alias("part"), F.col("node_ord").cast("long").alias("ord"), F.format_string('<circle cx="%.1f" cy="%.1f" r="%.1f"/><text x="%.1f" y="%.1f">%s</text>', "x", "y", F.lit(radius), F.col("x") + radius + 2, F.col("y") + 4.0, xml_escape(F.col("name"))).alias("line"))
+    return _lines(points.sparkSession, [(0, 0, '<svg xmlns="http://www.w3.org/2000/svg">'), (3, 0, "</svg>")]).unionByName(lines).unionByName(dots)
+
+
 def kinds_present(nodes: DataFrame, legend: list[str]) -> DataFrame:
     spark = nodes.sparkSession
     return spark.createDataFrame([(k, i) for i, k in enumerate(legend)], "kind string, place int").join(nodes.select("kind").distinct(), "kind", "left_semi")
@@ -82,8 +133,7 @@ def grid(nodes: DataFrame, width: float, height: float) -> DataFrame:
     """id, x, y on a grid of about the given proportions, by node order."""
     n = nodes.count()
     cols = max(1, -(-int((n * width / height) ** 0.5 * 1_000_000) // 1_000_000))
-    place = F.row_number().over(Window.orderBy("node_ord")) - 1
-    return nodes.withColumn("k", place).select("id", (F.col("k") % cols).alias("x"), F.floor(F.col("k") / cols).alias("y"))
+    return numbered_nodes(nodes).select("id", (F.col("place") % cols).alias("x"), F.floor(F.col("place") / cols).alias("y"))
 
 
 def trimmed_bounds(points: DataFrame, share: float = 0.02) -> DataFrame:

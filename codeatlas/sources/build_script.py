@@ -13,13 +13,19 @@ from codeatlas.functions.exprs import ascii_lower, base_name
 from codeatlas.functions.tables import sided
 
 #: Words of the commands that name no file or library.
-KEYWORDS = {"PUBLIC", "PRIVATE", "INTERFACE", "STATIC", "SHARED", "MODULE", "OBJECT", "ALIAS", "IMPORTED", "GLOBAL", "EXCLUDE_FROM_ALL", "WIN32", "MACOSX_BUNDLE", "UNKNOWN", "LINK_PUBLIC", "LINK_PRIVATE", "LINK_INTERFACE_LIBRARIES", "debug", "optimized", "general"}
-_COMMAND = re.compile(r"(?im)^[^#\n]*?\b(add_executable|add_library|target_link_libraries)\s*\(([^)]*)\)")
+KEYWORDS = {
+    "PRIVATE", "PUBLIC", "INTERFACE", "REQUIRED", "QUIET", "STATIC", "SHARED", "MODULE", "OBJECT", "IMPORTED", "ALIAS", "EXCLUDE_FROM_ALL", "WIN32", "MACOSX_BUNDLE",
+    "CONFIG", "COMPONENTS", "EXPORT", "GLOBAL", "UNKNOWN", "NO_SYSTEM_FROM_IMPORTED",
+}
+_COMMAND = re.compile(r"(?im)^[^#\n]*?\b(add_executable|add_library|target_link_libraries|link_libraries|find_package)\s*\(([^)]*)\)")
 _WORD = re.compile(r'"([^"]*)"|([^\s"]+)')
 
 
 def parse(text: str) -> list[tuple[str, str, str, int]]:
-    """(target, relation, value, line) rows: relation is kind, source or link."""
+    """(target, relation, value, line) rows: relation is kind, source, link or package.
+
+    link_libraries takes its first word as a target, like target_link_libraries; a package has no target.
+    """
     text = re.sub(r"#\[\[.*?\]\]", "", text, flags=re.S)
     rows = []
     for m in _COMMAND.finditer(re.sub(r"#[^\n]*", "", text)):
@@ -29,7 +35,9 @@ def parse(text: str) -> list[tuple[str, str, str, int]]:
             continue
         name, rest, command = words[0], words[1:], m[1].lower()
         plain = [w for w in rest if w not in KEYWORDS and not w.startswith("$<")]
-        if command == "target_link_libraries":
+        if command == "find_package":
+            rows.append(("", "package", name, line))
+        elif command in ("target_link_libraries", "link_libraries"):
             rows += [(name, "link", w, line) for w in dict.fromkeys(plain) if "${" not in w]
         else:
             rows.append((name, "kind", "executable" if command == "add_executable" else "library", line))

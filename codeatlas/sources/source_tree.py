@@ -6,10 +6,30 @@ import shlex
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeatlas.functions.exprs import EXCLUDE_GLOBS, HEADER_EXT, INCLUDE_GLOBS, SOURCE_EXT, extension_of, glob_match, module_of, normalize_path, relative_to
+from codeatlas.functions.exprs import EXCLUDE_GLOBS, HEADER_EXT, INCLUDE_GLOBS, SOURCE_EXT, base_name, dir_name, extension_of, glob_match, module_of, normalize_path, relative_to
+
+
+def _below(root: str) -> Column:
+    """The path of a binaryFile row below root; whatever the scheme, it starts after the root's own last part."""
+    tail = F.regexp_replace(F.regexp_replace("path", "^[a-z]+:/*", "/"), "/+", "/")
+    top = F.regexp_replace(F.lit(root), "^[a-z]+:/*", "/")
+    return relative_to(F.call_function("url_decode", F.replace(tail, F.lit("+"), F.lit("%2B"))), top)
+
+
+def _empty(raw: DataFrame, root: str) -> DataFrame:
+    """path (below root) of the files without any bytes, which Spark's readers pass over; the index lists them."""
+    listed = raw.sparkSession.createDataFrame([(p,) for p in raw.inputFiles()], "path string").select(_below(root).alias("path"))
+    return listed.join(raw.select(_below(root).alias("path")), "path", "left_anti")
+
+
+def list_paths(spark: SparkSession, root: str) -> DataFrame:
+    """path (below root) and mtime_ms (-1 for empty files) of every file; contents aren't read."""
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    full = raw.select(_below(root).alias("path"), F.unix_millis("modificationTime").alias("mtime_ms"))
+    return full.unionByName(_empty(raw, root).withColumn("mtime_ms", F.lit(-1).cast("long")))
 
 
 def list_files(spark: SparkSession, root: str, include: list[str] | None = None, exclude: list[str] | None = None, max_files: int | None = None, max_bytes: int = 4 << 20) -> DataFrame:
@@ -18,23 +38,62 @@ def list_files(spark: SparkSession, root: str, include: list[str] | None = None,
     Files above max_bytes keep a row with null content and skipped true. A limit takes the first paths in order.
     """
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    # whatever the scheme, the path below root starts after the root's own last part
-    tail = F.regexp_replace(F.regexp_replace("path", "^[a-z]+:/*", "/"), "/+", "/")
-    top = F.regexp_replace(F.lit(root), "^[a-z]+:/*", "/")
-    rows = raw.withColumn("path", relative_to(F.call_function("url_decode", F.replace(tail, F.lit("+"), F.lit("%2B"))), top))
+    rows = raw.select(_below(root).alias("path"), "length", F.unix_millis("modificationTime").alias("mtime_ms"), F.decode("content", "UTF-8").alias("content"))
+    rows = rows.unionByName(_empty(raw, root).select("path", F.lit(0).cast("long").alias("length"), F.lit(-1).cast("long").alias("mtime_ms"), F.lit("").alias("content")))
     path = F.col("path")
     kept = rows.where(glob_match(path, include or INCLUDE_GLOBS) & ~glob_match(path, exclude or EXCLUDE_GLOBS))
     if max_files:
         kept = kept.orderBy("path").limit(max_files)
     fits = F.col("length") <= max_bytes
     ext = extension_of(path)
-    return kept.select("path", F.col("length").alias("size"), F.unix_millis("modificationTime").alias("mtime_ms"), F.when(fits, F.decode("content", F.lit("UTF-8"))).alias("content"), ext.alias("ext"), module_of(path).alias("module"), ext.isin(*SOURCE_EXT).alias("source"), ext.isin(*HEADER_EXT).alias("header"), (~fits).alias("skipped"))
+    return kept.select("path", F.col("length").alias("size"), "mtime_ms", F.when(fits, F.col("content")).alias("content"), ext.alias("ext"), module_of(path).alias("module"), ext.isin(*SOURCE_EXT).alias("source"), ext.isin(*HEADER_EXT).alias("header"), (~fits).alias("skipped"))
+
+
+#: Where a compile database is looked for first, in order.
+DB_PLACES = ["compile_commands.json", "build/compile_commands.json", "out/compile_commands.json", "cmake-build-debug/compile_commands.json", "cmake-build-release/compile_commands.json", "build/debug/compile_commands.json", "build/release/compile_commands.json"]
+#: Folders that the search for a database leaves out, and the depth below which it ends.
+DB_SKIPPED, DB_DEPTH = [".git", "node_modules", "_deps"], 4
+
+
+def find_compile_db(listed: DataFrame) -> DataFrame:
+    """path of the compile database to use, one row or none: the first of DB_PLACES, else the first path of a search.
+
+    listed: path (below the root) of every file.
+    """
+    found = listed.where(F.col("path").rlike("(^|/)compile_commands[.]json$")).select("path")
+    place = F.array_position(F.array(*[F.lit(p) for p in DB_PLACES]), F.col("path"))
+    skipped = F.arrays_overlap(F.split("path", "/"), F.array(*[F.lit(p) for p in DB_SKIPPED]))
+    ranked = found.where((place > 0) | (~skipped & (F.size(F.split("path", "/")) <= DB_DEPTH + 1)))
+    return ranked.agg(F.min(F.struct(F.when(place > 0, place).otherwise(1 << 20).alias("rank"), "path")).alias("x")).select("x.path").where("path is not null")
+
+
+def stale_builds(listed: DataFrame) -> DataFrame:
+    """dir of every folder that was configured (CMakeCache.txt) but holds no compile database."""
+    folder = lambda name: listed.where(base_name(F.col("path")) == name).select(dir_name(F.col("path")).alias("dir")).distinct()
+    return folder("CMakeCache.txt").join(folder("compile_commands.json"), "dir", "left_anti")
+
+
+def is_stale(listed: DataFrame, used: str | None, indexed_ms: int) -> bool:
+    """Whether the compile database to use appeared, moved, or changed after the index was built. listed: path, mtime_ms."""
+    row = find_compile_db(listed).join(listed.select("path", "mtime_ms"), "path").first()
+    if row is None:
+        return used is not None
+    return row.path != used or row.mtime_ms > indexed_ms
+
+
+def line_counts(files: DataFrame) -> DataFrame:
+    """module, n_files, n_lines of sources and headers. files: path, content."""
+    breaks = F.length("content") - F.length(F.replace("content", F.lit("\n")))
+    kept = files.where(extension_of(F.col("path")).isin(*SOURCE_EXT, *HEADER_EXT) & F.col("content").isNotNull())
+    return kept.groupBy(module_of(F.col("path")).alias("module")).agg(F.count("*").alias("n_files"), F.sum(breaks + F.when(F.col("content").rlike(r"[^\n]\z"), 1).otherwise(0)).cast("long").alias("n_lines"))
 
 
 def read_compile_db(spark: SparkSession, path: str, root: str) -> DataFrame:
     """file, flag (include, system, define), value, entry, ord: the flags of every compile command."""
     schema = "directory string, file string, command string, arguments array<string>"
-    db = spark.read.schema(schema).json(path, multiLine=True).withColumn("entry", F.monotonically_increasing_id())
+    # one array of one file: its place in the array is the entry's order
+    text = spark.read.text(path, wholetext=True).select(F.from_json("value", f"array<struct<{schema.replace(' ', ':').replace(',:', ',')}>>").alias("all"))
+    db = text.select(F.posexplode("all").alias("entry", "e")).select(F.col("entry").cast("long").alias("entry"), "e.*")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
