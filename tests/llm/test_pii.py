@@ -1,5 +1,6 @@
 import hashlib
 import re
+import time
 
 import pytest
 
@@ -78,3 +79,37 @@ def test_empty_table_and_redaction(spark, odd_docs):
     clean = pii.redact(odd_docs, pii.extract(odd_docs))
     assert clean.columns == odd_docs.columns and clean.count() == odd_docs.count()
     assert "[EMAIL]" in [r.text for r in clean.collect() if r.doc_id == 1][0]
+
+
+def test_long_texts_and_long_lists_take_linear_time(spark):
+    many = " ".join(f"a{i}@b{i}.org" for i in range(100_000))
+    texts = ["x at b" + ".c" * 20_000, many, "x at y dot com " * 20_000, "1" * 100_000, "ab1" * 50_000, "+1 (" * 50_000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    began = time.time()
+    found = pii.extract(docs)
+    got = {r.doc_id: r for r in pii.digest(found).collect()}
+    clean = {r.doc_id: r.text for r in pii.redact(docs, found).collect()}
+    assert time.time() - began < 120
+    assert got[1].n_email == 100_000 and clean[1] == " ".join(["[EMAIL]"] * 100_000)
+    same([got[1]], [texts[1]])  # brute force takes the square of a run
+
+
+def test_patterns_discover_unseen_identifiers(spark):
+    rows = [(i, f'text of any kind token = "{hashlib.sha1(str(i).encode()).hexdigest()}" and more') for i in range(12)]
+    rows += [(50, 'other text token = "Zk39-qLmW8xTnB27vR" and so on'), (51, "a file named Zk39-qLmW8xTnB27vR and so on"), (52, f"the commit {hashlib.sha1(b'c').hexdigest()} was fine")]
+    rows += [(60 + i, f"write to me at bob{i}@mail.example.org today please") for i in range(12)] + [(90, "write to me at bob [at] mail [dot] example [dot] org today please")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = pii.extract(docs)
+    got = {r.doc_id: r for r in pii.digest(found).collect()}
+    assert all(got[i].spans == "secret:26:66" for i in range(12))
+    assert got[50].spans.startswith("secret:20:") and got[51].n_spans == 0 and got[52].n_spans == 0
+    assert got[90].spans.startswith("email:15:") and got[90].n_email == 0 and got[90].n_added == 1
+    clean = {r.doc_id: r.text for r in pii.redact(docs, found).collect()}
+    assert clean[50] == 'other text token = "[SECRET]" and so on' and clean[90] == "write to me at [EMAIL] today please"
+
+
+def test_redaction_keeps_clashing_columns_and_cuts_across_pieces(spark):
+    text = "é" * (pii.CHARS - 5) + " bob@mail.example.com end"
+    docs = spark.createDataFrame([(1, text, "k", "c", 3)], "doc_id long, text string, row_key string, fresh string, _row_key int")
+    (row,) = pii.redact(docs, pii.extract(docs)).collect()
+    assert row.text == "é" * (pii.CHARS - 5) + " [EMAIL] end" and (row.row_key, row.fresh, row._row_key) == ("k", "c", 3)
