@@ -10,7 +10,8 @@ blocks; no task holds more than two blocks, and only counts and a spanning fores
 
 Vectors link only with others of an equal, non-null label and the same length. Null, empty and zero vectors and
 those with null or non-finite components link with nothing: n_links 0 and a component of their own. Equal
-vectors form a class that is compared once. A row that repeats a vec_id counts as another vector.
+vectors form a class that is compared once. A row that repeats a vec_id counts as another vector. An empty table
+gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import looked_up, materialise
 from .components import components
 
 DRAWS, WIDE, COUNTED, BLOCK = 16, 8, 24, 1024
@@ -193,6 +194,6 @@ def near_vectors(vectors: DataFrame, *, vec_id: str = "vec_id", embedding: str =
     roots = components(found.where(F.col("b").isNotNull()).select(F.col("a").alias("u"), F.col("b").alias("v")))
     named = classes.select("cls", "first_id", "mult").join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     least = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    full = named.join(least, "root").join(counts, "cls", "left").select("cls", "component_id", (F.coalesce("links", F.lit(0)) + F.col("mult") - 1).alias("links"))
+    full = looked_up(named, materialise(least, "roots"), ["root"]).join(counts, "cls", "left").select("cls", "component_id", (F.coalesce("links", F.lit(0)) + F.col("mult") - 1).alias("links"))
     mine = F.when(F.col("cls").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
     return rows.select("vec_id", "cls").join(full, "cls", "left").select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), mine.alias("component_id"), F.coalesce(F.col("vec_id") == mine, F.lit(False)).alias("kept"))
