@@ -6,12 +6,14 @@ the estimates of all depths. Counting, the bottom-up weights and the top-down mi
 (context, node) rows, whose keys never hold more than 256 children, so nothing is gathered or broadcast; the
 deepest level is worked in arrays, one shorter context at a time.
 
-Texts are scored by blocks of the scan: a block asks for the n-grams it holds, the model answers that block
+Texts are scored by blocks of rows: a block asks for the n-grams it holds, the model answers that block
 alone, and its texts meet the answers in a sorted partition. Nothing grows with the vocabulary in one task but
 the answers to one block.
 
 The text is its words with A-Z lowered, one space between them, and one end byte (0); contexts before the start are 0. A context that no
-training text has leaves its weight with the deepest one seen. Null texts count as empty: one end token.
+training text has leaves its weight with the deepest one seen. A NUL byte in a text is coded like an end. Null texts
+count as empty: one end token. Long texts are worked in arrays of eight bytes a byte of text. An empty table gives an
+empty result; without training rows every byte has the probability of an unseen context. Extra columns are ignored.
 Repeated rows count as often as they occur; rows with null ids belong to the fold of the text 'null'.
 """
 
@@ -21,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,8 +32,10 @@ from .words import LOWER, SPACE, text_slices, word_hashes
 
 #: Bytes of the longest context; a context and its byte must fit 56 bits.
 DEPTH = 5
+#: Rows whose n-grams are answered together.
+BLOCK_ROWS = 8192
 #: Bytes of text worked on at once.
-PIECE = 1 << 20
+PIECE = 1 << 19
 END = np.uint64(0x5BF03635F0A31B27)
 
 
@@ -89,8 +94,11 @@ def keys_of(data: np.ndarray, offsets: np.ndarray, depth: int) -> tuple[np.ndarr
 
 
 def blocks(docs: DataFrame, doc_id: str, text: str, folds: int, held: int) -> DataFrame:
-    """block, doc_id, train, text. A block is a part of a scanned file, so both passes name it alike."""
-    where = F.xxhash64("_metadata.file_path", "_metadata.file_block_start")
+    """block, doc_id, train, text. A block is a run of BLOCK_ROWS rows of a parquet file.
+
+    Both passes name it alike, however the scan is cut into tasks; a block that two tasks share is counted in two parts.
+    """
+    where = F.xxhash64("_metadata.file_path", F.floor(F.col("_metadata.row_index") / BLOCK_ROWS))
     return docs.select(where.alias("block"), F.col(doc_id).alias("doc_id"), (fold(doc_id, folds) != held).alias("train"), F.col(text).alias("text"))
 
 
@@ -130,7 +138,7 @@ def count(rows: DataFrame, depth: int) -> DataFrame:
                         other = np.setdiff1d(values[~weight], seen)
                         parts = held.setdefault((part, name), [])
                         parts.append((np.concatenate([seen, other]), np.concatenate([n, np.zeros(len(other), dtype=np.int64)])))
-                        if len(parts) >= 12:
+                        if len(parts) >= 10:
                             held[part, name] = [merge(parts)]
         for which in list(held):
             yield flush(which)
@@ -317,7 +325,7 @@ def score_blocks(rows: DataFrame, answers: DataFrame, parts: int, depth: int) ->
                     table = tables[0]
                     at = places(table[0], keys)
                     if at.max(initial=-1) >= len(table[0]) or (table[0][at] != keys).any():
-                        raise RuntimeError("a block has n-grams that were not counted: the scan was cut differently")
+                        raise RuntimeError("a block has n-grams that were not counted: its file changed between the passes")
                     sums = np.concatenate([[0.0], np.cumsum(table[1][at])])
                     score = sums[first[1:]] - sums[first[:-1]]
                     words, begin = word_hashes(data, offsets)
@@ -340,11 +348,14 @@ def score_blocks(rows: DataFrame, answers: DataFrame, parts: int, depth: int) ->
 def score(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", folds: int = 7, held: int = 2, depth: int = DEPTH) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte for every row.
 
-    Learns from the rows outside fold `held` alone. docs must come from files; other frames are written first.
+    Learns from the rows outside fold `held` alone. Only rows of parquet files have places in them; what else docs
+    may be is written as such a table first.
     """
-    if not docs.inputFiles():
-        docs = materialise(docs.select(doc_id, text), "ctwdocs")
-    rows = blocks(docs, doc_id, text, folds, held)
+    try:
+        rows = blocks(docs, doc_id, text, folds, held)
+        rows.schema  # noqa: B018 - resolves the columns
+    except AnalysisException:
+        rows = blocks(materialise(docs.select(doc_id, text), "ctwdocs"), doc_id, text, folds, held)
     counted = materialise(count(rows, depth), "grams")
     wanted = counted.select("part", "block", "key")
     grams = materialise(counted.where("part = 0").groupBy("key").agg(F.sum("n").alias("n")), "ngrams")

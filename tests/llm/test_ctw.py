@@ -103,3 +103,22 @@ def test_beats_the_base_on_held_out_texts(spark, sf_dir):
     rows = [r for r in ctw.score(table(spark, sf_dir.replace("0.001", "0.1"), "documents")).collect() if r.held_out]
     assert sum(r.score for r in rows) > sum(r.base_score for r in rows)
     assert all(0 < r.bits_per_byte < 9 for r in rows)
+
+
+def test_blocks_don_t_depend_on_how_the_scan_is_cut(spark, sf_dir, monkeypatch):
+    docs = table(spark, sf_dir, "documents")
+    monkeypatch.setattr(ctw, "BLOCK_ROWS", 50)
+    want = {r.doc_id: r.score for r in ctw.score(docs).collect()}
+    counted = ctw.count
+
+    def recut(rows, depth):
+        out = ctw.materialise(counted(rows, depth), "grams")
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+        return out
+
+    monkeypatch.setattr(ctw, "count", recut)
+    try:
+        got = {r.doc_id: r.score for r in ctw.score(docs).collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert len(got) == len(want) and all(abs(got[k] - want[k]) < 1e-6 for k in want)
