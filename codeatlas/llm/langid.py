@@ -7,7 +7,9 @@ first, at the size they all have; the winner then meets the languages with less,
 gives way only to one clearly better. The training texts are a bounded sample, the least hashes of
 each language, drawn by a bounded aggregate and never gathered whole.
 
-Null texts and texts without letters are `und` with score 0. Without any training rows every text is `und`.
+Null texts and texts without letters are `und` with score 0. Without any training rows every text is `und`. Of equal
+sizes the language first in order wins. Repeated rows get equal results, and each may be a training row. Long texts
+are encoded whole. An empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -46,10 +48,12 @@ def pieces(text: str) -> Column:
 def sample(docs: DataFrame, doc_id: str, text: str, lang: str, folds: int, held: int) -> dict[str, list[bytes]]:
     """Training texts of each language: bounded by SAMPLE_DOCS rows a language and SAMPLE_CHARS characters a row."""
     rows = docs.where((fold(doc_id, folds) != held) & F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}"))
-    hashed = rows.select(F.col(lang).alias("lang"), pieces(text).alias("text"), F.xxhash64(F.lit("sample"), F.col(doc_id)).alias("h"))
+    # rows are told apart by id and text, so repeated rows and null ids spread over the salts too
+    h = F.xxhash64(F.lit("sample"), F.col(doc_id), F.col(text))
+    hashed = rows.select(F.col(lang).alias("lang"), pieces(text).alias("text"), h.alias("h"))
     # two steps: the least of each salt, then the least of all, so that a hot language spreads over tasks
     salted = hashed.withColumn("salt", F.pmod("h", F.lit(64)))
-    some = salted.withColumn("r", F.row_number().over(Window.partitionBy("lang", "salt").orderBy("h"))).where(F.col("r") <= SAMPLE_DOCS // 16)
+    some = salted.withColumn("r", F.row_number().over(Window.partitionBy("lang", "salt").orderBy("h", "text"))).where(F.col("r") <= SAMPLE_DOCS // 16)
     least = some.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).where(F.col("r") <= SAMPLE_DOCS)
     found: dict[str, list[bytes]] = {}
     for r in least.orderBy("lang", "r").select("lang", "text").toLocalIterator():

@@ -4,8 +4,10 @@ Statistics come from the bytes of the whole text, many texts at a time. Trees sp
 values; the fitted forest is flattened into arrays (feature, threshold, children, value), and scoring moves all
 rows of a batch down a level at a time. Fitting uses a bounded sample of labelled rows, the least hashes.
 
-Null and empty texts have statistics of zero and get a score like any other. Repeated rows score alike. Without
-labelled rows of both kinds every score is the share of label 1 (0.5 if there are none).
+Null and empty texts have statistics of zero and get a score like any other. Repeated rows score alike, and train once
+an id; of several labels of an id the greatest counts. Equal gains split at the first statistic and bin. Without
+labelled rows of both kinds every score is the share of label 1 (0.5 if there are none). Long texts are read whole.
+An empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -181,7 +183,9 @@ def training(docs: DataFrame, labels: DataFrame, *, doc_id: str, text: str, labe
     """Statistics and labels of at most SAMPLE_ROWS labelled rows outside fold `held`, those of the least hashes."""
     marks = labels.where(F.col(label).isin(0, 1)).groupBy(F.col(doc_id).alias("_id")).agg(F.max(label).cast("int").alias("_y"))
     marks = marks.where(fold("_id", folds) != held).withColumn("_h", F.xxhash64(F.lit("quality"), "_id")).orderBy("_h", "_id").limit(SAMPLE_ROWS)
-    rows = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("text")).join(F.broadcast(materialise(marks, "marks")), "_id").select("_y", "_h", "text")  # at most SAMPLE_ROWS rows
+    met = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("text")).join(F.broadcast(materialise(marks, "marks")), "_id")  # at most SAMPLE_ROWS rows
+    # rows that repeat an id train once, by the one of the least hash, so that the sample's bound holds for rows too
+    rows = met.groupBy("_id", "_h", "_y").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")).select("_y", "_h", "text")
     got = sorted(with_statistics(rows, ["_y", "_h"]).select("_h", "_y", "stats").toLocalIterator(), key=lambda r: (r._h, r._y, r.stats))
     return np.array([r.stats for r in got], dtype=np.float64).reshape(len(got), len(NAMES)), np.array([r._y for r in got], dtype=np.float64)
 

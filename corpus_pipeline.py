@@ -1,4 +1,10 @@
-"""A training corpus from `documents`: five stages, each written and read again before the next."""
+"""A training corpus from `documents`: five stages, each written and read again before the next.
+
+Null and empty texts pass all stages; the mix takes them like other rows of their source, for no words. Null ids and
+sources are groups of their own. Rows that repeat id and text leave one in the second stage. Long texts are worked
+whole. Columns beyond those of `documents` are kept, whatever their names; the last stage adds copy_no. An empty table
+passes all stages empty.
+"""
 
 from __future__ import annotations
 
