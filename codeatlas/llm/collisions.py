@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import looked_up, materialise
-from .components import components
+from .components import components, rooted
 
 DRAWS, WIDE, COUNTED, BLOCK = 16, 8, 24, 1024
 #: Window of a counted projection, and width of a cell's, in deviations of a pair at the threshold.
@@ -192,8 +192,11 @@ def near_vectors(vectors: DataFrame, *, vec_id: str = "vec_id", embedding: str =
     found = materialise(compare(groups(classes.select("cls", "mult", "raw", "cells")), cosine), "links")
     counts = found.where(F.col("b").isNull()).groupBy(F.col("a").alias("cls")).agg(F.sum("n").alias("links"))
     roots = components(found.where(F.col("b").isNotNull()).select(F.col("a").alias("u"), F.col("b").alias("v")))
-    named = classes.select("cls", "first_id", "mult").join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    least = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    full = looked_up(named, materialise(least, "roots"), ["root"]).join(counts, "cls", "left").select("cls", "component_id", (F.coalesce("links", F.lit(0)) + F.col("mult") - 1).alias("links"))
+    # only classes with a root, and the roots, have others in their component
+    linked = rooted(roots).select(F.col("node").alias("cls"), "root").join(classes.select("cls", "first_id"), "cls")
+    least = materialise(linked.groupBy("root").agg(F.min("first_id").alias("least")), "roots")
+    known = looked_up(linked.select("cls", "root"), least, ["root"])
+    named = classes.select("cls", "first_id", "mult").join(known, "cls", "left").join(counts, "cls", "left")
+    full = named.select("cls", F.coalesce("least", "first_id").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("mult") - 1).alias("links"))
     mine = F.when(F.col("cls").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
     return rows.select("vec_id", "cls").join(full, "cls", "left").select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), mine.alias("component_id"), F.coalesce(F.col("vec_id") == mine, F.lit(False)).alias("kept"))

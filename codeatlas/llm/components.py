@@ -34,7 +34,7 @@ def _small(edges: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame, most: int = 40) -> DataFrame:
-    """u, v edges of any orderable id -> (node, root): the least id each linked node can reach."""
+    """u, v edges of any orderable id -> (node, root): the least id each linked node can reach; roots have no row of their own."""
     edges = materialise(_small(edges.select("u", "v").where("u <> v")), "edges")
     state = _state(edges)
     for _ in range(most):
@@ -52,6 +52,11 @@ def components(edges: DataFrame, most: int = 40) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
+def rooted(labels: DataFrame) -> DataFrame:
+    """labels (node, root) with a row for each root too, which `components` leaves out."""
+    return labels.select("node", "root").union(labels.select(F.col("root").alias("node"), "root").distinct())
+
+
 def extended(labels: DataFrame | None, edges: DataFrame) -> DataFrame:
     """(node, root) of components that further edges (u, v) join, from their labels before.
 

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import drop_table, free_name, looked_up, materialise, sided
-from .components import extended
+from .components import extended, rooted
 from .words import mix, shingle_sets, text_slices
 
 TREES, STRIDE, DEPTH = 12, 5, 10
@@ -383,9 +383,11 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     if labels is None:
         named = classes.select("cid", F.col("cid").alias("component"), F.col("first_id").alias("component_id"))
     else:
-        joined = classes.select("cid", "first_id").join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("root", "cid"))
-        least = joined.groupBy("component").agg(F.min("first_id").alias("component_id"))
-        named = looked_up(joined.select("cid", "component"), materialise(least, "least"), ["component"])
+        # only classes with a label, and the roots they name, have others in their component
+        linked = rooted(labels).select(F.col("node").alias("cid"), F.col("root").alias("component")).join(classes.select("cid", "first_id"), "cid")
+        least = materialise(linked.groupBy("component").agg(F.min("first_id").alias("least")), "least")
+        known = looked_up(linked.select("cid", "component"), least, ["component"])
+        named = classes.select("cid", "first_id").join(known, "cid", "left").select("cid", F.coalesce("component", "cid").alias("component"), F.coalesce("least", "first_id").alias("component_id"))
     out = rows.select("doc_id", "md5", "n_shingles", "cid").join(named, "cid", "left")
     mine: Column = F.when(F.col("cid").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "md5", "n_shingles", "component", mine.alias("component_id"), F.coalesce(F.col("doc_id") == mine, F.lit(False)).alias("kept"))
