@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import collisions, ctw, decontam, forest, html_text, langid, mixing, pii, quality, toxicity
+from . import collisions, ctw, decontam, fim, forest, html_text, langid, mixing, pii, quality, ranked, rules, toxicity
 from .common import table
 
 
@@ -52,6 +52,18 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op11_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.digest(fim.transform(table(spark, sf_dir, "documents")))
+
+
+def op13_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": op1_toxicity,
@@ -64,6 +76,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_mixing": op8_mixing,
         "op9_html": op9_html,
         "op10_language": op10_language,
+        "op11_rules": op11_rules,
+        "op12_fim": op12_fim,
+        "op13_ranked": op13_ranked,
     }
 
 
@@ -71,4 +86,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op7_decontamination": decontam.ORACLE_SQL,
         "op8_mixing": mixing.ORACLE_SQL,
+        "op12_fim": fim.ORACLE_SQL,
+        "op13_ranked": ranked.ORACLE_SQL,
     }
