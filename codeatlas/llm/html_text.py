@@ -32,14 +32,19 @@ BLOCK_TAGS = set(
     "textarea tfoot th thead title tr ul".split()
 )
 #: Elements whose content is not text of the page, read to their end tag.
-RAW_TAGS = {"script", "style", "template", "svg", "math", "iframe", "object", "noscript", "textarea", "title", "canvas", "noembed", "noframes"}
+RAW_TAGS = {"script", "style", "template", "svg", "iframe", "object", "textarea", "title", "canvas", "noembed", "noframes"}
 VOID_TAGS = set("area base br col embed hr img input link meta param source track wbr".split())
 CHROME_TAGS = {"nav", "header", "footer", "aside", "form", "menu", "button", "select", "head", "dialog", "search"}
 CHROME_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "menu", "menubar", "form"}
-#: Words of class and id values that mark boilerplate.
+#: Parts of class and id values that name boilerplate, those of adverts, and parts that name nothing of their own.
 CHROME = regex.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertis\w*|sponsor\w*|promo\w*|banner|nav\w*|menu\w*|breadcrumbs?|footer|foot|header|masthead|sidebar|side|widget\w*|comments?|commentlist|discussion|disqus|replies|respond|"
-    r"related|recommend\w*|share|sharing|social|cookies?|consent|gdpr|notice|notices|alert|popup|modal|overlay|newsletter|subscri\w*|signup|login|search\w*|pagination|pager|toolbar|tags?|toc|skip|hidden|copyright|legal|disclaimer)(?:$|[\s_-])"
+    r"ads?|adverts?|advertis\w*|sponsor\w*|promo\w*|banner|nav\w*|menu\w*|breadcrumbs?|footer|foot|header|masthead|sidebar|side|widget\w*|comments?|commentlist|discussion|disqus|replies|respond|"
+    r"related|recommend\w*|share|sharing|social|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|subscri\w*|signup|login|search\w*|pagination|pager|toolbar|tags?|toc|skip|hidden|copyright|legal|disclaimer"
+)
+ADVERT = regex.compile(r"ads?|adverts?|advertis\w*|sponsor\w*|promo\w*")
+NEUTRAL = regex.compile(
+    r"|[0-9]+(?:x[0-9]+)?|[a-z]|site|page|global|main|primary|secondary|top|bottom|left|right|upper|lower|sticky|fixed|container|wrapper|wrap|inner|outer|box|bar|block|panel|section|area|region|slot|unit|zone|row|col|column|"
+    r"list|items?|links?|buttons?|icons?|form|input|field|group|thread|posts?|articles?|stories|story|entry|content|text|body|title|head|us|me|to|up|for|of|the|js|web|app|mobile|desktop"
 )
 CONTENT = regex.compile(r"(?:^|[\s_-])(?:article\w*|content|main|post|entry|story|text|body|page)(?:$|[\s_-])")
 COMMENT = r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
@@ -77,8 +82,20 @@ def is_chrome(tag: str, attrs: dict[str, str], in_article: bool) -> bool:
         return True
     if regex.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attrs.get("style", "").lower()):
         return True
-    named = f"{attrs.get('class', '')} {attrs.get('id', '')}".lower().strip()
-    return bool(named) and tag not in ("html", "body", "article", "main") and bool(CHROME.search(named)) and not (CONTENT.search(named) and not regex.search(r"comment|\bads?\b|advert|sidebar|footer|nav", named))
+    if tag == "noscript" and not in_article:  # asks for scripts
+        return True
+    if tag in ("html", "body", "article", "main"):
+        return False
+    return any(names_chrome(name, in_article and tag in PLAIN_BLOCKS) for name in f"{attrs.get('class', '')} {attrs.get('id', '')}".lower().split())
+
+
+def names_chrome(name: str, in_text: bool) -> bool:
+    """Whether a whole class or id names boilerplate: each of its parts does, or names nothing. Of a text only adverts."""
+    parts = regex.split("[-_:]+", name)
+    known = ADVERT if in_text else CHROME
+    if not any(known.fullmatch(x) for x in parts) or not all(CHROME.fullmatch(x) or NEUTRAL.fullmatch(x) for x in parts):
+        return False
+    return not CONTENT.search(name) or bool(regex.search(r"comment|\bads?\b|advert|sidebar|footer|nav", name))
 
 
 class Tree:

@@ -83,3 +83,11 @@ def test_equal_containers_and_text_at_every_depth(spark):
 def test_a_quote_that_never_closes_costs_no_text():
     tree, found = html_text.blocks('<div><p title="oops>first</p><p>second</p></div> <b>x')
     assert [t for _, t, _, _ in found] == ["first", "second", "x"]
+
+
+def test_class_words_mark_boilerplate_only_where_the_whole_name_says_so(spark):
+    kept = "<p class=share-price>price up</p><p class=skip>skipped beat</p><div class=side-by-side>two columns</div><p class='notice'>a notice board</p><math><mi>x</mi> plus one</math><noscript>still text</noscript>"
+    gone = "<p class=advert>buy this</p><div class='share-buttons'>tweet</div><div id=cookie-notice-0>cookies</div><div class='comment__list x'>first!</div><div class='post-footer'>filed</div>"
+    page = f"<body><noscript>enable scripts</noscript><article><p>{'lead text ' * 20}</p>{kept}{gone}</article></body>"
+    (row,) = html_text.extract(spark.createDataFrame([(1, "http://x", page)], "page_id long, url string, html string")).collect()
+    assert row.text == ("lead text " * 20).strip() + " price up skipped beat two columns a notice board x plus one still text"
