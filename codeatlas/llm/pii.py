@@ -40,8 +40,8 @@ LOOSE = {
     "phone": r"(?<![0-9A-Za-z+.(-])(?:00[1-9][0-9]{0,2}[ .-]?)?(?:\([0-9]{2,4}\)|[0-9]{2,4})[ .-][0-9]{3,4}[ .-][0-9]{3,4}(?![0-9A-Za-z])(?!\.[0-9])",
 }
 #: Shapes of keys and tokens: strict ones, whose contexts are learned, and whatever else may stand in those contexts.
-KEYS = r"(?<![A-Za-z0-9_+/=.-])(?=[0-9a-f]{0,40}?[0-9])(?=[0-9a-f]{0,40}?[a-f])(?:[0-9a-f]{64}|[0-9a-f]{40}|[0-9a-f]{32})(?![A-Za-z0-9_+/=.-])"
-LOOSE_KEYS = r"(?<![A-Za-z0-9_+/=-])(?=[A-Za-z_+/=-]{0,200}?[0-9])(?=[0-9_+/=-]{0,200}?[A-Za-z])[A-Za-z0-9_+/=-]{16,200}+(?![A-Za-z0-9_+/=-])"
+KEYS = r"(?<![A-Za-z0-9_+/=.-])(?=[0-9a-f]*?[0-9])(?=[0-9a-f]*?[a-f])(?:[0-9a-f]{64}|[0-9a-f]{40}|[0-9a-f]{32})(?![A-Za-z0-9_+/=.-])"
+LOOSE_KEYS = r"(?<![A-Za-z0-9_+/=-])(?=[A-Za-z_+/=-]*?[0-9])(?=[0-9_+/=-]*?[A-Za-z])[A-Za-z0-9_+/=-]{16,}+(?![A-Za-z0-9_+/=-])"
 KEY_NEEDS = "[A-Za-z_+/=-][0-9]|[0-9][A-Za-z_+/=-]"
 #: A cheap test of whether a text can hold a kind at all.
 NEEDS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]"}

@@ -113,3 +113,11 @@ def test_redaction_keeps_clashing_columns_and_cuts_across_pieces(spark):
     docs = spark.createDataFrame([(1, text, "k", "c", 3)], "doc_id long, text string, row_key string, fresh string, _row_key int")
     (row,) = pii.redact(docs, pii.extract(docs)).collect()
     assert row.text == "é" * (pii.CHARS - 5) + " [EMAIL] end" and (row.row_key, row.fresh, row._row_key) == ("k", "c", 3)
+
+
+def test_keys_of_any_length_are_found(spark):
+    key = lambda n: (hashlib.sha512(str(n).encode()).hexdigest() * 5)[:n]
+    rows = [(i, f'text token = "{hashlib.sha1(str(i).encode()).hexdigest()}" and more') for i in range(12)]
+    rows += [(n, f'text token = "{key(n)}" and more') for n in (200, 201, 640)]
+    got = {r.doc_id: r.spans for r in pii.digest(pii.extract(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
+    assert all(got[n] == f"secret:14:{14 + n}" for n in (200, 201, 640))
