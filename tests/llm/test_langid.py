@@ -48,3 +48,23 @@ def test_long_training_texts_are_sampled_to_their_end(spark):
     docs = spark.createDataFrame([(n, text, "en") for n in range(8)], "doc_id long, text string, lang string")
     rows = langid.sample(docs, "doc_id", "text", "lang", 4, 2)["en"]
     assert rows and all({*"abc"} <= {*r.decode()} and r.endswith(b"c") and len(r) <= langid.SAMPLE_CHARS + langid.PIECES for r in rows)
+
+
+def test_a_dictionary_holds_all_texts_that_fit():
+    assert langid.dictionary([b"one", b"two"]) == b"one\ntwo"
+    rows = [bytes([97 + i % 26]) * 1400 for i in range(langid.SAMPLE_DOCS)]
+    full = langid.dictionary(rows)
+    assert len(full) == langid.DICTIONARY_BYTES and full.startswith(rows[0]) and langid.level(full) == langid.DICTIONARY_BYTES
+
+
+def test_equal_sizes_take_the_first_language_and_are_rejected(spark):
+    from pyspark.sql import functions as F
+
+    from codeatlas.llm.common import fold
+
+    learn = [r.id for r in spark.range(400).where(fold(F.col("id"), 4) != 2).collect()][:40]
+    text = "these are the same words in either language and nothing tells them apart"
+    docs = spark.createDataFrame([(i, text, "bb" if n % 2 else "aa") for n, i in enumerate(learn)], "doc_id long, text string, lang string")
+    assert {(r.lang_pred, r.score, r.rejected) for r in langid.identify(docs).collect()} == {("aa", 0.5, True)}
+    clash = docs.selectExpr("*", "'v' as held_out", "'v' as lang_pred", "1 as score", "2 as h")
+    assert [tuple(r) for r in langid.identify(clash).collect()] == [tuple(r) for r in langid.identify(docs).collect()]
