@@ -32,8 +32,10 @@ from .words import LOWER, SPACE, text_slices, word_hashes
 
 #: Bytes of the longest context; a context and its byte must fit 56 bits.
 DEPTH = 5
-#: Rows whose n-grams are answered together.
-BLOCK_ROWS = 8192
+#: Rows whose n-grams are answered together, if their texts take BLOCK_TEXT bytes at most; half as many of twice as long.
+BLOCK_ROWS, BLOCK_TEXT = 8192, 2048
+#: Rows of counts that are handed over at once.
+HANDED = 1 << 16
 #: Bytes of text worked on at once.
 PIECE = 1 << 19
 END = np.uint64(0x5BF03635F0A31B27)
@@ -94,11 +96,15 @@ def keys_of(data: np.ndarray, offsets: np.ndarray, depth: int) -> tuple[np.ndarr
 
 
 def blocks(docs: DataFrame, doc_id: str, text: str, folds: int, held: int) -> DataFrame:
-    """block, doc_id, train, text. A block is a run of BLOCK_ROWS rows of a parquet file.
+    """block, doc_id, train, text. A block is a run of rows of a parquet file whose texts are of about one length.
 
-    Both passes name it alike, however the scan is cut into tasks; a block that two tasks share is counted in two parts.
+    It holds BLOCK_ROWS * BLOCK_TEXT bytes at most, or one text. Both passes name it alike, however the scan is cut
+    into tasks; a block that two tasks share is counted in two parts.
     """
-    where = F.xxhash64("_metadata.file_path", F.floor(F.col("_metadata.row_index") / BLOCK_ROWS))
+    size = F.coalesce(F.octet_length(text), F.lit(0))
+    twice = F.when(size <= BLOCK_TEXT, 0).otherwise(F.ceil(F.log2(size / F.lit(float(BLOCK_TEXT))))).cast("int")
+    rows = F.greatest(F.lit(1), (F.lit(float(BLOCK_ROWS)) / F.pow(F.lit(2.0), twice)).cast("long"))
+    where = F.xxhash64("_metadata.file_path", twice, F.floor(F.col("_metadata.row_index") / rows))
     return docs.select(where.alias("block"), F.col(doc_id).alias("doc_id"), (fold(doc_id, folds) != held).alias("train"), F.col(text).alias("text"))
 
 
@@ -113,21 +119,22 @@ def count(rows: DataFrame, depth: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple[int, int], list[tuple]] = {}
 
-        def flush(which: tuple[int, int]) -> pa.RecordBatch:
-            keys, n = merge(held.pop(which))
-            return pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(which[0], pa.int8()), len(keys)), pa.array(np.full(len(keys), which[1])), pa.array(keys), pa.array(n)], names=["part", "block", "key", "n"])
+        def flush(which: tuple[int, int]) -> Iterator[pa.RecordBatch]:
+            all_keys, all_n = merge(held.pop(which))
+            for k in range(0, len(all_keys), HANDED):
+                keys, n = all_keys[k : k + HANDED], all_n[k : k + HANDED]
+                yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(which[0], pa.int8()), len(keys)), pa.array(np.full(len(keys), which[1])), pa.array(keys), pa.array(n)], names=["part", "block", "key", "n"])
 
         for batch in batches:
             block = batch.column(0).to_numpy()
             train = batch.column(1).to_numpy(zero_copy_only=False)
-            for cut in np.split(np.arange(len(block)), np.flatnonzero(np.diff(block)) + 1):
-                if not len(cut):
-                    continue
-                name = int(block[cut[0]])
-                for which in [w for w in held if w[1] != name]:
-                    yield flush(which)
-                for a, b, data, offsets in text_slices(batch.column(2).slice(cut[0], len(cut)), PIECE):
-                    learn = train[cut[0] + a : cut[0] + b]
+            names = np.unique(block)
+            for which in [w for w in held if w[1] not in names]:
+                yield from flush(which)
+            for name in names.tolist():
+                mine = np.flatnonzero(block == name)
+                for a, b, data, offsets in text_slices(batch.column(2).take(pa.array(mine)), PIECE):
+                    learn = train[mine[a:b]]
                     keys, first = keys_of(data, offsets, depth)
                     words, at = word_hashes(data, offsets)
                     for part, values, sizes in ((0, keys, np.diff(first)), (1, words.view(np.int64), np.diff(at))):
@@ -141,7 +148,7 @@ def count(rows: DataFrame, depth: int) -> DataFrame:
                         if len(parts) >= 10:
                             held[part, name] = [merge(parts)]
         for which in list(held):
-            yield flush(which)
+            yield from flush(which)
 
     return rows.select("block", "train", "text").mapInArrow(run, "part tinyint, block long, key long, n long")
 

@@ -122,3 +122,20 @@ def test_blocks_don_t_depend_on_how_the_scan_is_cut(spark, sf_dir, monkeypatch):
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
     assert len(got) == len(want) and all(abs(got[k] - want[k]) < 1e-6 for k in want)
+
+
+def test_long_texts_and_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "ab cd " * 3000), (2, "ab"), (3, "Ab  cd\n" * 700), (4, None), (2, "ab")], "doc_id long, text string").selectExpr("*", *[f"'v' as `{c}`" for c in ("block", "train", "part", "key", "value", "known")])
+    check(docs, [(r.doc_id, r.text) for r in docs.collect()])
+
+
+def test_blocks_are_bounded_by_bytes(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(ctw, "BLOCK_ROWS", 16)
+    monkeypatch.setattr(ctw, "BLOCK_TEXT", 8)
+    rows = [(i, "x" * n) for i, n in enumerate([0, 1, 8, 9, 16, 17, 40, 127, 128, 129, 4000] * 30)]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "t"))
+    held = ctw.blocks(spark.read.parquet(str(tmp_path / "t")), "doc_id", "text", 7, 2).groupBy("block").agg({"text": "count", "doc_id": "count"}).collect()
+    sizes = {}
+    for r in ctw.blocks(spark.read.parquet(str(tmp_path / "t")), "doc_id", "text", 7, 2).collect():
+        sizes.setdefault(r.block, []).append(len(r.text))
+    assert len(held) == len(sizes) and all(sum(x) <= 16 * 8 or len(x) == 1 for x in sizes.values())
