@@ -32,8 +32,9 @@ from .words import LOWER, SPACE, text_slices, word_hashes
 
 #: Bytes of the longest context; a context and its byte must fit 56 bits.
 DEPTH = 5
-#: Rows whose n-grams are answered together, if their texts take BLOCK_TEXT bytes at most; half as many of twice as long.
-BLOCK_ROWS, BLOCK_TEXT = 8192, 2048
+#: Rows whose n-grams are answered together: BLOCK_ROWS, or as many as have BLOCK_BYTES of the table's mean length. Texts
+#: of more than LONG bytes are answered alone.
+BLOCK_ROWS, BLOCK_BYTES, LONG = 8192, 28 << 20, 448 << 10
 #: Rows of counts that are handed over at once.
 HANDED = 1 << 16
 #: Bytes of text worked on at once.
@@ -96,15 +97,15 @@ def keys_of(data: np.ndarray, offsets: np.ndarray, depth: int) -> tuple[np.ndarr
 
 
 def blocks(docs: DataFrame, doc_id: str, text: str, folds: int, held: int) -> DataFrame:
-    """block, doc_id, train, text. A block is a run of rows of a parquet file whose texts are of about one length.
+    """block, doc_id, train, text. A block is a run of rows of a parquet file, without its long texts, or one of these.
 
-    It holds BLOCK_ROWS * BLOCK_TEXT bytes at most, or one text. Both passes name it alike, however the scan is cut
-    into tasks; a block that two tasks share is counted in two parts.
+    Both passes name it alike, however the scan is cut into tasks; a block that two tasks share is counted in two parts.
     """
     size = F.coalesce(F.octet_length(text), F.lit(0))
-    twice = F.when(size <= BLOCK_TEXT, 0).otherwise(F.ceil(F.log2(size / F.lit(float(BLOCK_TEXT))))).cast("int")
-    rows = F.greatest(F.lit(1), (F.lit(float(BLOCK_ROWS)) / F.pow(F.lit(2.0), twice)).cast("long"))
-    where = F.xxhash64("_metadata.file_path", twice, F.floor(F.col("_metadata.row_index") / rows))
+    n, total = docs.agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
+    rows = max(1, min(BLOCK_ROWS, BLOCK_BYTES * n // max(total, 1)))
+    place = F.col("_metadata.row_index")
+    where = F.xxhash64("_metadata.file_path", F.floor(place / rows), F.when(size > LONG, place))
     return docs.select(where.alias("block"), F.col(doc_id).alias("doc_id"), (fold(doc_id, folds) != held).alias("train"), F.col(text).alias("text"))
 
 

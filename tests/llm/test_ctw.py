@@ -129,13 +129,12 @@ def test_long_texts_and_clashing_columns(spark):
     check(docs, [(r.doc_id, r.text) for r in docs.collect()])
 
 
-def test_blocks_are_bounded_by_bytes(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(ctw, "BLOCK_ROWS", 16)
-    monkeypatch.setattr(ctw, "BLOCK_TEXT", 8)
-    rows = [(i, "x" * n) for i, n in enumerate([0, 1, 8, 9, 16, 17, 40, 127, 128, 129, 4000] * 30)]
-    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "t"))
-    held = ctw.blocks(spark.read.parquet(str(tmp_path / "t")), "doc_id", "text", 7, 2).groupBy("block").agg({"text": "count", "doc_id": "count"}).collect()
+def test_blocks_hold_fewer_rows_of_longer_texts_and_long_ones_alone(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(ctw, "BLOCK_BYTES", 2000)
+    monkeypatch.setattr(ctw, "LONG", 500)
+    spark.createDataFrame([(i, "x" * n) for i, n in enumerate([40, 160, 100, 501] * 50)], "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "t"))
     sizes = {}
     for r in ctw.blocks(spark.read.parquet(str(tmp_path / "t")), "doc_id", "text", 7, 2).collect():
         sizes.setdefault(r.block, []).append(len(r.text))
-    assert len(held) == len(sizes) and all(sum(x) <= 16 * 8 or len(x) == 1 for x in sizes.values())
+    assert sum(map(len, sizes.values())) == 200
+    assert all(x == [501] or (501 not in x and sum(x) <= 2000) for x in sizes.values()) and [501] in sizes.values() and any(len(x) > 4 for x in sizes.values())
