@@ -51,6 +51,12 @@ def base_name(c: Column) -> Column:
     return F.substring_index(c, "/", -1)
 
 
+def suffixes(path: Column) -> Column:
+    """A path and all its tails that begin after a `/`: a path ends in a target where the target is one of them."""
+    parts = F.split(path, "/")
+    return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "/"))
+
+
 def extension_of(c: Column) -> Column:
     return ascii_lower(F.regexp_extract(base_name(c), r"(\.[^.]*)$", 1))
 

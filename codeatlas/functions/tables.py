@@ -5,13 +5,15 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows and bytes up to which a look-up table is sent to every executor; beyond either its joins shuffle.
 LOOKUP_ROWS, LOOKUP_BYTES = 100_000, 32 << 20
 #: Parts into which a hot key is dealt where both sides of a look-up shuffle.
 SALTS = 32
+#: Rows of one key from which a join deals them over parts.
+HOT_ROWS = 100_000
 PREFIX = "codeatlas-"
 
 
@@ -43,7 +45,7 @@ def drop_table(df: DataFrame) -> None:
             path.getFileSystem(conf).delete(path, True)
 
 
-def _width(df: DataFrame) -> Column:
+def width(df: DataFrame) -> Column:
     """About the bytes of a row."""
     fixed, parts = 0, []
     for field in df.schema:
@@ -59,7 +61,7 @@ def _width(df: DataFrame) -> Column:
 
 def is_small(df: DataFrame) -> bool:
     """Whether a count of its rows and bytes proves df small enough for every executor."""
-    rows, size = df.agg(F.count("*"), F.coalesce(F.sum(_width(df)), F.lit(0))).first()
+    rows, size = df.agg(F.count("*"), F.coalesce(F.sum(width(df)), F.lit(0))).first()
     return rows <= LOOKUP_ROWS and size <= LOOKUP_BYTES
 
 
@@ -84,6 +86,47 @@ def looked_up(rows: DataFrame, small: DataFrame, on: list[str], how: str = "inne
     return dealt.join(copies, [*on, salt], how).drop(salt)
 
 
+def dealt(rows: DataFrame, keyed: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """rows joined with a table of one row a key; how: inner, left, left_semi or left_anti.
+
+    A proven small table is broadcast. Else the keys with more than HOT_ROWS rows are counted first, and only these are
+    dealt over SALTS parts, with as many copies of their rows of `keyed`; all other keys are shuffled once.
+    """
+    if is_small(keyed):
+        return rows.join(F.broadcast(keyed), on, how)
+    hot = settle(rows.groupBy(*on).agg(F.count("*").alias("n")).where(F.col("n") > HOT_ROWS).select(*on), "hot")
+    if not hot.limit(1).count():
+        return rows.join(keyed, on, how)
+    salt, mark = free_name("salt", rows.columns, keyed.columns), free_name("hot", rows.columns, keyed.columns)
+    marked = sided(hot.withColumn(mark, F.lit(True)))
+    rest = [F.col(f"`{f.name}`") for f in rows.schema if f.name not in on and f.dataType.typeName() not in ("map", "variant")]
+    spread = F.pmod(F.xxhash64(*rest) if rest else F.lit(0), F.lit(SALTS)).cast("int")
+    left = rows.join(marked, on, "left").withColumn(salt, F.when(F.col(mark), spread).otherwise(0)).drop(mark)
+    copies = F.when(F.col(mark), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    right = keyed.join(marked, on, "left").withColumn(salt, F.explode(copies)).drop(mark)
+    return left.join(right, [*on, salt], how).drop(salt)
+
+
+def running_before(rows: DataFrame, order: str, value: str, name: str, small: bool = False) -> DataFrame:
+    """rows with `name`: the sum of value over all rows of a lesser order.
+
+    Where small says that the rows are proven few, in one window; else within ranges of the order, whose totals, one
+    number a range, are summed first.
+    """
+    before = lambda w: F.coalesce(F.sum(value).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    if small:
+        return rows.withColumn(name, before(Window.orderBy(order)))
+    part = free_name("range", rows.columns)
+    spread = settle(rows.repartitionByRange(order).withColumn(part, F.spark_partition_id()), "ranges")
+    total, starts = 0, []
+    for r in spread.groupBy(part).agg(F.sum(value).alias("n")).orderBy(part).collect():  # one row a range
+        starts.append((r[0], total))
+        total += r.n
+    first = rows.sparkSession.createDataFrame(starts, f"{part} int, _start long")
+    own = Window.partitionBy(part).orderBy(order)
+    return spread.join(F.broadcast(first), part).withColumn(name, F.col("_start") + before(own)).drop(part, "_start")
+
+
 def free_name(name: str, *taken: list[str]) -> str:
     """A column name that none of the lists holds, whatever its case."""
     used = {c.lower() for columns in taken for c in columns}

@@ -9,9 +9,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from codeatlas.functions.exprs import base_name, module_of, reference_name, simple_name
-from codeatlas.functions.tables import settle
-from codeatlas.operators.graph import dedup_edges, degrees, merge_symbols, resolve_includes, resolve_references, valid_edges
+from codeatlas.functions.exprs import base_name, module_of, reference_name, simple_name, suffixes
+from codeatlas.functions.tables import dealt, settle
+from codeatlas.operators.graph import dedup_edges, degrees, look_up, merge_symbols, name_index, resolve_includes, valid_edges
+from codeatlas.operators.traverse import induced, subgraph
+from codeatlas.sources import build_script
 
 #: The kinds looked up for each kind of reference, one after the other; enums are looked up as classes.
 LADDERS = {"calls": ["function", "class"], "inherits": ["class"], "uses": ["class", "variable", "function"], "refs": ["macro", "variable"]}
@@ -23,15 +25,10 @@ EXTERNAL_MODULE = "<external>"
 def reference_hits(refs: DataFrame, symbols: DataFrame, most_hits: int = 3) -> DataFrame:
     """refs with n_hits and hits (file, sym_ord, id of each occurrence, up to most_hits), by their kind's ladder."""
     known = symbols.select(F.struct("file", "sym_ord", "id").alias("occ_id"), F.when(F.col("kind") == "enum", "class").otherwise(F.col("kind")).alias("kind"), "qualified", F.col("name").alias("simple"))
-    known = settle(known, "known")
-    out = None
-    for kind, ladder in LADDERS.items():
-        mine = refs.where(F.col("kind") == kind)
-        names = mine.select(F.col("name").alias("ref_id"), reference_name(F.col("name")).alias("name")).distinct()
-        found = resolve_references(names, known, ladder, most_hits).select(F.col("ref_id").alias("name"), "tier", "n_hits", "hits")
-        met = mine.join(found, "name", "left")
-        out = met if out is None else out.unionByName(met)
-    return out
+    asked = refs.select(F.col("kind").alias("ladder"), F.col("name").alias("raw"), reference_name(F.col("name")).alias("name")).distinct()
+    found = look_up(asked.select("name", "ladder").distinct(), name_index(known, most_hits), LADDERS, most_hits)
+    by_raw = settle(asked.join(found, ["name", "ladder"]).select(F.col("raw").alias("name"), F.col("ladder").alias("kind"), "tier", "n_hits", "hits"), "hits")
+    return dealt(refs, by_raw, ["name", "kind"], "left")
 
 
 def reference_edges(resolved: DataFrame, precision: DataFrame) -> DataFrame:
@@ -68,32 +65,76 @@ def include_edges(includes: DataFrame, files: DataFrame, search: list[str]) -> D
     )
 
 
-def build(files: DataFrame, symbols: DataFrame, refs: DataFrame, includes: DataFrame, *, search: list[str] | None = None, include_external: bool = False, most_hits: int = 3) -> tuple[DataFrame, DataFrame, DataFrame]:
+def target_graph(rows: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Nodes of targets, nodes of the libraries that no target here is, and the edges to sources and libraries.
+
+    rows: those of build_script.targets. Of several definitions of a target the last gives its place, and each its
+    edges. Libraries from outside are nodes even where other externals aren't asked for: a link is a fact of the build.
+    """
+    rows = settle(rows, "scripts")
+    defined = build_script.definitions(rows)
+    listed = settle(build_script.listed_sources(rows), "listed")
+    sizes = listed.groupBy("target", "file", "line").agg(F.count("*").alias("n"))
+    last = defined.join(sizes, ["target", "file", "line"], "left").groupBy("target").agg(F.max(F.struct("file", "line", "kind", "n")).alias("d"))
+    detail = F.concat("d.kind", F.when(F.col("d.n") > 0, F.concat(F.lit(", "), F.col("d.n").cast("string"), F.lit(" sources"))).otherwise(""))
+    none = [F.lit(None).cast("string").alias("api_header"), F.lit(None).cast("int").alias("api_line")]
+    nodes = last.select(
+        F.concat(F.lit("target:"), "target").alias("id"), F.lit("target").alias("kind"), F.col("target").alias("name"), "d.file", F.col("d.line").cast("int").alias("line"), F.lit(0).alias("column"), F.lit(False).alias("declaration"),
+        F.lit(0).alias("body_lines"), detail.alias("detail"), F.lit("exact").alias("precision"), *none,
+    )
+    place = lambda n, k: F.struct(F.lit(2).alias("stage"), "file", (F.col("line") * (1 << 20) + n).cast("long").alias("n"), k.cast("long").alias("place")).alias("ord")
+    common = [F.lit("links").alias("kind"), F.lit("exact").alias("precision"), "file", F.col("line").cast("int").alias("line")]
+    met = build_script.target_sources(listed.select("target", "listed"), files)
+    tails = met.select("target", "source", F.explode(suffixes(F.col("source"))).alias("listed"))
+    to_files = listed.join(tails, ["target", "listed"]).select(F.concat(F.lit("target:"), "target").alias("src"), F.concat(F.lit("file:"), "source").alias("dst"), *common, place(F.lit(0), F.xxhash64("source")), F.lit(False).alias("external"), F.col("source").alias("name"))
+    linked = settle(build_script.linked_libraries(rows), "linked")
+    ends = build_script.target_links(linked, defined.select(F.col("target").alias("name")), ["file", "line", "place", "library"])
+    to_libraries = ends.select(F.concat(F.lit("target:"), "target").alias("src"), "dst", *common, place(F.lit(1), F.xxhash64("place", "library")), F.col("external"), F.col("library").alias("name"))
+    outside = ends.where("external").select("dst", "library").distinct().select(
+        F.col("dst").alias("id"), F.lit("target").alias("kind"), F.col("library").alias("name"), F.lit("").alias("file"), F.lit(0).alias("line"), F.lit(0).alias("column"), F.lit(False).alias("declaration"), F.lit(0).alias("body_lines"),
+        F.lit("linked by a build script").alias("detail"), F.lit("exact").alias("precision"), *none,
+    )
+    return nodes, outside, to_files.unionByName(to_libraries)
+
+
+def build(files: DataFrame, symbols: DataFrame, refs: DataFrame, includes: DataFrame, *, search: list[str] | None = None, include_external: bool = False, most_hits: int = 3, scripts: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """nodes, edges and one row of counts (exact and approximate includes, unresolved references).
 
-    files: path. The other tables are those of extract. External nodes and the edges to them only if asked for.
+    files: path. The other tables are those of extract, scripts those of build_script.targets. External nodes and the
+    edges to them only if asked for, but for the libraries that targets link.
     """
     file_nodes = files.select(
-        F.concat(F.lit("file:"), "path").alias("id"), F.lit("file").alias("kind"), base_name(F.col("path")).alias("name"), F.col("path").alias("file"), F.lit(1).alias("line"), F.lit(0).alias("column"),
+        F.concat(F.lit("file:"), "path").alias("id"), F.lit("file").alias("kind"), F.col("path").alias("name"), F.col("path").alias("file"), F.lit(1).alias("line"), F.lit(0).alias("column"),
         F.lit(False).alias("declaration"), F.lit(0).alias("body_lines"), F.lit("").alias("detail"), F.lit("approx").alias("precision"), F.lit(None).cast("string").alias("api_header"), F.lit(None).cast("int").alias("api_line"),
     )
     merged = settle(merge_symbols(symbols), "symbols")
     inner = file_nodes.unionByName(merged).withColumn("module", module_of(F.col("file"))).withColumn("external", F.lit(False))
-    wide = settle(include_edges(includes, files, search or []).unionByName(reference_edges(reference_hits(refs, symbols, most_hits), merged)), "edges")
-    outer = wide.where("external").select(F.col("dst").alias("id"), F.regexp_extract("dst", "^ext:([a-z]+):", 1).alias("kind"), "name").distinct()
+    resolved = settle(reference_hits(refs, symbols, most_hits), "resolved")
+    wide = include_edges(includes, files, search or []).unionByName(reference_edges(resolved, merged))
+    libraries = None
+    if scripts is not None:
+        targets, libraries, links = target_graph(scripts, files)
+        inner = inner.unionByName(targets.withColumn("module", module_of(F.col("file"))).withColumn("external", F.lit(False)))
+        wide = wide.unionByName(links)
+    wide = settle(wide, "edges")
+    asked = F.col("external") & (F.col("kind") != "links")
+    outer = wide.where(asked).select(F.col("dst").alias("id"), F.regexp_extract("dst", "^ext:([a-z]+):", 1).alias("kind"), "name").distinct()
     outer = outer.select(
         "id", "kind", "name", F.lit("").alias("file"), F.lit(0).alias("line"), F.lit(0).alias("column"), F.lit(False).alias("declaration"), F.lit(0).alias("body_lines"), F.lit("").alias("detail"),
         F.lit("approx").alias("precision"), F.lit(None).cast("string").alias("api_header"), F.lit(None).cast("int").alias("api_line"), F.lit(EXTERNAL_MODULE).alias("module"), F.lit(True).alias("external"),
     )
     nodes = inner.unionByName(outer) if include_external else inner
-    kept = wide if include_external else wide.where("not external")
+    if libraries is not None:
+        nodes = nodes.unionByName(libraries.withColumn("module", F.lit(EXTERNAL_MODULE)).withColumn("external", F.lit(True)))
+    nodes = settle(nodes, "nodes")
+    kept = wide if include_external else wide.where(~asked)
     edges = settle(valid_edges(dedup_edges(kept.select("src", "dst", "kind", "precision", "file", "line", "ord")), nodes), "edges")
     nodes = nodes.join(degrees(edges), "id", "left").withColumns({c: F.coalesce(c, F.lit(0)).cast("long") for c in ("in_degree", "out_degree")})
     found = F.col("kind") == "includes"
     counts = wide.agg(
         F.count_if(found & ~F.col("external") & (F.col("precision") == "exact")).alias("exact_includes"),
         F.count_if(found & ~F.col("external") & (F.col("precision") == "approx")).alias("approx_includes"),
-    ).crossJoin(reference_hits(refs, symbols, most_hits).agg(F.count_if(F.coalesce("n_hits", F.lit(0)) == 0).alias("unresolved_refs")))
+    ).crossJoin(resolved.agg(F.count_if(F.coalesce("n_hits", F.lit(0)) == 0).alias("unresolved_refs")))  # one row each
     return nodes, edges.withColumnRenamed("ord", "edge_ord"), counts
 
 
@@ -115,16 +156,22 @@ def containment(symbols: DataFrame) -> DataFrame:
     return symbols.groupBy(F.concat(F.lit("file:"), "file").alias("file"), F.col("id").alias("symbol")).agg(F.min("sym_ord").alias("ord"))
 
 
-def neighbours(edges: DataFrame, nodes: DataFrame, focus: str, direction: str = "both", most: int = 200) -> DataFrame:
-    """id, name, kind of the nodes one edge away from focus, its own file left out, in edge order."""
+def contained(symbols: DataFrame) -> DataFrame:
+    """containment with an order of the kind that a build's edges have, before all of them."""
+    return containment(symbols).select("file", "symbol", F.struct(F.lit(-1).alias("stage"), F.col("file").alias("file"), F.col("ord").cast("long").alias("n"), F.lit(0).cast("long").alias("place")).alias("ord"))
+
+
+def neighbours(edges: DataFrame, nodes: DataFrame, focus: str, direction: str = "both", most: int = 200, held: DataFrame | None = None) -> DataFrame:
+    """id, name, kind: the other end of every edge of the subgraph of depth 1, focus and its own file left out, in edge order.
+
+    Of an edge between two neighbours the other end is its source. held: what files contain, as `contained` gives it.
+    """
+    ordered = edges.withColumnRenamed("edge_ord", "ord").select("src", "dst", "kind", "line", "ord")
+    visited, _ = subgraph(ordered, focus, 1, direction, 1 << 40, held)
+    inner = induced(edges, settle(visited, "near"))
     own = nodes.where(F.col("id") == focus).select(F.concat(F.lit("file:"), "file").alias("id"))
-    ends = []
-    if direction in ("both", "downstream"):
-        ends.append(edges.where(F.col("src") == focus).select(F.col("dst").alias("id"), "edge_ord"))
-    if direction in ("both", "upstream"):
-        ends.append(edges.where(F.col("dst") == focus).select(F.col("src").alias("id"), "edge_ord"))
-    near = ends[0] if len(ends) == 1 else ends[0].unionByName(ends[1])
-    first = near.where(F.col("id") != focus).groupBy("id").agg(F.min("edge_ord").alias("edge_ord")).join(own, "id", "left_anti")
+    other = F.when(F.col("src") == focus, F.col("dst")).otherwise(F.col("src"))
+    first = inner.groupBy(other.alias("id")).agg(F.min("edge_ord").alias("edge_ord")).where(F.col("id") != focus).join(own, "id", "left_anti")
     return first.join(nodes.select("id", "name", "kind"), "id").orderBy("edge_ord", "id").limit(most).select("id", "name", "kind")
 
 

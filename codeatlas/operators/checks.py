@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeatlas.functions.exprs import is_header, is_public
-from codeatlas.functions.tables import settle, sided
+from codeatlas.functions.tables import dealt, drop_table, settle, sided
 
 
 def dir_arcs(edges: DataFrame) -> DataFrame:
@@ -22,45 +22,111 @@ def dir_arcs(edges: DataFrame) -> DataFrame:
 def strong_components(arcs: DataFrame) -> DataFrame:
     """node, component (its least node) of every node that lies on a cycle with another.
 
-    By colouring: each node takes the least label that reaches it forward, then backward inside the colour. Only
-    labels move, so a round costs the arcs, not all pairs.
+    Arcs that lie on no cycle are trimmed: those from a node that nothing leads to, and those to one that leads nowhere.
+    Nodes with one arc in and one out are contracted: their chain becomes one arc between its ends, which pointer
+    jumping finds in as many rounds as the chain's length has bits. In what is left, every node takes the least label
+    that reaches it and the least that it reaches; where the two are one label, its component is found, and only arcs
+    between nodes of equal labels stay for the next round. Labels are hashes, so the order of names plays no part.
     """
     spark = arcs.sparkSession
-    live = settle(arcs.select("src", "dst").where("src <> dst").distinct(), "live")
-    done: DataFrame | None = None
-    while live.count():
-        nodes = live.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
-        colour = _spread(live, nodes.select("node", F.col("node").alias("label")))
-        inside = live.join(colour.select(F.col("node").alias("src"), F.col("label").alias("l1")), "src").join(colour.select(F.col("node").alias("dst"), F.col("label").alias("l2")), "dst").where("l1 = l2")
-        inside = settle(inside.select("src", "dst", F.col("l1").alias("label")), "inside")
-        # backward from each colour's root, inside the colour
-        found = settle(inside.select(F.col("label").alias("node"), "label").distinct(), "found")
-        front = found
-        while True:
-            step = inside.join(front.select(F.col("node").alias("dst")), "dst").select(F.col("src").alias("node"), "label").distinct()
-            front = settle(step.join(found.select("node"), "node", "left_anti"), "front")
-            if not front.count():
-                break
-            found = settle(found.union(front), "found")
-        sizes = found.groupBy("label").agg(F.count("*").alias("n"), F.min("node").alias("component")).where("n > 1")
-        part = settle(found.join(sizes, "label").select("node", "component"), "part")
-        done = part if done is None else done.union(part)
-        gone = settle(found.select("node").union(nodes.join(inside.select(F.explode(F.array("src", "dst")).alias("node")).distinct(), "node", "left_anti")).distinct(), "gone")
-        left = inside.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti")
-        live = settle(left.select("src", "dst").distinct(), "live")
     kind = arcs.schema["src"].dataType.simpleString()
-    return done if done is not None else spark.createDataFrame([], f"node {kind}, component {kind}")
-
-
-def _spread(arcs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The least label that reaches each node along arcs."""
-    labels = settle(labels, "labels")
+    live = settle(arcs.select("src", "dst").where("src <> dst").distinct(), "live")
+    chains: list[DataFrame] = []
+    parts: list[DataFrame] = []
+    n = live.count()
+    while n:
+        trimmed, left = _trimmed(live, n)
+        contracted, loops, links = _contracted(trimmed) if left else (trimmed, None, None)
+        if links is not None:
+            chains.append(links)
+            parts.append(loops)
+            live, n = contracted, contracted.count()
+            continue
+        live, n = trimmed, left
+        if not n:
+            break
+        found, live = _coloured(live)
+        parts.append(found)
+        n = live.count()
+    named = spark.createDataFrame([], f"node {kind}, rep {kind}")
+    for part in parts:
+        named = named.unionByName(part)
+    named = settle(named, "reps")
+    # chains of later rounds first: their nodes are ends of the chains before
+    for links in reversed(chains):
+        same = lambda end: named.select(F.col("node").alias(end), F.col("rep").alias(f"{end}_rep"))  # noqa: E731, B023
+        met = links.join(same("first"), "first", "left").join(same("last"), "last", "left")
+        # a chain from a node back to itself makes it one component, which may have had no other
+        closed = F.col("first") == F.col("last")
+        on_cycle = met.where(closed | (F.col("first_rep") == F.col("last_rep"))).withColumn("rep", F.coalesce("first_rep", "first"))
+        heads = on_cycle.where(F.col("first_rep").isNull()).select(F.col("first").alias("node"), "rep").distinct()
+        named = settle(named.unionByName(on_cycle.select("node", "rep")).unionByName(heads), "reps")
+    least = named.groupBy("rep").agg(F.min("node").alias("component"))
+    return settle(dealt(named, settle(least, "least"), ["rep"]).select("node", "component"), "components")
+
+
+def _trimmed(live: DataFrame, n: int) -> tuple[DataFrame, int]:
+    """live (of n arcs) without arcs that can't lie on a cycle, as long as that takes a twentieth of them at a time."""
+    while n:
+        ends = lambda a, b: live.select(F.col(a).alias(b)).distinct()  # noqa: E731, B023
+        kept = settle(live.join(ends("dst", "src"), "src", "left_semi").join(ends("src", "dst"), "dst", "left_semi").select("src", "dst"), "live")
+        left = kept.count()
+        live, gone, n = kept, n - left, left
+        if gone * 20 <= left:
+            break
+    return live, n
+
+
+def _contracted(live: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """live with chains as single arcs, (node, rep) of chains that are whole cycles, and (node, first, last) of the others.
+
+    The last is None if there is no chain.
+    """
+    out = live.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("n_out"), F.first("dst").alias("next"))
+    into = live.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("n_in"), F.first("src").alias("prev"))
+    links = settle(out.join(into, "node").where("n_out = 1 and n_in = 1").select("node", "next", "prev", F.col("node").alias("rep")), "chain")
+    n = links.count()
+    if not n:
+        return live, links.select("node", "rep"), None
+    nodes = links.select("node")
+    # next and prev jump ahead while they are chain nodes too; of a cycle of chain nodes the least name is the rep
+    state = links
+    for _ in range(n.bit_length() + 1):
+        ahead = state.select(F.col("node").alias("next"), F.col("next").alias("next2"), F.col("rep").alias("rep2"))
+        behind = state.select(F.col("node").alias("prev"), F.col("prev").alias("prev2"))
+        met = state.join(ahead, "next", "left").join(behind, "prev", "left")
+        state = settle(met.select("node", F.coalesce("next2", "next").alias("next"), F.coalesce("prev2", "prev").alias("prev"), F.least("rep", F.coalesce("rep2", "rep")).alias("rep"), F.coalesce(F.col("next2").isNotNull() | F.col("prev2").isNotNull(), F.lit(False)).alias("moving")), "chain")
+        if not state.where("moving").limit(1).count():
+            break
+        state = state.drop("moving")
+    state = settle(state.select("node", "next", "prev", "rep"), "chain")
+    inner = nodes.withColumnRenamed("node", "next")
+    cycles = state.join(inner, "next", "left_semi").select("node", "rep")
+    ends = settle(state.join(inner, "next", "left_anti").select("node", F.col("prev").alias("first"), F.col("next").alias("last")), "ends")
+    rest = live.join(nodes.withColumnRenamed("node", "src"), "src", "left_anti").join(nodes.withColumnRenamed("node", "dst"), "dst", "left_anti")
+    short = ends.select(F.col("first").alias("src"), F.col("last").alias("dst")).where("src <> dst").distinct()
+    return settle(rest.select("src", "dst").unionByName(short).distinct(), "live"), settle(cycles, "cycles"), ends
+
+
+def _coloured(live: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(node, rep) of the components that the least labels find, and the arcs left for the next round."""
+    nodes = live.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+    label = F.struct(F.xxhash64("node").alias("h"), F.col("node").alias("node"))
+    state = settle(nodes.select("node", label.alias("f"), label.alias("b")), "labels")
+    # along an arc the forward label goes to its end, the backward one to its start
+    both = live.select(F.col("src").alias("node"), F.col("dst").alias("to"), F.lit(True).alias("ahead")).unionByName(live.select(F.col("dst").alias("node"), F.col("src").alias("to"), F.lit(False).alias("ahead")))
     while True:
-        got = arcs.join(labels.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")).agg(F.min("label").alias("more"))
-        new = settle(labels.join(got, "node", "left").select("node", F.least("label", "more").alias("label"), (F.col("more") < F.col("label")).alias("moved")), "labels")
-        labels = new.select("node", "label")
+        sent = both.join(state, "node").groupBy(F.col("to").alias("node")).agg(F.min(F.when(F.col("ahead"), F.col("f"))).alias("f2"), F.min(F.when(~F.col("ahead"), F.col("b"))).alias("b2"))
+        new = settle(state.join(sent, "node", "left").select("node", F.least("f", "f2").alias("f"), F.least("b", "b2").alias("b"), ((F.col("f2") < F.col("f")) | (F.col("b2") < F.col("b"))).alias("moved")), "labels")
+        drop_table(state)
+        state = new
         if not new.where("moved").limit(1).count():
-            return labels
+            break
+    found = settle(state.where("f = b").select("node", F.col("f.node").alias("rep")), "found")
+    # a component lies within one pair of labels
+    open_ = state.where("f <> b").select("node", F.struct("f", "b").alias("pair"))
+    met = live.join(open_.select(F.col("node").alias("src"), F.col("pair").alias("p1")), "src").join(open_.select(F.col("node").alias("dst"), F.col("pair").alias("p2")), "dst")
+    return found, settle(met.where("p1 = p2").select("src", "dst"), "live")
 
 
 def dir_cycles(arcs: DataFrame, parts: DataFrame | None = None) -> DataFrame:

@@ -1,8 +1,10 @@
 """Symbols, references and includes of C and C++ files, as windows and joins over a table of tokens.
 
 A file's text becomes token rows by one pattern. Lines, depths, statements and matching braces are running sums and
-neighbours within a file; definitions, bases, calls and scopes are filters and joins on them. No row of the result
-depends on more than its own file, so files spread over all tasks; a file is bounded by the reader's size limit.
+neighbours within a file; definitions, bases, calls and scopes are filters and joins on single places, and what stands
+around a place comes from one sweep of the file (intervals). So a file costs the sort of its tokens, not its functions
+times its tokens. No row of the result depends on more than its own file, so files spread over all tasks; a file is
+bounded by the reader's size limit.
 
 In: files (path, content). Null or empty contents give no rows. Differences from a strict parser are those of a
 structural one: no templates are instantiated and no `#if` is evaluated.
@@ -17,6 +19,7 @@ from pyspark.sql import functions as F
 
 from codeatlas.functions.exprs import ID_PREFIX, is_public, module_of
 from codeatlas.functions.tables import settle
+from codeatlas.operators.intervals import chains, innermost
 
 #: Words that are part of a type or a storage class, but not its name.
 QUALIFIERS = ["const", "volatile", "static", "inline", "constexpr", "consteval", "constinit", "extern", "virtual", "explicit", "friend", "mutable", "register", "thread_local", "typename", "unsigned", "signed", "short", "long", "struct", "union", "enum", "auto"]
@@ -57,12 +60,13 @@ _LEX = "|".join(
 
 @dataclass(frozen=True)
 class Kinds:
-    """What is extracted. bare_calls: a call statement without a type before it counts as a declaration."""
+    """What is extracted; links: targets of build scripts and what they link. bare_calls: a call statement without a type before it counts as a declaration."""
 
     includes: bool = True
     calls: bool = True
     types: bool = True
     symbols: bool = True
+    links: bool = True
     bare_calls: bool = False
 
 
@@ -130,7 +134,7 @@ def include_rows(lines: DataFrame, hops: int = 4) -> DataFrame:
 
 
 def marked(toks: DataFrame) -> DataFrame:
-    """tokens with their neighbours, name chain, statement, and the next token that ends what a declarator allows."""
+    """tokens with their neighbours, number of name chain, statement, and the next token that ends what a declarator allows."""
     w = _over()
     text = F.col("text")
     out = toks
@@ -140,8 +144,6 @@ def marked(toks: DataFrame) -> DataFrame:
     # runs of names joined by ::, which may hold a ~
     joined = (F.col("ident") & F.col("p1").isin("::", "~")) | ((text == "::") & F.col("p1_ident")) | ((text == "~") & (F.col("p1") == "::"))
     out = out.withColumn("chain_no", F.sum(F.when(F.coalesce(joined, F.lit(False)), 0).otherwise(1)).over(_so_far(w)))
-    run = Window.partitionBy("path", "chain_no").orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
-    out = out.withColumn("chain", F.array_join(F.collect_list("text").over(run), "")).withColumn("chain_at", F.min("idx").over(run))
     # a statement's number counts the marks before it, so a mark belongs to the statement it ends
     ends = text.isin(";", "{", "}", ":")
     out = out.withColumn("stmt", F.coalesce(F.sum(ends.cast("int")).over(_before(w)), F.lit(0)))
@@ -156,6 +158,12 @@ def marked(toks: DataFrame) -> DataFrame:
     return out.withColumn("stop", F.last(F.when(~allowed, F.struct("idx", "text")), ignorenulls=True).over(back))
 
 
+def called_names(rows: DataFrame) -> DataFrame:
+    """path, idx, chain, chain_at, lead: the whole name that ends right before a bracket, its first token, and the token before that."""
+    runs = rows.groupBy("path", "chain_no").agg(F.max(F.struct("idx", "n1")).alias("last"), F.min(F.struct("idx", "p1")).alias("first"), F.array_sort(F.collect_list(F.struct("idx", "text"))).alias("parts"))
+    return runs.where("last.n1 = '('").select("path", F.col("last.idx").alias("idx"), F.array_join(F.transform("parts", lambda x: x["text"]), "").alias("chain"), F.col("first.idx").alias("chain_at"), F.col("first.p1").alias("lead"))
+
+
 def pairs(rows: DataFrame, opening: str, closing: str, level: str) -> DataFrame:
     """path, open, close, the lines of both, and what follows the closing one, of matching marks, from marked tokens."""
     w = Window.partitionBy("path", level).orderBy("idx")
@@ -178,50 +186,61 @@ def blocks(rows: DataFrame, braces: DataFrame) -> tuple[DataFrame, DataFrame]:
     return spaces, types.join(braces.select("path", "open", "close"), ["path", "open"])
 
 
-def scoped(rows: DataFrame, scopes: DataFrame, at: str) -> DataFrame:
+def scoped(rows: DataFrame, scopes: DataFrame, names: DataFrame, at: str) -> DataFrame:
     """rows with scope: the names of all namespaces, then of all types, around `at`, outermost first, each with ::."""
-    around = rows.select("path", F.col(at).alias("at")).distinct().join(scopes, "path").where((F.col("open") < F.col("at")) & (F.col("at") < F.col("close")))
-    names = around.groupBy("path", "at").agg(F.array_sort(F.collect_list(F.struct("rank", "open", "name"))).alias("s"))
-    scope = names.select("path", F.col("at").alias(at), F.array_join(F.transform("s", lambda x: F.concat(x["name"], F.lit("::"))), "").alias("scope"))
-    return rows.join(scope, ["path", at], "left").withColumn("scope", F.coalesce("scope", F.lit("")))
+    return innermost(rows, scopes, at, "around").join(names.withColumnRenamed("open", "around"), ["path", "around"], "left").drop("around").withColumn("scope", F.coalesce("scope", F.lit("")))
+
+
+def scope_names(scopes: DataFrame) -> DataFrame:
+    """path, open, scope of the points that scopes (path, rank, name, open, close) have directly inside."""
+    found = chains(scopes, F.struct("rank", "open", "name"))
+    return settle(found.select("path", "open", F.array_join(F.transform(F.array_sort("chain"), lambda x: F.concat(x["name"], F.lit("::"))), "").alias("scope")), "scopes")
 
 
 def rendered(rows: DataFrame, ranges: DataFrame, most: int) -> DataFrame:
-    """ranges (path, key, first, last) with signature: the tokens between, with spaces where words meet."""
+    """ranges (path, key, first, last) with signature: the tokens between, with spaces where words meet, `most` characters of them.
+
+    Every token has a character, so no more than `most` tokens of a range are looked up.
+    """
     w = Window.partitionBy("path", "key").orderBy("idx")
-    inside = ranges.join(rows.select("path", "idx", "text"), "path").where((F.col("idx") >= F.col("first")) & (F.col("idx") <= F.col("last")))
+    places = ranges.where("first <= last").select("path", "key", F.explode(F.sequence("first", F.least(F.col("last"), F.col("first") + most))).alias("idx"))
+    inside = places.join(rows.select("path", "idx", "text"), ["path", "idx"])
     gap = F.coalesce(F.lag("text").over(w), F.lit("")).rlike(r"[A-Za-z0-9_>)\]]$") & F.col("text").rlike("^[A-Za-z0-9_]")
     spaced = inside.withColumn("s", F.concat(F.when(gap, " ").otherwise(""), "text"))
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", "s"))), lambda x: x["s"]), "")
     return spaced.groupBy("path", "key").agg(F.substring(joined, 1, most).alias("signature"))
 
 
-def functions(rows: DataFrame, braces: DataFrame, scopes: DataFrame, types: DataFrame, kinds: Kinds) -> DataFrame:
+def functions(rows: DataFrame, braces: DataFrame, scopes: DataFrame, names: DataFrame, types: DataFrame, kinds: Kinds) -> DataFrame:
     """path, key, name, qualified, line, column, declaration, first, last, open, close, body_lines of every candidate."""
-    parens = pairs(rows, "(", ")", "parens")
-    at = rows.where("text = '('").join(parens.withColumnRenamed("open", "idx").drop("open_line", "close_line"), ["path", "idx"])
-    name = F.when(F.col("p2") == "operator", F.concat(F.lit("operator"), "p1")).when(F.col("p1_ident") & ~F.col("p1").isin(*KEYWORDS), F.col("p1"))
+    parens = pairs(rows, "(", ")", "parens").drop("open_line", "close_line")
+    at = rows.where("text = '('").join(parens.withColumnRenamed("open", "idx"), ["path", "idx"])
+    # the first brackets of operator() are its name, and its parameters stand in the next ones
+    again = ("close", "close_stop", "close_n1", "close_body")
+    after = parens.select("path", (F.col("open") - 1).alias("close"), F.struct(*again).alias("again"))
+    at = at.join(after, ["path", "close"], "left")
+    call = (F.col("p1") == "operator") & (F.col("n1") == ")") & F.col("again").isNotNull()
+    at = at.withColumn("call", F.coalesce(call, F.lit(False))).withColumns({c: F.when(F.col("call"), F.col(f"again.{c}")).otherwise(F.col(c)) for c in again})
+    name = F.when(F.col("call"), "operator()").when(F.col("p2") == "operator", F.concat(F.lit("operator"), "p1")).when(F.col("p1_ident") & ~F.col("p1").isin(*KEYWORDS), F.col("p1"))
     # the chain that ends right before the bracket
-    chains = rows.select("path", (F.col("idx") + 1).alias("idx"), F.regexp_replace("chain", "^::", "").alias("before"), "chain_at")
-    before_chain = rows.select("path", (F.col("idx") + 1).alias("chain_at"), F.col("text").alias("lead"))
+    before = called_names(rows).select("path", (F.col("idx") + 1).alias("idx"), F.regexp_replace("chain", "^::", "").alias("before"), "lead")
     # a constructor's list of initialisers ends where a block begins after a bracket
     listed = (F.col("close_n1") == ":") & F.col("close_body").isNotNull()
     stop = F.when(listed, F.struct(F.col("close_body").alias("idx"), F.lit("{").alias("text"))).otherwise(F.col("close_stop"))
-    at = at.drop("chain_at").join(chains, ["path", "idx"]).join(before_chain, ["path", "chain_at"], "left")
+    at = at.join(before, ["path", "idx"])
     ok = at.withColumn("name", name).where(F.col("name").isNotNull() & stop.isNotNull() & stop["text"].isin("{", ";", "=") & (listed | (stop["idx"] <= F.col("close") + 80)))
     ok = ok.where((F.col("marks") == 0) & (F.col("verbs") == 0) & ~F.coalesce(F.col("lead").isin(".", "->"), F.lit(False)) & ~F.coalesce(F.col("p2").isin(".", "->"), F.lit(False)))
-    declared = F.when(F.col("p2") == "operator", F.col("name")).otherwise(F.col("before"))
-    ok = ok.withColumn("declared", declared)
-    own = types.select("path", F.col("open").alias("t_open"), F.col("close").alias("t_close"), F.col("name").alias("t_name"))
-    inside = ok.select("path", "idx").join(own, "path").where((F.col("t_open") < F.col("idx")) & (F.col("idx") < F.col("t_close"))).groupBy("path", "idx").agg(F.max_by("t_name", "t_open").alias("owner"))
-    ok = ok.join(inside, ["path", "idx"], "left")
+    declared = F.when(F.col("call") | (F.col("p2") == "operator"), F.col("name")).otherwise(F.col("before"))
+    ok = ok.withColumn("declared", F.coalesce(declared, F.col("before")))
+    owners = types.groupBy("path", F.col("open").alias("type_open")).agg(F.max_by("name", "head").alias("owner"))
+    ok = innermost(ok, types, "idx", "type_open").join(owners, ["path", "type_open"], "left")
     twice = (F.substring_index("declared", "::", -1) == F.substring_index("declared", "::", 1)) & F.col("declared").contains("::")
     ctor = F.coalesce(F.regexp_replace("name", "^~", "") == F.col("owner"), F.lit(False)) | twice
     own_words = F.size(F.filter(F.split(F.regexp_replace("declared", "~", ""), "::"), lambda x: x != ""))
     typed = F.col("words") >= (1 if kinds.bare_calls else own_words + 1)
     ok = ok.where((typed & ~F.coalesce(listed, F.lit(False))) | ctor)
     first = rows.groupBy("path", "stmt").agg(F.min("idx").alias("first"))
-    ok = scoped(ok.join(first, ["path", "stmt"]), scopes, "idx")
+    ok = scoped(ok.join(first, ["path", "stmt"]), scopes, names, "idx")
     body = braces.select("path", F.col("open").alias("body_open"), F.col("close").alias("body_close"), (F.col("close_line") - F.col("open_line") + 1).alias("body_lines"))
     defined = stop["text"] == "{"
     ok = ok.withColumn("body_open", F.when(defined, stop["idx"])).join(body, ["path", "body_open"], "left")
@@ -241,7 +260,8 @@ def merged_functions(found: DataFrame) -> DataFrame:
 def base_refs(rows: DataFrame, types: DataFrame) -> DataFrame:
     """path, open, base, part of every type's bases: the last name of each part between commas outside brackets."""
     w = Window.partitionBy("path", "open").orderBy("idx")
-    inside = types.where("colon is not null").select("path", "open", "colon", F.col("name").alias("own")).join(rows.select("path", "idx", "text", "ident"), "path").where((F.col("colon") < F.col("idx")) & (F.col("idx") < F.col("open")))
+    heads = types.where("colon is not null and colon + 1 < open").select("path", "open", F.col("name").alias("own"), F.explode(F.expr("sequence(colon + 1, open - 1)")).alias("idx"))
+    inside = heads.join(rows.select("path", "idx", "text", "ident"), ["path", "idx"])
     angle = F.sum(F.when(F.col("text") == "<", 1).when(F.col("text") == ">", -1).otherwise(0)).over(_so_far(w))
     inside = inside.withColumn("angle", angle).withColumn("part", F.sum(((F.col("text") == ",") & (F.col("angle") == 0)).cast("int")).over(_so_far(w)))
     names = inside.where(F.col("ident") & ~F.col("text").isin(*ACCESS))
@@ -250,26 +270,27 @@ def base_refs(rows: DataFrame, types: DataFrame) -> DataFrame:
 
 def member_types(rows: DataFrame, types: DataFrame) -> DataFrame:
     """path, open, used, line: the type names of members without brackets, builtin types left out."""
-    plain = types.where("word <> 'enum'").select("path", "open", "close", F.col("name").alias("own"))
+    plain = types.where("word <> 'enum'")
     ends = F.col("text").isin(";", "{", "}") | ((F.col("text") == ":") & F.col("p1").isin("public", "private", "protected"))
-    depth = rows.select("path", F.col("idx").alias("open"), (F.col("depth") + 1).alias("inner"))
-    inside = plain.join(depth, ["path", "open"]).join(rows.select("path", "idx", "text", "ident", "line", "depth", "p1"), "path").where((F.col("open") < F.col("idx")) & (F.col("idx") < F.col("close")))
-    w = Window.partitionBy("path", "open").orderBy("idx")
-    # marks of deeper blocks end statements of the body too: what they hold is no member
-    cut = inside.withColumn("ends", ends & (F.col("depth") <= F.col("inner"))).withColumn("no", F.coalesce(F.sum(F.col("ends").cast("int")).over(_before(w)), F.lit(0)))
-    here = Window.partitionBy("path", "open", "no").orderBy("idx")
+    depth = rows.where("text = '{'").select("path", F.col("idx").alias("open"), (F.col("depth") + 1).alias("inner"))
+    owns = plain.select("path", "open", F.col("name").alias("own")).join(depth, ["path", "open"])
+    # what deeper blocks hold is no member, so only tokens directly inside a type count
+    inside = innermost(rows.where("depth > 0").select("path", "idx", "text", "ident", "line", "depth", "p1"), plain, "idx", "open").join(owns, ["path", "open"]).where(F.col("depth") == F.col("inner"))
+    w = Window.partitionBy("path", "open", "own").orderBy("idx")
+    cut = inside.withColumn("no", F.coalesce(F.sum(ends.cast("int")).over(_before(w)), F.lit(0)))
+    here = Window.partitionBy("path", "open", "own", "no").orderBy("idx")
     cut = cut.withColumn("after", F.coalesce(F.sum((F.col("text") == "=").cast("int")).over(_so_far(here)), F.lit(0)))
     word = F.col("ident") & (F.col("after") == 0) & ~F.col("text").isin(*QUALIFIERS)
-    cut = cut.withColumn("declared", F.max(F.when(word, F.col("idx"))).over(Window.partitionBy("path", "open", "no")))
+    cut = cut.withColumn("declared", F.max(F.when(word, F.col("idx"))).over(Window.partitionBy("path", "open", "own", "no")))
     shown = (F.col("idx") < F.col("declared")) & ((F.col("ident") & ~F.col("text").isin(*QUALIFIERS)) | F.col("text").isin("::", "<", ">", ","))
     stmts = cut.groupBy("path", "open", "own", "no").agg(
         F.max((F.col("text") == "(").cast("int")).alias("called"), F.min_by("text", "idx").alias("head"), F.max_by("text", "idx").alias("mark"), F.max(F.when(F.col("idx") == F.col("declared"), F.col("line"))).alias("line"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.when(shown, F.struct("idx", "text")))), lambda x: x["text"]), " ").alias("type"), F.max(F.col("depth") - F.col("inner")).alias("deep"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.when(shown, F.struct("idx", "text")))), lambda x: x["text"]), " ").alias("type"),
     )
     # the innermost argument of a template, else the last part of a qualified name
     inner = F.coalesce(F.nullif(F.regexp_extract("type", r"<([^<>]*)>?[^<]*$", 1), F.lit("")), F.regexp_replace("type", "<.*", ""))
     used = F.regexp_extract(inner, r"(\S+)\s*$", 1)
-    good = stmts.where((F.col("mark") == ";") & (F.col("called") == 0) & ~F.col("head").isin(*NO_MEMBER) & (F.col("deep") <= 0)).withColumn("used", used)
+    good = stmts.where((F.col("mark") == ";") & (F.col("called") == 0) & ~F.col("head").isin(*NO_MEMBER)).withColumn("used", used)
     return good.where((F.col("used") != "") & (F.col("used") != F.col("own")) & ~F.col("used").isin(*BUILTIN)).select("path", "open", "used", "line")
 
 
@@ -289,13 +310,13 @@ def variables(rows: DataFrame) -> DataFrame:
 
 def call_refs(rows: DataFrame, bodies: DataFrame) -> DataFrame:
     """path, owner (qualified), name, line, idx of the calls inside function bodies. bodies: path, qualified, open, close."""
-    calls = rows.where(F.col("ident") & (F.col("n1") == "(") & ~F.col("text").isin(*KEYWORDS)).withColumn("name", F.regexp_replace(F.regexp_replace("chain", "~", ""), "^::", ""))
-    before = rows.select("path", (F.col("idx") + 1).alias("chain_at"), F.col("text").alias("lead"))
-    calls = calls.join(before, ["path", "chain_at"], "left")
+    calls = rows.where(F.col("ident") & (F.col("n1") == "(") & ~F.col("text").isin(*KEYWORDS)).select("path", "idx", "line").join(called_names(rows), ["path", "idx"])
+    calls = calls.withColumn("name", F.regexp_replace(F.regexp_replace("chain", "~", ""), "^::", ""))
     starts = F.col("lead").isNull() | F.col("lead").isin(";", "{", "}", ":")
     calls = calls.where(~F.col("name").startswith("std::") & ~(starts & F.col("name").rlike("^[A-Z]")))
-    met = calls.select("path", "idx", "name", "line").join(bodies.select("path", F.col("qualified").alias("owner"), "open", "close"), "path")
-    return met.where((F.col("open") < F.col("idx")) & (F.col("idx") < F.col("close"))).select("path", "owner", "name", "line", "idx")
+    owners = chains(bodies, F.col("qualified"))
+    met = innermost(calls.select("path", "idx", "name", "line"), bodies, "idx", "open").join(owners, ["path", "open"])
+    return met.select("path", F.explode("chain").alias("owner"), "name", "line", "idx")
 
 
 def caps_refs(rows: DataFrame) -> DataFrame:
@@ -322,8 +343,9 @@ def extract(files: DataFrame, kinds: Kinds = Kinds()) -> tuple[DataFrame, DataFr
     types = settle(types, "types")
     plain = types.where("word <> 'enum'")
     scopes = settle(spaces.select("path", F.lit(0).alias("rank"), "name", "open", "close").unionByName(plain.select("path", F.lit(1).alias("rank"), "name", "open", "close")), "scopes")
-    named = settle(scoped(types, scopes, "head").withColumn("qualified", F.concat("scope", "name")), "named")
-    bodies = settle(functions(rows, braces, scopes, types, kinds), "functions")
+    names = scope_names(scopes)
+    named = settle(scoped(types, scopes, names, "head").withColumn("qualified", F.concat("scope", "name")), "named")
+    bodies = settle(functions(rows, braces, scopes, names, types, kinds), "functions")
     signed = bodies.join(rendered(rows, bodies.select("path", "key", "first", "last"), 400), ["path", "key"], "left")
     occurrences = []
 
@@ -336,7 +358,7 @@ def extract(files: DataFrame, kinds: Kinds = Kinds()) -> tuple[DataFrame, DataFr
         macros = lines.where("name = 'define'").select("path", F.regexp_extract("rest", r"^([A-Za-z_]\w*)", 1).alias("name"), F.col("place").alias("key")).where("name <> ''")
         add(macros.select("path", "key", "name", F.col("name").alias("qualified"), F.lit(1).alias("line"), F.lit(0).alias("column"), F.lit("").alias("signature")), F.lit("macro"), 0)
         v = variables(rows)
-        signed_v = scoped(v.join(rendered(rows, v.select("path", "key", "first", "last"), 300), ["path", "key"], "left"), scopes, "key")
+        signed_v = scoped(v.join(rendered(rows, v.select("path", "key", "first", "last"), 300), ["path", "key"], "left"), scopes, names, "key")
         add(signed_v.withColumn("qualified", F.concat("scope", "name")), F.lit("variable"), 3)
     if kinds.types or kinds.symbols:
         signature = F.when(F.col("word") == "enum", F.concat(F.lit("enum "), "name")).otherwise(F.concat("word", F.lit(" "), "name", F.lit(" @ "), "path"))

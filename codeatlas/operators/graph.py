@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from codeatlas.functions.tables import settle, sided
+from codeatlas.functions.tables import dealt, settle, sided
 
 
 def dedup_edges(edges: DataFrame, order: str = "ord") -> DataFrame:
@@ -38,7 +38,7 @@ def stats_row(nodes: DataFrame, edges: DataFrame, compile_db: bool = False) -> D
     """One row: counts of files, symbols and edges, maps of counts by kind, exact and approximate nodes, overall precision."""
     as_map = lambda df, k, name: df.groupBy(k).count().agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(k, "count")))).alias(name))
     totals = nodes.agg(
-        F.count_if(F.col("kind") == "file").alias("file_count"), F.count_if(~F.col("kind").isin("file", "target")).alias("symbol_count"), F.count_if("external").alias("external_count"),
+        F.count_if((F.col("kind") == "file") & ~F.col("external")).alias("file_count"), F.count_if(~F.col("kind").isin("file", "target")).alias("symbol_count"), F.count_if("external").alias("external_count"),
         F.count_if(F.col("precision") == "exact").alias("exact_nodes"), F.count_if(F.col("precision") != "exact").alias("approx_nodes"),
     )
     return (
@@ -89,19 +89,20 @@ def architecture(files: DataFrame, edges: DataFrame, most: int = 200) -> tuple[D
     return top, b.groupBy(F.col("m1").alias("src"), F.col("m2").alias("dst")).agg(F.count("*").alias("weight"))
 
 
-def cluster_key(module: Column) -> Column:
-    """A node's group: the first folder of its module."""
-    return F.when((module == "") | (module == "."), ".").otherwise(F.substring_index(module, "/", 1))
+def cluster_key(module: Column, file: Column) -> Column:
+    """A node's group: its module; without one, or in the root, the first part of its file's path, else `.`."""
+    head = F.substring_index(F.coalesce(file, F.lit("")), "/", 1)
+    return F.when(~F.coalesce(module, F.lit("")).isin("", "."), module).when(head != "", head).otherwise(".")
 
 
 def cluster(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Groups (id, kind, n_members, detail, precision) and the first edge between each two of them by kind.
 
     Externals stay themselves. A group's kind is target if its first node is one, else file, and its precision the
-    first node's. nodes: id, module, external; kind, precision and node_ord if there are; edges: src, dst, kind, ord.
+    first node's. nodes: id, module, external; file, kind, precision and node_ord if there are; edges: src, dst, kind, ord.
     """
-    group = F.when(F.col("external"), F.col("id").cast("string")).otherwise(F.concat(F.lit("dir:"), cluster_key(F.col("module"))))
     given = lambda c, other: F.col(c) if c in nodes.columns else other
+    group = F.when(F.col("external"), F.col("id").cast("string")).otherwise(F.concat(F.lit("dir:"), cluster_key(F.col("module"), given("file", F.lit("")))))
     home = nodes.select("id", group.alias("g"), given("kind", F.lit("file")).alias("kind"), given("precision", F.lit("approx")).alias("precision"), given("node_ord", F.col("id")).alias("node_ord"))
     first = F.min(F.struct("node_ord", "kind", "precision")).alias("f")
     groups = home.groupBy(F.col("g").alias("id")).agg(F.count("*").alias("n_members"), first)
@@ -132,31 +133,50 @@ def without_external(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, Dat
     return inner, valid_edges(edges, inner)
 
 
+#: Kinds that are known by their simple name only.
+SIMPLE_ONLY = ("variable", "macro")
+
+
+def name_index(symbols: DataFrame, most: int) -> DataFrame:
+    """key, how (0 whole name, 1 simple name), kind, n, first: how many symbols answer to a name, and the first `most` of them.
+
+    symbols: occ_id, kind, qualified, simple, one row an occurrence. Counts combine before their shuffle, and of a
+    name no task sends more than its first `most` occurrences, so a name of a third of all symbols is a few rows.
+    """
+    keys = F.array(F.struct(F.lit(0).alias("how"), F.col("qualified").alias("key")), F.struct(F.lit(1).alias("how"), F.col("simple").alias("key")))
+    both = symbols.select("occ_id", "kind", F.explode(keys).alias("k")).select("k.key", "k.how", "kind", "occ_id").where(F.col("key").isNotNull() & ((F.col("how") == 1) | ~F.col("kind").isin(*SIMPLE_ONLY)))
+    on = ["key", "how", "kind"]
+    counts = both.groupBy(*on).agg(F.count("*").alias("n"))
+    heads = both.withColumn("r", F.row_number().over(Window.partitionBy(*on).orderBy("occ_id"))).where(F.col("r") <= most)
+    return counts.join(heads.groupBy(*on).agg(F.array_sort(F.collect_set("occ_id")).alias("first")), on)
+
+
+def look_up(names: DataFrame, index: DataFrame, ladders: dict[str, list[str]], most_hits: int) -> DataFrame:
+    """name, ladder, tier, n_hits, hits of the names (name, ladder) that any step of their ladder knows.
+
+    Each name asks once for each step: a join of names with single rows of the index, none with the occurrences.
+    """
+    step = lambda k, how, kind: F.struct(F.lit(2 * k + how).alias("tier"), F.lit(how).alias("how"), F.lit(kind).alias("kind"))
+    steps = None
+    for ladder, kinds in ladders.items():
+        mine = F.array(*[step(k, how, kind) for k, kind in enumerate(kinds) for how in (0, 1) if how or kind not in SIMPLE_ONLY])
+        steps = F.when(F.col("ladder") == ladder, mine) if steps is None else steps.when(F.col("ladder") == ladder, mine)
+    asked = names.select("name", "ladder", F.explode(steps).alias("s")).select("name", "ladder", "s.tier", "s.how", "s.kind", F.when(F.col("s.how") == 0, F.col("name")).otherwise(F.substring_index("name", "::", -1)).alias("key"))
+    met = dealt(asked, settle(index, "names"), ["key", "how", "kind"])
+    best = met.groupBy("name", "ladder").agg(F.min_by(F.struct("tier", "n", "first"), "tier").alias("b"))
+    return best.select("name", "ladder", "b.tier", F.col("b.n").alias("n_hits"), F.when(F.col("b.n") <= most_hits, F.col("b.first")).alias("hits"))
+
+
 def resolve_references(refs: DataFrame, symbols: DataFrame, ladder: list[str], most_hits: int = 3) -> DataFrame:
     """ref_id, name, tier, n_hits, hits for every reference, by exact name, then by simple name, kind by kind.
 
     refs: ref_id, name; symbols: occ_id, kind, qualified, simple (one row an occurrence). The first tier with any
     occurrence decides. Above most_hits occurrences the reference counts as one external, with no hits listed.
-    Names are looked up once each, so a name that a third of all references use is joined as one row.
+    Names are looked up once each, in an index of names.
     """
-    names = refs.select("name").distinct()
-    tiers = []
-    for k, kind in enumerate(ladder):
-        own = symbols.where(F.col("kind") == kind)
-        tiers.append(names.join(own.select(F.col("qualified").alias("name"), "occ_id"), "name").select("name", "occ_id", F.lit(2 * k).alias("tier")))
-        if kind in ("variable", "macro"):
-            tiers.pop()  # these are known by simple name only
-        simple = names.withColumn("simple", F.substring_index("name", "::", -1))
-        tiers.append(simple.join(own.select("simple", "occ_id"), "simple").select("name", "occ_id", F.lit(2 * k + 1).alias("tier")))
-    met = tiers[0]
-    for t in tiers[1:]:
-        met = met.unionByName(t)
-    # only the first tier's occurrences are counted; of a crowd no more than the limit is listed
-    by_tier = met.groupBy("name", "tier").agg(F.count("*").alias("n_hits"))
-    best = by_tier.groupBy("name").agg(F.min(F.struct("tier", "n_hits")).alias("b")).select("name", "b.tier", "b.n_hits")
-    few = met.join(best.where(F.col("n_hits") <= most_hits).select("name", "tier"), ["name", "tier"]).groupBy("name").agg(F.array_sort(F.collect_set("occ_id")).alias("hits"))
-    found = best.join(few, "name", "left")
-    return refs.join(found, "name", "left").select("ref_id", "name", F.coalesce("tier", F.lit(-1)).alias("tier"), F.coalesce("n_hits", F.lit(0)).alias("n_hits"), "hits")
+    names = refs.select("name").distinct().withColumn("ladder", F.lit(""))
+    found = settle(look_up(names, name_index(symbols, most_hits), {"": ladder}, most_hits).drop("ladder"), "found")
+    return dealt(refs, found, ["name"], "left").select("ref_id", "name", F.coalesce("tier", F.lit(-1)).alias("tier"), F.coalesce("n_hits", F.lit(0)).alias("n_hits"), "hits")
 
 
 def externals(resolved: DataFrame, most_hits: int = 3, kind: str = "function") -> DataFrame:
@@ -172,24 +192,18 @@ def resolve_includes(includes: DataFrame, files: DataFrame, search: list[str]) -
     1 beside the including file; 2 in a search path, in order; 3 the one file, or the first by name, that ends
     in the target; 4 the only file of that base name; 1 and 2 are exact, 3 and 4 approximate.
     """
-    from codeatlas.functions.exprs import ascii_lower, base_name, dir_name, join_path, normalize_path
+    from codeatlas.functions.exprs import ascii_lower, base_name, dir_name, join_path, normalize_path, suffixes
 
     t = includes.withColumn("t", normalize_path(F.col("target")))
     known = files.select(F.col("path").alias("cand"))
     places = F.array(join_path(dir_name(F.col("file")), F.col("t")), *[join_path(F.lit(p), F.col("t")) for p in search])
     tried = t.where("t <> ''").select("inc_id", F.posexplode(places).alias("rank", "cand")).withColumn("cand", normalize_path(F.col("cand")))
     exact = tried.join(known, "cand").groupBy("inc_id").agg(F.min_by("cand", "rank").alias("exact"))
-    by_base = files.select(ascii_lower(base_name(F.col("path"))).alias("base"), "path")
-    lone = by_base.groupBy("base").agg(F.count("*").alias("n"), F.min("path").alias("only")).where("n = 1").select("base", "only")
-    targets = t.select("t").distinct().withColumn("base", ascii_lower(base_name(F.col("t"))))
-    # a target of several parts meets paths by its last two, so that a common base name is no single key
-    two = lambda c: ascii_lower(F.substring_index(c, "/", -2))
-    deep = targets.where(F.col("t").contains("/")).withColumn("two", two(F.col("t"))).join(by_base.select("path", two(F.col("path")).alias("two")), "two")
-    deep = deep.where((F.col("path") == F.col("t")) | F.endswith("path", F.concat(F.lit("/"), F.col("t")))).groupBy("t").agg(F.min("path").alias("tail"))
-    # one of a single part meets the first path of its name, whose case must be its own
-    exact_base = files.groupBy(base_name(F.col("path")).alias("t")).agg(F.min("path").alias("tail"))
-    ends = deep.unionByName(targets.where(~F.col("t").contains("/")).select("t").join(exact_base, "t"))
-    out = t.join(exact, "inc_id", "left").join(ends, "t", "left").withColumn("base", ascii_lower(base_name(F.col("t")))).join(lone, "base", "left")
+    lone = files.groupBy(ascii_lower(base_name(F.col("path"))).alias("base")).agg(F.count("*").alias("n"), F.min("path").alias("only")).where("n = 1").select("base", "only")
+    # every tail of a path is a key of its own, of which the first path is kept, so no name meets all files of a base name
+    wanted = sided(settle(t.select("t").where("t <> ''").distinct(), "targets"))
+    tails = files.select("path", F.explode(suffixes(F.col("path"))).alias("t")).join(wanted, "t", "left_semi").groupBy("t").agg(F.min("path").alias("tail"))
+    out = t.join(exact, "inc_id", "left").join(tails, "t", "left").withColumn("base", ascii_lower(base_name(F.col("t")))).join(lone, "base", "left")
     near = F.coalesce("tail", "only")
     return out.select("inc_id", F.coalesce("exact", near).alias("resolved"), F.when(F.col("exact").isNotNull(), "exact").when(near.isNotNull(), "approx").alias("precision"))
 
@@ -216,13 +230,13 @@ def dependents(edges: DataFrame, files: DataFrame, target: str) -> DataFrame:
 def same_name_candidates(functions: DataFrame, most: int = 20) -> DataFrame:
     """id, total, candidates (the first `most` others of the simple name), by (file, line, id).
 
-    functions: id, simple, file, line. Counts come from a sum by name and lists from the first `most` + 1 rows of
-    a name, so a name of a third of all functions costs each of them no more than `most` candidates.
+    functions: id, simple, file, line. Counts come from a sum by name. Lists hold the first `most` + 1 of a name: no task
+    sends more of them, and the functions of a name that many share are dealt over tasks to meet the one list.
     """
     order = Window.partitionBy("simple").orderBy("file", "line", "id")
     heads = functions.withColumn("r", F.row_number().over(order)).where(F.col("r") <= most + 1)
     lists = heads.groupBy("simple").agg(F.array_sort(F.collect_list(F.struct("r", "id"))).alias("head"))
     counts = functions.groupBy("simple").agg((F.count("*") - 1).alias("total"))
-    met = functions.join(counts, "simple").join(lists, "simple")
+    met = dealt(functions, settle(counts.join(lists, "simple"), "heads"), ["simple"])
     others = F.slice(F.filter(F.transform("head", lambda h: h["id"]), lambda i: i != F.col("id")), 1, most)
     return met.select("id", "total", others.alias("candidates"), (F.col("total") > 0).alias("ambiguous"))

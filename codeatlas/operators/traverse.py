@@ -2,7 +2,8 @@
 
 The queue is a column: every visited node has a position, and a level's nodes take theirs from the position of
 the node that found them and the order in which it looks at its neighbours. Levels are written to the shared
-folder. Positions are numbered by the frontier, never by sorting a level in one task.
+folder. Positions are numbered by sums over the frontier, never by sorting a level in one task, and a node of very many
+neighbours is dealt over tasks.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from codeatlas.functions.tables import settle, sided
+from codeatlas.functions.tables import LOOKUP_BYTES, LOOKUP_ROWS, dealt, drop_table, running_before, settle, sided, width
 
 
 def adjacency(edges: DataFrame, direction: str = "both", contains: DataFrame | None = None) -> DataFrame:
@@ -33,25 +34,53 @@ def adjacency(edges: DataFrame, direction: str = "both", contains: DataFrame | N
     return out
 
 
-def next_level(frontier: DataFrame, adj: DataFrame, visited: DataFrame) -> DataFrame:
-    """next, pos (of the finder), rank, node (the finder): each new node by its first finder."""
-    met = sided(frontier).join(adj, "node").select("next", F.struct("pos", "rank", "node").alias("by"))
-    first = met.groupBy("next").agg(F.min("by").alias("by"))
-    fresh = first.join(sided(visited.select(F.col("node").alias("next"))), "next", "left_anti")
+def next_level(frontier: DataFrame, adj: DataFrame, visited: DataFrame, small: bool) -> DataFrame:
+    """next, pos (of the finder), rank, node (the finder): each new node by its first finder.
+
+    small: whether frontier and visited are proven small, and can be sent to every task; else hubs are dealt.
+    """
+    met = adj.join(F.broadcast(frontier), "node") if small else dealt(adj, frontier, ["node"])
+    first = met.select("next", F.struct("pos", "rank", "node").alias("by")).groupBy("next").agg(F.min("by").alias("by"))
+    seen = visited.select(F.col("node").alias("next"))
+    fresh = first.join(F.broadcast(seen) if small else seen, "next", "left_anti")
     return fresh.select("next", "by.pos", "by.rank", "by.node")
 
 
-def numbered(found: DataFrame, base: int) -> tuple[DataFrame, DataFrame]:
-    """found with its place in the queue from base + 1, and pos, n, before: sums by finder.
+def numbered(found: DataFrame, base: int, small: bool) -> DataFrame:
+    """found with its place in the queue from base + 1, and before, how many rows earlier finders have.
 
-    Each finder's rows are ordered in their own window; only one row a finder is summed in order.
+    Each finder's rows are ordered in their own window; of a finder one number is summed in order.
     """
-    sums = found.groupBy("pos").agg(F.count("*").alias("n"))
-    running = Window.orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.withColumn("before", F.coalesce(F.sum("n").over(running), F.lit(0)))
+    sums = running_before(found.groupBy("pos").agg(F.count("*").alias("n")), "pos", "n", "before", small).select("pos", "before")
     own = Window.partitionBy("pos").orderBy("rank", "next")
-    placed = found.join(sided(settle(sums, "sums")), "pos").withColumn("place", F.lit(base) + F.col("before") + F.row_number().over(own))
-    return placed, sums
+    met = found.join(F.broadcast(sums), "pos") if small else found.join(sums, "pos")
+    return met.withColumn("place", F.lit(base) + F.col("before") + F.row_number().over(own))
+
+
+class Queue:
+    """What a walk has visited (node, pos, depth, parent), level by level, and how much that is."""
+
+    def __init__(self, edges: DataFrame, start, first: int) -> None:
+        kind = edges.schema["src"].dataType.simpleString()
+        self.visited = self.frontier = edges.sparkSession.createDataFrame([(start, first, 0, 0)], f"node {kind}, pos long, depth int, parent long")
+        self.n, self.bytes = 1, 64
+
+    def level(self, adj: DataFrame, depth: int, base: int, most: int, whole: bool) -> bool:
+        """Visits what the last level finds, in the queue's order; whether that is anything.
+
+        At most `most` nodes are visited; whole: a finder that comes while there are fewer adds all it finds.
+        """
+        small = self.n <= LOOKUP_ROWS and self.bytes <= LOOKUP_BYTES
+        found = settle(next_level(self.frontier.select("node", "pos"), adj, self.visited, small), "found")
+        placed = numbered(found, base, small)
+        kept = placed.where(F.lit(self.n) + F.col("before") < most if whole else F.col("place") - base + self.n <= most)
+        rows = settle(kept.select(F.col("next").alias("node"), F.col("place").cast("long").alias("pos"), F.lit(depth).alias("depth"), F.col("pos").alias("parent")))
+        n, size = rows.agg(F.count("*"), F.coalesce(F.sum(width(rows)), F.lit(0))).first()
+        drop_table(found)
+        if n:
+            self.visited, self.frontier = self.visited.unionByName(rows), rows
+            self.n, self.bytes = self.n + n, self.bytes + size
+        return n > 0
 
 
 def subgraph(edges: DataFrame, focus, depth: int = 2, direction: str = "both", max_nodes: int = 800, contains: DataFrame | None = None) -> tuple[DataFrame, bool]:
@@ -59,23 +88,12 @@ def subgraph(edges: DataFrame, focus, depth: int = 2, direction: str = "both", m
 
     A node is looked at only while fewer than max_nodes are visited, and then adds all its neighbours.
     """
-    spark, kind = edges.sparkSession, edges.schema["src"].dataType.simpleString()
     adj = adjacency(edges, direction, contains)
-    visited = spark.createDataFrame([(focus, 0, 0)], f"node {kind}, pos long, depth int")
-    frontier, total = visited, 1
+    queue = Queue(edges, focus, 0)
     for level in range(1, depth + 1):
-        if total >= max_nodes:
+        if queue.n >= max_nodes or not queue.level(adj, level, queue.n - 1, max_nodes, True):
             break
-        found = settle(next_level(frontier.select("node", "pos"), adj, visited), "found")
-        placed, _ = numbered(found, total - 1)
-        kept = placed.where(F.lit(total) + F.col("before") < max_nodes)
-        level_rows = settle(kept.select(F.col("next").alias("node"), F.col("place").cast("long").alias("pos"), F.lit(level).alias("depth")))
-        n = level_rows.count()
-        if not n:
-            break
-        total += n
-        visited, frontier = visited.unionByName(level_rows), level_rows
-    return visited, total >= max_nodes
+    return queue.visited.select("node", "pos", "depth"), queue.n >= max_nodes
 
 
 def induced(edges: DataFrame, visited: DataFrame) -> DataFrame:
@@ -93,22 +111,12 @@ def children_of(edges: DataFrame) -> DataFrame:
 def route(edges: DataFrame, start, max_depth: int = 6, max_steps: int = 200) -> DataFrame:
     """step, parent, depth, node: a reading route in breadth, steps numbered from 1, the start's parent 0."""
     max_depth, max_steps = min(max(max_depth, 0), 64), min(max(max_steps, 1), 100_000)
-    spark, kind = edges.sparkSession, edges.schema["src"].dataType.simpleString()
     adj = children_of(edges)
-    steps = spark.createDataFrame([(1, 0, 0, start)], f"step long, parent long, depth int, node {kind}")
-    frontier, total = steps, 1
+    queue = Queue(edges, start, 1)
     for level in range(1, max_depth + 1):
-        if total >= max_steps:
+        if queue.n >= max_steps or not queue.level(adj, level, queue.n, max_steps, False):
             break
-        found = settle(next_level(frontier.select("node", F.col("step").alias("pos")), adj, steps), "found")
-        placed, _ = numbered(found, total)
-        rows = settle(placed.where(F.col("place") <= max_steps).select(F.col("place").cast("long").alias("step"), F.col("pos").alias("parent"), F.lit(level).alias("depth"), F.col("next").alias("node")))
-        n = rows.count()
-        if not n:
-            break
-        total += n
-        steps, frontier = steps.unionByName(rows), rows
-    return steps
+    return queue.visited.select(F.col("pos").alias("step"), "parent", "depth", "node")
 
 
 #: Nodes whose children a depth-first walk asks for at once.
@@ -163,7 +171,8 @@ def fold(steps: DataFrame, dropped: DataFrame, keep_names: bool = True) -> DataF
         up = settle(up.join(over, "anchor", "left").select("step", F.when(F.coalesce("via", F.lit(False)), F.col("above")).otherwise(F.col("anchor")).alias("anchor"), "drop"), "anchors")
     joined = marked.join(up.drop("drop"), "step")
     lists = joined.where(F.col("gone").isNotNull()).groupBy("anchor").agg(F.array_sort(F.collect_list(F.struct("step", "gone"))).alias("s")).select(F.col("anchor").alias("step"), F.transform("s", lambda x: x["gone"]).alias("skipped"))
-    kept = joined.where(F.col("gone").isNull()).join(lists, "step", "left")
+    kept = joined.where(F.col("gone").isNull())
+    kept = kept.join(lists, "step", "left") if keep_names else kept
     order = kept.select("step").withColumn("new", F.row_number().over(Window.orderBy("step")).cast("long"))  # max_steps rows at most
     above = order.select(F.col("step").alias("anchor"), F.col("new").alias("new_parent"))
     out = kept.join(order, "step").join(above, "anchor", "left")
@@ -172,6 +181,16 @@ def fold(steps: DataFrame, dropped: DataFrame, keep_names: bool = True) -> DataF
     return out.select(F.col("new").alias("step"), F.coalesce("new_parent", F.lit(0)).cast("long").alias("parent"), *rest, *names)
 
 
+def trivial_steps(steps: DataFrame, edges: DataFrame, most_lines: int = 3) -> DataFrame:
+    """step, name of the steps to skip: not the start, with a body of 1 to most_lines lines, and one edge out at most.
+
+    steps: step, parent, id, name, body_lines; edges: src, dst of the allowed kinds, to nodes outside too.
+    """
+    out = edges.join(sided(settle(steps.select(F.col("id").alias("src")).distinct(), "ids")), "src", "left_semi").groupBy(F.col("src").alias("id")).agg(F.count("*").alias("n_out"))
+    met = steps.where((F.col("parent") != 0) & F.col("body_lines").between(1, most_lines)).join(out, "id", "left")
+    return met.where(F.coalesce("n_out", F.lit(0)) <= 1).select("step", "name")
+
+
 def with_new_file(steps: DataFrame) -> DataFrame:
     """steps (step, file) with new_file: whether this is the first step in its file."""
     first = steps.groupBy("file").agg(F.min("step").alias("first"))

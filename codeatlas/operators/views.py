@@ -49,9 +49,13 @@ def search_tree(tree: DataFrame, text: str, depth: int = 4) -> DataFrame:
     return tree.join(kept.select("id").distinct(), "id", "left_semi")
 
 
-def severity(line: Column) -> Column:
-    """error, warning or info of a line of diagnostics."""
-    return F.when(line.rlike(r"(?i)\b(error|fatal|exception|panic)\b"), "error").when(line.rlike(r"(?i)\bwarn(ing)?\b"), "warning").otherwise("info")
+#: Words by which a line of diagnostics is shown as a warning.
+ALARMS = "error|failed|failure|cannot|unable|异常|失败|错误"
+
+
+def severity(line: Column, own: str = r"\[codeatlas\]") -> Column:
+    """warn for a line that holds one of ALARMS, in any case, or the engine's own mark; debug for others, null for blank ones."""
+    return F.when(F.trim(line) == "", None).when(line.rlike(f"(?i){own}|{ALARMS}"), "warn").otherwise("debug")
 
 
 def route_tree(steps: DataFrame, candidates: DataFrame | None = None) -> DataFrame:

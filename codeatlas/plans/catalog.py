@@ -84,7 +84,7 @@ def architecture_edges(spark, d):
     return graph.architecture(*g.file_graph(spark, d), most=30)[1]
 
 
-@query(f"WITH {H1}{FILES}, k AS (SELECT id, 'dir:' || split_part(module, '/', 1) AS grp FROM fn) SELECT a.grp AS src, b.grp AS dst, min(line) AS ord FROM h1 JOIN k a ON a.id = src JOIN k b ON b.id = dst WHERE a.grp <> b.grp GROUP BY ALL")
+@query(f"WITH {H1}{FILES}, k AS (SELECT id, 'dir:' || module AS grp FROM fn) SELECT a.grp AS src, b.grp AS dst, min(line) AS ord FROM h1 JOIN k a ON a.id = src JOIN k b ON b.id = dst WHERE a.grp <> b.grp GROUP BY ALL")
 def cluster_by_module(spark, d):
     return graph.cluster(g.file_graph(spark, d)[0], g.pairs(spark, d))[1].select("src", "dst", "ord")
 

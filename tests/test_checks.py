@@ -93,3 +93,80 @@ def test_strong_components(spark, seed):
     want = {a: min({b for b in reach[a] if a in reach[b]} | {a}) for a in list(reach) if any(b != a and a in reach[b] for b in reach[a])}
     got = checks.strong_components(spark.createDataFrame(sorted(arcs), "src long, dst long")).collect()
     assert {r.node: r.component for r in got} == want
+
+
+def components_of(arcs):
+    """Tarjan's components of more than one node, by an explicit stack: node -> least node."""
+    out, index, low, on, stack, found = defaultdict(list), {}, {}, set(), [], {}
+    for a, b in arcs:
+        out[a].append(b)
+    for root in sorted({x for arc in arcs for x in arc}):
+        if root in index:
+            continue
+        work = [(root, iter(out[root]))]
+        index[root] = low[root] = len(index)
+        stack.append(root), on.add(root)
+        while work:
+            node, kids = work[-1]
+            for k in kids:
+                if k not in index:
+                    index[k] = low[k] = len(index)
+                    stack.append(k), on.add(k)
+                    work.append((k, iter(out[k])))
+                    break
+                if k in on:
+                    low[node] = min(low[node], index[k])
+            else:
+                work.pop()
+                if work:
+                    low[work[-1][0]] = min(low[work[-1][0]], low[node])
+                if low[node] == index[node]:
+                    group = []
+                    while not group or group[-1] != node:
+                        group.append(stack.pop())
+                        on.discard(group[-1])
+                    if len(group) > 1:
+                        found.update((g, min(group)) for g in group)
+    return found
+
+
+def chain(*nodes):
+    return list(zip(nodes, nodes[1:]))
+
+
+SHAPES = {
+    "two": [(1, 2), (2, 1)],
+    "ring": chain(*range(20), 0),
+    "rings and a bridge": chain(*range(9), 0) + [(4, 20)] + chain(20, 21, 22, 20),
+    "a loop at a node of nothing else": [(90, 50)] + chain(50, 51, 52, 53, 50) + [(50, 91)],
+    "two loops at one node": chain(5, 1, 2, 5) + chain(5, 3, 4, 5),
+    "loops on a chain": chain(*range(40)) + chain(7, 60, 7) + chain(30, 61, 62, 12),
+    "nothing": chain(*range(30)) + chain(3, 40, 41, 9),
+    "itself": [(1, 1), (2, 3)],
+}
+
+
+@pytest.mark.parametrize("name", SHAPES)
+def test_components_of_shapes(spark, name):
+    got = checks.strong_components(spark.createDataFrame(SHAPES[name], "src long, dst long")).collect()
+    assert {r.node: r.component for r in got} == components_of([a for a in SHAPES[name] if a[0] != a[1]])
+
+
+@pytest.mark.parametrize(("seed", "n", "m"), [(11, 60, 75), (12, 200, 260)])
+def test_components_of_sparse_graphs(spark, seed, n, m):
+    rng = random.Random(seed)
+    arcs = sorted({(f"n{rng.randrange(n)}", f"n{rng.randrange(n)}") for _ in range(m)})
+    got = checks.strong_components(spark.createDataFrame(arcs, "src string, dst string")).collect()
+    want = components_of([a for a in arcs if a[0] != a[1]])
+    assert {r.node: r.component for r in got} == want and want
+
+
+def test_a_chain_of_folders_takes_tens_of_jobs(spark):
+    arcs = [(f"d{k:04}", f"d{k + 1:04}") for k in range(1000)] + [("x", "d0500"), ("d0600", "y"), ("y", "x")]
+    spark.sparkContext.setJobGroup("chain", "chain")
+    try:
+        got = {r.node for r in checks.strong_components(spark.createDataFrame(arcs, "src string, dst string")).collect()}
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("chain"))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert got == {f"d{k:04}" for k in range(500, 601)} | {"x", "y"} and jobs < 250

@@ -114,3 +114,36 @@ def test_broken_texts_end(spark, text):
     files = spark.createDataFrame([("a.c", text)], "path string, content string")
     cut = extract.pieces(files)
     assert "".join(r.raw for r in sorted(cut.collect(), key=lambda r: r.place)) == text
+
+
+NESTED = """namespace a { namespace b {
+struct Outer : Base<int>, Other {
+  struct Inner { Part part_; int operator()(int x) const { return look(x); } };
+  Inner in_;
+  void go() { struct Local { void run() { call_in(1); } }; call_out(2); }
+  bool operator()(Key a, Key b);
+};
+} }
+bool Outer::operator()(Key a, Key b) { return less(a, b); }
+int lambda() { auto f = [](int x) { return twice(x); }; return f(LIMITED); }
+"""
+
+
+def test_nested_scopes_owners_and_bodies(spark):
+    symbols, pending, _ = extract.extract(spark.createDataFrame([("n.cpp", NESTED)], "path string, content string"))
+    names = {(s.kind, s.qualified) for s in symbols.collect()}
+    assert {("class", "a::b::Outer"), ("class", "a::b::Outer::Inner"), ("class", "a::b::Outer::Local"), ("function", "a::b::Outer::operator()"), ("function", "a::b::Outer::Inner::operator()"), ("function", "operator()"), ("function", "a::b::Outer::Local::run")} <= names
+    got = {(r.from_id, r.name) for r in pending.collect() if r.kind == "calls"}
+    # a call in a body within a body belongs to both
+    assert {("func:a::b::Outer::Local::run", "call_in"), ("func:a::b::Outer::go", "call_in"), ("func:a::b::Outer::go", "call_out"), ("func:a::b::Outer::Inner::operator()", "look"), ("func:lambda", "twice"), ("func:operator()", "less")} <= got
+    assert ("func:a::b::Outer::Local::run", "call_out") not in got
+    assert {(r.from_id, r.name) for r in pending.collect() if r.kind == "inherits"} == {("class:a::b::Outer", "int"), ("class:a::b::Outer", "Other")}
+    assert {(r.from_id, r.name) for r in pending.collect() if r.kind == "uses"} == {("class:a::b::Outer::Inner", "Part"), ("class:a::b::Outer", "Inner")}
+
+
+def test_one_large_file_keeps_every_function_and_call(spark):
+    body = lambda i: f"int part_{i}(int x) {{\n  if (x) {{ helper_{i % 7}(x, y); }}\n  return part_{i + 1}(LIMIT);\n}}\n"
+    text = "namespace big {\nclass Holder {\n" + "".join(body(i) for i in range(3000)) + "};\n}\n" + "a::" * 20_000 + "end();\n"
+    symbols, pending, _ = extract.extract(spark.createDataFrame([("big.cpp", text)], "path string, content string"))
+    assert symbols.where("kind = 'function' and qualified like 'big::Holder::part_%' and not declaration").count() == 3000
+    assert pending.where("kind = 'calls'").groupBy("from_id").count().where("count = 2").count() == 3000

@@ -3,7 +3,7 @@ import json
 import pytest
 
 from codeatlas import api
-from codeatlas.operators import views
+from codeatlas.operators import extract, views
 from codeatlas.sources import build_script, source_tree
 from codeatlas.streaming import incremental
 
@@ -49,7 +49,44 @@ def test_a_tree_becomes_a_graph(spark, tree):
     assert [r.id for r in atlas.route().orderBy("step").collect()] == ["func:main", "func:go"]
     assert [r.id for r in atlas.dependents("inc dir/deep/b.h").collect()] == ["file:src/a.cpp"]
     assert views.assembled(atlas.export("mermaid", "func:main", 1)).startswith("graph LR\n")
-    assert atlas.stats().first().file_count == 5
+    row = atlas.stats().first()
+    assert (row.file_count, row.compile_commands_found, row.compile_commands_path, row.compile_command_entries, row.skipped_files, row.warnings) == (5, True, "out/compile_commands.json", 2, 0, [])
+    assert atlas.node_at("src/a.cpp", 4).first().id == "func:main" and atlas.node_at("src/a.cpp", 1).first().id == "file:src/a.cpp"
+    nodes, edges, _ = atlas.symbol_graph("src/a.cpp", 3, 1, "downstream")
+    assert {r.id for r in nodes.collect()} == {"func:main", "func:go"} and edges.count() == 1
+    assert atlas.symbol_graph("none.c", 1)[0].count() == 0
+    nodes, edges = atlas.expanded(nodes, edges, "func:go")
+    assert {r.id for r in nodes.collect()} >= {"func:main", "func:go", "file:src/go.cpp"}
+
+
+def test_compile_databases_are_looked_for_in_order(spark):
+    find = lambda *paths: (source_tree.find_compile_db(spark.createDataFrame([(p,) for p in paths], "path string")).first() or [None])[0]
+    db = "compile_commands.json"
+    assert find(f"build/Debug/{db}", f"build/Release/{db}") == f"build/Release/{db}"
+    assert find(f"build/debug/{db}", f"build/Debug/{db}", f"a/{db}") == f"build/Debug/{db}"
+    assert find(f"build/Debug/{db}", f"cmake-build-release/{db}", f"out/{db}") == f"out/{db}"
+    assert find(f"z/y/x/w/{db}") == f"z/y/x/w/{db}" and find(f"z/y/x/w/v/{db}") is None and find(f"_deps/{db}") is None
+
+
+def test_routes_skip_trivial_steps_follow_overrides_and_keep_files_first_steps(spark, tmp_path):
+    long = "  a;\n  b;\n  c;\n  d;\n"
+    files = {
+        "CMakeLists.txt": "add_executable(app a.cpp)\ntarget_link_libraries(app m)\n",
+        "a.cpp": f"int main() {{\n{long}  get();\n  work();\n  tiny();\n}}\nint get() {{\n  return deep();\n}}\n", "b.cpp": f"int deep() {{\n{long}  more();\n}}\nint more() {{\n{long}}}\nint work() {{\n{long}}}\n",
+        "c.cpp": "int tiny() {\n  far();\n  away();\n}\nint far() { return 1; }\nint away() { return 2; }\n",
+    }
+    for name, text in files.items():
+        (tmp_path / name).write_text(text)
+    atlas = api.scan(spark, str(tmp_path))
+    assert {(e.src, e.dst) for e in atlas.edges.where("kind = 'links'").collect()} == {("target:app", "file:a.cpp"), ("target:app", "ext:target:m")}
+    rows = lambda **o: [(r.step, r.parent, r.id.split(":")[1], r.skipped) for r in atlas.route("func:main", **o).orderBy("step").collect()]
+    assert [r[:3] for r in rows()] == [(1, 0, "main"), (2, 1, "get"), (3, 1, "work"), (4, 1, "tiny"), (5, 2, "deep"), (6, 4, "far"), (7, 4, "away"), (8, 5, "more")]
+    # get leads to deep alone; far and away are short; tiny is not short
+    assert rows(skip_trivial=True) == [(1, 0, "main", ["get"]), (2, 1, "work", []), (3, 1, "tiny", ["far", "away"]), (4, 1, "deep", []), (5, 4, "more", [])]
+    assert [r[:3] for r in rows(by_file=True)] == [(1, 0, "main"), (2, 1, "work"), (3, 1, "tiny")]
+    picks = spark.createDataFrame([("func:main", "get", "func:more")], "src string, name string, pick string")
+    assert [r[2] for r in rows(overrides=picks, max_depth=1)] == ["main", "more", "work", "tiny"]
+    assert api.scan(spark, str(tmp_path), kinds=extract.Kinds(links=False)).edges.where("kind = 'links'").count() == 0
 
 
 def test_build_scripts(spark):
@@ -59,7 +96,7 @@ def test_build_scripts(spark):
         ("core", "kind", "library"), ("core", "source", "a.c"), ("core", "source", "b c.c"), ("app", "kind", "executable"), ("app", "source", "main.c"),
         ("app", "link", "core"), ("app", "link", "m"), ("app", "link", "z"), ("", "package", "Zed"),
     ]
-    files = spark.createDataFrame([("x/CMakeLists.txt", text), ("a.txt", text), ("y.cmake", None)], "path string, content string")
+    files = spark.createDataFrame([("x/CMakeLists.txt", text), ("a.txt", text), ("y/CMakeLists.txt", None)], "path string, content string")
     assert build_script.targets(files).count() == len(rows)
 
 

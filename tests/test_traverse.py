@@ -5,6 +5,7 @@ from collections import deque
 
 import pytest
 
+from codeatlas.functions import tables
 from codeatlas.operators import traverse
 
 
@@ -76,6 +77,26 @@ def test_routes_follow_queue_and_stack(spark, seed, depth, most):
     assert sorted(map(tuple, deep.collect())) == route_model(edges, 0, depth, most, True)
 
 
+@pytest.mark.parametrize("direction", ["both", "downstream"])
+def test_large_levels_are_numbered_in_ranges_and_hubs_dealt(spark, direction, monkeypatch):
+    edges = graph(8, 40, 60) + [(0, k, 100 + k) for k in range(1, 30)]
+    df = frame(spark, edges)
+    monkeypatch.setattr(traverse, "LOOKUP_ROWS", 0)
+    monkeypatch.setattr(tables, "is_small", lambda df: False)
+    monkeypatch.setattr(tables, "HOT_ROWS", 10)
+    got, _ = traverse.subgraph(df, 0, 3, direction, 1000)
+    assert sorted((r.node, r.pos, r.depth) for r in got.collect()) == sorted(queue_model(edges, 0, 3, direction, 1000)[0])
+    assert sorted(map(tuple, traverse.route(df, 0, 3, 25).collect())) == route_model(edges, 0, 3, 25, False)
+
+
+def test_running_sums_by_range(spark):
+    rows = spark.createDataFrame([(k * 7 % 101, k) for k in range(101)], "pos long, n long")
+    want = {k * 7 % 101: sum(j for j in range(101) if j * 7 % 101 < k * 7 % 101) for k in range(101)}
+    for small in (True, False):
+        assert {r.pos: r.b for r in tables.running_before(rows, "pos", "n", "b", small).collect()} == want
+    assert tables.running_before(rows.limit(0), "pos", "n", "b").count() == 0
+
+
 def test_fold_moves_children_to_the_nearest_kept_step(spark):
     steps = spark.createDataFrame([(1, 0, 0, 10), (2, 1, 1, 11), (3, 2, 2, 12), (4, 3, 3, 13), (5, 1, 1, 14)], "step long, parent long, depth int, node long")
     dropped = spark.createDataFrame([(2, "b"), (3, "c")], "step long, name string")

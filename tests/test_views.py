@@ -22,8 +22,9 @@ def test_search_keeps_ancestors(spark):
 
 
 def test_severity(spark):
-    rows = spark.createDataFrame([("fatal: no",), ("Warning: x",), ("terrors",)], "s string")
-    assert [r.v for r in rows.select(views.severity(F.col("s")).alias("v")).collect()] == ["error", "warning", "info"]
+    lines = ["failed to open x", "Warning: x", "TERRORS", "[codeatlas] phase 2", "加载失败", "CANNOT", "all fine", "unable", "  "]
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "i int, s string").select("i", views.severity(F.col("s")).alias("v")).orderBy("i")
+    assert [r.v for r in rows.collect()] == ["warn", "debug", "warn", "warn", "warn", "warn", "debug", "warn", None]
 
 
 def test_route_as_tree_and_json(spark):
@@ -51,9 +52,11 @@ def test_groups_and_stats(spark):
     nodes = spark.createDataFrame([("a", "target", "lib/x", False, "exact", 1), ("b", "file", "lib", False, "approx", 2), ("c", "file", ".", False, "approx", 3), ("e", "function", "", True, "approx", 4)], "id string, kind string, module string, external boolean, precision string, node_ord long")
     edges = spark.createDataFrame([("a", "b", "calls", 1), ("b", "c", "calls", 2), ("a", "c", "calls", 3), ("c", "e", "calls", 4)], "src string, dst string, kind string, ord long")
     groups, arcs = graph.cluster(nodes, edges)
-    assert {tuple(r) for r in groups.collect()} == {("dir:lib", "target", 2, "2 nodes", "exact"), ("dir:.", "file", 1, "1 nodes", "approx"), ("e", "file", 1, "1 nodes", "approx")}
-    assert {(r.src, r.dst, r.ord) for r in arcs.collect()} == {("dir:lib", "dir:.", 2), ("dir:.", "e", 4)}
-    assert graph.level_of_detail(nodes, edges)[0].count() == 4 and graph.level_of_detail(nodes, edges, True)[0].count() == 3
+    assert {tuple(r) for r in groups.collect()} == {("dir:lib/x", "target", 1, "1 nodes", "exact"), ("dir:lib", "file", 1, "1 nodes", "approx"), ("dir:.", "file", 1, "1 nodes", "approx"), ("e", "file", 1, "1 nodes", "approx")}
+    assert {(r.src, r.dst, r.ord) for r in arcs.collect()} == {("dir:lib/x", "dir:lib", 1), ("dir:lib", "dir:.", 2), ("dir:lib/x", "dir:.", 3), ("dir:.", "e", 4)}
+    rooted = nodes.withColumn("file", F.when(F.col("id") == "c", "main/a.c").when(F.col("id") == "a", "").otherwise("x.c")).withColumn("module", F.when(F.col("id") == "b", "lib").otherwise("."))
+    assert {r.id: r.n_members for r in graph.cluster(rooted, edges)[0].collect()} == {"dir:main": 1, "dir:lib": 1, "dir:.": 1, "e": 1}
+    assert graph.level_of_detail(nodes, edges)[0].count() == 4 and graph.level_of_detail(nodes, edges, True)[0].count() == 4
     row = graph.stats_row(nodes, edges).first()
     assert (row.file_count, row.symbol_count, row.edge_count, row.exact_nodes, row.precision) == (2, 1, 4, 1, "approx") and row.node_kind_counts == {"file": 2, "function": 1, "target": 1}
 
