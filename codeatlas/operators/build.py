@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeatlas.functions.exprs import base_name, module_of, reference_name, simple_name, suffixes
-from codeatlas.functions.tables import dealt, settle
+from codeatlas.functions.tables import dealt, settle, sided
 from codeatlas.operators.graph import dedup_edges, degrees, look_up, merge_symbols, name_index, resolve_includes, valid_edges
 from codeatlas.operators.traverse import induced, subgraph
 from codeatlas.sources import build_script
@@ -22,17 +22,21 @@ OUTSIDE = {"calls": "function", "inherits": "class", "uses": "class", "refs": "m
 EXTERNAL_MODULE = "<external>"
 
 
-def reference_hits(refs: DataFrame, symbols: DataFrame, most_hits: int = 3) -> DataFrame:
-    """refs with n_hits and hits (file, sym_ord, id of each occurrence, up to most_hits), by their kind's ladder."""
+def reference_hits(refs: DataFrame, symbols: DataFrame, most_hits: int = 3, few: bool = False) -> DataFrame:
+    """refs with n_hits and hits (file, sym_ord, id of each occurrence, up to most_hits), by their kind's ladder.
+
+    few: whether refs are a part of a tree's, so that only the names they ask for are worth an index.
+    """
     known = symbols.select(F.struct("file", "sym_ord", "id").alias("occ_id"), F.when(F.col("kind") == "enum", "class").otherwise(F.col("kind")).alias("kind"), "qualified", F.col("name").alias("simple"))
     asked = refs.select(F.col("kind").alias("ladder"), F.col("name").alias("raw"), reference_name(F.col("name")).alias("name")).distinct()
-    found = look_up(asked.select("name", "ladder").distinct(), name_index(known, most_hits), LADDERS, most_hits)
+    keys = asked.select(F.explode(F.array("name", simple_name(F.col("name")))).alias("key")).distinct() if few else None
+    found = look_up(asked.select("name", "ladder").distinct(), name_index(known, most_hits, keys), LADDERS, most_hits)
     by_raw = settle(asked.join(found, ["name", "ladder"]).select(F.col("raw").alias("name"), F.col("ladder").alias("kind"), "tier", "n_hits", "hits"), "hits")
     return dealt(refs, by_raw, ["name", "kind"], "left")
 
 
 def reference_edges(resolved: DataFrame, precision: DataFrame) -> DataFrame:
-    """src, dst, kind, precision, file, line, ord, external, name: one edge for each hit, those of the same file first.
+    """src, dst, kind, precision, file, line, ord, external, name, missing: one edge for each hit, those of the same file first.
 
     Unresolved names, and names with more occurrences than are listed, lead to one external node each.
     """
@@ -40,20 +44,20 @@ def reference_edges(resolved: DataFrame, precision: DataFrame) -> DataFrame:
     kind = F.when(by_function, "refs").otherwise(F.col("kind")).alias("kind")
     ranked = F.transform("hits", lambda h: F.struct((h["file"] != F.col("file")).alias("away"), h["file"].alias("file"), h["sym_ord"].alias("sym_ord"), h["id"].alias("id")))
     hits = resolved.where(F.col("hits").isNotNull()).select("from_id", kind, "name", "file", "line", "ref_ord", F.posexplode(F.array_sort(ranked)).alias("place", "h"))
-    inner = hits.select(F.col("from_id").alias("src"), F.col("h.id").alias("dst"), "kind", "file", "line", "ref_ord", "place", F.lit(False).alias("external"), "name")
+    inner = hits.select(F.col("from_id").alias("src"), F.col("h.id").alias("dst"), "kind", "file", "line", "ref_ord", "place", F.lit(False).alias("external"), "name", F.lit(False).alias("missing"))
     inner = inner.join(precision.select(F.col("id").alias("dst"), "precision"), "dst", "left")
     sought = F.element_at(F.create_map(*[F.lit(x) for kv in OUTSIDE.items() for x in kv]), F.col("kind"))
     crowd = F.col("n_hits") > 0
     outer = resolved.where(F.col("hits").isNull()).select(
         F.col("from_id").alias("src"), F.concat(F.lit("ext:"), F.when(crowd, "function").otherwise(sought), F.lit(":"), "name").alias("dst"), kind,
-        "file", "line", "ref_ord", F.lit(0).alias("place"), F.lit(True).alias("external"), "name", F.lit("approx").alias("precision"),
+        "file", "line", "ref_ord", F.lit(0).alias("place"), F.lit(True).alias("external"), "name", F.coalesce(F.col("n_hits") == 0, F.lit(True)).alias("missing"), F.lit("approx").alias("precision"),
     )
     order = F.struct(F.lit(1).alias("stage"), "file", F.col("ref_ord").alias("n"), F.col("place").cast("long").alias("place"))
-    return inner.unionByName(outer).select("src", "dst", "kind", "precision", "file", "line", order.alias("ord"), "external", "name")
+    return inner.unionByName(outer).select("src", "dst", "kind", "precision", "file", "line", order.alias("ord"), "external", "name", "missing")
 
 
 def include_edges(includes: DataFrame, files: DataFrame, search: list[str]) -> DataFrame:
-    """src, dst, kind, precision, file, line, ord, external, name of every include."""
+    """src, dst, kind, precision, file, line, ord, external, name, missing of every include."""
     named = settle(includes.withColumn("inc_id", F.struct("file", "ord")), "includes")
     found = resolve_includes(named.select("inc_id", "file", "target"), files, search)
     met = named.join(found, "inc_id")
@@ -61,7 +65,7 @@ def include_edges(includes: DataFrame, files: DataFrame, search: list[str]) -> D
     return met.select(
         F.concat(F.lit("file:"), "file").alias("src"), F.when(outside, F.concat(F.lit("ext:file:"), "target")).otherwise(F.concat(F.lit("file:"), "resolved")).alias("dst"),
         F.lit("includes").alias("kind"), F.coalesce("precision", F.lit("approx")).alias("precision"), "file", "line",
-        F.struct(F.lit(0).alias("stage"), "file", F.col("ord").cast("long").alias("n"), F.lit(0).cast("long").alias("place")).alias("ord"), outside.alias("external"), F.col("target").alias("name"),
+        F.struct(F.lit(0).alias("stage"), "file", F.col("ord").cast("long").alias("n"), F.lit(0).cast("long").alias("place")).alias("ord"), outside.alias("external"), F.col("target").alias("name"), F.lit(False).alias("missing"),
     )
 
 
@@ -86,10 +90,10 @@ def target_graph(rows: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFram
     common = [F.lit("links").alias("kind"), F.lit("exact").alias("precision"), "file", F.col("line").cast("int").alias("line")]
     met = build_script.target_sources(listed.select("target", "listed"), files)
     tails = met.select("target", "source", F.explode(suffixes(F.col("source"))).alias("listed"))
-    to_files = listed.join(tails, ["target", "listed"]).select(F.concat(F.lit("target:"), "target").alias("src"), F.concat(F.lit("file:"), "source").alias("dst"), *common, place(F.lit(0), F.xxhash64("source")), F.lit(False).alias("external"), F.col("source").alias("name"))
+    to_files = listed.join(tails, ["target", "listed"]).select(F.concat(F.lit("target:"), "target").alias("src"), F.concat(F.lit("file:"), "source").alias("dst"), *common, place(F.lit(0), F.xxhash64("source")), F.lit(False).alias("external"), F.col("source").alias("name"), F.lit(False).alias("missing"))
     linked = settle(build_script.linked_libraries(rows), "linked")
     ends = build_script.target_links(linked, defined.select(F.col("target").alias("name")), ["file", "line", "place", "library"])
-    to_libraries = ends.select(F.concat(F.lit("target:"), "target").alias("src"), "dst", *common, place(F.lit(1), F.xxhash64("place", "library")), F.col("external"), F.col("library").alias("name"))
+    to_libraries = ends.select(F.concat(F.lit("target:"), "target").alias("src"), "dst", *common, place(F.lit(1), F.xxhash64("place", "library")), F.col("external"), F.col("library").alias("name"), F.lit(False).alias("missing"))
     outside = ends.where("external").select("dst", "library").distinct().select(
         F.col("dst").alias("id"), F.lit("target").alias("kind"), F.col("library").alias("name"), F.lit("").alias("file"), F.lit(0).alias("line"), F.lit(0).alias("column"), F.lit(False).alias("declaration"), F.lit(0).alias("body_lines"),
         F.lit("linked by a build script").alias("detail"), F.lit("exact").alias("precision"), *none,
@@ -97,26 +101,28 @@ def target_graph(rows: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFram
     return nodes, outside, to_files.unionByName(to_libraries)
 
 
-def build(files: DataFrame, symbols: DataFrame, refs: DataFrame, includes: DataFrame, *, search: list[str] | None = None, include_external: bool = False, most_hits: int = 3, scripts: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """nodes, edges and one row of counts (exact and approximate includes, unresolved references).
+def wide_edges(files: DataFrame, symbols: DataFrame, refs: DataFrame, includes: DataFrame, search: list[str] | None = None, most_hits: int = 3, few: bool = False) -> DataFrame:
+    """Every edge that includes and references give, externals too, before equal ones are merged.
 
-    files: path. The other tables are those of extract, scripts those of build_script.targets. External nodes and the
-    edges to them only if asked for, but for the libraries that targets link.
+    files (path) and symbols are those of the whole tree; refs and includes may be of a part of it (few).
     """
+    resolved = settle(reference_hits(refs, symbols, most_hits, few), "resolved")
+    known = symbols
+    if few:
+        known = symbols.join(sided(settle(resolved.select(F.explode("hits.id").alias("id")).distinct(), "ids")), "id", "left_semi")
+    return include_edges(includes, files, search or []).unionByName(reference_edges(resolved, merge_symbols(known)))
+
+
+def assembled(files: DataFrame, symbols: DataFrame, wide: DataFrame, *, include_external: bool = False, targets: tuple[DataFrame, DataFrame] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """nodes, edges and one row of counts, from files (path), symbols, edges as wide_edges gives them, and target_graph's nodes."""
     file_nodes = files.select(
         F.concat(F.lit("file:"), "path").alias("id"), F.lit("file").alias("kind"), F.col("path").alias("name"), F.col("path").alias("file"), F.lit(1).alias("line"), F.lit(0).alias("column"),
         F.lit(False).alias("declaration"), F.lit(0).alias("body_lines"), F.lit("").alias("detail"), F.lit("approx").alias("precision"), F.lit(None).cast("string").alias("api_header"), F.lit(None).cast("int").alias("api_line"),
     )
-    merged = settle(merge_symbols(symbols), "symbols")
-    inner = file_nodes.unionByName(merged).withColumn("module", module_of(F.col("file"))).withColumn("external", F.lit(False))
-    resolved = settle(reference_hits(refs, symbols, most_hits), "resolved")
-    wide = include_edges(includes, files, search or []).unionByName(reference_edges(resolved, merged))
-    libraries = None
-    if scripts is not None:
-        targets, libraries, links = target_graph(scripts, files)
-        inner = inner.unionByName(targets.withColumn("module", module_of(F.col("file"))).withColumn("external", F.lit(False)))
-        wide = wide.unionByName(links)
-    wide = settle(wide, "edges")
+    inner = file_nodes.unionByName(merge_symbols(symbols))
+    if targets:
+        inner = inner.unionByName(targets[0])
+    inner = inner.withColumn("module", module_of(F.col("file"))).withColumn("external", F.lit(False))
     asked = F.col("external") & (F.col("kind") != "links")
     outer = wide.where(asked).select(F.col("dst").alias("id"), F.regexp_extract("dst", "^ext:([a-z]+):", 1).alias("kind"), "name").distinct()
     outer = outer.select(
@@ -124,8 +130,8 @@ def build(files: DataFrame, symbols: DataFrame, refs: DataFrame, includes: DataF
         F.lit("approx").alias("precision"), F.lit(None).cast("string").alias("api_header"), F.lit(None).cast("int").alias("api_line"), F.lit(EXTERNAL_MODULE).alias("module"), F.lit(True).alias("external"),
     )
     nodes = inner.unionByName(outer) if include_external else inner
-    if libraries is not None:
-        nodes = nodes.unionByName(libraries.withColumn("module", F.lit(EXTERNAL_MODULE)).withColumn("external", F.lit(True)))
+    if targets:
+        nodes = nodes.unionByName(targets[1].withColumn("module", F.lit(EXTERNAL_MODULE)).withColumn("external", F.lit(True)))
     nodes = settle(nodes, "nodes")
     kept = wide if include_external else wide.where(~asked)
     edges = settle(valid_edges(dedup_edges(kept.select("src", "dst", "kind", "precision", "file", "line", "ord")), nodes), "edges")
@@ -134,10 +140,24 @@ def build(files: DataFrame, symbols: DataFrame, refs: DataFrame, includes: DataF
     counts = wide.agg(
         F.count_if(found & ~F.col("external") & (F.col("precision") == "exact")).alias("exact_includes"),
         F.count_if(found & ~F.col("external") & (F.col("precision") == "approx")).alias("approx_includes"),
-    ).crossJoin(resolved.agg(F.count_if(F.coalesce("n_hits", F.lit(0)) == 0).alias("unresolved_refs")))  # one row each
+        F.count_if("missing").alias("unresolved_refs"),
+    )
     return nodes, edges.withColumnRenamed("ord", "edge_ord"), counts
 
 
+def build(files: DataFrame, symbols: DataFrame, refs: DataFrame, includes: DataFrame, *, search: list[str] | None = None, include_external: bool = False, most_hits: int = 3, scripts: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """nodes, edges and one row of counts (exact and approximate includes, unresolved references).
+
+    files: path. The other tables are those of extract, scripts those of build_script.targets. External nodes and the
+    edges to them only if asked for, but for the libraries that targets link.
+    """
+    wide, targets = wide_edges(files, symbols, refs, includes, search, most_hits), None
+    if scripts is not None:
+        *targets, links = target_graph(scripts, files)
+        wide = wide.unionByName(links)
+    return assembled(files, symbols, settle(wide, "edges"), include_external=include_external, targets=targets)
+
+
 def enclosing_function(points: DataFrame, symbols: DataFrame) -> DataFrame:
     """point_id, id: the last function at or above each point in its file, else the last other symbol, else the file.
 

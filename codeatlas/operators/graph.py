@@ -137,14 +137,16 @@ def without_external(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, Dat
 SIMPLE_ONLY = ("variable", "macro")
 
 
-def name_index(symbols: DataFrame, most: int) -> DataFrame:
+def name_index(symbols: DataFrame, most: int, keys: DataFrame | None = None) -> DataFrame:
     """key, how (0 whole name, 1 simple name), kind, n, first: how many symbols answer to a name, and the first `most` of them.
 
-    symbols: occ_id, kind, qualified, simple, one row an occurrence. Counts combine before their shuffle, and of a
+    symbols: occ_id, kind, qualified, simple, one row an occurrence; keys (key): only these, if given. Counts combine before their shuffle, and of a
     name no task sends more than its first `most` occurrences, so a name of a third of all symbols is a few rows.
     """
-    keys = F.array(F.struct(F.lit(0).alias("how"), F.col("qualified").alias("key")), F.struct(F.lit(1).alias("how"), F.col("simple").alias("key")))
-    both = symbols.select("occ_id", "kind", F.explode(keys).alias("k")).select("k.key", "k.how", "kind", "occ_id").where(F.col("key").isNotNull() & ((F.col("how") == 1) | ~F.col("kind").isin(*SIMPLE_ONLY)))
+    names = F.array(F.struct(F.lit(0).alias("how"), F.col("qualified").alias("key")), F.struct(F.lit(1).alias("how"), F.col("simple").alias("key")))
+    both = symbols.select("occ_id", "kind", F.explode(names).alias("k")).select("k.key", "k.how", "kind", "occ_id").where(F.col("key").isNotNull() & ((F.col("how") == 1) | ~F.col("kind").isin(*SIMPLE_ONLY)))
+    if keys is not None:
+        both = both.join(sided(settle(keys, "keys")), "key", "left_semi")
     on = ["key", "how", "kind"]
     counts = both.groupBy(*on).agg(F.count("*").alias("n"))
     heads = both.withColumn("r", F.row_number().over(Window.partitionBy(*on).orderBy("occ_id"))).where(F.col("r") <= most)
