@@ -106,3 +106,34 @@ def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = p.groupBy("f").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", body.alias("b")))), lambda x: x["b"]), "").alias("body"))  # fifty rows a file
     head = F.concat(F.lit("// generated\n#include \"f"), number(F.col("f") + 1), F.lit(".cpp\"\n#include <vector>\n#define LIMIT 9\n\n"))
     return files.select(F.concat(F.lit("gen/f"), number(F.col("f")), F.lit(".cpp")).alias("path"), F.concat(head, "body").alias("content"))
+
+
+def headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Headers made of `supplier`: one a nation, with a class and an enum a supplier in its namespace, and variables below.
+
+    A class takes seven lines after the first line of its file, and its enum one more.
+    """
+    p = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_nationkey").alias("f"))
+    number = lambda c: c.cast("long").cast("string")
+    k = number(F.col("k"))
+    block = F.concat(
+        F.lit("class Supp_"), k, F.lit(" : public Base_"), number(F.col("k") % 3), F.lit(", private util::Mixin<Supp_"), k, F.lit("> {\n public:\n  int get_"), k, F.lit("() const;\n private:\n  Kind_"), number(F.col("k") % 5),
+        F.lit(" kind_;\n  std::vector<Item_"), number(F.col("k") % 4), F.lit("> items_;\n};\nenum class Enum_"), k, F.lit(" { none };\n"),
+    )
+    each = p.select("f", F.struct("k", block.alias("b"), F.concat(F.lit("int total_"), k, F.lit(" = 1;\n")).alias("v")).alias("x"))
+    files = each.groupBy("f").agg(F.array_sort(F.collect_list("x")).alias("all"))  # the suppliers of a nation, as source text
+    text = lambda c: F.array_join(F.transform("all", lambda x: x[c]), "")
+    return files.select(F.concat(F.lit("gen/n"), number(F.col("f")), F.lit(".h")).alias("path"), F.concat(F.lit("namespace n"), number(F.col("f")), F.lit(" {\n"), text("b"), F.lit("}\n"), text("v")).alias("content"))
+
+
+def scripts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Rows of build scripts, one a region, whose nations are targets that list their suppliers and link the region and the nation before; and files."""
+    n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("k"), F.concat(F.lit("r"), F.col("n_regionkey").cast("string"), F.lit("/CMakeLists.txt")).alias("file"), F.concat(F.lit("region"), F.col("n_regionkey").cast("string")).alias("region"))
+    name = F.concat(F.lit("t"), F.col("k").cast("string"))
+    line = (F.col("k") * 10 + 1).cast("long")
+    rows = n.select(name.alias("target"), F.lit("kind").alias("relation"), F.when(F.col("k") % 2 == 0, "library").otherwise("executable").alias("value"), line.alias("line"), "file")
+    rows = rows.unionByName(n.select(name.alias("target"), F.lit("link").alias("relation"), F.explode(F.array("region", F.concat(F.lit("t"), (F.col("k") - 1).cast("string")))).alias("value"), (line + 5).alias("line"), "file"))
+    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("s"), F.col("s_nationkey").alias("k"))
+    source = F.concat(F.lit("../src/s"), F.col("s").cast("string"), F.lit(".c"))
+    rows = rows.unionByName(s.join(n, "k").select(name.alias("target"), F.lit("source").alias("relation"), source.alias("value"), line.alias("line"), "file"))
+    return rows, s.where("s % 3 > 0").select(F.concat(F.when(F.col("s") % 3 == 1, "src/s").otherwise("old/src/s"), F.col("s").cast("string"), F.lit(".c")).alias("path"))

@@ -197,6 +197,53 @@ def includes_scan(spark, d):
     return extract.extract(g.sources(spark, d))[2].select("file", "target", "line")
 
 
+_STATS = H1 + """, n AS (SELECT DISTINCT user_id, CASE user_id % 3 WHEN 0 THEN 'file' WHEN 1 THEN 'function' ELSE 'class' END AS kind, user_id % 5 = 0 AS external, CASE WHEN user_id % 2 = 0 THEN 'exact' ELSE 'approx' END AS precision FROM events)"""
+HEADERS = """h AS (SELECT s_suppkey AS k, s_nationkey AS f, 'gen/n' || s_nationkey || '.h' AS file, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1 AS i, count(*) OVER (PARTITION BY s_nationkey) AS m FROM supplier)"""
+
+
+@query(f"""WITH {HEADERS} SELECT 'class:n' || f || '::Supp_' || k AS id, 'class' AS kind, file, (2 + 8 * i)::INT AS line, FALSE AS declaration, 'class Supp_' || k || ' @ ' || file AS signature FROM h
+UNION ALL SELECT 'enum:n' || f || '::Enum_' || k, 'enum', file, (9 + 8 * i)::INT, FALSE, 'enum Enum_' || k FROM h UNION ALL SELECT 'func:n' || f || '::Supp_' || k || '::get_' || k, 'function', file, (4 + 8 * i)::INT, TRUE, 'int get_' || k || '()' FROM h
+UNION ALL SELECT 'var:total_' || k, 'variable', file, (3 + 8 * m + i)::INT, FALSE, 'int total_' || k || '=;' FROM h""")
+def types_scan(spark, d):
+    """Classes in namespaces, enums, members and variables of generated headers."""
+    return extract.extract(g.headers(spark, d))[0].select("id", "kind", "file", "line", "declaration", "signature")
+
+
+@query(f"""WITH {HEADERS}, r AS (SELECT 'class:n' || f || '::Supp_' || k AS from_id, * FROM h) SELECT from_id, 'Base_' || (k % 3) AS name, 'inherits' AS kind, file, (2 + 8 * i)::INT AS line FROM r UNION ALL SELECT from_id, 'Kind_' || (k % 5), 'uses', file, (6 + 8 * i)::INT FROM r
+UNION ALL SELECT from_id, 'Item_' || (k % 4), 'uses', file, (7 + 8 * i)::INT FROM r""")
+def type_refs_scan(spark, d):
+    """Bases (a type that names itself last is none) and the types of members."""
+    return extract.extract(g.headers(spark, d))[1].where("kind in ('inherits', 'uses')").select("from_id", "name", "kind", "file", "line")
+
+
+@query("""WITH t AS (SELECT n_nationkey AS k, 'target:t' || n_nationkey AS src, 'r' || n_regionkey || '/CMakeLists.txt' AS file, (n_nationkey * 10 + 1)::INT AS line, n_regionkey AS r FROM nation),
+b AS (SELECT a.*, p.k IS NOT NULL AND (p.file, p.line) < (a.file, a.line + 5) AS known FROM t a LEFT JOIN t p ON p.k = a.k - 1)
+SELECT src, 'ext:target:region' || r AS dst, file, line, TRUE AS external FROM t UNION ALL SELECT src, CASE WHEN k > 0 THEN 'target:t' || (k - 1) ELSE 'ext:target:t-1' END, file, line, k = 0 FROM t
+UNION ALL SELECT src, 'file:' || CASE WHEN s_suppkey % 3 = 1 THEN 'src/s' ELSE 'old/src/s' END || s_suppkey || '.c', file, line, FALSE FROM t JOIN supplier ON s_nationkey = k WHERE s_suppkey % 3 > 0""")
+def link_edges(spark, d):
+    """Targets of build scripts with their sources, wherever these lie, and what they link."""
+    return build.target_graph(*g.scripts(spark, d))[2].select("src", "dst", "file", "line", "external")
+
+
+@query(f"""WITH RECURSIVE {ARCS}{REACH}, c AS (SELECT s.component, min(struct_pack(f := r.file, l := r.line)) AS r, sum(n)::BIGINT AS n FROM arcs JOIN scc s ON s.node = src JOIN scc t ON t.node = dst AND s.component = t.component GROUP BY s.component),
+v AS (SELECT 'public-api-leak' AS kind, file AS from_file, min(line) AS from_line, to_file, '' AS dirs, 0::BIGINT AS edge_count FROM e WHERE file LIKE 'include/%' AND to_file NOT LIKE 'include/%' GROUP BY file, to_file
+UNION ALL SELECT 'directory-cycle', r.f, r.l, '', (SELECT string_agg(node, ',' ORDER BY node) FROM scc WHERE scc.component = c.component), n FROM c)
+SELECT *, (SELECT count(*) FROM v) AS total FROM v ORDER BY kind, from_file, from_line, to_file LIMIT 60""")
+def violations_rows(spark, d):
+    return checks.violations(*g.file_graph(spark, d), most=60).withColumn("dirs", F.array_join("dirs", ","))
+
+
+@query(f"WITH {_STATS} SELECT count(*) FILTER (kind = 'file' AND NOT external) AS file_count, count(*) FILTER (kind <> 'file') AS symbol_count, count(*) FILTER (external) AS external_count, count(*) FILTER (precision = 'exact') AS exact_nodes, count(*) FILTER (precision <> 'exact') AS approx_nodes, (SELECT count(*) FROM h1) AS edge_count, 'partial' AS precision, (SELECT string_agg(kind || ':' || c, ',' ORDER BY kind) FROM (SELECT kind, count(*) AS c FROM n GROUP BY kind)) AS kinds FROM n")
+def stats_full(spark, d):
+    """All counts of a graph's nodes and edges in one row."""
+    edges = g.pairs(spark, d)
+    ids = table(spark, d, "events").select(F.col("user_id").alias("id")).distinct()
+    i = F.col("id")
+    nodes = ids.select("id", F.when(i % 3 == 0, "file").when(i % 3 == 1, "function").otherwise("class").alias("kind"), (i % 5 == 0).alias("external"), F.when(i % 2 == 0, "exact").otherwise("approx").alias("precision"))
+    kinds = F.array_join(F.transform(F.array_sort(F.map_entries("node_kind_counts")), lambda x: F.concat(x["key"], F.lit(":"), x["value"].cast("string"))), ",")
+    return graph.stats_row(nodes, edges, True).select("file_count", "symbol_count", "external_count", "exact_nodes", "approx_nodes", "edge_count", "precision", kinds.alias("kinds"))
+
+
 @query(f"""WITH {SOURCES}, e AS (SELECT DISTINCT 'file:' || file AS src, CASE WHEN f + 1 IN (SELECT f FROM p) THEN 'file:gen/f' || (f + 1) || '.cpp' ELSE 'ext:file:f' || (f + 1) || '.cpp' END AS dst, 'includes' AS kind, CASE WHEN f + 1 IN (SELECT f FROM p) THEN 'exact' ELSE 'approx' END AS precision, 2 AS line FROM src
 UNION ALL SELECT DISTINCT 'file:' || file, 'ext:file:vector', 'includes', 'approx', 3 FROM src UNION ALL SELECT 'func:part_' || k, CASE WHEN z % 10 <> 0 AND k + 1 IN (SELECT k FROM p) THEN 'func:' || callee ELSE 'ext:function:' || callee END, 'calls', 'approx', (8 + 5 * i)::INT FROM src
 UNION ALL SELECT 'func:part_' || k, 'ext:function:log', 'calls', 'approx', (7 + 5 * i)::INT FROM src UNION ALL SELECT DISTINCT 'file:' || file, CASE WHEN (SELECT count(DISTINCT f) FROM p) > 3 THEN 'ext:function:LIMIT' ELSE 'macro:LIMIT' END, 'refs', 'approx', 9 FROM src)

@@ -179,9 +179,9 @@ def follow_files(stream: DataFrame, live: LiveGraph, checkpoint: str):
 
 
 def follow_database(stream: DataFrame, live: LiveGraph, checkpoint: str, quiet: str = "800 milliseconds", late: str = "10 seconds"):
-    """Starts another generation when the compile database has changed and then been quiet. stream: ts, search (include paths)."""
+    """Starts another generation when the compile database has changed and then been quiet. stream: path (of it), ts, search (include paths)."""
     last = F.max_by(F.struct("ts", "search"), "ts").alias("last")
-    settled = stream.withWatermark("ts", late).groupBy(F.session_window("ts", quiet).alias("w")).agg(last).select("last.ts", "last.search")
+    settled = stream.withWatermark("ts", late).groupBy(F.session_window("ts", quiet).alias("w"), "path").agg(last).select("last.ts", "last.search")
 
     def apply(batch: DataFrame, _: int) -> None:
         row = batch.orderBy(F.desc("ts")).first()

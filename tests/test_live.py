@@ -79,8 +79,8 @@ def test_streams_of_files_and_databases(spark, tmp_path):
     path = lambda: [e.dst for e in graph.graph()[1].where("kind = 'includes'").collect()]
     assert path() == ["file:inc/x.h"]
     for k, (ts, where) in enumerate([("2024-01-01 00:00:00", "none"), ("2024-01-01 00:00:00.5", "other"), ("2024-01-01 00:01:00", "late")]):
-        spark.createDataFrame([(ts, [where])], "ts string, search array<string>").withColumn("ts", F.col("ts").cast("timestamp")).write.parquet(f"{dbs}/{k}")
-    stream = spark.readStream.schema("ts timestamp, search array<string>").option("recursiveFileLookup", True).parquet(dbs)
+        spark.createDataFrame([("db", ts, [where])], "path string, ts string, search array<string>").withColumn("ts", F.col("ts").cast("timestamp")).write.parquet(f"{dbs}/{k}")
+    stream = spark.readStream.schema("path string, ts timestamp, search array<string>").option("recursiveFileLookup", True).parquet(dbs)
     query = live.follow_database(stream, graph, str(tmp_path / "c2"))
     query.processAllAvailable(), query.stop()
     # the first two are one change, and the last is not quiet yet
