@@ -2,51 +2,121 @@
 
 from __future__ import annotations
 
+import os
+import re
 import shlex
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyarrow import fs
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeatlas.functions.exprs import EXCLUDE_GLOBS, HEADER_EXT, INCLUDE_GLOBS, SOURCE_EXT, base_name, dir_name, extension_of, glob_match, module_of, normalize_path, relative_to
+from codeatlas.functions.exprs import EXCLUDE_GLOBS, HEADER_EXT, INCLUDE_GLOBS, SOURCE_EXT, base_name, dir_name, extension_of, glob_match, glob_to_regex, module_of, normalize_path, relative_to
+from codeatlas.functions.tables import settle
 
 
-def _below(root: str) -> Column:
-    """The path of a binaryFile row below root; whatever the scheme, it starts after the root's own last part."""
-    tail = F.regexp_replace(F.regexp_replace("path", "^[a-z]+:/*", "/"), "/+", "/")
-    top = F.regexp_replace(F.lit(root), "^[a-z]+:/*", "/")
-    return relative_to(F.call_function("url_decode", F.replace(tail, F.lit("+"), F.lit("%2B"))), top)
+#: Folders listed by a task of a level, and bytes of files read by a task.
+DIRS_A_TASK, BYTES_A_TASK = 64, 64 << 20
+#: Bytes of contents that are handed over at once.
+HANDED = 8 << 20
 
 
-def _empty(raw: DataFrame, root: str) -> DataFrame:
-    """path (below root) of the files without any bytes, which Spark's readers pass over; the index lists them."""
-    listed = raw.sparkSession.createDataFrame([(p,) for p in raw.inputFiles()], "path string").select(_below(root).alias("path"))
-    return listed.join(raw.select(_below(root).alias("path")), "path", "left_anti")
+def _opened(root: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path or URI that all executors see, and the path in it."""
+    return fs.FileSystem.from_uri(root if re.match("^[a-z][a-z0-9+.-]*:", root) else os.path.abspath(root))
+
+
+def _pruned(exclude: list[str]) -> re.Pattern | None:
+    """Matches folders that an exclude pattern takes whole: by its head before `/**`, or by all of it."""
+    heads = [g[:-3] for g in exclude if g.endswith("/**")]
+    return re.compile("|".join(f"(?s:{glob_to_regex(g)})" for g in [*heads, *exclude])) if exclude else None
+
+
+def walk(spark: SparkSession, root: str, exclude: list[str] | None = None) -> DataFrame:
+    """path (below root), size, mtime_ms of every file; folders that an exclude pattern takes whole are never opened.
+
+    A level at a time: tasks list the folders that the level before found. Links are not followed.
+    """
+    pruned = _pruned(EXCLUDE_GLOBS if exclude is None else exclude)
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, top = _opened(root)
+        local = isinstance(system, fs.LocalFileSystem)
+        for batch in batches:
+            rows = []
+            for folder in batch.column(0).to_pylist():
+                for info in system.get_file_info(fs.FileSelector(f"{top}/{folder}" if folder else top, recursive=False, allow_not_found=True)):
+                    path = f"{folder}/{info.base_name}" if folder else info.base_name
+                    if local and os.path.islink(info.path):
+                        continue
+                    if info.type == fs.FileType.Directory:
+                        if not (pruned and pruned.fullmatch(path)):
+                            rows.append((path, None, None))
+                    elif info.type == fs.FileType.File:
+                        rows.append((path, info.size, info.mtime_ns // 1_000_000))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in ((0, pa.string()), (1, pa.int64()), (2, pa.int64()))], names=["path", "size", "mtime_ms"])
+
+    level, n, out = spark.createDataFrame([("",)], "dir string"), 1, None
+    while n:
+        found = settle(level.repartition(1 + n // DIRS_A_TASK).mapInArrow(listed, "path string, size bigint, mtime_ms bigint"), "walk")
+        files = found.where("size is not null")
+        out = files if out is None else out.unionByName(files)
+        level = found.where("size is null").select(F.col("path").alias("dir"))
+        n = level.count()
+    return out
+
+
+def contents(files: DataFrame, root: str) -> DataFrame:
+    """files (path, size and more) with content: the text of each, read in tasks; files that went away have none.
+
+    Bytes that are no UTF-8 become replacement characters, so that one odd file ends no scan.
+    """
+    total = files.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    cols = files.columns
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, top = _opened(root)
+        for batch in batches:
+            start, size, texts = 0, 0, []
+            for i, path in enumerate(batch.column(cols.index("path")).to_pylist()):
+                try:
+                    with system.open_input_stream(f"{top}/{path}") as f:
+                        texts.append(f.read().decode("utf-8", "replace"))
+                except FileNotFoundError:
+                    texts.append(None)
+                size += len(texts[-1] or "")
+                if size >= HANDED or i == batch.num_rows - 1:
+                    yield pa.RecordBatch.from_arrays([*batch.slice(start, i + 1 - start).columns, pa.array(texts, pa.string())], names=[*cols, "content"])
+                    start, size, texts = i + 1, 0, []
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in files.schema)
+    return files.repartition(1 + total // BYTES_A_TASK).mapInArrow(read, f"{kinds}, content string")
 
 
 def list_paths(spark: SparkSession, root: str) -> DataFrame:
-    """path (below root) and mtime_ms (-1 for empty files) of every file; contents aren't read."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    full = raw.select(_below(root).alias("path"), F.unix_millis("modificationTime").alias("mtime_ms"))
-    return full.unionByName(_empty(raw, root).withColumn("mtime_ms", F.lit(-1).cast("long")))
+    """path (below root) and mtime_ms of every file but those of folders in which no compile database is looked for."""
+    return walk(spark, root, [f"**/{d}/**" for d in DB_SKIPPED]).select("path", "mtime_ms")
 
 
 def list_files(spark: SparkSession, root: str, include: list[str] | None = None, exclude: list[str] | None = None, max_files: int | None = None, max_bytes: int = 4 << 20) -> DataFrame:
     """path (below root), size, mtime_ms, content, ext, module, source, header, skipped: the files a tree offers.
 
-    Files above max_bytes keep a row with null content and skipped true. A limit takes the first paths in order.
+    Excluded folders are never opened. Files above max_bytes are not read: they keep a row with null content and
+    skipped true. A limit takes the first paths in order.
     """
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    rows = raw.select(_below(root).alias("path"), "length", F.unix_millis("modificationTime").alias("mtime_ms"), F.decode("content", "UTF-8").alias("content"))
-    rows = rows.unionByName(_empty(raw, root).select("path", F.lit(0).cast("long").alias("length"), F.lit(-1).cast("long").alias("mtime_ms"), F.lit("").alias("content")))
     path = F.col("path")
-    kept = rows.where(glob_match(path, include or INCLUDE_GLOBS) & ~glob_match(path, exclude or EXCLUDE_GLOBS))
+    exclude = EXCLUDE_GLOBS if exclude is None else exclude
+    kept = walk(spark, root, exclude).where(glob_match(path, include or INCLUDE_GLOBS) & ~glob_match(path, exclude))
     if max_files:
         kept = kept.orderBy("path").limit(max_files)
-    fits = F.col("length") <= max_bytes
+    kept = settle(kept, "listed")
+    fits = F.col("size") <= max_bytes
+    read = contents(kept.where(fits), root).select("path", "size", "mtime_ms", "content", F.lit(False).alias("skipped"))
+    rows = read.unionByName(kept.where(~fits).select("path", "size", "mtime_ms", F.lit(None).cast("string").alias("content"), F.lit(True).alias("skipped")))
     ext = extension_of(path)
-    return kept.select("path", F.col("length").alias("size"), "mtime_ms", F.when(fits, F.col("content")).alias("content"), ext.alias("ext"), module_of(path).alias("module"), ext.isin(*SOURCE_EXT).alias("source"), ext.isin(*HEADER_EXT).alias("header"), (~fits).alias("skipped"))
+    return rows.select("path", "size", "mtime_ms", "content", ext.alias("ext"), module_of(path).alias("module"), ext.isin(*SOURCE_EXT).alias("source"), ext.isin(*HEADER_EXT).alias("header"), "skipped")
 
 
 #: Where a compile database is looked for first, in order.

@@ -32,6 +32,26 @@ def test_listing(spark, tree):
     assert counts["src"] == (3, 10) and counts["."] == (1, 1)
 
 
+def test_a_walk_opens_no_excluded_folder_and_reads_no_large_file(spark, tmp_path):
+    (tmp_path / "src" / "deep" / "er").mkdir(parents=True), (tmp_path / "src" / "deep" / "er" / "a.c").write_text("int a;\n"), (tmp_path / "src" / "empty.c").write_text("")
+    with (tmp_path / "huge.c").open("wb") as f:
+        f.truncate(3 << 30)  # 3 GiB that take no space
+    (tmp_path / "node_modules" / "x").mkdir(parents=True), (tmp_path / "node_modules" / "x" / "b.c").write_text("int b;\n")
+    (tmp_path / "link").symlink_to(tmp_path / "src"), (tmp_path / "src" / "odd name%20+.h").write_bytes(b"int \xff;")
+    (tmp_path / "node_modules").chmod(0)  # opening it would fail for anyone but root, whose walk is seen by its rows alone
+    try:
+        rows = {r.path: r for r in source_tree.list_files(spark, str(tmp_path)).collect()}
+        every = {r.path for r in source_tree.walk(spark, str(tmp_path), ["**/node_modules/**"]).collect()}
+    finally:
+        (tmp_path / "node_modules").chmod(0o755)
+    assert set(rows) == every == {"src/deep/er/a.c", "src/empty.c", "huge.c", "src/odd name%20+.h"}
+    assert (rows["huge.c"].size, rows["huge.c"].skipped, rows["huge.c"].content) == (3 << 30, True, None)
+    assert (rows["src/empty.c"].content, rows["src/empty.c"].size) == ("", 0) and rows["src/empty.c"].mtime_ms > 0
+    assert rows["src/odd name%20+.h"].content.startswith("int ") and rows["src/deep/er/a.c"].content == "int a;\n"
+    assert {r.path for r in source_tree.walk(spark, f"file://{tmp_path}/src", []).collect()} == {"deep/er/a.c", "empty.c", "odd name%20+.h"}
+    assert source_tree.list_files(spark, str(tmp_path / "none")).count() == 0
+
+
 def test_compile_database(spark, tree):
     listed = source_tree.list_paths(spark, tree)
     assert source_tree.find_compile_db(listed).first().path == "out/compile_commands.json"
