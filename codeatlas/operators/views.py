@@ -140,21 +140,46 @@ def grid(nodes: DataFrame, width: float, height: float) -> DataFrame:
     return numbered_nodes(nodes).select("id", (F.col("place") % cols).alias("x"), F.floor(F.col("place") / cols).alias("y"))
 
 
-def trimmed_bounds(points: DataFrame, share: float = 0.02) -> DataFrame:
-    """x0, x1, y0, y1 without the outer share of points on each axis, when there are ten or more.
+#: Buckets into which a pass of ranked_values cuts what is left of each range.
+BUCKETS = 1024
+
+
+def ranked_values(points: DataFrame, wanted: list[tuple[str, int]]) -> list:
+    """The values at ranks (from 0) of the ordered values of columns that aren't null; wanted: (column, rank).
 
-    Ranks are counted over the distinct values of an axis, so points are summed before they are ordered.
+    A pass counts all ranges in equal buckets at once and keeps of each the one that holds its rank, from that bucket's
+    least to its greatest value, until these are one: nothing is sorted, and a pass sends a few rows a task.
     """
-    n = points.count()
-    cut = int(share * n) if n >= 10 else 0
-    out = None
-    for c in ("x", "y"):
-        sums = points.groupBy(F.col(c).alias("v")).agg(F.count("*").alias("n"))
-        upto = sums.withColumn("below", F.sum("n").over(Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)))
-        kept = upto.where((F.col("below") > cut) & (F.col("below") - F.col("n") < n - cut))
-        ends = kept.agg(F.min("v").alias(f"{c}0"), F.max("v").alias(f"{c}1"))
-        out = ends if out is None else out.crossJoin(ends)  # one row each
-    return out
+    ends = points.agg(*[f(F.col(c).cast("double")).alias(f"{n}{k}") for k, (c, _) in enumerate(wanted) for f, n in ((F.min, "a"), (F.max, "b"))]).first()
+    ranges = [[ends[f"a{k}"], ends[f"b{k}"], rank] for k, (_, rank) in enumerate(wanted)]
+    while any(a is not None and a < b for a, b, _ in ranges):
+        each = []
+        for k, (c, _) in enumerate(wanted):
+            a, b, _ = ranges[k]
+            if a is not None and a < b:
+                v = F.col(c).cast("double")
+                place = F.least(F.floor((v - a) / (b - a) * BUCKETS), F.lit(BUCKETS - 1)).cast("int")
+                each.append(F.when(v.between(a, b), F.struct(F.lit(k).alias("k"), place.alias("place"), v.alias("v"))))
+        rows = points.select(F.explode(F.array(*each)).alias("x")).where("x is not null").groupBy("x.k", "x.place").agg(F.count("*").alias("n"), F.min("x.v").alias("a"), F.max("x.v").alias("b"))
+        found: dict[int, list] = {}
+        for r in rows.collect():  # BUCKETS rows a range
+            found.setdefault(r.k, []).append((r.place, r.n, r.a, r.b))
+        for k, buckets in found.items():
+            left = ranges[k][2]
+            for _, n, a, b in sorted(buckets):
+                if left < n:
+                    ranges[k] = [a, b, left]
+                    break
+                left -= n
+    return [a for a, _, _ in ranges]
+
+
+def trimmed_bounds(points: DataFrame, share: float = 0.02) -> DataFrame:
+    """x0, x1, y0, y1 without the outer share of points on each axis, when there are ten or more. Nulls are no points."""
+    counts = points.agg(F.count("x").alias("x"), F.count("y").alias("y")).first()
+    cut = {c: int(share * counts[c]) if counts[c] >= 10 else 0 for c in ("x", "y")}
+    values = ranked_values(points, [(c, r) for c in ("x", "y") for r in (cut[c], max(counts[c] - 1 - cut[c], 0))])
+    return points.sparkSession.createDataFrame([tuple(values)], "x0 double, x1 double, y0 double, y1 double")
 
 
 def _quoted(c: Column) -> Column:

@@ -66,3 +66,17 @@ def test_a_long_depth_first_walk_asks_in_batches(spark, monkeypatch):
     edges = spark.createDataFrame([(0, k, "calls", k, k) for k in range(1, 9)] + [(k, k + 10, "calls", k, k) for k in range(1, 9)], "src long, dst long, kind string, line long, ord long")
     got = [r.node for r in traverse.route_depth_first(edges, 0, 2, 100).orderBy("step").collect()]
     assert got == [0] + [n for k in range(1, 9) for n in (k, k + 10)]
+
+
+def test_bounds_are_the_values_at_exact_ranks(spark, monkeypatch):
+    import random
+
+    monkeypatch.setattr(views, "BUCKETS", 8)
+    rng = random.Random(9)
+    rows = [(rng.choice([0.0, 1.0, 1e9, -5.5]) if k % 2 else rng.gauss(0, 1), None if k % 10 == 0 else float(k)) for k in range(300)] + [(7.0, 1e300), (7.0, -1e300)]
+    got = tuple(views.trimmed_bounds(spark.createDataFrame(rows, "x double, y double")).first())
+    xs, ys = sorted(r[0] for r in rows), sorted(r[1] for r in rows if r[1] is not None)
+    assert got == (xs[6], xs[-7], ys[5], ys[-6])
+    few = spark.createDataFrame(rows[1:6], "x double, y double")
+    assert tuple(views.trimmed_bounds(few).first()) == (min(r[0] for r in rows[1:6]), max(r[0] for r in rows[1:6]), 1.0, 5.0)
+    assert tuple(views.trimmed_bounds(few.limit(0)).first()) == (None,) * 4
