@@ -3,14 +3,16 @@
 Training tokens become postings (term, document, position). Every benchmark window looks its terms up from the
 rarest on: the postings of its rarest term place it, and each place must then find the next rarer terms at their
 offsets, one list after the other, so that only the shortest lists are ever joined to windows. The places left are
-cut from the documents' own words and compared in full. Only postings of terms that some window looks up are
+cut from the documents' own words and compared in full. Near matches come from the same lists: the rarest terms of a
+window that occur at all, each within SLOP words of its place beside the rarest. Only postings of terms that some window looks up are
 stored; joins after that carry document and position in their key, so a term or passage that fills a third of the
 corpus spreads over all tasks.
 
 Null or empty texts have no words, no hits and are clean. An item of fewer than `length` words is one window;
 items without words have none. Equal windows of several items are searched once. Rows that repeat an id and a
 text are searched once and each get the result. Long texts are compared in parts of CHUNK places. Without items or
-without documents nothing is contaminated; extra columns of either table are ignored, and keep_clean returns them.
+without documents nothing is contaminated; extra columns of either table are ignored, and keep_clean returns them. Terms as
+rare as one another are taken in the order of the window.
 """
 
 from __future__ import annotations
@@ -26,6 +28,8 @@ SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Places of a text that are compared together.
 CHUNK = 4096
+#: Words by which a term of a near match may stand beside its place.
+SLOP = 3
 
 
 def words(text: Column | str) -> Column:
@@ -43,9 +47,9 @@ def windows(items: DataFrame, item_id: str, text: str, length: int) -> DataFrame
 
 
 def lookups(docs: DataFrame, phrases: DataFrame, rarest: int, partial: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(pid, n, list) and (term, tid): each phrase's rarest terms that occur in docs (key, text), rarest first.
+    """(pid, n, whole, list) and (term, tid): each phrase's rarest terms that occur in docs (key, text), rarest first.
 
-    list: tid and off of each. Phrases with a term that no document has are left out, unless partial.
+    list: tid and off of each; whole: whether all terms occur. Phrases with a term that no document has are left out, unless partial.
     """
     terms = phrases.select(F.explode(F.array_distinct("w")).alias("term")).distinct()
     seen = docs.select(F.explode(F.array_distinct(words("text"))).alias("term"))
@@ -57,7 +61,7 @@ def lookups(docs: DataFrame, phrases: DataFrame, rarest: int, partial: bool = Fa
     lists = met.groupBy("pid", "n").agg(known.alias("all"))  # `length` rows a phrase
     lists = lists.where(F.size("all") > 0 if partial else F.size("all") == F.col("n"))
     # a phrase of fewer terms asks for its rarest one again
-    some = lists.select("pid", "n", F.transform(F.slice(F.array_sort("all"), 1, rarest), lambda x: F.struct(x["tid"].alias("tid"), x["off"].alias("off"))).alias("list"))
+    some = lists.select("pid", "n", (F.size("all") == F.col("n")).alias("whole"), F.transform(F.slice(F.array_sort("all"), 1, rarest), lambda x: F.struct(x["tid"].alias("tid"), x["off"].alias("off"))).alias("list"))
     wanted = materialise(some.withColumn("list", F.array(*[F.coalesce(F.get("list", F.lit(k)), F.get("list", F.lit(0))) for k in range(rarest)])), "lookups")
     used = wanted.select(F.explode("list.tid").alias("tid")).distinct()
     return wanted, df.join(used, "tid", "left_semi").select("term", "tid")
@@ -85,13 +89,20 @@ def places(index: DataFrame, wanted: DataFrame, rarest: int) -> DataFrame:
     return at.distinct()
 
 
-def phrase_matches(docs: DataFrame, phrases: DataFrame, rarest: int = 3) -> DataFrame:
-    """key, start, pid, n: every exact occurrence of a phrase in docs (key, text), once for rows of one key."""
+def phrase_matches(docs: DataFrame, phrases: DataFrame, rarest: int = 3, ready: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """key, start, pid, n: every exact occurrence of a phrase in docs (key, text), once for rows of one key.
+
+    ready: lists and index of these phrases, if there are any; without, both are made and the index is dropped again.
+    """
     phrases = numbered(phrases)
-    wanted, terms = lookups(docs, phrases, rarest)
-    index = postings(docs, terms)
+    if ready:
+        wanted, index = ready[0].where("whole"), ready[1]
+    else:
+        wanted, terms = lookups(docs, phrases, rarest)
+        index = postings(docs, terms)
     found = materialise(places(index, wanted, rarest), "places")
-    drop_table(index)
+    if not ready:
+        drop_table(index)
     longest = phrases.agg(F.max(F.size("w"))).first()[0] or 1
     # each part of a text brings its own places: CHUNK starts of `length` lengths at most
     part = F.floor(F.col("start") / CHUNK).cast("int").alias("part")
@@ -105,37 +116,71 @@ def phrase_matches(docs: DataFrame, phrases: DataFrame, rarest: int = 3) -> Data
     return looked_up(texts, phrases.select("phrase", "pid"), ["phrase"]).select("key", "start", "pid", "n")
 
 
-def proximity_matches(docs: DataFrame, phrases: DataFrame, slop: int = 3, rarest: int = 3) -> DataFrame:
+def near_places(index: DataFrame, asks: DataFrame, rarest: int, slop: int) -> DataFrame:
+    """key, aid, at: postings of an ask's rarest term beside which each other one stands within slop words of its place.
+
+    asks: aid, t0, and t1, d1 and so on: the other terms, and how far from the first they stand. Postings lie in buckets
+    of as many words as a term may take, so each place looks two up; a semi join keeps it from growing there.
+    """
+    reach = 2 * slop + 1
+    held = index.select("key", "tid", F.floor(F.col("pos") / reach).alias("bucket"), F.col("pos").alias("there"))
+    at = looked_up(index.select("key", F.col("tid").alias("t0"), F.col("pos").alias("at")), asks, ["t0"]).drop("t0")
+    for k in range(1, rarest):
+        place = F.col("at") + F.col(f"d{k}")
+        buckets = F.array_distinct(F.array(F.floor((place - slop) / reach), F.floor((place + slop) / reach)))
+        asked = at.withColumn("place", place).withColumn("bucket", F.explode(buckets)).withColumnRenamed(f"t{k}", "tid")
+        a, b = asked.alias("a"), held.alias("b")
+        same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("key", "tid", "bucket")]
+        at = a.join(b, [*same, F.abs(F.col("b.there") - F.col("a.place")) <= slop], "left_semi").drop("place", "bucket", "tid", f"d{k}").distinct()
+    return at
+
+
+def near_asks(wanted: DataFrame, rarest: int) -> DataFrame:
+    """pid with t0, t1, d1 and so on: what a phrase's lists ask for. Phrases that lie over one passage mostly ask alike."""
+    get = lambda k, part: F.get("list", F.lit(k))[part]
+    return wanted.select("pid", get(0, "off").alias("off"), get(0, "tid").alias("t0"), *[c for k in range(1, rarest) for c in (get(k, "tid").alias(f"t{k}"), (get(k, "off") - get(0, "off")).alias(f"d{k}"))])
+
+
+def near_items(index: DataFrame, wanted: DataFrame, phrases: DataFrame, rarest: int, slop: int) -> DataFrame:
+    """key, near (ids of items): the items with a window that has a near match in a text."""
+    each = looked_up(near_asks(wanted, rarest).drop("off"), phrases.select("pid", "items"), ["pid"]).drop("pid")
+    grouped = each.groupBy(*[c for c in each.columns if c != "items"]).agg(F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
+    asks = materialise(grouped.withColumn("aid", F.monotonically_increasing_id()), "asks")
+    met = near_places(index, asks.drop("items"), rarest, slop).select("key", "aid").distinct()
+    return looked_up(met, asks.select("aid", "items"), ["aid"]).select("key", F.explode("items").alias("item")).groupBy("key").agg(F.collect_set("item").alias("near"))
+
+
+def proximity_matches(docs: DataFrame, phrases: DataFrame, slop: int = SLOP, rarest: int = 3) -> DataFrame:
     """key, pid, start: places where the rarest terms that occur at all stand within slop words of where they should.
 
     The rarest term places the phrase; each further list must hold a posting near it. A word that no document has
     doesn't keep the phrase from being found.
     """
     wanted, terms = lookups(docs, numbered(phrases), rarest, partial=True)
-    index = postings(docs, terms)
-    reach = 2 * slop + 1
-    bucketed = index.select("key", "tid", F.floor(F.col("pos") / reach).alias("bucket"), F.col("pos").alias("there")).distinct()
-    first = F.get("list", F.lit(0))
-    at = looked_up(index.distinct(), materialise(wanted.select("pid", "list", first["tid"].alias("tid"), first["off"].alias("off")), "first"), ["tid"])
-    at = at.select("key", "pid", (F.col("pos") - F.col("off")).alias("start"), "list")
-    for k in range(1, rarest):
-        more = F.get("list", F.lit(k))
-        asked = at.withColumn("tid", more["tid"]).withColumn("pos", F.col("start") + more["off"])
-        buckets = F.array_distinct(F.array(F.floor((F.col("pos") - slop) / reach), F.floor((F.col("pos") + slop) / reach)))
-        near = asked.withColumn("bucket", F.explode(buckets)).join(bucketed, ["key", "tid", "bucket"]).where(F.abs(F.col("there") - F.col("pos")) <= slop)
-        at = near.select("key", "pid", "start", "list").distinct()
-    return at.select("key", "pid", "start").distinct()
+    asks = materialise(near_asks(wanted, rarest).withColumnRenamed("pid", "aid"), "asks")
+    at = near_places(postings(docs, terms), asks.drop("off"), rarest, slop)
+    return looked_up(at, asks.select("aid", "off"), ["aid"]).select("key", F.col("aid").alias("pid"), (F.col("at") - F.col("off")).alias("start"))
 
 
 def _digest(ids: Column) -> Column:
     return F.sha2(F.concat_ws(",", F.array_sort(ids)), 256)
 
 
-def contamination(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", length: int = 13, rarest: int = 3, share: int = 20) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items (ids), items_sha256, contaminated, row_key for every row of docs."""
+def contamination(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", length: int = 13, rarest: int = 3, share: int = 20, near: bool = False, slop: int = SLOP) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items (ids), items_sha256, contaminated, row_key for every row of docs.
+
+    near: also n_near and near_sha256, the items with near matches, exact ones among them; they contaminate nothing.
+    """
     phrases = materialise(windows(items, item_id, item_text, length), "windows")
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), row_key(doc_id, text).alias("key"))
-    places_ = materialise(phrase_matches(rows.select("key", "text"), phrases, rarest), "matches")
+    ready = None
+    if near:
+        wanted, terms = lookups(rows.select("key", "text"), phrases, rarest, partial=True)
+        ready = wanted, postings(rows.select("key", "text"), terms)
+        beside = materialise(near_items(ready[1], wanted, phrases, rarest, slop), "near")
+    places_ = materialise(phrase_matches(rows.select("key", "text"), phrases, rarest, ready), "matches")
+    if ready:
+        drop_table(ready[1])
     spans = places_.groupBy("key", "start").agg(F.max("n").alias("n"))
     upto = Window.partitionBy("key").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
     fresh = F.greatest(F.lit(0), F.col("start") + F.col("n") - F.greatest(F.col("start"), F.coalesce(F.max(F.col("start") + F.col("n")).over(upto), F.lit(0))))
@@ -145,7 +190,12 @@ def contamination(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id",
     marked = materialise(hits.join(named, "key"), "marked")
     counts = rows.select("doc_id", "key", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("n_words"))
     n_hit, ids = F.coalesce("n_hit", F.lit(0)).cast("long"), F.coalesce("items", F.array().cast("array<string>"))
-    return counts.join(sided(marked), "key", "left").select(
+    found, more = counts.join(sided(marked), "key", "left"), []
+    if near:
+        found = looked_up(found, beside, ["key"], "left")
+        others = F.coalesce("near", F.array().cast("array<string>"))
+        more = [F.size(others).cast("long").alias("n_near"), _digest(others).alias("near_sha256")]
+    return found.select(
         "doc_id",
         "n_words",
         n_hit.alias("n_hit"),
@@ -153,6 +203,7 @@ def contamination(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id",
         F.array_sort(ids).alias("items"),
         _digest(ids).alias("items_sha256"),
         ((n_hit > 0) & (share * n_hit >= F.col("n_words"))).alias("contaminated"),
+        *more,
         F.col("key").alias("row_key"),
     )
 
@@ -184,10 +235,32 @@ WITH d AS (
 ), h AS (
   SELECT doc_id, count(DISTINCT p)::BIGINT AS n_hit
   FROM (SELECT doc_id, unnest(generate_series(i, i + n - 1)) AS p FROM (SELECT DISTINCT doc_id, i, n FROM m)) GROUP BY doc_id
+), bt AS (
+  SELECT item, s, o, w[s + o] AS term
+  FROM (SELECT item, w, s, unnest(generate_series(0, least(len(w) - s, 12))) AS o
+        FROM (SELECT item, w, unnest(generate_series(1, greatest(len(w) - 12, 1))) AS s FROM b WHERE len(w) > 0))
+), p AS (
+  SELECT doc_id, pos, w[pos] AS term FROM (SELECT doc_id, w, unnest(generate_series(1, len(w))) AS pos FROM d)
+  WHERE w[pos] IN (SELECT term FROM bt)
+), f AS (
+  SELECT term, count(DISTINCT doc_id) AS df FROM p GROUP BY term
+), k AS (
+  SELECT item, s, o, term, row_number() OVER (PARTITION BY item, s ORDER BY df, o) AS k FROM bt JOIN f USING (term)
+), a AS (
+  SELECT DISTINCT x.item, x.term AS t0, coalesce(y.term, x.term) AS t1, coalesce(y.o, x.o) - x.o AS d1, coalesce(z.term, x.term) AS t2, coalesce(z.o, x.o) - x.o AS d2
+  FROM k x LEFT JOIN k y ON y.item = x.item AND y.s = x.s AND y.k = 2 LEFT JOIN k z ON z.item = x.item AND z.s = x.s AND z.k = 3 WHERE x.k = 1
+), n1 AS (
+  SELECT DISTINCT p.doc_id, p.pos, t0, t1, d1, t2, d2 FROM (SELECT DISTINCT t0, t1, d1, t2, d2 FROM a) JOIN p ON p.term = t0
+  JOIN p q ON q.doc_id = p.doc_id AND q.term = t1 AND abs(q.pos - p.pos - d1) <= 3
+), n2 AS (
+  SELECT DISTINCT n1.doc_id, t0, t1, d1, t2, d2 FROM n1 JOIN p q ON q.doc_id = n1.doc_id AND q.term = t2 AND abs(q.pos - n1.pos - d2) <= 3
+), nt AS (
+  SELECT doc_id, count(DISTINCT item)::BIGINT AS n_near, string_agg(DISTINCT item, ',' ORDER BY item) AS near FROM n2 JOIN a USING (t0, t1, d1, t2, d2) GROUP BY doc_id
 ), t AS (
   SELECT doc_id, count(DISTINCT item)::BIGINT AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS ids FROM m GROUP BY doc_id
 )
 SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
-       sha256(coalesce(ids, '')) AS items_sha256, (coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(d.w)) AS contaminated
-FROM d LEFT JOIN h ON d.doc_id = h.doc_id LEFT JOIN t ON d.doc_id = t.doc_id
+       sha256(coalesce(ids, '')) AS items_sha256, (coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(d.w)) AS contaminated,
+       coalesce(n_near, 0) AS n_near, sha256(coalesce(near, '')) AS near_sha256
+FROM d LEFT JOIN h ON d.doc_id = h.doc_id LEFT JOIN t ON d.doc_id = t.doc_id LEFT JOIN nt ON d.doc_id = nt.doc_id
 """
