@@ -13,6 +13,7 @@ structural one: no templates are instantiated and no `#if` is evaluated.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -329,62 +330,120 @@ def _id(kind: str, key: Column) -> Column:
     return F.concat(F.lit(ID_PREFIX[kind] + ":"), key)
 
 
-def extract(files: DataFrame, kinds: Kinds = Kinds()) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """symbols, refs and includes of files (path, content).
+class Parsed:
+    """What is read out of files (path, content): symbols, refs and includes, each worked out when it is first asked for.
 
     symbols: id, kind, name, qualified, file, sym_ord, line, column, signature, declaration, body_lines, precision,
-    public, module. refs: from_id, name, kind, file, line, ref_ord. includes: file, target, line, ord.
+    public, module. refs: from_id, name, kind, file, line, ref_ord. includes: file, target, line, ord. Who asks for
+    includes alone never has tokens made, and who asks for symbols pays for no references.
     """
-    cut = settle(pieces(files.where("content is not null")), "pieces")
-    lines = directives(cut)
-    rows = settle(marked(tokens(cut)), "tokens")
-    braces = pairs(rows, "{", "}", "depth")
-    spaces, types = blocks(rows, braces)
-    types = settle(types, "types")
-    plain = types.where("word <> 'enum'")
-    scopes = settle(spaces.select("path", F.lit(0).alias("rank"), "name", "open", "close").unionByName(plain.select("path", F.lit(1).alias("rank"), "name", "open", "close")), "scopes")
-    names = scope_names(scopes)
-    named = settle(scoped(types, scopes, names, "head").withColumn("qualified", F.concat("scope", "name")), "named")
-    bodies = settle(functions(rows, braces, scopes, names, types, kinds), "functions")
-    signed = bodies.join(rendered(rows, bodies.select("path", "key", "first", "last"), 400), ["path", "key"], "left")
-    occurrences = []
-
-    def add(df: DataFrame, kind: Column, group: int, name="name", declaration: Column = F.lit(False), body: Column = F.lit(0)) -> None:
-        # macros first, then types, functions and variables, each in the order of the text
-        order = (F.lit(group << 40) + F.col("key")).cast("long")
-        occurrences.append(df.select(kind.alias("kind"), F.col(name).alias("name"), "qualified", F.col("path").alias("file"), order.alias("sym_ord"), "line", "column", "signature", declaration.alias("declaration"), body.cast("int").alias("body_lines")))
-
-    if kinds.symbols:
-        macros = lines.where("name = 'define'").select("path", F.regexp_extract("rest", r"^([A-Za-z_]\w*)", 1).alias("name"), F.col("place").alias("key")).where("name <> ''")
-        add(macros.select("path", "key", "name", F.col("name").alias("qualified"), F.lit(1).alias("line"), F.lit(0).alias("column"), F.lit("").alias("signature")), F.lit("macro"), 0)
-        v = variables(rows)
-        signed_v = scoped(v.join(rendered(rows, v.select("path", "key", "first", "last"), 300), ["path", "key"], "left"), scopes, names, "key")
-        add(signed_v.withColumn("qualified", F.concat("scope", "name")), F.lit("variable"), 3)
-    if kinds.types or kinds.symbols:
-        signature = F.when(F.col("word") == "enum", F.concat(F.lit("enum "), "name")).otherwise(F.concat("word", F.lit(" "), "name", F.lit(" @ "), "path"))
-        add(named.select("path", F.col("head").alias("key"), "name", "qualified", "line", "column", "word", signature.alias("signature")), F.when(F.col("word") == "enum", "enum").otherwise("class"), 1)
-    add(merged_functions(signed), F.lit("function"), 2, declaration=F.col("declaration"), body=F.col("body_lines"))
-    symbols = occurrences[0]
-    for more in occurrences[1:]:
-        symbols = symbols.unionByName(more)
-    prefix = F.element_at(F.create_map(*[F.lit(x) for kv in ID_PREFIX.items() for x in kv]), F.col("kind"))
-    symbols = symbols.select(F.concat(prefix, F.lit(":"), "qualified").alias("id"), "*", F.lit("approx").alias("precision"), is_public(F.col("file")).alias("public"), module_of(F.col("file")).alias("module"))
-    refs = []
-
-    def refer(df: DataFrame, group: int, kind: str, origin: Column, name: str, order: str) -> None:
-        refs.append(df.select(origin.alias("from_id"), F.col(name).alias("name"), F.lit(kind).alias("kind"), F.col("path").alias("file"), "line", (F.lit(group << 40) + F.col(order)).cast("long").alias("ref_ord")))
-
-    owner = named.select("path", "open", "qualified", F.col("line").alias("head_line"))
-    if kinds.types:
-        refer(base_refs(rows, plain).join(owner, ["path", "open"]).withColumn("line", F.col("head_line")).withColumn("o", F.col("open") * 64 + F.col("part")), 0, "inherits", _id("class", F.col("qualified")), "base", "o")
-        refer(member_types(rows, types).join(owner, ["path", "open"]), 1, "uses", _id("class", F.col("qualified")), "used", "line")
-    if kinds.calls:
-        refer(call_refs(rows, bodies.where("close is not null")), 2, "calls", _id("function", F.col("owner")), "name", "idx")
-    if kinds.symbols:
-        refer(caps_refs(rows).where(~F.col("name").isin(*KEYWORDS)), 3, "refs", _id("file", F.col("path")), "name", "idx")
-    none = files.sparkSession.createDataFrame([], "from_id string, name string, kind string, file string, line int, ref_ord long")
-    pending = none
-    for more in refs:
-        pending = pending.unionByName(more)
-    found = include_rows(lines).select(F.col("path").alias("file"), "target", "line", "ord")
-    return settle(symbols, "symbols"), settle(pending, "refs"), settle(found if kinds.includes else found.limit(0), "includes")
+
+    def __init__(self, files: DataFrame, kinds: Kinds = Kinds()) -> None:
+        self.files, self.kinds = files.where("content is not null"), kinds
+
+    @cached_property
+    def cut(self) -> DataFrame:
+        return settle(pieces(self.files), "pieces")
+
+    @cached_property
+    def lines(self) -> DataFrame:
+        return directives(self.cut)
+
+    @cached_property
+    def rows(self) -> DataFrame:
+        return settle(marked(tokens(self.cut)), "tokens")
+
+    @cached_property
+    def braces(self) -> DataFrame:
+        return pairs(self.rows, "{", "}", "depth")
+
+    @cached_property
+    def _blocks(self) -> tuple[DataFrame, DataFrame]:
+        spaces, types = blocks(self.rows, self.braces)
+        types = settle(types, "types")
+        plain = types.where("word <> 'enum'")
+        held = spaces.select("path", F.lit(0).alias("rank"), "name", "open", "close").unionByName(plain.select("path", F.lit(1).alias("rank"), "name", "open", "close"))
+        return types, settle(held, "scopes")
+
+    @property
+    def types(self) -> DataFrame:
+        return self._blocks[0]
+
+    @property
+    def scopes(self) -> DataFrame:
+        return self._blocks[1]
+
+    @cached_property
+    def names(self) -> DataFrame:
+        return scope_names(self.scopes)
+
+    @cached_property
+    def named(self) -> DataFrame:
+        return settle(scoped(self.types, self.scopes, self.names, "head").withColumn("qualified", F.concat("scope", "name")), "named")
+
+    @cached_property
+    def bodies(self) -> DataFrame:
+        return settle(functions(self.rows, self.braces, self.scopes, self.names, self.types, self.kinds), "functions")
+
+    @cached_property
+    def symbols(self) -> DataFrame:
+        occurrences = []
+
+        def add(df: DataFrame, kind: Column, group: int, name="name", declaration: Column = F.lit(False), body: Column = F.lit(0)) -> None:
+            # macros first, then types, functions and variables, each in the order of the text
+            order = (F.lit(group << 40) + F.col("key")).cast("long")
+            occurrences.append(df.select(kind.alias("kind"), F.col(name).alias("name"), "qualified", F.col("path").alias("file"), order.alias("sym_ord"), "line", "column", "signature", declaration.alias("declaration"), body.cast("int").alias("body_lines")))
+
+        if self.kinds.symbols:
+            macros = self.lines.where("name = 'define'").select("path", F.regexp_extract("rest", r"^([A-Za-z_]\w*)", 1).alias("name"), F.col("place").alias("key")).where("name <> ''")
+            add(macros.select("path", "key", "name", F.col("name").alias("qualified"), F.lit(1).alias("line"), F.lit(0).alias("column"), F.lit("").alias("signature")), F.lit("macro"), 0)
+            v = variables(self.rows)
+            signed_v = scoped(v.join(rendered(self.rows, v.select("path", "key", "first", "last"), 300), ["path", "key"], "left"), self.scopes, self.names, "key")
+            add(signed_v.withColumn("qualified", F.concat("scope", "name")), F.lit("variable"), 3)
+        if self.kinds.types or self.kinds.symbols:
+            signature = F.when(F.col("word") == "enum", F.concat(F.lit("enum "), "name")).otherwise(F.concat("word", F.lit(" "), "name", F.lit(" @ "), "path"))
+            add(self.named.select("path", F.col("head").alias("key"), "name", "qualified", "line", "column", "word", signature.alias("signature")), F.when(F.col("word") == "enum", "enum").otherwise("class"), 1)
+        signed = self.bodies.join(rendered(self.rows, self.bodies.select("path", "key", "first", "last"), 400), ["path", "key"], "left")
+        add(merged_functions(signed), F.lit("function"), 2, declaration=F.col("declaration"), body=F.col("body_lines"))
+        symbols = occurrences[0]
+        for more in occurrences[1:]:
+            symbols = symbols.unionByName(more)
+        prefix = F.element_at(F.create_map(*[F.lit(x) for kv in ID_PREFIX.items() for x in kv]), F.col("kind"))
+        symbols = symbols.select(F.concat(prefix, F.lit(":"), "qualified").alias("id"), "*", F.lit("approx").alias("precision"), is_public(F.col("file")).alias("public"), module_of(F.col("file")).alias("module"))
+        return settle(symbols, "symbols")
+
+    @cached_property
+    def refs(self) -> DataFrame:
+        pending = self.files.sparkSession.createDataFrame([], "from_id string, name string, kind string, file string, line int, ref_ord long")
+        for name in ("types", "calls", "symbols"):
+            if getattr(self.kinds, name):
+                for more in getattr(self, f"_{name}_refs")():
+                    pending = pending.unionByName(more)
+        return settle(pending, "refs")
+
+    def _types_refs(self) -> list[DataFrame]:
+        owner = self.named.select("path", "open", "qualified", F.col("line").alias("head_line"))
+        bases = base_refs(self.rows, self.types.where("word <> 'enum'")).join(owner, ["path", "open"]).withColumn("line", F.col("head_line")).withColumn("o", F.col("open") * 64 + F.col("part"))
+        members = member_types(self.rows, self.types).join(owner, ["path", "open"])
+        return [_refer(bases, 0, "inherits", _id("class", F.col("qualified")), "base", "o"), _refer(members, 1, "uses", _id("class", F.col("qualified")), "used", "line")]
+
+    def _calls_refs(self) -> list[DataFrame]:
+        return [_refer(call_refs(self.rows, self.bodies.where("close is not null")), 2, "calls", _id("function", F.col("owner")), "name", "idx")]
+
+    def _symbols_refs(self) -> list[DataFrame]:
+        return [_refer(caps_refs(self.rows).where(~F.col("name").isin(*KEYWORDS)), 3, "refs", _id("file", F.col("path")), "name", "idx")]
+
+    @cached_property
+    def includes(self) -> DataFrame:
+        found = include_rows(self.lines).select(F.col("path").alias("file"), "target", "line", "ord")
+        return settle(found if self.kinds.includes else found.limit(0), "includes")
+
+
+def _refer(df: DataFrame, group: int, kind: str, origin: Column, name: str, order: str) -> DataFrame:
+    return df.select(origin.alias("from_id"), F.col(name).alias("name"), F.lit(kind).alias("kind"), F.col("path").alias("file"), "line", (F.lit(group << 40) + F.col(order)).cast("long").alias("ref_ord"))
+
+
+def extract(files: DataFrame, kinds: Kinds = Kinds()) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """symbols, refs and includes of files (path, content), as Parsed says."""
+    found = Parsed(files, kinds)
+    return found.symbols, found.refs, found.includes

@@ -183,18 +183,18 @@ src AS (SELECT *, row_number() OVER (PARTITION BY f ORDER BY k) - 1 AS i, CASE W
 @query(f"""WITH {SOURCES} SELECT 'func:part_' || k AS id, 'function' AS kind, file, (6 + 5 * i)::INT AS line, FALSE AS declaration, 5 AS body_lines, 'int part_' || k || '(int x)' AS signature FROM src
 UNION ALL SELECT DISTINCT 'macro:LIMIT', 'macro', file, 1, FALSE, 0, '' FROM src""")
 def symbols_scan(spark, d):
-    return extract.extract(g.sources(spark, d))[0].select("id", "kind", "file", "line", "declaration", "body_lines", "signature")
+    return extract.Parsed(g.sources(spark, d)).symbols.select("id", "kind", "file", "line", "declaration", "body_lines", "signature")
 
 
 @query(f"""WITH {SOURCES} SELECT 'func:part_' || k AS from_id, callee AS name, 'calls' AS kind, file, (8 + 5 * i)::INT AS line FROM src UNION ALL SELECT 'func:part_' || k, 'log', 'calls', file, (7 + 5 * i)::INT FROM src
 UNION ALL SELECT DISTINCT 'file:' || file, 'LIMIT', 'refs', file, 9 FROM src""")
 def calls_scan(spark, d):
-    return extract.extract(g.sources(spark, d))[1].select("from_id", "name", "kind", "file", "line")
+    return extract.Parsed(g.sources(spark, d)).refs.select("from_id", "name", "kind", "file", "line")
 
 
 @query(f"WITH {SOURCES} SELECT DISTINCT file, 'f' || (f + 1) || '.cpp' AS target, 2 AS line FROM src UNION ALL SELECT DISTINCT file, 'vector', 3 FROM src")
 def includes_scan(spark, d):
-    return extract.extract(g.sources(spark, d))[2].select("file", "target", "line")
+    return extract.Parsed(g.sources(spark, d)).includes.select("file", "target", "line")
 
 
 _STATS = H1 + """, n AS (SELECT DISTINCT user_id, CASE user_id % 3 WHEN 0 THEN 'file' WHEN 1 THEN 'function' ELSE 'class' END AS kind, user_id % 5 = 0 AS external, CASE WHEN user_id % 2 = 0 THEN 'exact' ELSE 'approx' END AS precision FROM events)"""
@@ -206,14 +206,14 @@ UNION ALL SELECT 'enum:n' || f || '::Enum_' || k, 'enum', file, (9 + 8 * i)::INT
 UNION ALL SELECT 'var:total_' || k, 'variable', file, (3 + 8 * m + i)::INT, FALSE, 'int total_' || k || '=;' FROM h""")
 def types_scan(spark, d):
     """Classes in namespaces, enums, members and variables of generated headers."""
-    return extract.extract(g.headers(spark, d))[0].select("id", "kind", "file", "line", "declaration", "signature")
+    return extract.Parsed(g.headers(spark, d)).symbols.select("id", "kind", "file", "line", "declaration", "signature")
 
 
 @query(f"""WITH {HEADERS}, r AS (SELECT 'class:n' || f || '::Supp_' || k AS from_id, * FROM h) SELECT from_id, 'Base_' || (k % 3) AS name, 'inherits' AS kind, file, (2 + 8 * i)::INT AS line FROM r UNION ALL SELECT from_id, 'Kind_' || (k % 5), 'uses', file, (6 + 8 * i)::INT FROM r
 UNION ALL SELECT from_id, 'Item_' || (k % 4), 'uses', file, (7 + 8 * i)::INT FROM r""")
 def type_refs_scan(spark, d):
     """Bases (a type that names itself last is none) and the types of members."""
-    return extract.extract(g.headers(spark, d))[1].where("kind in ('inherits', 'uses')").select("from_id", "name", "kind", "file", "line")
+    return extract.Parsed(g.headers(spark, d), extract.Kinds(calls=False, symbols=False)).refs.select("from_id", "name", "kind", "file", "line")
 
 
 @query("""WITH t AS (SELECT n_nationkey AS k, 'target:t' || n_nationkey AS src, 'r' || n_regionkey || '/CMakeLists.txt' AS file, (n_nationkey * 10 + 1)::INT AS line, n_regionkey AS r FROM nation),
