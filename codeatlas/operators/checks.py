@@ -150,9 +150,11 @@ def public_leaks(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return met.groupBy("from_file", "to_file").agg(F.min_by("line", "ord").alias("from_line"))
 
 
-def violations(nodes: DataFrame, edges: DataFrame, most: int = 500) -> DataFrame:
+def violations(nodes: DataFrame, edges: DataFrame, most: int | None = 500) -> DataFrame:
     """kind, from_file, from_line, to_file, dirs, edge_count, total: both checks, the first `most` in order.
 
+    None for `most` gives them all, in no order.
+
     nodes: id, kind, file, module, external; edges: src, dst, kind, file, line, ord.
     """
     leaks = public_leaks(nodes, edges).select(F.lit("public-api-leak").alias("kind"), "from_file", "from_line", "to_file", F.array().cast("array<string>").alias("dirs"), F.lit(0).cast("long").alias("edge_count"))
@@ -161,7 +163,8 @@ def violations(nodes: DataFrame, edges: DataFrame, most: int = 500) -> DataFrame
     arcs = settle(dir_arcs(including.select("m1", "m2", "file", "line", "ord", is_header(F.col("file")).alias("header"))), "arcs")
     cycles = dir_cycles(arcs).select(F.lit("directory-cycle").alias("kind"), F.col("file").alias("from_file"), F.col("line").alias("from_line"), F.lit("").alias("to_file"), "dirs", "edge_count")
     both = settle(leaks.unionByName(cycles), "violations")
-    return both.crossJoin(both.agg(F.count("*").alias("total"))).orderBy("kind", "from_file", "from_line", "to_file").limit(most)
+    counted = both.crossJoin(both.agg(F.count("*").alias("total")))
+    return counted if most is None else counted.orderBy("kind", "from_file", "from_line", "to_file").limit(most)
 
 
 def summary(found: DataFrame) -> DataFrame:

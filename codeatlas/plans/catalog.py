@@ -476,7 +476,7 @@ def api_leaks(spark, d):
 
 @query(f"WITH RECURSIVE {ARCS}{REACH}, v AS (SELECT DISTINCT 'public-api-leak' AS kind, file, to_file FROM e WHERE file LIKE 'include/%' AND to_file NOT LIKE 'include/%' UNION ALL SELECT DISTINCT 'directory-cycle', component, '' FROM scc) SELECT kind, count(*) AS shown, (SELECT count(*) FROM v) AS total FROM v GROUP BY kind")
 def violations_summary(spark, d):
-    return checks.summary(checks.violations(*g.file_graph(spark, d), most=100_000))
+    return checks.summary(checks.violations(*g.file_graph(spark, d), most=None))
 
 
 @query(f"WITH {H1}{routed(3)}, p AS (SELECT step, depth, row_number() OVER (PARTITION BY depth ORDER BY step)::INT AS place, count(*) OVER (PARTITION BY depth) AS n FROM steps) SELECT step, depth, place, greatest(n - 3, 0) AS hidden FROM p WHERE place <= 3")

@@ -6,6 +6,7 @@ from collections import defaultdict
 import pytest
 
 from codeatlas.operators import checks
+from codeatlas.plans import catalog
 
 NODES = "id string, kind string, file string, module string, external boolean"
 EDGES = "src string, dst string, kind string, file string, line long, ord long"
@@ -170,3 +171,13 @@ def test_a_chain_of_folders_takes_tens_of_jobs(spark):
     finally:
         spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     assert got == {f"d{k:04}" for k in range(500, 601)} | {"x", "y"} and jobs < 250
+
+
+def test_the_summary_counts_past_any_page(spark, tmp_path):
+    # events go to and fro between 275 public users and 400 others: 110,000 pairs of files
+    pair = "cast(id / 2 as long)"
+    user = f"if(id % 2 = 0, 40 * cast({pair} / 400 as long), 40 * ({pair} % 400) + 10)"
+    events = spark.range(220_000).selectExpr("id as event_id", "timestamp_seconds(id) as ts", f"{user} as user_id", "'e' as event_type", "1.0D as value")
+    events.write.parquet(f"{tmp_path}/events.parquet")
+    rows = catalog.QUERIES["violations_summary"](spark, str(tmp_path)).collect()
+    assert {r.kind: (r.shown, r.total) for r in rows} == {"public-api-leak": (110_000, 110_001), "directory-cycle": (1, 110_001)}
