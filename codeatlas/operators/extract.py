@@ -3,8 +3,8 @@
 A file's text becomes token rows by one pattern. Lines, depths, statements and matching braces are running sums and
 neighbours within a file; definitions, bases, calls and scopes are filters and joins on single places, and what stands
 around a place comes from one sweep of the file (intervals). So a file costs the sort of its tokens, not its functions
-times its tokens. No row of the result depends on more than its own file, so files spread over all tasks; a file is
-bounded by the reader's size limit.
+times its tokens. No row of the result depends on more than its own file, so files are dealt over parts of PART_BYTES
+of text, as many as that takes: a task's sorts don't grow with the tree. A file is bounded by the reader's size limit.
 
 In: files (path, content). Null or empty contents give no rows. Differences from a strict parser are those of a
 structural one: no templates are instantiated and no `#if` is evaluated.
@@ -41,6 +41,9 @@ ACCESS = ["public", "private", "protected", "virtual", *QUALIFIERS]
 NO_VARIABLE = ["using", "typedef", "template", "namespace", "extern", "class", "struct", "enum", "union", "return", "friend"]
 NO_MEMBER = ["using", "typedef", "friend", "static_assert", "template", "return"]
 
+#: Bytes of text whose tokens one task sorts, and the least worth a task of its own. A sort takes about 50 times its text.
+PART_BYTES, LEAST_BYTES = 1 << 20, 1 << 16
+
 _LEX = "|".join(
     [
         r"(?m:^)[ \t]*+#(?:[^\n\\/\"]++|\"(?:[^\"\\\n]++|\\[\s\S])*+\"?|/\*(?s:.*?)(?:\*/|\z)|//(?:[^\n\\]++|\\[\s\S])*+|\\[\s\S]|[/\\])*+",  # a directive and the lines it goes on in
@@ -187,14 +190,14 @@ def blocks(rows: DataFrame, braces: DataFrame) -> tuple[DataFrame, DataFrame]:
     return spaces, types.join(braces.select("path", "open", "close"), ["path", "open"])
 
 
-def scoped(rows: DataFrame, scopes: DataFrame, names: DataFrame, at: str) -> DataFrame:
+def scoped(rows: DataFrame, scopes: DataFrame, names: DataFrame, at: str, parts: int | None = None) -> DataFrame:
     """rows with scope: the names of all namespaces, then of all types, around `at`, outermost first, each with ::."""
-    return innermost(rows, scopes, at, "around").join(names.withColumnRenamed("open", "around"), ["path", "around"], "left").drop("around").withColumn("scope", F.coalesce("scope", F.lit("")))
+    return innermost(rows, scopes, at, "around", parts=parts).join(names.withColumnRenamed("open", "around"), ["path", "around"], "left").drop("around").withColumn("scope", F.coalesce("scope", F.lit("")))
 
 
-def scope_names(scopes: DataFrame) -> DataFrame:
+def scope_names(scopes: DataFrame, parts: int | None = None) -> DataFrame:
     """path, open, scope of the points that scopes (path, rank, name, open, close) have directly inside."""
-    found = chains(scopes, F.struct("rank", "open", "name"))
+    found = chains(scopes, F.struct("rank", "open", "name"), parts)
     return settle(found.select("path", "open", F.array_join(F.transform(F.array_sort("chain"), lambda x: F.concat(x["name"], F.lit("::"))), "").alias("scope")), "scopes")
 
 
@@ -212,7 +215,7 @@ def rendered(rows: DataFrame, ranges: DataFrame, most: int) -> DataFrame:
     return spaced.groupBy("path", "key").agg(F.substring(joined, 1, most).alias("signature"))
 
 
-def functions(rows: DataFrame, braces: DataFrame, scopes: DataFrame, names: DataFrame, types: DataFrame, kinds: Kinds) -> DataFrame:
+def functions(rows: DataFrame, braces: DataFrame, scopes: DataFrame, names: DataFrame, types: DataFrame, kinds: Kinds, parts: int | None = None) -> DataFrame:
     """path, key, name, qualified, line, column, declaration, first, last, open, close, body_lines of every candidate."""
     parens = pairs(rows, "(", ")", "parens").drop("open_line", "close_line")
     at = rows.where("text = '('").join(parens.withColumnRenamed("open", "idx"), ["path", "idx"])
@@ -234,14 +237,14 @@ def functions(rows: DataFrame, braces: DataFrame, scopes: DataFrame, names: Data
     declared = F.when(F.col("call") | (F.col("p2") == "operator"), F.col("name")).otherwise(F.col("before"))
     ok = ok.withColumn("declared", F.coalesce(declared, F.col("before")))
     owners = types.groupBy("path", F.col("open").alias("type_open")).agg(F.max_by("name", "head").alias("owner"))
-    ok = innermost(ok, types, "idx", "type_open").join(owners, ["path", "type_open"], "left")
+    ok = innermost(ok, types, "idx", "type_open", parts=parts).join(owners, ["path", "type_open"], "left")
     twice = (F.substring_index("declared", "::", -1) == F.substring_index("declared", "::", 1)) & F.col("declared").contains("::")
     ctor = F.coalesce(F.regexp_replace("name", "^~", "") == F.col("owner"), F.lit(False)) | twice
     own_words = F.size(F.filter(F.split(F.regexp_replace("declared", "~", ""), "::"), lambda x: x != ""))
     typed = F.col("words") >= (1 if kinds.bare_calls else own_words + 1)
     ok = ok.where((typed & ~F.coalesce(listed, F.lit(False))) | ctor)
     first = rows.groupBy("path", "stmt").agg(F.min("idx").alias("first"))
-    ok = scoped(ok.join(first, ["path", "stmt"]), scopes, names, "idx")
+    ok = scoped(ok.join(first, ["path", "stmt"]), scopes, names, "idx", parts)
     body = braces.select("path", F.col("open").alias("body_open"), F.col("close").alias("body_close"), (F.col("close_line") - F.col("open_line") + 1).alias("body_lines"))
     defined = stop["text"] == "{"
     ok = ok.withColumn("body_open", F.when(defined, stop["idx"])).join(body, ["path", "body_open"], "left")
@@ -269,14 +272,14 @@ def base_refs(rows: DataFrame, types: DataFrame) -> DataFrame:
     return names.groupBy("path", "open", "part", "own").agg(F.max_by("text", "idx").alias("base")).where("base <> own").drop("own")
 
 
-def member_types(rows: DataFrame, types: DataFrame) -> DataFrame:
+def member_types(rows: DataFrame, types: DataFrame, parts: int | None = None) -> DataFrame:
     """path, open, used, line: the type names of members without brackets, builtin types left out."""
     plain = types.where("word <> 'enum'")
     ends = F.col("text").isin(";", "{", "}") | ((F.col("text") == ":") & F.col("p1").isin("public", "private", "protected"))
     depth = rows.where("text = '{'").select("path", F.col("idx").alias("open"), (F.col("depth") + 1).alias("inner"))
     owns = plain.select("path", "open", F.col("name").alias("own")).join(depth, ["path", "open"])
     # what deeper blocks hold is no member, so only tokens directly inside a type count
-    inside = innermost(rows.where("depth > 0").select("path", "idx", "text", "ident", "line", "depth", "p1"), plain, "idx", "open").join(owns, ["path", "open"]).where(F.col("depth") == F.col("inner"))
+    inside = innermost(rows.where("depth > 0").select("path", "idx", "text", "ident", "line", "depth", "p1"), plain, "idx", "open", parts=parts).join(owns, ["path", "open"]).where(F.col("depth") == F.col("inner"))
     w = Window.partitionBy("path", "open", "own").orderBy("idx")
     cut = inside.withColumn("no", F.coalesce(F.sum(ends.cast("int")).over(_before(w)), F.lit(0)))
     here = Window.partitionBy("path", "open", "own", "no").orderBy("idx")
@@ -309,14 +312,14 @@ def variables(rows: DataFrame) -> DataFrame:
     return good.select("path", F.col("v.idx").alias("key"), F.col("v.text").alias("name"), F.col("v.line").alias("line"), F.col("v.column").alias("column"), "first", "last")
 
 
-def call_refs(rows: DataFrame, bodies: DataFrame) -> DataFrame:
+def call_refs(rows: DataFrame, bodies: DataFrame, parts: int | None = None) -> DataFrame:
     """path, owner (qualified), name, line, idx of the calls inside function bodies. bodies: path, qualified, open, close."""
     calls = rows.where(F.col("ident") & (F.col("n1") == "(") & ~F.col("text").isin(*KEYWORDS)).select("path", "idx", "line").join(called_names(rows), ["path", "idx"])
     calls = calls.withColumn("name", F.regexp_replace(F.regexp_replace("chain", "~", ""), "^::", ""))
     starts = F.col("lead").isNull() | F.col("lead").isin(";", "{", "}", ":")
     calls = calls.where(~F.col("name").startswith("std::") & ~(starts & F.col("name").rlike("^[A-Z]")))
-    owners = chains(bodies, F.col("qualified"))
-    met = innermost(calls.select("path", "idx", "name", "line"), bodies, "idx", "open").join(owners, ["path", "open"])
+    owners = chains(bodies, F.col("qualified"), parts)
+    met = innermost(calls.select("path", "idx", "name", "line"), bodies, "idx", "open", parts=parts).join(owners, ["path", "open"])
     return met.select("path", F.explode("chain").alias("owner"), "name", "line", "idx")
 
 
@@ -341,9 +344,18 @@ class Parsed:
     def __init__(self, files: DataFrame, kinds: Kinds = Kinds()) -> None:
         self.files, self.kinds = files.where("content is not null"), kinds
 
+    @cached_property
+    def parts(self) -> int:
+        """Over how many parts files are dealt: by PART_BYTES, but small trees over as many tasks as run at once."""
+        size = self.files.agg(F.sum(F.octet_length("content"))).first()[0] or 0
+        return max(1, -(-size // PART_BYTES), min(self.files.sparkSession.sparkContext.defaultParallelism, -(-size // LEAST_BYTES)))
+
+    def _dealt(self, rows: DataFrame) -> DataFrame:
+        return rows.repartition(self.parts, "path")
+
     @cached_property
     def cut(self) -> DataFrame:
-        return settle(pieces(self.files), "pieces")
+        return settle(pieces(self._dealt(self.files.select("path", "content"))), "pieces")
 
     @cached_property
     def lines(self) -> DataFrame:
@@ -351,7 +363,7 @@ class Parsed:
 
     @cached_property
     def rows(self) -> DataFrame:
-        return settle(marked(tokens(self.cut)), "tokens")
+        return self._dealt(settle(marked(tokens(self._dealt(self.cut))), "tokens"))
 
     @cached_property
     def braces(self) -> DataFrame:
@@ -360,10 +372,10 @@ class Parsed:
     @cached_property
     def _blocks(self) -> tuple[DataFrame, DataFrame]:
         spaces, types = blocks(self.rows, self.braces)
-        types = settle(types, "types")
+        types = self._dealt(settle(types, "types"))
         plain = types.where("word <> 'enum'")
         held = spaces.select("path", F.lit(0).alias("rank"), "name", "open", "close").unionByName(plain.select("path", F.lit(1).alias("rank"), "name", "open", "close"))
-        return types, settle(held, "scopes")
+        return types, self._dealt(settle(held, "scopes"))
 
     @property
     def types(self) -> DataFrame:
@@ -375,15 +387,15 @@ class Parsed:
 
     @cached_property
     def names(self) -> DataFrame:
-        return scope_names(self.scopes)
+        return self._dealt(scope_names(self.scopes, self.parts))
 
     @cached_property
     def named(self) -> DataFrame:
-        return settle(scoped(self.types, self.scopes, self.names, "head").withColumn("qualified", F.concat("scope", "name")), "named")
+        return self._dealt(settle(scoped(self.types, self.scopes, self.names, "head", self.parts).withColumn("qualified", F.concat("scope", "name")), "named"))
 
     @cached_property
     def bodies(self) -> DataFrame:
-        return settle(functions(self.rows, self.braces, self.scopes, self.names, self.types, self.kinds), "functions")
+        return self._dealt(settle(functions(self.rows, self.braces, self.scopes, self.names, self.types, self.kinds, self.parts), "functions"))
 
     @cached_property
     def symbols(self) -> DataFrame:
@@ -398,7 +410,7 @@ class Parsed:
             macros = self.lines.where("name = 'define'").select("path", F.regexp_extract("rest", r"^([A-Za-z_]\w*)", 1).alias("name"), F.col("place").alias("key")).where("name <> ''")
             add(macros.select("path", "key", "name", F.col("name").alias("qualified"), F.lit(1).alias("line"), F.lit(0).alias("column"), F.lit("").alias("signature")), F.lit("macro"), 0)
             v = variables(self.rows)
-            signed_v = scoped(v.join(rendered(self.rows, v.select("path", "key", "first", "last"), 300), ["path", "key"], "left"), self.scopes, self.names, "key")
+            signed_v = scoped(v.join(rendered(self.rows, v.select("path", "key", "first", "last"), 300), ["path", "key"], "left"), self.scopes, self.names, "key", self.parts)
             add(signed_v.withColumn("qualified", F.concat("scope", "name")), F.lit("variable"), 3)
         if self.kinds.types or self.kinds.symbols:
             signature = F.when(F.col("word") == "enum", F.concat(F.lit("enum "), "name")).otherwise(F.concat("word", F.lit(" "), "name", F.lit(" @ "), "path"))
@@ -424,11 +436,11 @@ class Parsed:
     def _types_refs(self) -> list[DataFrame]:
         owner = self.named.select("path", "open", "qualified", F.col("line").alias("head_line"))
         bases = base_refs(self.rows, self.types.where("word <> 'enum'")).join(owner, ["path", "open"]).withColumn("line", F.col("head_line")).withColumn("o", F.col("open") * 64 + F.col("part"))
-        members = member_types(self.rows, self.types).join(owner, ["path", "open"])
+        members = member_types(self.rows, self.types, self.parts).join(owner, ["path", "open"])
         return [_refer(bases, 0, "inherits", _id("class", F.col("qualified")), "base", "o"), _refer(members, 1, "uses", _id("class", F.col("qualified")), "used", "line")]
 
     def _calls_refs(self) -> list[DataFrame]:
-        return [_refer(call_refs(self.rows, self.bodies.where("close is not null")), 2, "calls", _id("function", F.col("owner")), "name", "idx")]
+        return [_refer(call_refs(self.rows, self.bodies.where("close is not null"), self.parts), 2, "calls", _id("function", F.col("owner")), "name", "idx")]
 
     def _symbols_refs(self) -> list[DataFrame]:
         return [_refer(caps_refs(self.rows).where(~F.col("name").isin(*KEYWORDS)), 3, "refs", _id("file", F.col("path")), "name", "idx")]

@@ -147,3 +147,14 @@ def test_one_large_file_keeps_every_function_and_call(spark):
     symbols, pending, _ = extract.extract(spark.createDataFrame([("big.cpp", text)], "path string, content string"))
     assert symbols.where("kind = 'function' and qualified like 'big::Holder::part_%' and not declaration").count() == 3000
     assert pending.where("kind = 'calls'").groupBy("from_id").count().where("count = 2").count() == 3000
+
+
+def test_a_task_holds_a_bounded_share_of_the_text(spark, monkeypatch):
+    monkeypatch.setattr(extract, "PART_BYTES", 4000)
+    monkeypatch.setattr(extract, "LEAST_BYTES", 1 << 30)
+    text = "int f(int x) {\n  return g(x);\n}\n" * 20
+    files = spark.createDataFrame([(f"src/f{k}.cpp", text) for k in range(200)], "path string, content string")
+    found = extract.Parsed(files)
+    assert found.parts == -(-200 * len(text) // 4000)
+    sizes = [sum(1 for _ in part) for part in found.rows.select("path", "idx").rdd.glom().collect()]
+    assert len(sizes) == found.parts and sum(sizes) == 200 * 20 * 14 and max(sizes) < 6 * sum(sizes) / len(sizes)
