@@ -2,7 +2,7 @@
 
 Every page is cut into blocks of text, each with the generalised tag-class paths of its containers. A page
 scores its containers by the text outside links that they hold directly or in paragraphs, and votes for the
-best; Spark sums the votes by host and path. Pages are then cut again, and the winning path of the host that a
+best; Spark sums the votes by host and path. The blocks are kept meanwhile, and the winning path of the host that a
 page contains is taken whole, with boilerplate inside it left out. A page without any winning path takes its
 own best container. Text that stands directly in a container around the chosen one goes with it. A page of links
 takes the winning path of its host, else all its blocks but boilerplate.
@@ -275,21 +275,43 @@ def host_of(url: str) -> Column:
     return F.regexp_replace(F.regexp_replace(authority, "^.*@", ""), ":[0-9]*$", "")
 
 
-def votes(pages: DataFrame, html: str, host: str) -> DataFrame:
-    """host, path, score: each page's best container."""
+#: Bytes of pages whose blocks are handed over at once.
+HANDED = 4 << 20
+#: A page cut into blocks: its tree by parent and step, each block's container, text, characters in links and whether it is boilerplate, and its vote.
+PARSED = "parents array<int>, steps array<string>, nodes array<int>, texts array<string>, linked array<int>, chrome array<boolean>, path string, score double"
+PARSED_KINDS = [pa.list_(pa.int32()), pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.bool_()), pa.string(), pa.float64()]
+
+
+def cut_pages(pages: DataFrame, keep: list[str], html: str) -> DataFrame:
+    """keep... and PARSED of every page; path and score: its best container, null if there is none."""
+    names = [*keep, *[x.split()[0] for x in PARSED.split(", ")]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hosts, paths, marks = [], [], []
-            for name, page in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                tree, found = blocks(page.as_py() or "")
+            rows, start, size = [], 0, 0
+            for i, value in enumerate(batch.column(len(keep))):
+                page = value.as_py() or ""
+                tree, found = blocks(page)
                 scores = container_scores(tree, found)
                 best = best_of(tree, scores)
-                if best is not None:
-                    hosts.append(name), paths.append(tree.path(best)), marks.append(scores[best])
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(paths, pa.string()), pa.array(marks, pa.float64())], names=["host", "path", "score"])
+                vote = (None, None) if best is None else (tree.path(best), scores[best])
+                rows.append((tree.parent, tree.step, *([b[k] for b in found] for k in range(4)), *vote))
+                size += len(page)
+                if size >= HANDED or i == batch.num_rows - 1:
+                    columns = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(PARSED_KINDS)]
+                    yield pa.RecordBatch.from_arrays([*batch.slice(start, i + 1 - start).columns[: len(keep)], *columns], names=names)
+                    rows, start, size = [], i + 1, 0
+
+    kinds = ", ".join(f"`{c}` {pages.schema[c].dataType.simpleString()}" for c in keep)
+    return pages.select(*keep, html).mapInArrow(run, f"{kinds}, {PARSED}")
+
 
-    return pages.select(host, html).mapInArrow(run, "host string, path string, score double")
+def tree_of(parents: list[int], steps: list[str]) -> Tree:
+    """The tree that cut_pages wrote."""
+    tree = Tree()
+    for parent, step in zip(parents[1:], steps[1:], strict=True):
+        tree.child(parent, step)
+    return tree
 
 
 def consensus(cast: DataFrame, share: float = 0.1) -> DataFrame:
@@ -308,16 +330,19 @@ def consensus(cast: DataFrame, share: float = 0.1) -> DataFrame:
 def extract(pages: DataFrame, *, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """page_id, url, text, n_chars for every row of pages."""
     named = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html"), host_of(url).alias("host"))
-    winners = materialise(consensus(votes(named, "html", "host")), "paths")
-    joined = looked_up(named, winners, ["host"], "left").select("page_id", "url", "html", "paths")
+    # cutting a page is nearly all the work, so its blocks are kept for the second look
+    cut = materialise(cut_pages(named, ["page_id", "url", "host"], "html"), "blocks")
+    winners = materialise(consensus(cut.where("path is not null").select("host", "path", "score")), "paths")
+    joined = looked_up(cut.drop("path", "score"), winners, ["host"], "left").select("page_id", "url", "parents", "steps", "nodes", "texts", "linked", "chrome", "paths")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = []
-            for page, paths in zip(batch.column(2), batch.column(3).to_pylist(), strict=True):
-                tree, found = blocks(page.as_py() or "")
+            for parents, steps, nodes, words, linked, chrome, paths in zip(*batch.columns[2:], strict=True):
+                tree = tree_of(parents.as_py(), steps.as_py())
+                found = list(zip(nodes.as_py(), words.as_py(), linked.as_py(), chrome.as_py(), strict=True))
                 scores = container_scores(tree, found)
-                known = [k for k in map(tree.find, paths or []) if k is not None and scores[k] is not None]
+                known = [k for k in map(tree.find, paths.as_py() or []) if k is not None and scores[k] is not None]
                 chosen = next((k for k in known if scores[k] > 0), None) or best_of(tree, scores) or next(iter(known), None)
                 texts.append(text_under(tree, found, chosen) if chosen else " ".join(t for _, t, _, chrome in found if not chrome))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])

@@ -91,3 +91,10 @@ def test_class_words_mark_boilerplate_only_where_the_whole_name_says_so(spark):
     page = f"<body><noscript>enable scripts</noscript><article><p>{'lead text ' * 20}</p>{kept}{gone}</article></body>"
     (row,) = html_text.extract(spark.createDataFrame([(1, "http://x", page)], "page_id long, url string, html string")).collect()
     assert row.text == ("lead text " * 20).strip() + " price up skipped beat two columns a notice board x plus one still text"
+
+
+def test_a_page_is_cut_once(spark):
+    """The second look at a page reads its kept blocks: extraction cuts each page a single time."""
+    pages = table(spark, "/root/testdata/sf0.001", "pages")
+    plan = html_text.extract(pages)._jdf.queryExecution().optimizedPlan().toString()
+    assert "texts" in plan and "html" not in plan.split("MapInArrow", 1)[1].lower().replace("html_text", "")
