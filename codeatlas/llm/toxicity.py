@@ -72,12 +72,16 @@ class Model:
 
 
 def fit(index: np.ndarray, first: np.ndarray, grade: np.ndarray, grades: int) -> Model:
-    """Penalised maximum likelihood by adaptive gradient steps; theta is a first value and positive steps up."""
+    """Penalised maximum likelihood by adaptive gradient steps; theta is a first value and positive steps up.
+
+    Only features that occur are held meanwhile: the steps never move the weight of another one from 0.
+    """
     n = len(grade)
+    used, index = np.unique(index, return_inverse=True)
     size = np.diff(first)
     row = np.repeat(np.arange(n), size)
-    weight, theta0, gaps = np.zeros(BUCKETS), 0.0, np.zeros(grades - 2)
-    m, s = np.zeros(BUCKETS), np.zeros(BUCKETS)
+    weight, theta0, gaps = np.zeros(len(used)), 0.0, np.zeros(grades - 2)
+    m, s = np.zeros(len(used)), np.zeros(len(used))
     mt, st = np.zeros(grades - 1), np.zeros(grades - 1)
     balance = np.where(grade > 0, n / (2 * max(1, (grade > 0).sum())), n / (2 * max(1, (grade == 0).sum())))
     for step in range(1, STEPS + 1):
@@ -89,7 +93,7 @@ def fit(index: np.ndarray, first: np.ndarray, grade: np.ndarray, grades: int) ->
         slope = np.column_stack([np.zeros(n), above * (1 - above), np.zeros(n)])
         up, down = slope[np.arange(n), grade], slope[np.arange(n), grade + 1]
         dz = balance * (up - down) / p  # of the log-likelihood
-        gw = np.bincount(index, dz[row], BUCKETS) - L2 * weight
+        gw = np.bincount(index, dz[row], len(used)) - L2 * weight
         gt = np.zeros(grades - 1)
         np.add.at(gt, np.maximum(grade - 1, 0), np.where(grade > 0, -balance * up / p, 0))
         np.add.at(gt, np.minimum(grade, grades - 2), np.where(grade < grades - 1, balance * down / p, 0))
@@ -100,7 +104,9 @@ def fit(index: np.ndarray, first: np.ndarray, grade: np.ndarray, grades: int) ->
         weight += RATE * 0.2 * (m / a) / (np.sqrt(s / b) + 1e-3)
         move = RATE * (mt / a) / (np.sqrt(st / b) + 1e-3)
         theta0, gaps = theta0 + move[0], np.clip(gaps + move[1:], -5, 3)
-    return Model(weight, theta0 + np.concatenate([[0.0], np.cumsum(np.exp(gaps))]))
+    held = np.zeros(BUCKETS)
+    held[used] = weight
+    return Model(held, theta0 + np.concatenate([[0.0], np.cumsum(np.exp(gaps))]))
 
 
 def graded(index: np.ndarray, first: np.ndarray, words: np.ndarray, toxic: np.ndarray) -> Model | None:

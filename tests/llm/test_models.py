@@ -145,3 +145,19 @@ def test_fitted_weights_stand_still_where_the_likelihood_is_flat():
             other[k] += d
             moved.append(loss(other, model.theta) - here)
     assert min(moved) > -0.02 * here and np.corrcoef(model.weight[:40], strength)[0, 1] > 0.8
+
+
+def test_the_ordinal_fit_holds_only_features_that_occur():
+    import tracemalloc
+
+    from codeatlas.llm import toxicity
+
+    index, first = np.array([5, 900_000, 5, 70, 900_000, 70]), np.array([0, 2, 4, 6])
+    tracemalloc.start()
+    try:
+        model = toxicity.fit(index, first, np.array([0, 1, 1]), 2)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert set(np.flatnonzero(model.weight)) <= {5, 70, 900_000} and len(model.weight) == toxicity.BUCKETS
+    assert peak < 2 * model.weight.nbytes
