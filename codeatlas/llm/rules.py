@@ -1,10 +1,11 @@
 """Quality rules: counted statistics with fixed limits, and an isolation forest over them.
 
 Every text gets the counts of the usual rules. Two of them have fixed limits; the rest are judged together by an
-isolation forest. Its trees hold good rows of a bounded labelled sample, and their random splits are drawn from the
-box that all rows of the sample fill, so that a text unlike the good ones soon stands alone: its paths are short. (With
-splits drawn between the rows of a node, common kinds of junk hid each other: nine of ten stayed.) The length of path
-below which a row is rejected is calibrated on the labels: the strictest at which at most SPARE of the good rows go.
+isolation forest. Its random splits are drawn from the box that all labelled rows fill, and all good ones are counted
+in every tree, so that a text unlike the good ones soon stands alone: its paths are short. (With splits drawn between the
+rows of a node, common kinds of junk hid each other: nine of ten stayed.) The length of path below which a row is
+rejected is calibrated on all labels: the strictest at which at most SPARE of the good rows go. Nothing is sampled; the
+driver holds the trees, whose size is fixed, and Spark counts the rows at their ends. Every text is counted once.
 
 Null and empty texts have no words and fail the base rules. Repeated rows get equal results; of rows that repeat a
 labelled id one trains, and of several labels of an id the greatest counts. Equal path lengths are judged alike, at
@@ -26,11 +27,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codeatlas.operators.views import ranked_values
+
 from .common import fold, free_name, materialise, row_key, sided
 
-#: Bound of the training sample, in labelled rows.
-SAMPLE_ROWS = 20_000
-TREES, TREE_ROWS, DEPTH, SEED = 100, 256, 10, 17
+TREES, DEPTH, SEED = 100, 10, 17
 #: The share of good labelled rows that the calibrated limit may reject.
 SPARE = 0.005
 #: Bytes of a text whose words are split at once.
@@ -110,8 +111,9 @@ def counted(text: bytes) -> tuple[list[int], list[float]]:
     return [n, chars, symbols, dup, repeated], [math.log1p(100 * x) for x in shares]
 
 
-def base_failed(counts: np.ndarray) -> np.ndarray:
-    return (counts[:, 0] < LEAST_WORDS) | (100 * counts[:, 4] > MOST_REPEATED * counts[:, 0])
+def base_failed(n_words, n_repeat_words):
+    """For arrays and columns alike."""
+    return (n_words < LEAST_WORDS) | (100 * n_repeat_words > MOST_REPEATED * n_words)
 
 
 @dataclass
@@ -123,15 +125,28 @@ class Isolation:
     length: np.ndarray
     limit: float = -np.inf
 
-    def paths(self, x: np.ndarray) -> np.ndarray:
-        """The mean length of each row's paths; short ones are anomalous."""
-        total = np.zeros(len(x))
+    @property
+    def depth(self) -> int:
+        return (self.length.shape[1] + 1).bit_length() - 2
+
+    def ends(self, x: np.ndarray) -> Iterator[np.ndarray]:
+        """For each tree the node of the last level that each row comes to."""
         rows = np.arange(len(x))
-        depth = (self.length.shape[1] + 1).bit_length() - 2
-        for f, t, length in zip(self.feature, self.threshold, self.length, strict=True):
+        for f, t in zip(self.feature, self.threshold, strict=True):
             node = np.zeros(len(x), dtype=np.int64)
-            for _ in range(depth):
+            for _ in range(self.depth):
                 node = 2 * node + 1 + (x[rows, f[node]] > t[node])
+            yield node
+
+    def counts(self, x: np.ndarray) -> np.ndarray:
+        """How many rows come to each node of the last level, a row a tree."""
+        width = 1 << self.depth
+        return np.array([np.bincount(node - width + 1, minlength=width) for node in self.ends(x)], dtype=np.int64).reshape(-1, width)
+
+    def paths(self, x: np.ndarray) -> np.ndarray:
+        """The mean length of each row's paths; short ones are anomalous."""
+        total = np.zeros(len(x))
+        for node, length in zip(self.ends(x), self.length, strict=True):
             total += length[node]
         return total / max(len(self.feature), 1)
 
@@ -139,38 +154,55 @@ class Isolation:
         return self.paths(x) < self.limit
 
 
-def spare_length(n: int) -> float:
+def spare_length(n: np.ndarray) -> np.ndarray:
     """The expected length of a search that fails among n rows: what a leaf of n rows adds to its depth."""
-    return 0.0 if n < 2 else 2 * (np.log(n - 1) + 0.5772156649015329) - 2 * (n - 1) / n
+    many = np.maximum(n, 2)
+    return np.where(n < 2, 0.0, 2 * (np.log(many - 1) + 0.5772156649015329) - 2 * (many - 1) / many)
 
 
-def grow(x: np.ndarray, low: np.ndarray, high: np.ndarray, *, trees: int = TREES, most: int = TREE_ROWS, depth: int = DEPTH, seed: int = SEED) -> Isolation:
-    """Trees of `most` rows of x each: random splits of the box from low to high, until a part of it holds one row or none."""
+def splits(low: np.ndarray, high: np.ndarray, *, trees: int = TREES, depth: int = DEPTH, seed: int = SEED) -> Isolation:
+    """Trees of random splits of the box from low to high, in which no rows are counted yet."""
     rng = np.random.default_rng(seed)
     size = (1 << (depth + 1)) - 1
-    made = []
-    for _ in range(trees if len(x) else 0):
-        feature, threshold, length = np.zeros(size, dtype=np.int64), np.full(size, np.inf), np.zeros(size)
-        held = {0: (rng.permutation(len(x))[:most], low, high)}
-        for node in range(size):
-            if node not in held:
-                continue
-            rows, low_, high_ = held.pop(node)
-            level = (node + 1).bit_length() - 1
-            wide = np.flatnonzero(high_ > low_)
-            if level < depth and len(wide) and len(rows) > 1:
-                k = int(rng.choice(wide))
-                cut = feature[node], threshold[node] = k, rng.uniform(low_[k], high_[k])
-                right = x[rows, k] > cut[1]
-                inner = np.arange(len(low_)) == k
-                held[2 * node + 1] = rows[~right], low_, np.where(inner, cut[1], high_)
-                held[2 * node + 2] = rows[right], np.where(inner, cut[1], low_), high_
-            else:
-                # a path that ends early goes left to the last level, where its length is kept
-                length[((node + 1) << (depth - level)) - 1] = level + spare_length(len(rows))
-        made.append((feature, threshold, length))
-    parts = [np.array([m[i] for m in made]) for i in range(3)] if made else [np.zeros((0, size), dtype=np.int64), np.zeros((0, size)), np.zeros((0, size))]
-    return Isolation(*parts)
+    feature, threshold = np.zeros((trees, size), dtype=np.int64), np.full((trees, size), np.inf)
+    low, high = (np.tile(side, (trees, 1, 1)) for side in (low, high))
+    for level in range(depth):
+        wide = high > low
+        k = np.where(wide, rng.random(wide.shape), -1.0).argmax(axis=2)[..., None]
+        a, b = np.take_along_axis(low, k, 2), np.take_along_axis(high, k, 2)
+        cut = np.where(wide.any(axis=2, keepdims=True), a + rng.random(a.shape) * (b - a), np.inf)
+        here = slice((1 << level) - 1, (2 << level) - 1)
+        feature[:, here], threshold[:, here] = k[..., 0], cut[..., 0]
+        low, high = np.repeat(low, 2, axis=1), np.repeat(high, 2, axis=1)
+        np.put_along_axis(high[:, ::2], k, np.minimum(b, cut), 2)
+        np.put_along_axis(low[:, 1::2], k, np.minimum(b, cut), 2)
+    return Isolation(feature, threshold, np.zeros((trees, size)))
+
+
+def filled(forest: Isolation, counts: np.ndarray) -> Isolation:
+    """forest with the lengths that its counts give: a path ends at the first part of the box that holds one row or none."""
+    depth = forest.depth
+    threshold, length = forest.threshold.copy(), forest.length.copy()
+    n, levels = counts, []
+    for level in range(depth, -1, -1):
+        levels.append((level, n))
+        n = n.reshape(len(n), n.shape[1] // 2, 2).sum(axis=2) if level else n
+    worth, ended = np.zeros((len(counts), 1)), np.zeros((len(counts), 1), dtype=bool)
+    for level, n in reversed(levels):
+        here = slice((1 << level) - 1, (2 << level) - 1)
+        worth = np.where(ended, worth, level + spare_length(n))
+        ended = ended | (n < 2) | np.isinf(threshold[:, here])
+        threshold[:, here][ended] = np.inf
+        if level < depth:
+            worth, ended = np.repeat(worth, 2, axis=1), np.repeat(ended, 2, axis=1)
+    length[:, (1 << depth) - 1 :] = worth
+    return Isolation(forest.feature, threshold, length)
+
+
+def grow(x: np.ndarray, low: np.ndarray, high: np.ndarray, *, trees: int = TREES, depth: int = DEPTH, seed: int = SEED) -> Isolation:
+    """Trees in which all rows of x are counted; none without rows."""
+    forest = splits(low, high, trees=trees if len(x) else 0, depth=depth, seed=seed)
+    return filled(forest, forest.counts(x))
 
 
 def calibrated(forest: Isolation, x: np.ndarray, good: np.ndarray, spare: float = SPARE) -> Isolation:
@@ -182,16 +214,16 @@ def calibrated(forest: Isolation, x: np.ndarray, good: np.ndarray, spare: float
 
 
 def with_statistics(rows: DataFrame, keep: list[str]) -> DataFrame:
-    """rows (keep..., text) -> keep..., counts, shares."""
+    """rows (keep..., text) -> keep..., COUNTS, base_failed, shares."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, counts, shares in slices(batch, len(keep)):
-                lists = [pa.array(list(v), pa.list_(t)) for v, t in ((counts, pa.int64()), (shares, pa.float64()))]
-                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], *lists], names=[*keep, "counts", "shares"])
+                columns = [*[pa.array(counts[:, k]) for k in range(len(COUNTS))], pa.array(base_failed(counts[:, 0], counts[:, 4])), pa.array(list(shares), pa.list_(pa.float64()))]
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], *columns], names=[*keep, *COUNTS, "base_failed", "shares"])
 
-    kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep)
-    return rows.select(*keep, "text").mapInArrow(run, f"{kinds}, counts array<bigint>, shares array<double>")
+    kinds = ", ".join([*[f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep], *[f"{c} bigint" for c in COUNTS]])
+    return rows.select(*keep, "text").mapInArrow(run, f"{kinds}, base_failed boolean, shares array<double>")
 
 
 def slices(batch: pa.RecordBatch, at: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
@@ -207,39 +239,69 @@ def slices(batch: pa.RecordBatch, at: int) -> Iterator[tuple[pa.RecordBatch, np.
             start, size, found = i + 1, 0, []
 
 
-def training(docs: DataFrame, labels: DataFrame, *, doc_id: str, text: str, label: str, folds: int, held: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """COUNTS, SHARES and labels of at most SAMPLE_ROWS labelled rows outside fold `held`, those of the least hashes."""
+def shares_of(batch: pa.RecordBatch) -> np.ndarray:
+    return batch.column("shares").flatten().to_numpy(zero_copy_only=False).reshape(-1, len(SHARES))
+
+
+def training(rows: DataFrame, labels: DataFrame, *, doc_id: str, label: str) -> DataFrame:
+    """_y and shares of all labelled rows that pass the base rules and are not held out, one an id."""
     marks = labels.where(F.col(label).isin(0, 1)).groupBy(F.col(doc_id).alias("_id")).agg(F.max(label).cast("int").alias("_y"))
-    marks = marks.where(fold("_id", folds) != held).withColumn("_h", F.xxhash64(F.lit("rules"), "_id")).orderBy("_h", "_id").limit(SAMPLE_ROWS)
-    met = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("text")).join(F.broadcast(materialise(marks, "marks")), "_id")  # at most SAMPLE_ROWS rows
-    rows = met.groupBy("_id", "_h", "_y").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")).select("_y", "_h", "text")
-    got = sorted(with_statistics(rows, ["_y", "_h"]).toLocalIterator(), key=lambda r: (r._h, r._y, r.shares))
-    make = lambda lists, width, kind: np.array(lists, dtype=kind).reshape(len(got), width)
-    return make([r.counts for r in got], len(COUNTS), np.int64), make([r.shares for r in got], len(SHARES), np.float64), np.array([r._y == 1 for r in got], dtype=bool)
+    one = rows.where("not held_out").groupBy("_id").agg(F.min(F.struct("_t", *COUNTS, "shares", "base_failed")).alias("one"))
+    return one.join(marks, "_id").where("not one.base_failed").select("_y", "one.shares")
+
+
+def counted_in(forest: Isolation, x: DataFrame) -> np.ndarray:
+    """What forest.counts gives for the shares of all rows of x. Tasks send sums by node; the driver gets one number a node."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros((len(forest.feature), 1 << forest.depth), dtype=np.int64)
+        for batch in batches:
+            n += forest.counts(shares_of(batch))
+        met = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(met), pa.array(n.ravel()[met])], names=["node", "n"])
+
+    sums = x.select("shares").mapInArrow(run, "node bigint, n bigint").groupBy("node").agg(F.sum("n").alias("n")).toArrow()
+    n = np.zeros((len(forest.feature), 1 << forest.depth), dtype=np.int64)
+    n.ravel()[sums["node"].to_numpy()] = sums["n"].to_numpy()
+    return n
+
+
+def fitted(rows: DataFrame) -> Isolation:
+    """The forest of all good rows of training, within the box of all rows, calibrated on all good ones."""
+    sides = [f(F.get("shares", F.lit(k))) for f in (F.min, F.max) for k in range(len(SHARES))]
+    goods, bads, *box = rows.agg(F.count_if(F.col("_y") == 1), F.count_if(F.col("_y") == 0), *sides).first()
+    if not goods or not bads:
+        nothing = np.zeros((0, len(SHARES)))
+        return grow(nothing, np.zeros(len(SHARES)), np.zeros(len(SHARES)))
+    good = rows.where("_y = 1")
+    empty = splits(*np.array(box).reshape(2, -1))
+    forest = filled(empty, counted_in(empty, good))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(forest.paths(shares_of(batch)))], names=["path"])
 
-def fitted(counts: np.ndarray, shares: np.ndarray, good: np.ndarray) -> Isolation:
-    """The forest of the good rows that pass the base rules, calibrated on all that pass."""
-    x, good = shares[~base_failed(counts)], good[~base_failed(counts)]
-    both = good.any() and not good.all()
-    return calibrated(grow(x[good], x.min(axis=0), x.max(axis=0)) if both else grow(x[:0], x, x), x, good)
+    paths = materialise(good.select("shares").mapInArrow(run, "path double"), "paths")
+    forest.limit = ranked_values(paths, [("path", int(SPARE * goods))])[0]
+    return forest
 
 
 def judge(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "quality", folds: int = 5, held: int = 0, key: str | None = None) -> DataFrame:
     """doc_id (the column `key` instead, if named), COUNTS, base_failed, kept, path_length, held_out for every row of docs."""
-    forest = fitted(*training(docs, labels, doc_id=doc_id, text=text, label=label, folds=folds, held=held))
+    texts = docs.select(F.col(key or doc_id).alias("doc_id"), F.col(doc_id).alias("_id"), (fold(doc_id, folds) == held).alias("held_out"), F.xxhash64(text).alias("_t"), F.col(text).alias("text"))
+    rows = materialise(with_statistics(texts, ["doc_id", "_id", "held_out", "_t"]), "statistics")
+    forest = fitted(materialise(training(rows, labels, doc_id=doc_id, label=label), "training"))
+    given = ["doc_id", *COUNTS, "base_failed"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, counts, shares in slices(batch, 2):
-                failed, paths = base_failed(counts), forest.paths(shares)
-                kept = ~failed & ~(paths < forest.limit)
-                columns = [part.column(0), *[pa.array(counts[:, k]) for k in range(len(COUNTS))], pa.array(failed), pa.array(kept), pa.array(paths), part.column(1)]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", *COUNTS, "base_failed", "kept", "path_length", "held_out"])
+            paths = forest.paths(shares_of(batch))
+            kept = ~batch.column("base_failed").to_numpy(zero_copy_only=False) & ~(paths < forest.limit)
+            columns = [*[batch.column(c) for c in given], pa.array(kept), pa.array(paths), batch.column("held_out")]
+            yield pa.RecordBatch.from_arrays(columns, names=[*given, "kept", "path_length", "held_out"])
 
-    rows = docs.select(F.col(key or doc_id).alias("doc_id"), (fold(doc_id, folds) == held).alias("held_out"), F.col(text).alias("text"))
     kinds = ", ".join(f"{c} bigint" for c in COUNTS)
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, {kinds}, base_failed boolean, kept boolean, path_length double, held_out boolean")
+    return rows.select(*given, "held_out", "shares").mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, {kinds}, base_failed boolean, kept boolean, path_length double, held_out boolean")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:

@@ -77,3 +77,48 @@ def test_odd_rows(spark, odd_docs):
     assert rules.judge(odd_docs.limit(0), labels).count() == 0
     left = rules.keep_good(clash, labels)
     assert left.columns == clash.columns and all(r.counts == "v" and plain(r.text)[5] is False for r in left.collect())
+
+
+def test_every_labelled_row_counts(spark):
+    rng = np.random.default_rng(11)
+    n = 26_000  # 20,800 outside the held-out fold
+    words = np.array(["alpha", "BETA", "gamma!", "de#ta", "eps|lon", "zeta", "Eta", "THETA"])
+    shares = rng.dirichlet(np.ones(8), n)
+    rows = [(i, " ".join(rng.choice(words, 24, p=shares[i])) + f" {i}") for i in range(n)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    labels = spark.createDataFrame([(i, int(i % 20 > 0)) for i in range(n)], "doc_id long, quality int")
+    got = {r.doc_id: r for r in rules.judge(docs, labels).collect()}
+    trained = [i for i in range(n) if not got[i].held_out and not got[i].base_failed]
+    assert len(trained) > 20_000
+    good = [i for i in trained if i % 20]
+    # the limit is the exact rank among all good rows, not among some of them
+    paths = np.sort([got[i].path_length for i in good])
+    limit = paths[int(rules.SPARE * len(good))]
+    assert all(got[i].kept == (got[i].path_length >= limit) for i in trained)
+    # and the trees are those that hold all rows
+    x, y = np.array([rules.counted(rows[i][1].encode())[1] for i in trained]), np.array([i % 20 > 0 for i in trained])
+    forest = rules.grow(x[y], x.min(axis=0), x.max(axis=0))
+    assert np.array_equal(forest.paths(x), [got[i].path_length for i in trained])
+
+
+def test_a_path_ends_at_the_first_part_with_one_row_or_none():
+    rng = np.random.default_rng(7)
+    x = np.round(rng.uniform(0, 3, (300, 3)), 1)
+    x[:, 1] = 2.0
+    x[:9] = x[0]
+    asked = np.concatenate([x, rng.uniform(-1, 4, (50, 3))])
+    empty = rules.splits(x.min(axis=0), x.max(axis=0), trees=5, depth=6)
+    found = rules.grow(x, x.min(axis=0), x.max(axis=0), trees=5, depth=6)
+    lengths = np.zeros(len(asked))
+    for f, t in zip(empty.feature, empty.threshold):
+        assert set(f[t < np.inf]) == {0, 2}  # a side without width is never cut
+        for i, row in enumerate(asked):
+            node, level, held = 0, 0, x
+            while level < 6 and len(held) > 1:
+                right = row[f[node]] > t[node]
+                held = held[(held[:, f[node]] > t[node]) == right]
+                node, level = 2 * node + 1 + int(right), level + 1
+            m = len(held)
+            lengths[i] += level + (2 * (np.log(m - 1) + 0.5772156649015329) - 2 * (m - 1) / m if m > 1 else 0)
+    assert np.allclose(found.paths(asked), lengths / 5)
+    assert np.array_equal(found.counts(x).sum(axis=1), [300] * 5)
