@@ -44,7 +44,8 @@ SPACE_BYTES = b" \t\n\v\f\r"
 _space = re.compile(rb"[ \t-\r]")
 _later = bytes(range(0x80, 0xC0))
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-#: Shares of words, lines or letters; the forest sees log(1 + 100 share), in which none and some lie far apart.
+#: Shares of words, lines or letters, and of marks among words and marks; the forest sees log(1 + 100 share), in which
+#: none and some lie far apart. None is above 1, so that no labelled row, however odd, widens the box for all others.
 SHARES = ["symbols", "dup_lines", "repeat_words", "upper", "neighbours", "bangs"]
 
 
@@ -107,7 +108,8 @@ def counted(text: bytes) -> tuple[list[int], list[float]]:
     symbols = without(text, SYMBOLS)
     words, letters = max(n, 1), max(chars, 1)
     upper = without(text, b"ABCDEFGHIJKLMNOPQRSTUVWXYZ")
-    shares = [symbols / words, dup / max(lines, 1), repeated / words, upper / letters, float((ids[1:] == ids[:-1]).sum()) / words, without(text, b"!") / words]
+    bangs = without(text, b"!")
+    shares = [symbols / (words + symbols), dup / max(lines, 1), repeated / words, upper / letters, float((ids[1:] == ids[:-1]).sum()) / words, bangs / (words + bangs)]
     return [n, chars, symbols, dup, repeated], [math.log1p(100 * x) for x in shares]
 
 

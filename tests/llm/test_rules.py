@@ -122,3 +122,11 @@ def test_a_path_ends_at_the_first_part_with_one_row_or_none():
             lengths[i] += level + (2 * (np.log(m - 1) + 0.5772156649015329) - 2 * (m - 1) / m if m > 1 else 0)
     assert np.allclose(found.paths(asked), lengths / 5)
     assert np.array_equal(found.counts(x).sum(axis=1), [300] * 5)
+
+
+def test_an_odd_labelled_row_does_not_widen_the_box():
+    most = np.log1p(100)
+    for text in ("word " * 20 + "#" * 10**6, "word " * 20 + "!" * 10**6, "A A\n" * 1000, "#!" * 1000, ""):
+        assert all(0 <= x <= most for x in rules.counted(text.encode())[1])
+    lots, more = (rules.counted(("one two three " + "#!" * n).encode())[1] for n in (50, 60))
+    assert more[0] > lots[0] and more[-1] > lots[-1]  # bounded, yet never the same
