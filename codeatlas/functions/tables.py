@@ -65,9 +65,17 @@ def is_small(df: DataFrame) -> bool:
     return rows <= LOOKUP_ROWS and size <= LOOKUP_BYTES
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """df, whose join shuffles both sides. Without the hint Spark broadcasts what takes few bytes of files.
+
+    Its estimate knows neither how far the files are compressed nor how many rows explode() makes of one.
+    """
+    return df.hint("merge")
+
+
 def sided(small: DataFrame) -> DataFrame:
-    """small, broadcast if it is proven small; else left for a shuffled join."""
-    return F.broadcast(small) if is_small(small) else small
+    """small, broadcast if it is proven small; else its join shuffles."""
+    return F.broadcast(small) if is_small(small) else shuffled(small)
 
 
 def looked_up(rows: DataFrame, small: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
@@ -83,7 +91,7 @@ def looked_up(rows: DataFrame, small: DataFrame, on: list[str], how: str = "inne
     rest = [F.col(f"`{f.name}`") for f in rows.schema if f.name not in on and f.dataType.typeName() not in ("map", "variant")]
     dealt = rows.withColumn(salt, F.pmod(F.xxhash64(*rest) if rest else F.lit(0), F.lit(SALTS)).cast("int"))
     copies = small.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return dealt.join(copies, [*on, salt], how).drop(salt)
+    return dealt.join(shuffled(copies), [*on, salt], how).drop(salt)
 
 
 def dealt(rows: DataFrame, keyed: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
@@ -96,7 +104,7 @@ def dealt(rows: DataFrame, keyed: DataFrame, on: list[str], how: str = "inner")
         return rows.join(F.broadcast(keyed), on, how)
     hot = settle(rows.groupBy(*on).agg(F.count("*").alias("n")).where(F.col("n") > HOT_ROWS).select(*on), "hot")
     if not hot.limit(1).count():
-        return rows.join(keyed, on, how)
+        return rows.join(shuffled(keyed), on, how)
     salt, mark = free_name("salt", rows.columns, keyed.columns), free_name("hot", rows.columns, keyed.columns)
     marked = sided(hot.withColumn(mark, F.lit(True)))
     rest = [F.col(f"`{f.name}`") for f in rows.schema if f.name not in on and f.dataType.typeName() not in ("map", "variant")]
@@ -104,7 +112,7 @@ def dealt(rows: DataFrame, keyed: DataFrame, on: list[str], how: str = "inner")
     left = rows.join(marked, on, "left").withColumn(salt, F.when(F.col(mark), spread).otherwise(0)).drop(mark)
     copies = F.when(F.col(mark), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
     right = keyed.join(marked, on, "left").withColumn(salt, F.explode(copies)).drop(mark)
-    return left.join(right, [*on, salt], how).drop(salt)
+    return left.join(shuffled(right), [*on, salt], how).drop(salt)
 
 
 def running_before(rows: DataFrame, order: str, value: str, name: str, small: bool = False) -> DataFrame:

@@ -4,6 +4,7 @@ import time
 
 import pytest
 
+from codeatlas.functions import tables
 from codeatlas.llm import pii
 from codeatlas.llm.common import table
 
@@ -121,3 +122,14 @@ def test_keys_of_any_length_are_found(spark):
     rows += [(n, f'text token = "{key(n)}" and more') for n in (200, 201, 640)]
     got = {r.doc_id: r.spans for r in pii.digest(pii.extract(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
     assert all(got[n] == f"secret:14:{14 + n}" for n in (200, 201, 640))
+
+
+def test_lookups_that_are_not_proven_small_are_never_broadcast(spark, sf_dir, monkeypatch):
+    docs = table(spark, sf_dir, "documents")
+    want = sorted(map(tuple, pii.digest(pii.extract(docs)).collect()), key=str)
+    monkeypatch.setattr(tables, "LOOKUP_ROWS", -1)
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsCount()
+    assert sorted(map(tuple, pii.digest(pii.extract(docs)).collect()), key=str) == want
+    plans = [store.executionsList(i, 1).head().physicalPlanDescription() for i in range(before, store.executionsCount())]
+    assert any("SortMergeJoin" in p for p in plans) and not any("BroadcastHashJoin" in p for p in plans)
