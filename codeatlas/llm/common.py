@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codeatlas.functions.exprs import UPPER
-from codeatlas.functions.tables import drop_table, free_name, is_small, looked_up, settle, sided, table
+from codeatlas.functions.tables import drop_table, free_name, is_small, looked_up, settle, shuffled, sided, table
 
-__all__ = ["ascii_lower", "drop_table", "fold", "free_name", "is_small", "looked_up", "materialise", "row_key", "sided", "table"]
+__all__ = ["ascii_lower", "drop_table", "fold", "free_name", "is_small", "looked_up", "materialise", "row_key", "shuffled", "sided", "table"]
 
 SPACE_WORD = r"[^\x20\x09-\x0D]+"
 materialise = settle

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import free_name, is_small, looked_up, materialise, row_key, sided
+from .common import free_name, is_small, looked_up, materialise, row_key, shuffled, sided
 
 KINDS = ("email", "ip", "card", "phone")
 #: A kind without base rule, listed after the others.
@@ -226,7 +226,7 @@ def redact(docs: DataFrame, found: DataFrame, *, doc_id: str = "doc_id", text: s
     few = is_small(ids)
     body = F.col(f"`{text}`")
     keyed = docs.withColumn(key, row_key(doc_id, text))
-    held = keyed.join(F.broadcast(ids) if few else ids, key, "left_semi")
+    held = keyed.join(F.broadcast(ids) if few else shuffled(ids), key, "left_semi")
     pieces = held.select(F.col(key).alias("row_key"), body.alias("body")).dropDuplicates(["row_key"]).select("row_key", F.posexplode(F.regexp_extract_all("body", F.lit(f"(?s).{{1,{CHARS}}}"), F.lit(0))).alias("piece", "body"))
 
     def step(acc: Column, c: Column) -> Column:
@@ -235,11 +235,11 @@ def redact(docs: DataFrame, found: DataFrame, *, doc_id: str = "doc_id", text: s
 
     begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     done = F.aggregate("cuts", begin, step, lambda acc: F.concat(acc["out"], F.substring(F.col("body"), acc["at"] + 1, F.lit(CHARS))))
-    cleaned = pieces.join(cuts, ["row_key", "piece"], "left").select("row_key", "piece", F.coalesce(done, F.col("body")).alias("s"))
+    cleaned = pieces.join(shuffled(cuts), ["row_key", "piece"], "left").select("row_key", "piece", F.coalesce(done, F.col("body")).alias("s"))
     lines = F.transform(F.array_sort(F.collect_list(F.struct("piece", "s"))), lambda x: x["s"])
     texts = cleaned.groupBy(F.col("row_key").alias(key)).agg(F.array_join(lines, "").alias(fresh))
     columns = [F.coalesce(F.col(fresh), body).alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns]
     if not few:
-        return keyed.join(texts, key, "left").select(*columns)
+        return keyed.join(shuffled(texts), key, "left").select(*columns)
     rest = keyed.join(F.broadcast(ids), key, "left_anti").select(*[f"`{c}`" for c in docs.columns])
-    return rest.unionByName(held.join(texts, key).select(*columns))
+    return rest.unionByName(held.join(shuffled(texts), key).select(*columns))

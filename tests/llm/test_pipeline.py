@@ -6,6 +6,7 @@ from collections import defaultdict
 import pytest
 
 import corpus_pipeline
+from codeatlas.functions import tables
 from codeatlas.llm import decontam, forest, mixing, pii, toxicity
 from codeatlas.llm.common import table
 
@@ -94,3 +95,12 @@ def test_clashing_columns_keep_their_values(spark, odd_docs, step):
     assert out.columns[: len(df.columns)] == df.columns
     rows = out.collect()
     assert rows and all(r[n] == (None if r.n_chars is None else f"{n}{r.n_chars}") for r in rows for n in NAMES)
+
+
+def test_redaction_broadcasts_nothing_that_is_not_proven_small(spark, docs, sf_dir, monkeypatch):
+    found = pii.materialise(pii.extract(docs), "found")
+    want = sorted(map(tuple, pii.redact(docs, found).collect()), key=str)
+    monkeypatch.setattr(tables, "LOOKUP_ROWS", -1)
+    out = pii.redact(docs, found)
+    assert sorted(map(tuple, out.collect()), key=str) == want != sorted(map(tuple, docs.collect()), key=str)
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
